@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ogg, preference, resampling, token_counts, warc, wavelet
+from . import mixing, ogg, preference, resampling, token_counts, toxicity, warc, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         wavelet.op5_wavelet_token_ids,
         ogg.op6_ogg_media,
         warc.op8_warc,
+        toxicity.op9_toxicity,
         mixing.op10_temperature_mix,
     ]
     return {f.__name__: f for f in named}
