@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ogg, preference, resampling, token_counts, toxicity, warc, wavelet
+from . import decontaminate, mixing, ngram_join, ogg, preference, resampling, token_counts, toxicity, warc, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         preference.op1_preference_format,
         token_counts.op2_token_counts,
         resampling.op3_importance_resample,
+        ngram_join.op4_ngram_join,
         wavelet.op5_wavelet_token_ids,
         ogg.op6_ogg_media,
+        decontaminate.op7_decontaminate,
         warc.op8_warc,
         toxicity.op9_toxicity,
         mixing.op10_temperature_mix,
