@@ -6,7 +6,7 @@ stably into those with a 0 and those with a 1. With a directory of ones per bloc
 plane, ``access``, ``count`` and ``locate`` read a few blocks of each plane only.
 
 File: 8 bytes of mark, u32 header length, a JSON header (zlib), then the blocks of each
-plane, each compressed for itself. The header has the offsets, the ones before each block,
+plane, each compressed (zstd) for itself. The header has the offsets, the ones before each block,
 and the documents' ids and lengths are two more sections.
 
 Defined results: null text is empty and gives the end id alone; rows with null ``doc_id``
@@ -22,9 +22,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,33 +52,36 @@ class WaveletMatrix:
         self._data, self._base = data, 12 + size
         self._kept: dict[tuple[int, int], np.ndarray] = {}
         self._sections = head["sections"]
+        self._unpack = zstandard.ZstdDecompressor().decompress
 
     @staticmethod
     def build(ids: np.ndarray, sections: dict[str, bytes], levels: int | None = None) -> bytes:
         ids = np.ascontiguousarray(ids, dtype="<u4")
         levels = levels or max(1, int(ids.max(initial=0)).bit_length())
+        pack = zstandard.ZstdCompressor(level=1)
         parts: list[bytes] = []
         at, ones, zeros, pos = [], [], [], 0
-        now = ids
+        # Two bytes an id while they suffice.
+        now = ids.astype("<u2") if levels <= 16 else ids
+        kind = now.dtype.type
         for level in range(levels - 1, -1, -1):
-            bit = (now >> np.uint32(level)) & np.uint32(1)
-            packed = np.packbits(bit.astype("u1"), bitorder="little").tobytes()
+            bit = ((now >> kind(level)) & kind(1)).astype(bool)
+            packed = np.packbits(bit, bitorder="little").tobytes()
             step = BLOCK_BITS // 8
             offsets, before = [], []
-            sums = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK_BITS)) if len(bit) else np.zeros(0, int)
+            sums = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK_BITS), dtype="i8") if len(bit) else np.zeros(0, int)
             before = [0, *np.cumsum(sums).tolist()]
             for k in range(0, len(packed), step):
                 offsets.append(pos)
-                parts.append(zlib.compress(packed[k : k + step], 1))
+                parts.append(pack.compress(packed[k : k + step]))
                 pos += len(parts[-1])
             at.append([*offsets, pos])
             ones.append(before)
             zeros.append(len(bit) - before[-1])
-            mask = bit == 1
-            now = np.concatenate([now[~mask], now[mask]])
+            now = np.concatenate([now[~bit], now[bit]])
         places = {}
         for name, raw in sections.items():
-            parts.append(zlib.compress(raw, 1))
+            parts.append(pack.compress(raw))
             places[name] = [pos, pos + len(parts[-1])]
             pos += len(parts[-1])
         head = zlib.compress(json.dumps({"n": len(ids), "levels": levels, "zeros": zeros, "at": at, "ones": ones, "sections": places}).encode(), 6)
@@ -84,12 +89,12 @@ class WaveletMatrix:
 
     def section(self, name: str) -> bytes:
         a, b = self._sections[name]
-        return zlib.decompress(self._data[self._base + a : self._base + b])
+        return self._unpack(self._data[self._base + a : self._base + b])
 
     def _block(self, level: int, k: int) -> np.ndarray:
         if (level, k) not in self._kept:
             a, b = self._at[level][k : k + 2]
-            raw = np.frombuffer(zlib.decompress(self._data[self._base + a : self._base + b]), "u1")
+            raw = np.frombuffer(self._unpack(self._data[self._base + a : self._base + b]), "u1")
             self._kept[level, k] = np.unpackbits(raw, bitorder="little")
         return self._kept[level, k]
 
@@ -149,30 +154,33 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids: the splits are undone from the last plane to the first."""
-        now = np.zeros(self.n, "<u4")
+        now = np.zeros(self.n, "<u2" if self.levels <= 16 else "<u4")
         for level in range(self.levels - 1, -1, -1):
-            blocks = [zlib.decompress(self._data[self._base + a : self._base + b]) for a, b in zip(self._at[level], self._at[level][1:], strict=False)]
+            blocks = [self._unpack(self._data[self._base + a : self._base + b]) for a, b in zip(self._at[level], self._at[level][1:], strict=False)]
             mask = np.unpackbits(np.frombuffer(b"".join(blocks), "u1"), count=self.n, bitorder="little").astype(bool)
             was = np.empty_like(now)
             was[~mask] = now[: self.zeros[level]]
-            was[mask] = now[self.zeros[level] :] | np.uint32(1 << (self.levels - 1 - level))
+            was[mask] = now[self.zeros[level] :] | now.dtype.type(1 << (self.levels - 1 - level))
             now = was
-        return now
+        return now.astype("<u4")
 
 
 class WordEncoder:
     """Ids of whole texts from a tokenizer that never joins what white space parts.
 
-    Text between blanks is encoded once while it is remembered; at most ``kept`` are. New
-    plain words go to the library many at a time, joined by blanks; as each of its
-    pre-tokens ends in one id with the mark of a word's end, the ids are told apart again.
+    Text between blanks is encoded once while it is remembered; at most ``kept`` are. Where
+    it has Latin letters, digits and ASCII signs without an apostrophe, its pre-tokens are
+    runs of letters, single digits and runs of signs. New ones go to the library many at a
+    time, joined by blanks; as each ends in one id with the mark of a word's end, the ids
+    are told apart again. A text within Latin-1 is lower-cased first, as the tokenizer does
+    after nothing that changes it.
     """
 
-    #: A word of Latin letters, one pre-token, and points or commas after it, a second one.
-    PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,]*)")
+    SAFE = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+").fullmatch)
+    PARTS = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall)
     MARK = "</w>"
 
-    def __init__(self, path: str, kept: int = 800_000):
+    def __init__(self, path: str, kept: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
@@ -182,42 +190,53 @@ class WordEncoder:
         self._ends[[i for w, i in words.items() if w.endswith(self.MARK)]] = True
 
     def _learn(self, new: list[str]) -> None:
-        plain, other = [], []
+        memo, plain, several, other = self._memo, {}, [], []
         for c in new:
-            m = self.PLAIN.fullmatch(c)
-            if m:
-                plain.append((c, 2 if m[1] else 1))
-            else:
+            if not self.SAFE(c) or "<|" in c:
                 other.append(c)
-        for k in range(0, len(plain), 512):
-            part = plain[k : k + 512]
-            ids = np.array(self._tok.encode(" ".join([c for c, _ in part]), add_special_tokens=False).ids, "<u4")
+                continue
+            parts = self.PARTS(c)
+            if len(parts) > 1:
+                several.append((c, parts))
+            plain.update((p, None) for p in parts if p not in memo)
+        plain = list(plain)
+        for k in range(0, len(plain), 2048):
+            part = plain[k : k + 2048]
+            ids = np.array(self._tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self._ends[ids])
-            after = np.cumsum([n for _, n in part])
-            if len(ends) != after[-1]:
-                other += [c for c, _ in part]
+            if len(ends) != len(part):
+                other += part
                 continue
-            raw, a = ids.tobytes(), 0
-            for (c, _), b in zip(part, ((ends[after - 1] + 1) * 4).tolist(), strict=True):
-                self._memo[c] = raw[a:b]
-                a = b
+            raw, stops = ids.tobytes(), ((ends + 1) * 4).tolist()
+            memo.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
         for k in range(0, len(other), 4096):
             part = other[k : k + 4096]
             for c, e in zip(part, self._tok.encode_batch(part, add_special_tokens=False), strict=True):
-                self._memo[c] = np.array(e.ids, "<u4").tobytes()
+                memo[c] = np.array(e.ids, "<u4").tobytes()
+        for c, parts in several:
+            memo[c] = b"".join([memo[p] for p in parts])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         memo = self._memo
         if len(memo) > self._kept:
             memo.clear()
-        split = [BLANKS.split(t) for t in texts]
-        new = [c for c in dict.fromkeys(c for x in split for c in x) if c not in memo]
+        split = [BLANKS.split(_lower(t)) for t in texts]
+        new = set(chain.from_iterable(split)).difference(memo)
         if new:
-            self._learn(new)
+            self._learn(list(new))
         return [b"".join(map(memo.__getitem__, x)) for x in split]
 
 
+def _lower(text: str) -> str:
+    """Lower case of a Latin-1 text, where composition has nothing to do; other texts as they are."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker, so that its memory outlives a task."""
