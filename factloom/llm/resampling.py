@@ -116,7 +116,8 @@ def importance_resample(
     if keep is None:
         share = labels.agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0))).first()[0]
         keep = 1.0 if share is None else share
-    marked = rows.join(good, F.col("id") == F.col("g"), "left").select(F.col("g").isNotNull().alias("target"), "text")
+    # A shuffle at every size: labels grow with the documents, and a text is moved once.
+    marked = rows.join(good.hint("merge"), F.col("id") == F.col("g"), "left").select(F.col("g").isNotNull().alias("target"), "text")
     ratio = log_ratios(marked, buckets, smoothing)
     scored = rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))).select("id", "text", "tie").mapInArrow(_scores(ratio, length), "doc_id long, tie long, log_weight double")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", "tie")), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
