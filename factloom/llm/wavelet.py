@@ -168,19 +168,21 @@ class WaveletMatrix:
 class WordEncoder:
     """Ids of whole texts from a tokenizer that never joins what white space parts.
 
-    Text between blanks is encoded once while it is remembered; at most ``kept`` are. Where
-    it has Latin letters, digits and ASCII signs without an apostrophe, its pre-tokens are
-    runs of letters, single digits and runs of signs. New ones go to the library many at a
-    time, joined by blanks; as each ends in one id with the mark of a word's end, the ids
-    are told apart again. A text within Latin-1 is lower-cased first, as the tokenizer does
-    after nothing that changes it.
+    Text is cut where the tokenizer cuts it in any case, and each part is encoded once while
+    it is remembered; at most ``kept`` are. A text of Latin letters, digits and ASCII signs
+    without an apostrophe is lower-cased, as the tokenizer does after nothing that changes
+    it, and cut into its pre-tokens: runs of letters, single digits and runs of signs. Other
+    texts are cut at blanks. New pre-tokens go to the library many at a time, joined by
+    blanks; as each ends in one id with the mark of a word's end, the ids are told apart
+    again.
     """
 
+    SAFE_TEXT = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~ \t\r\n]*").fullmatch)
     SAFE = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+").fullmatch)
     PARTS = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall)
     MARK = "</w>"
 
-    def __init__(self, path: str, kept: int = 1_200_000):
+    def __init__(self, path: str, kept: int = 900_000):
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
@@ -189,9 +191,17 @@ class WordEncoder:
         self._ends = np.zeros(max(words.values()) + 1, bool)
         self._ends[[i for w, i in words.items() if w.endswith(self.MARK)]] = True
 
+    def _split(self, text: str) -> list[str]:
+        if self.SAFE_TEXT(text) and "<|" not in text:
+            return self.PARTS(text.lower())
+        return BLANKS.split(text)
+
     def _learn(self, new: list[str]) -> None:
         memo, plain, several, other = self._memo, {}, [], []
         for c in new:
+            if c.isascii() and c.isalpha():
+                plain[c] = None
+                continue
             if not self.SAFE(c) or "<|" in c:
                 other.append(c)
                 continue
@@ -221,22 +231,13 @@ class WordEncoder:
         memo = self._memo
         if len(memo) > self._kept:
             memo.clear()
-        split = [BLANKS.split(_lower(t)) for t in texts]
+        split = [self._split(t) for t in texts]
         new = set(chain.from_iterable(split)).difference(memo)
         if new:
             self._learn(list(new))
         return [b"".join(map(memo.__getitem__, x)) for x in split]
 
 
-def _lower(text: str) -> str:
-    """Lower case of a Latin-1 text, where composition has nothing to do; other texts as they are."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker, so that its memory outlives a task."""
