@@ -12,7 +12,7 @@ overlap of a pair is counted in each fragment for itself and summed per pair.
 3. Equal sets are one class from here on. In each posting list of the rest, neighbours in a
    random order are tested, by fragments; the classes they join are components.
 4. What is left to test are pairs of different components in one posting list: all of them
-   are tested. Pairs inside one component need no test, so a group of thousands of near
+   are tested whose parts in the fragments are large enough to link at all. Pairs inside one component need no test, so a group of thousands of near
    copies doesn't grow to all its pairs, and no link is lost.
 
 Defined results: null text is empty; documents without words have 0 shingles and are alone;
@@ -39,7 +39,7 @@ from .words import Words
 #: Ranges of shingle hashes to a shuffle partition; a task works off one at a time.
 RANGES_A_PARTITION = 4
 #: Document frequencies at which the global order is cut.
-CUTS = (3, 8, 64)
+CUTS = (8, 64)
 #: Posting lists are dealt out in parts of about so many for the neighbour test.
 PART = 256
 
@@ -72,6 +72,23 @@ def _batch(rows: list[tuple], schema: pa.Schema = _RS) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
+#: Low bits of a hash that are sent; with its range they name a shingle.
+LOW = np.uint64((1 << 48) - 1)
+#: Larger document frequencies count as this one in the order.
+MOST = 65_535
+
+
+def _pack(h: np.ndarray) -> bytes:
+    """The low 48 bits of hashes."""
+    return h.astype("<u8").view("<u2").reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 4), "<u2")
+    out[:, :3] = np.frombuffer(raw, "<u2").reshape(-1, 3)
+    return out.view("<u8").ravel()
+
+
 def _to_ranges(n: int, block_chars: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, words = TaskContext.get().partitionId(), Words()
@@ -99,7 +116,7 @@ def _to_ranges(n: int, block_chars: int, buckets: int):
             all_, docs = all_[order], docs[order]
             own = (all_ >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             edges = np.searchsorted(own, np.arange(buckets + 1).astype("<u8"))
-            yield _batch([(b, block, 1, all_[edges[b] : edges[b + 1]].tobytes(), docs[edges[b] : edges[b + 1]].tobytes(), None, None) for b in np.flatnonzero(np.diff(edges)).tolist()])
+            yield _batch([(b, block, 1, _pack(all_[edges[b] : edges[b + 1]]), docs[edges[b] : edges[b + 1]].tobytes(), None, None) for b in np.flatnonzero(np.diff(edges)).tolist()])
 
     return run
 
@@ -113,16 +130,18 @@ def _shared(held: int):
 
         def done():
             nonlocal size
-            h = np.concatenate([np.frombuffer(a, "<u8") for _, a, _ in rows])
+            h = np.concatenate([_unpack(a) for _, a, _ in rows])
             docs = np.concatenate([np.frombuffer(b, "<u2") for _, _, b in rows])
-            owner = np.repeat(np.arange(len(rows)), [len(a) // 8 for _, a, _ in rows])
+            owner = np.repeat(np.arange(len(rows)), [len(a) // 6 for _, a, _ in rows])
             order = np.argsort(h, kind="stable")
             h = h[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             times = np.diff(np.concatenate([first, [len(h)]]))
             df = np.repeat(times, times)
             keep = df > 1
-            h, df, place = h[keep], df[keep].astype("<u4"), order[keep]
+            # Again 64 bits: of the range and the bits sent.
+            h = _finish(h[keep] + np.uint64(now + 1) * _MIX[0])
+            df, place = np.minimum(df[keep], MOST).astype("<u2"), order[keep]
             owner, docs = owner[place], docs[place]
             back = np.argsort(owner, kind="stable")
             edges = np.searchsorted(owner[back], np.arange(len(rows) + 1))
@@ -177,7 +196,7 @@ def _prefixes(least: int, of: int):
             ids, sizes, hashes = np.split(np.frombuffer(a, "<i8"), 3)
             known = np.frombuffer(b, "u1")
             n = len(ids)
-            h, docs, df = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(("<u8", "<u2", "<u4")))
+            h, docs, df = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(("<u8", "<u2", "<u2")))
             shared = np.bincount(docs, minlength=n)
             # n - ceil(t n) + 1, less those that no other document has.
             prefix = np.minimum(sizes - -(-least * sizes // of) + 1 - (sizes - shared), shared)
@@ -220,9 +239,18 @@ def shingle_table(docs: DataFrame, n: int, least: int, of: int, block_chars: int
     return back.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(_prefixes(least, of), DOCS)
 
 
-def fitting(a: Column, b: Column, least: int, of: int) -> Column:
-    """Whether sets of such sizes can link."""
-    return F.least(a, b) * of >= F.greatest(a, b) * least
+SIZES = [f"c{k}" for k in range(len(CUTS) + 1)]
+
+
+def sized(classes: DataFrame) -> DataFrame:
+    """With the number of shared shingles in each fragment."""
+    return classes.withColumns({c: F.size(f"f{k}").cast("long") for k, c in enumerate(SIZES)})
+
+
+def fitting(n_a: Column, n_b: Column, a: list[Column], b: list[Column], least: int, of: int) -> Column:
+    """Whether sets of such sizes can link: no fragment's overlap is above its smaller part."""
+    most = sum((F.least(x, y) for x, y in zip(a, b, strict=True)), F.lit(0))
+    return most * of >= (n_a + n_b - most) * least
 
 
 def linked(pairs: DataFrame, classes: DataFrame, least: int, of: int) -> DataFrame:
@@ -262,26 +290,30 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def jaccard_links(classes: DataFrame, least: int, of: int) -> tuple[DataFrame, DataFrame]:
     """Steps 3 and 4 for distinct classes: (links tested so far, (node, root) of all that link)."""
-    postings = classes.select("cls", "n_shingles", F.explode("prefix").alias("h"))
-    counts = postings.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    postings = stored(postings.join(counts, "h"), "join-postings")
+    postings = sized(classes).select("cls", "n_shingles", *SIZES, F.explode("prefix").alias("h"))
+    counts = postings.groupBy("h").agg(F.count("*").alias("size"), F.min("n_shingles").alias("low")).where("size > 1")
+    # A set whose shared part is small can only link with a small one: none may be in the list.
+    shared = sum((F.col(c) for c in SIZES), F.lit(0))
+    postings = postings.join(counts, "h").where(shared * (of + least) >= (F.col("n_shingles") + F.col("low")) * least).drop("low")
+    postings = stored(postings, "join-postings")
     mixed = F.xxhash64("cls", "h")
     part = F.pmod(mixed, F.ceil(F.col("size") / PART))
     turn = Window.partitionBy("h", "part").orderBy(mixed, "cls")
-    follow = postings.withColumn("part", part).select("cls", "n_shingles", F.lead("cls").over(turn).alias("next"), F.lead("n_shingles").over(turn).alias("next_n"))
-    near = follow.where(F.col("next").isNotNull() & fitting(F.col("n_shingles"), F.col("next_n"), least, of))
-    tried = stored(near.select(F.least("cls", "next").alias("a"), F.greatest("cls", "next").alias("b")).distinct(), "join-tried")
+    cols = lambda *names: [F.col(c) for c in names]
+    follow = postings.withColumn("part", part).select("cls", "n_shingles", *SIZES, *[F.lead(c).over(turn).alias(f"next_{c}") for c in ("cls", "n_shingles", *SIZES)])
+    near = follow.where(F.col("next_cls").isNotNull() & fitting(*cols("n_shingles", "next_n_shingles"), cols(*SIZES), cols(*[f"next_{c}" for c in SIZES]), least, of))
+    tried = stored(near.select(F.least("cls", "next_cls").alias("a"), F.greatest("cls", "next_cls").alias("b")).distinct(), "join-tried")
     links = stored(linked(tried, classes, least, of), "join-links")
     roots = stored(components(links), "join-roots")
     # Step 4: posting lists that hold more than one component.
-    known = postings.join(roots, postings["cls"] == roots["node"], "left").select("h", "cls", "n_shingles", F.coalesce("root", "cls").alias("root"))
+    known = postings.join(roots, postings["cls"] == roots["node"], "left").select("h", "cls", "n_shingles", *SIZES, F.coalesce("root", "cls").alias("root"))
     known = stored(known, "join-known")
     by_root = known.groupBy("h", "root").agg(F.count("*").alias("n"))
     major = by_root.groupBy("h").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("major")).where("roots > 1").select("h", "major")
     open_ = stored(known.join(major, "h"), "join-open")
-    minor = open_.where("root <> major").select("h", "cls", "n_shingles", "root")
-    other = open_.select("h", F.col("cls").alias("cls2"), F.col("n_shingles").alias("n2"), F.col("root").alias("root2"), "major")
-    apart = minor.join(other, "h").where((F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("major")) | (F.col("cls") < F.col("cls2"))) & fitting(F.col("n_shingles"), F.col("n2"), least, of))
+    minor = open_.where("root <> major").select("h", "cls", "n_shingles", "root", *SIZES)
+    other = open_.select("h", F.col("cls").alias("cls2"), F.col("n_shingles").alias("n2"), F.col("root").alias("root2"), "major", *[F.col(c).alias(f"{c}_2") for c in SIZES])
+    apart = minor.join(other, "h").where((F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("major")) | (F.col("cls") < F.col("cls2"))) & fitting(*cols("n_shingles", "n2"), cols(*SIZES), cols(*[f"{c}_2" for c in SIZES]), least, of))
     rest = apart.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stored(linked(stored(rest, "join-rest"), classes, least, of), "join-more")
     links = links.unionByName(more)
