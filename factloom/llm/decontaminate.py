@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, table
-from .words import Words
+from .words import Words, worker_words
 
 WORD = re.compile(r"\w+")
 #: Item text in a chunk.
 CHUNK_CHARS = 1_000_000
 #: Bits of the table that says which keys the index may have.
 FILTER_BITS = 20
+#: Windows whose walks agree in a smaller part of their positions are no candidates.
+LEAST_AGREEMENT = 0.45
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,68 +122,81 @@ class Index:
                 starts.append(base + offsets)
                 owners.append(np.full(len(offsets), k))
                 base += n
-            self.classes.append((size, step, places))
             ends = np.repeat(np.cumsum([len(h) for h in all_]), [len(s) for s in starts])
-            keys = self._keys(np.concatenate(all_), np.concatenate(starts), ends, size, places)
-            owner = np.concatenate(owners)
+            own, starts, owner = np.concatenate(all_), np.concatenate(starts), np.concatenate(owners)
             tables = []
-            for key in keys:
-                order = np.argsort(key, kind="stable")
-                there = np.zeros(1 << FILTER_BITS, bool)
-                there[key >> np.uint64(64 - FILTER_BITS)] = True
-                tables.append((np.packbits(there), key[order], owner[order].astype("i4")))
-            self.classes[-1] = (size, step, places, tables)
-
-    def _keys(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, places: list) -> list[np.ndarray]:
-        """Each key of the windows from ``starts``; a window ends with its text at ``ends``."""
-        out = []
+            for walk, samples in enumerate(places):
+                read = np.stack(list(self._walk(own, starts, ends, size, walk, steps)), 1)
+                for key in self._keys(iter(read.T), len(starts), samples):
+                    order = np.argsort(key, kind="stable")
+                    there = np.zeros(1 << FILTER_BITS, bool)
+                    there[key >> np.uint64(64 - FILTER_BITS)] = True
+                    tables.append((np.packbits(there), key[order], order))
+                tables[-1] += (read,)
+            self.classes.append((size, step, places, owner.astype("i4"), tables))
+
+    @staticmethod
+    def _walk(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, walk: int, steps: int) -> Iterator[np.ndarray]:
+        """What each window's walk reads, step by step; 0 past the window or its text's end."""
         last = np.minimum(starts + size, ends)
-        for walk, samples in enumerate(places):
-            keys = [np.zeros(len(starts), "<u8") for _ in samples]
-            wanted = defaultdict(list)
-            for k, positions in enumerate(samples):
-                for p in positions:
-                    wanted[p].append(k)
-            at = starts.copy()
-            # A word's own random bits, other ones for each walk and each 64 steps.
-            bits = None
-            for step in range(max(wanted) + 1):
-                if step % 64 == 0:
-                    bits = (words + np.uint64(walk * 64 + step // 64 + 1)) * _STEP
-                    bits ^= bits >> np.uint64(29)
-                    bits *= np.uint64(0xBF58476D1CE4E5B9)
-                    bits ^= bits >> np.uint64(32)
-                inside = at < last
-                here = np.minimum(at, len(words) - 1)
-                if step in wanted:
-                    read = np.where(inside, words[here], 0).astype("<u8")
-                    for k in wanted[step]:
-                        keys[k] = (keys[k] + read) * _STEP
-                        keys[k] ^= keys[k] >> np.uint64(31)
-                at += inside & ((bits[here] >> np.uint64(step % 64)) & np.uint64(1)).astype(bool)
-            out += [k * np.uint64(0xD6E8FEB86659FD93) for k in keys]
-        return out
+        at = starts.copy()
+        for step in range(steps):
+            if step % 64 == 0:
+                # A word's own random bits, other ones for each walk and each 64 steps.
+                bits = (words + np.uint64(walk * 64 + step // 64 + 1)) * _STEP
+                bits ^= bits >> np.uint64(29)
+                bits *= np.uint64(0xBF58476D1CE4E5B9)
+                bits ^= bits >> np.uint64(32)
+            inside = at < last
+            here = np.minimum(at, len(words) - 1)
+            yield np.where(inside, words[here], 0).astype("<u8")
+            at += inside & ((bits[here] >> np.uint64(step % 64)) & np.uint64(1)).astype(bool)
+
+    @staticmethod
+    def _keys(read: Iterator[np.ndarray], n: int, samples: list[list[int]]) -> list[np.ndarray]:
+        """A key of each list of positions, from what walks read there."""
+        keys = [np.zeros(n, "<u8") for _ in samples]
+        wanted = defaultdict(list)
+        for k, positions in enumerate(samples):
+            for p in positions:
+                wanted[p].append(k)
+        for step, values in enumerate(read):
+            for k in wanted.get(step, ()):
+                keys[k] = (keys[k] + values) * _STEP
+                keys[k] ^= keys[k] >> np.uint64(31)
+        return [k * np.uint64(0xD6E8FEB86659FD93) for k in keys]
 
     def candidates(self, words: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int, int]]:
         """(document, item, first word of the window) of documents whose words follow each other."""
         found: set[tuple[int, int, int]] = set()
         first = np.cumsum(sizes) - sizes
-        for size, step, places, tables in self.classes:
+        for size, step, places, owner, tables in self.classes:
             n = np.where(sizes > 0, np.maximum(0, sizes - size) // step + 1, 0)
             doc = np.repeat(np.arange(len(sizes)), n)
             if not len(doc):
                 continue
             offset = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step
-            starts = first[doc] + offset
-            for key, (there, known, owner) in zip(self._keys(words, starts, (first + sizes)[doc], size, places), tables, strict=True):
-                top = (key >> np.uint64(64 - FILTER_BITS)).astype("i8")
-                maybe = np.flatnonzero(there[top >> 3] >> (7 - (top & 7)).astype("u1") & 1)
-                if not len(maybe):
+            starts, ends = first[doc] + offset, (first + sizes)[doc]
+            for walk, samples in enumerate(places):
+                steps = 1 + max(max(p) for p in samples)
+                own = tables[walk * self.keys_a_walk : (walk + 1) * self.keys_a_walk]
+                pairs = []
+                for key, (there, known, row, *_) in zip(self._keys(self._walk(words, starts, ends, size, walk, steps), len(starts), samples), own, strict=True):
+                    top = (key >> np.uint64(64 - FILTER_BITS)).astype("i8")
+                    maybe = np.flatnonzero(there[top >> 3] >> (7 - (top & 7)).astype("u1") & 1)
+                    a, b = np.searchsorted(known, key[maybe], "left"), np.searchsorted(known, key[maybe], "right")
+                    count = b - a
+                    place = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    pairs.append(np.stack([np.repeat(maybe, count), row[place]], 1))
+                pairs = np.unique(np.concatenate(pairs), axis=0)
+                if not len(pairs):
                     continue
-                a, b = np.searchsorted(known, key[maybe], "left"), np.searchsorted(known, key[maybe], "right")
-                for m, x, y in zip(maybe[b > a].tolist(), a[b > a].tolist(), b[b > a].tolist(), strict=True):
-                    d, o = int(doc[m]), int(offset[m])
-                    found.update((d, int(i), o) for i in owner[x:y])
+                # The embedding's distance: the part of the item's walk that the window's repeats.
+                window, item = pairs.T
+                theirs = own[-1][-1][item]
+                ours = np.stack(list(self._walk(words, starts[window], ends[window], size, walk, theirs.shape[1])), 1)
+                agree = ((ours == theirs) & (theirs != 0)).sum(1) >= LEAST_AGREEMENT * (theirs != 0).sum(1)
+                found.update(zip(doc[window[agree]].tolist(), owner[item[agree]].tolist(), offset[window[agree]].tolist(), strict=True))
         return found
 
     def search(self, texts: list[str | None], words: Words) -> list[list[tuple[int | None, int, int, int]]]:
@@ -256,7 +271,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
     def without(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = Words()
+            words = worker_words()
             for batch in batches:
                 keep = []
                 texts = batch.column(place).to_pylist()
