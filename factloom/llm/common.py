@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -109,6 +112,32 @@ def blocks(
         yield ids, texts
 
 
+def pieces(texts: list, chars: int) -> Iterator[slice]:
+    """Slices of a list of texts of about so many characters each."""
+    k = 0
+    while k < len(texts):
+        n, size = k, 0
+        while n < len(texts) and (n == k or size + len(texts[n] or "") <= chars):
+            size += len(texts[n] or "")
+            n += 1
+        yield slice(k, n)
+        k = n
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function after which freed memory goes back, as its worker lives on for other stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def crc32(data: bytes, start: int = 0) -> int:
     return zlib.crc32(data, start) & 0xFFFFFFFF
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, frugal, pieces, table
 from .words import Words, worker_words
 
 WORD = re.compile(r"\w+")
@@ -40,7 +40,7 @@ CHUNK_CHARS = 1_000_000
 #: Bits of the table that says which keys the index may have.
 FILTER_BITS = 20
 #: Windows whose walks agree in a smaller part of their positions are no candidates.
-LEAST_AGREEMENT = 0.45
+LEAST_AGREEMENT = 0.4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,7 +113,7 @@ class Index:
             # One position of each part of the walk, so that a key reads different words.
             parts = np.linspace(0, steps, sampled + 1).astype(int)
             places = [[sorted(int(rng.integers(a, max(a + 1, b))) for a, b in zip(parts, parts[1:], strict=False)) for _ in range(self.keys_a_walk)] for _ in range(walks)]
-            all_, starts, owners = [], [], []
+            all_, starts, owners, places_in = [], [], [], []
             base = 0
             for k in members:
                 n = len(hashes[k])
@@ -121,6 +121,7 @@ class Index:
                 offsets = np.arange(max(1, n - size + 1))
                 starts.append(base + offsets)
                 owners.append(np.full(len(offsets), k))
+                places_in.append(offsets)
                 base += n
             ends = np.repeat(np.cumsum([len(h) for h in all_]), [len(s) for s in starts])
             own, starts, owner = np.concatenate(all_), np.concatenate(starts), np.concatenate(owners)
@@ -133,13 +134,14 @@ class Index:
                     there[key >> np.uint64(64 - FILTER_BITS)] = True
                     tables.append((np.packbits(there), key[order], order))
                 tables[-1] += (read,)
-            self.classes.append((size, step, places, owner.astype("i4"), tables))
+            self.classes.append((size, step, places, owner.astype("i4"), np.concatenate(places_in), tables))
 
     @staticmethod
     def _walk(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, walk: int, steps: int) -> Iterator[np.ndarray]:
         """What each window's walk reads, step by step; 0 past the window or its text's end."""
-        last = np.minimum(starts + size, ends)
-        at = starts.copy()
+        last = np.minimum(starts + size, ends).astype("i4")
+        at = starts.astype("i4")
+        words = np.append(words, np.uint64(0))
         for step in range(steps):
             if step % 64 == 0:
                 # A word's own random bits, other ones for each walk and each 64 steps.
@@ -148,9 +150,8 @@ class Index:
                 bits *= np.uint64(0xBF58476D1CE4E5B9)
                 bits ^= bits >> np.uint64(32)
             inside = at < last
-            here = np.minimum(at, len(words) - 1)
-            yield np.where(inside, words[here], 0).astype("<u8")
-            at += inside & ((bits[here] >> np.uint64(step % 64)) & np.uint64(1)).astype(bool)
+            yield np.where(inside, words[at], np.uint64(0))
+            at += inside & (bits[at] >> np.uint64(step % 64) & np.uint64(1)).astype(bool)
 
     @staticmethod
     def _keys(read: Iterator[np.ndarray], n: int, samples: list[list[int]]) -> list[np.ndarray]:
@@ -167,10 +168,10 @@ class Index:
         return [k * np.uint64(0xD6E8FEB86659FD93) for k in keys]
 
     def candidates(self, words: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, item, first word of the window) of documents whose words follow each other."""
+        """(document, item, word where the item would start) of documents whose words follow each other."""
         found: set[tuple[int, int, int]] = set()
         first = np.cumsum(sizes) - sizes
-        for size, step, places, owner, tables in self.classes:
+        for size, step, places, owner, inner, tables in self.classes:
             n = np.where(sizes > 0, np.maximum(0, sizes - size) // step + 1, 0)
             doc = np.repeat(np.arange(len(sizes)), n)
             if not len(doc):
@@ -196,7 +197,8 @@ class Index:
                 theirs = own[-1][-1][item]
                 ours = np.stack(list(self._walk(words, starts[window], ends[window], size, walk, theirs.shape[1])), 1)
                 agree = ((ours == theirs) & (theirs != 0)).sum(1) >= LEAST_AGREEMENT * (theirs != 0).sum(1)
-                found.update(zip(doc[window[agree]].tolist(), owner[item[agree]].tolist(), offset[window[agree]].tolist(), strict=True))
+                first_word = offset[window[agree]] - inner[item[agree]]
+                found.update(zip(doc[window[agree]].tolist(), owner[item[agree]].tolist(), first_word.tolist(), strict=True))
         return found
 
     def search(self, texts: list[str | None], words: Words) -> list[list[tuple[int | None, int, int, int]]]:
@@ -215,18 +217,18 @@ class Index:
             best = None
             until = -1
             for o in sorted(offsets):
-                # The item starts at most n words before the window and ends at most 2 n after.
-                a, b = max(0, o - n), o + 2 * n
+                # Edits before the window shift the item by half its words at most.
+                a, b = max(0, o - n // 2 - 1), o + n + n // 2 + 1
                 if b <= until:
                     continue
-                until = b + n // 2  # windows that follow closely lie in the same stretch
-                e = edit_distance(pattern, " ".join(split_[d][a : until + 1]))
+                until = b + n // 2  # places that follow closely lie in the same stretch
+                e = edit_distance(pattern, " ".join(split_[d][a:until]))
                 if best is None or e < best[0]:
                     best = (e, o)
                 if e == 0:
                     break
             if best and best[0] <= self.distance * len(pattern):
-                out[d].append((name, best[0], len(pattern), best[1]))
+                out[d].append((name, best[0], len(pattern), max(0, best[1])))
         return out
 
 
@@ -261,7 +263,7 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     ddl = "doc_id long, item_id long, distance long, item_chars long, at_word long"
     out = rows.sparkSession.createDataFrame([], ddl)
     for chunk in item_chunks(items):
-        out = out.unionByName(rows.mapInArrow(_matches(Index(chunk, **options)), ddl))
+        out = out.unionByName(rows.mapInArrow(frugal(_matches(Index(chunk, **options))), ddl))
     return out
 
 
@@ -275,14 +277,14 @@ def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
             for batch in batches:
                 keep = []
                 texts = batch.column(place).to_pylist()
-                for k in range(0, len(texts), 500):
-                    keep += [not hits for hits in index.search(texts[k : k + 500], words)]
+                for part in pieces(texts, 1_000_000):
+                    keep += [not hits for hits in index.search(texts[part], words)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return run
 
     for chunk in item_chunks(items):
-        docs = docs.mapInArrow(without(Index(chunk, **options)), docs.schema)
+        docs = docs.mapInArrow(frugal(without(Index(chunk, **options))), docs.schema)
     return docs
 
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, dropped, shuffle_partitions, stored, table
+from .common import blocks, dropped, frugal, shuffle_partitions, stored, table
 from .words import Words
 
 #: Ranges of shingle hashes to a shuffle partition; a task works off one at a time.
@@ -42,6 +42,8 @@ RANGES_A_PARTITION = 4
 CUTS = (8, 64)
 #: Posting lists are dealt out in parts of about so many for the neighbour test.
 PART = 256
+#: Shingles at each end of a prefix, the rarest and the most frequent, that name lists for it.
+ENDS = 4
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _RS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcd")])
@@ -231,12 +233,12 @@ def _prefixes(least: int, of: int):
     return run
 
 
-def shingle_table(docs: DataFrame, n: int, least: int, of: int, block_chars: int = 16_000_000, held: int = 8_000_000) -> DataFrame:
+def shingle_table(docs: DataFrame, n: int, least: int, of: int, block_chars: int = 8_000_000, held: int = 8_000_000) -> DataFrame:
     """Steps 1 and 2: (doc_id, text_hash, n_shingles, cls, prefix, f0, f1, ...) of every row."""
     parts = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).mapInArrow(_to_ranges(n, block_chars, RANGES_A_PARTITION * parts), ROWS)
-    back = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(held), ROWS)
-    return back.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(_prefixes(least, of), DOCS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).mapInArrow(frugal(_to_ranges(n, block_chars, RANGES_A_PARTITION * parts)), ROWS)
+    back = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_shared(held)), ROWS)
+    return back.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(frugal(_prefixes(least, of)), DOCS)
 
 
 SIZES = [f"c{k}" for k in range(len(CUTS) + 1)]
@@ -290,7 +292,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def jaccard_links(classes: DataFrame, least: int, of: int) -> tuple[DataFrame, DataFrame]:
     """Steps 3 and 4 for distinct classes: (links tested so far, (node, root) of all that link)."""
-    postings = sized(classes).select("cls", "n_shingles", *SIZES, F.explode("prefix").alias("h"))
+    postings = sized(classes).select("cls", "n_shingles", *SIZES, F.size("prefix").alias("of"), F.posexplode("prefix").alias("pos", "h"))
+    ends = (F.col("pos") < ENDS) | (F.col("pos") >= F.col("of") - ENDS)
+    postings = postings.withColumn("end", ends).drop("pos", "of")
     counts = postings.groupBy("h").agg(F.count("*").alias("size"), F.min("n_shingles").alias("low")).where("size > 1")
     # A set whose shared part is small can only link with a small one: none may be in the list.
     shared = sum((F.col(c) for c in SIZES), F.lit(0))
@@ -300,7 +304,7 @@ def jaccard_links(classes: DataFrame, least: int, of: int) -> tuple[DataFrame, D
     part = F.pmod(mixed, F.ceil(F.col("size") / PART))
     turn = Window.partitionBy("h", "part").orderBy(mixed, "cls")
     cols = lambda *names: [F.col(c) for c in names]
-    follow = postings.withColumn("part", part).select("cls", "n_shingles", *SIZES, *[F.lead(c).over(turn).alias(f"next_{c}") for c in ("cls", "n_shingles", *SIZES)])
+    follow = postings.where("end").withColumn("part", part).select("cls", "n_shingles", *SIZES, *[F.lead(c).over(turn).alias(f"next_{c}") for c in ("cls", "n_shingles", *SIZES)])
     near = follow.where(F.col("next_cls").isNotNull() & fitting(*cols("n_shingles", "next_n_shingles"), cols(*SIZES), cols(*[f"next_{c}" for c in SIZES]), least, of))
     tried = stored(near.select(F.least("cls", "next_cls").alias("a"), F.greatest("cls", "next_cls").alias("b")).distinct(), "join-tried")
     links = stored(linked(tried, classes, least, of), "join-links")

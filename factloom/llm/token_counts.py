@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, shuffle_partitions, table, tokenizer_path
+from .common import blocks, frugal, shuffle_partitions, table, tokenizer_path
 
 #: The word mark of sentencepiece.
 MARK = "▁"
@@ -180,8 +180,8 @@ def token_counts(
     """
     model = model or tokenizer_path("piece_bpe_32k.model")
     parts = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_frequencies(block_chars, BUCKETS_A_PARTITION * parts), ROWS)
-    sums = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_piece_sums(model, held_sums), SUMS)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(_frequencies(block_chars, BUCKETS_A_PARTITION * parts)), ROWS)
+    sums = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_piece_sums(model, held_sums)), SUMS)
     return sums.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(_documents, "doc_id long, n_bytes long, n_tokens long")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, pieces, table
 
 WORD = re.compile(r"\w+")
 #: Window and step in words.
@@ -65,7 +65,14 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out, own = np.concatenate(out), np.concatenate(own)
     order = np.argsort(own, kind="stable")
     counts = np.bincount(own, minlength=len(raw))
-    return out[order].astype("i8"), np.concatenate([[0], np.cumsum(counts)])
+    return out[order].astype("u2"), np.concatenate([[0], np.cumsum(counts)])
+
+
+def all_grams(words: list[str], some: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` of many words, made of some at a time."""
+    parts = [grams(words[k : k + some]) for k in range(0, len(words), some)]
+    sizes = np.concatenate([np.diff(at) for _, at in parts]) if parts else np.zeros(0, "i8")
+    return np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, "u2"), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def word_buckets(words: list[str]) -> np.ndarray:
@@ -120,6 +127,14 @@ class Network:
     def projections(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x @ self.p["Wf"] + self.p["bf"], x @ self.p["Wb"] + self.p["bb"]], 1)
 
+    def table(self, bucket: np.ndarray, gram: np.ndarray, at: np.ndarray, some: int = 20_000) -> np.ndarray:
+        """Projections of many words, made of some at a time."""
+        out = np.empty((len(bucket), 6 * HIDDEN), "f4")
+        for k in range(0, len(bucket), some):
+            n = min(k + some, len(bucket))
+            out[k:n] = self.projections(self.inputs(bucket[k:n], gram[at[k] : at[n]], at[k : n + 1] - at[k]))
+        return out
+
     def _run(self, way: str, q: np.ndarray, mask: np.ndarray, keep: bool):
         """States of one direction from its projections (batch, window, 3 * hidden)."""
         u, h = self.p[f"U{way}"], np.zeros((len(q), HIDDEN), "f4")
@@ -139,6 +154,7 @@ class Network:
         return states.transpose(1, 0, 2), saved
 
     def logits(self, table_: np.ndarray, rows: np.ndarray, mask: np.ndarray, keep: bool = False):
+        """Of windows of table rows; with what the gradients need if it is to be kept."""
         q = table_[rows]
         hf, sf = self._run("f", q[:, :, : 3 * HIDDEN], mask, keep)
         hb, sb = self._run("b", q[:, :, 3 * HIDDEN :], mask, keep)
@@ -216,7 +232,7 @@ def train(texts: list[str], labels: list[int], base: float, rounds: int = 5, bat
     known: dict[str, int] = {}
     each = [np.array([known.setdefault(w, len(known)) for w in split(t)], "i4") for t in texts]
     sizes, ids = np.array([len(x) for x in each]), np.concatenate(each)
-    bucket, (gram, at) = word_buckets(list(known)), grams(list(known))
+    bucket, (gram, at) = word_buckets(list(known)), all_grams(list(known))
     per = np.diff(at)
     net.p["word"][:, 0] = 0.5 * _log_odds((bucket[np.unique(x)] for x in each), toxic, WORD_BUCKETS)
     net.p["gram"][:, 0] = 0.5 * _log_odds((gram[_spans(at, np.unique(x))] for x in each), toxic, GRAM_BUCKETS)
@@ -233,7 +249,7 @@ def train(texts: list[str], labels: list[int], base: float, rounds: int = 5, bat
     step = 0
     for turn in range(rounds):
         if turn:
-            table_ = net.projections(net.inputs(bucket, gram, at))
+            table_ = net.table(bucket, gram, at)
             highest = np.concatenate([net.logits(table_, rows[k : k + 2048], mask[k : k + 2048]) for k in range(0, len(rows), 2048)])
         order = np.lexsort((-highest, doc))
         top = order[np.concatenate([[True], np.diff(doc[order]) > 0])]
@@ -272,7 +288,7 @@ def train(texts: list[str], labels: list[int], base: float, rounds: int = 5, bat
 class Scorer:
     """Scores whole texts; remembers the projections of up to ``kept`` words."""
 
-    def __init__(self, net: Network, kept: int = 300_000):
+    def __init__(self, net: Network, kept: int = 150_000):
         self.net, self._kept = net, kept
         self._known: dict[str, int] = {}
         self._table = np.zeros((1 << 12, 6 * HIDDEN), "f4")
@@ -352,19 +368,12 @@ def with_scores(docs: DataFrame, net: Network, text_col: str = "text", score_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(net)
         for batch in batches:
-            texts, out, k = batch.column(place).to_pylist(), [], 0
-            while k < len(texts):
-                # So many texts at once that their words stay few.
-                n, size = k, 0
-                while n < len(texts) and (n == k or size + len(texts[n] or "") < 1_000_000):
-                    size += len(texts[n] or "")
-                    n += 1
-                out.append(score(texts[k:n]))
-                k = n
+            texts = batch.column(place).to_pylist()
+            out = [score(texts[part]) for part in pieces(texts, 1_000_000)]
             scores = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), scores], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc32, get_file, put_file, scratch, shuffle_partitions, stored, table, tokenizer_path
+from .common import blocks, crc32, frugal, get_file, put_file, scratch, shuffle_partitions, stored, table, tokenizer_path
 
 MAGIC = b"FLWM0001"
 #: Bits of a block that is compressed for itself.
@@ -78,7 +78,8 @@ class WaveletMatrix:
             at.append([*offsets, pos])
             ones.append(before)
             zeros.append(len(bit) - before[-1])
-            now = np.concatenate([now[~bit], now[bit]])
+            # Not by a mask: unforeseeable bits make that several times slower.
+            now = np.concatenate([np.compress(~bit, now), np.compress(bit, now)])
         places = {}
         for name, raw in sections.items():
             parts.append(pack.compress(raw))
@@ -159,8 +160,8 @@ class WaveletMatrix:
             blocks = [self._unpack(self._data[self._base + a : self._base + b]) for a, b in zip(self._at[level], self._at[level][1:], strict=False)]
             mask = np.unpackbits(np.frombuffer(b"".join(blocks), "u1"), count=self.n, bitorder="little").astype(bool)
             was = np.empty_like(now)
-            was[~mask] = now[: self.zeros[level]]
-            was[mask] = now[self.zeros[level] :] | now.dtype.type(1 << (self.levels - 1 - level))
+            was[np.flatnonzero(~mask)] = now[: self.zeros[level]]
+            was[np.flatnonzero(mask)] = now[self.zeros[level] :] | now.dtype.type(1 << (self.levels - 1 - level))
             now = was
         return now.astype("<u4")
 
@@ -182,7 +183,7 @@ class WordEncoder:
     PARTS = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall)
     MARK = "</w>"
 
-    def __init__(self, path: str, kept: int = 900_000):
+    def __init__(self, path: str, kept: int = 700_000):
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
@@ -306,7 +307,7 @@ def write_token_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", tex
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(max(1, 2 * shuffle_partitions(docs.sparkSession)), "id", "tie").sortWithinPartitions("id", "tie")
-    files = ordered.select("id", "text").mapInArrow(_write(folder, tokenizer, end_id, shard_ids), "part int, shard int, path string, n_docs long, n_ids long")
+    files = ordered.select("id", "text").mapInArrow(frugal(_write(folder, tokenizer, end_id, shard_ids)), "part int, shard int, path string, n_docs long, n_ids long")
     return stored(files, "token-shards")
 
 
@@ -322,7 +323,7 @@ def read_token_shards(files: DataFrame) -> DataFrame:
     parts = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("first"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")
     placed = files.withColumn("inside", inside).join(parts, "part").select("path", (F.col("first") + F.col("inside")).alias("base"))
-    return placed.repartition(max(1, 2 * shuffle_partitions(files.sparkSession)), "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, 2 * shuffle_partitions(files.sparkSession)), "path").mapInArrow(frugal(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_id_output(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
