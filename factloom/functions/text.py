@@ -85,11 +85,13 @@ def domain_scores(stem: Column, text: Column) -> list[Column]:
     return [sum((keyword_count(whole, w) for w in words), F.lit(0)).cast("long").alias(domain) for domain, words in DOMAIN_KEYWORDS.items()]
 
 
-def best_domain(form: Column) -> Column:
-    """From the score columns: code documents are of their format, else the first of the highest, if above 0."""
-    names = list(DOMAIN_KEYWORDS)
-    top = F.greatest(*names)
-    chosen = F.coalesce(*[F.when((F.col(n) == top) & (top > 0), F.lit(n)) for n in names], F.lit(DEFAULT_DOMAIN))
+def best_domain(form: Column, scores: list[Column]) -> Column:
+    """Code documents are of their format, others of the first domain with the highest score above 0.
+
+    Each score stands once in the expression, so it is computed once.
+    """
+    ranked = F.array(*[F.struct(c.alias("score"), F.lit(-k).alias("rank"), F.lit(n).alias("name")) for k, (n, c) in enumerate(zip(DOMAIN_KEYWORDS, scores, strict=True))])
+    chosen = F.get(F.transform(F.array(F.array_max(ranked)), lambda x: F.when(x["score"] > 0, x["name"]).otherwise(DEFAULT_DOMAIN)), F.lit(0))
     return F.when(form.startswith("code:"), form).otherwise(chosen)
 
 

@@ -115,8 +115,8 @@ def _domain_sql() -> str:
 
 @query(_domain_sql())
 def domain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "documents").select("doc_id", *T.domain_scores(F.col("source"), F.col("text")))
-    return rows.withColumn("domain", T.best_domain(F.lit("text")))
+    scores = T.domain_scores(F.col("source"), F.col("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", *scores, T.best_domain(F.lit("text"), scores).alias("domain"))
 
 
 def _profile_sql() -> str:
