@@ -160,17 +160,90 @@ def fiedler_split(edges: DataFrame) -> DataFrame:
     return edges.select("component", "src", "dst").groupBy("component").applyInPandas(split, f"component {dict(edges.dtypes)['component']}, node {kind}, side int, connectivity double")
 
 
+def _dense(pdf: pd.DataFrame, name: str, n: int) -> np.ndarray:
+    part = pdf[pdf["matrix"] == name]
+    out = np.zeros((n, n))
+    np.add.at(out, (part["i"].to_numpy(), part["j"].to_numpy()), part["w"].to_numpy())
+    return out
+
+
+def _sparse(g: int, x: np.ndarray) -> pd.DataFrame:
+    i, j = np.nonzero(np.abs(x) > 1e-12)
+    return pd.DataFrame({"g": g, "i": i, "j": j, "w": x[i, j]})
+
+
+_CELLS = "g long, i long, j long, w double"
+
+
 def execution_wave(cells: DataFrame, n: int) -> DataFrame:
-    """(g, i, j, w) of (I - U)^-1 U for each group's n by n matrix (g, i, j, w); bounded by n."""
+    """(g, i, j, w) of (I - U M)^-1 U for each group's n by n matrices of (g, matrix, i, j, w).
+
+    ``matrix`` is U or M; a group without M has the identity. Bounded by n, as it is one task's.
+    """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = np.zeros((n, n))
-        np.add.at(u, (pdf["i"], pdf["j"]), pdf["w"])
-        x = np.linalg.solve(np.eye(n) - u, u)
-        i, j = np.nonzero(np.abs(x) > 1e-12)
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "i": i, "j": j, "w": x[i, j]})
+        u = _dense(pdf, "U", n)
+        m = _dense(pdf, "M", n) if (pdf["matrix"] == "M").any() else np.eye(n)
+        return _sparse(pdf["g"].iloc[0], np.linalg.solve(np.eye(n) - u @ m, u))
+
+    return cells.groupBy("g").applyInPandas(solve, _CELLS)
+
+
+def wave_gradient(cells: DataFrame, n: int) -> DataFrame:
+    """(g, i, j, w): derivative by U of a loss whose derivative by the wave is the matrix G."""
+
+    def slope(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, out = _dense(pdf, "U", n), _dense(pdf, "G", n)
+        m = _dense(pdf, "M", n) if (pdf["matrix"] == "M").any() else np.eye(n)
+        inverse = np.linalg.inv(np.eye(n) - u @ m)
+        return _sparse(pdf["g"].iloc[0], inverse.T @ out @ (np.eye(n) + m.T @ (inverse @ u).T))
+
+    return cells.groupBy("g").applyInPandas(slope, _CELLS)
+
+
+def spectral_clamp(cells: DataFrame, n: int, parameter: float) -> DataFrame:
+    """(g, i, j, w): U times the mean of its eigenvalues' sizes, each at most 1 - parameter."""
+
+    def clamp(pdf: pd.DataFrame) -> pd.DataFrame:
+        u = _dense(pdf, "U", n)
+        return _sparse(pdf["g"].iloc[0], u * np.clip(np.abs(np.linalg.eigvals(u)), 0.0, 1.0 - parameter).mean())
+
+    return cells.groupBy("g").applyInPandas(clamp, _CELLS)
+
+
+def wave_order(edges: DataFrame) -> list[list[str]]:
+    """Waves of names that are ready together, sorted; what a cycle holds comes last. For configurations."""
+    pairs = [(r.src, r.dst) for r in edges.select("src", "dst").distinct().collect()]
+    waiting = {x: set() for p in pairs for x in p}
+    for src, dst in pairs:
+        waiting[dst].add(src)
+    out: list[list[str]] = []
+    while waiting:
+        ready = sorted(k for k, v in waiting.items() if not v) or sorted(waiting)
+        out.append(ready)
+        for k in ready:
+            del waiting[k]
+        for v in waiting.values():
+            v.difference_update(ready)
+    return out
+
 
-    return cells.groupBy("g").applyInPandas(solve, "g long, i long, j long, w double")
+def simple_cycles(edges: DataFrame, longest: int) -> DataFrame:
+    """(cycle) of at most ``longest`` nodes, each once, written from its smallest node on."""
+    e = _kept(edges.select("src", "dst").distinct())
+    paths = e.where("src <= dst").select(F.array("src").alias("path"), F.col("dst").alias("at"))
+    found = None
+    for k in range(longest):
+        closed = paths.where(F.col("at") == F.get("path", F.lit(0))).select(F.col("path").alias("cycle"))
+        found = closed if found is None else found.unionByName(closed)
+        if k == longest - 1:
+            break
+        open_ = paths.where((F.col("at") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("at")))
+        grown = open_.select(F.concat("path", F.array("at")).alias("path"))
+        paths = _kept(grown.join(e, F.get("path", F.size("path") - 1) == e["src"]).select("path", F.col("dst").alias("at")))
+        if paths.isEmpty():
+            break
+    return found
 
 
 def projector(rows: DataFrame, order: str, vector: str, gain: str, last: int = 32, least: float = 0.5, rank: int = 2) -> DataFrame:

@@ -189,3 +189,33 @@ def best_source(rows: DataFrame, key: str, priority: dict[str, int]) -> DataFram
     order = reduce(lambda c, kv: c.when(F.col("origin") == kv[0], kv[1]), priority.items(), F.when(F.lit(False), 0)).otherwise(len(priority))
     k = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return rows.withColumn("_k", k).where("_k = 1").drop("_k")
+
+
+def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, module, target) of Python imports (file, module) that a workspace's files (path) hold.
+
+    Leading dots go up from the file's folder; a module is its file, else its package's.
+    """
+    dots = F.length(F.regexp_extract("module", r"^(\.*)", 1))
+    parts = F.filter(F.split(F.regexp_replace("module", r"^\.+", ""), r"\."), lambda p: p != "")
+    folders = F.filter(F.split(F.regexp_replace("file", r"[^/]*$", ""), "/"), lambda p: p != "")
+    base = F.when(dots > 0, F.slice(folders, F.lit(1), F.greatest(F.size(folders) - dots + 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    stem = F.array_join(F.concat(base, parts), "/")
+    rows = imports.where(F.size(parts) > 0).select("file", "module", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.concat(stem, F.lit(".py")).alias("path")), F.struct(F.lit(1).alias("k"), F.concat(stem, F.lit("/__init__.py")).alias("path")))).alias("c"))
+    hits = rows.select("file", "module", "c.k", "c.path").join(files.select("path"), "path")
+    return hits.groupBy("file", "module").agg(F.min_by("path", "k").alias("target"))
+
+
+def editor_commands(frames: DataFrame, actions: dict[str, str], text: str = "frame") -> DataFrame:
+    """(id, action, code, symbol, file) of JSON-RPC diagnostics that are errors or warnings with a known code.
+
+    A header block before an empty line is cut off; a missing severity is an error; the symbol is the
+    message's first quoted word.
+    """
+    body = F.regexp_replace(text, r"(?s)^(?:[A-Za-z-]+:[^\n]*\n)+\r?\n", "")
+    shape = "method string, params struct<uri:string,diagnostics:array<struct<severity:int,code:string,message:string>>>"
+    rows = frames.withColumn("j", F.from_json(body, shape)).where("j.method = 'textDocument/publishDiagnostics'")
+    each = rows.select("id", F.regexp_replace("j.params.uri", "^file://", "").alias("file"), F.explode("j.params.diagnostics").alias("d")).where(F.coalesce("d.severity", F.lit(1)) <= 2)
+    known = F.create_map(*[F.lit(x) for kv in actions.items() for x in kv])
+    symbol = F.regexp_extract("d.message", r"[`'\"]([^`'\"]+)[`'\"]", 1)
+    return each.select("id", F.try_element_at(known, F.col("d.code")).alias("action"), F.col("d.code").alias("code"), symbol.alias("symbol"), "file").where("action is not null")

@@ -123,15 +123,51 @@ def algebraic_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.fiedler_split(SPLITS.frame(spark)).groupBy("component").agg(F.round(F.max("connectivity"), 6).alias("connectivity"))
 
 
-WAVES = Fixture("g long, i int, j int, w double", [(1, 0, 1, 0.5), (1, 1, 2, 0.5), (2, 0, 0, 0.5)])
+WAVES = Fixture(
+    "g long, matrix string, i int, j int, w double",
+    [(1, "U", 0, 1, 0.5), (1, "U", 1, 2, 0.5), (2, "U", 0, 0, 0.5), (3, "U", 0, 1, 2.0), (3, "M", 1, 2, 3.0), (3, "U", 2, 2, 0.5), (3, "M", 2, 2, 1.0)],
+)
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 1::BIGINT, 0.5::DOUBLE), (1, 1, 2, 0.5), (1, 0, 2, 0.25), (2, 0, 0, 1.0)) t(g, i, j, w)")
+@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 1::BIGINT, 0.5::DOUBLE), (1, 1, 2, 0.5), (1, 0, 2, 0.25), (2, 0, 0, 1.0), (3, 0, 1, 2.0), (3, 0, 2, 6.0), (3, 2, 2, 1.0)) t(g, i, j, w)")
 def execution_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nilpotent matrix gives U + U^2; a loop of weight a half gives 1."""
+    """A nilpotent matrix gives U + U^2; a loop of weight a half gives 1; a routing matrix comes between."""
     return O.execution_wave(WAVES.frame(spark), 3).withColumn("w", F.round("w", 9))
 
 
+SLOPES = Fixture("g long, matrix string, i int, j int, w double", [(1, "U", 0, 0, 0.5), (1, "G", 0, 0, 1.0)])
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 0::BIGINT, 4.0::DOUBLE)) t(g, i, j, w)")
+def wave_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u / (1 - u) has the slope 1 / (1 - u)^2."""
+    return O.wave_gradient(SLOPES.frame(spark), 1).withColumn("w", F.round("w", 9))
+
+
+CLAMPS = Fixture("g long, matrix string, i int, j int, w double", [(1, "U", 0, 0, 2.0), (1, "U", 1, 1, -0.5)])
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 0::BIGINT, 1.4::DOUBLE), (1, 1, 1, -0.35)) t(g, i, j, w)")
+def spectral_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvalues 2 and a half count as 0.9 and 0.5."""
+    return O.spectral_clamp(CLAMPS.frame(spark), 2, 0.1).withColumn("w", F.round("w", 9))
+
+
+RINGS = Fixture("src string, dst string", [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "d"), ("d", "d"), ("e", "a")])
+
+
+@query("SELECT * FROM (VALUES ('a,b'), ('a,b,c'), ('d')) t(cycle)")
+def simple_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.simple_cycles(RINGS.frame(spark), 5).select(F.array_join("cycle", ",").alias("cycle"))
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'e'), (1, 'a,b,c,d')) t(wave, names)")
+def wave_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cycle holds comes last, sorted."""
+    waves = O.wave_order(RINGS.frame(spark))
+    return spark.createDataFrame([(k, ",".join(w)) for k, w in enumerate(waves)], "wave long, names string")
+
+
 @query()
 def svd_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.lit(1.0).alias("gain"))

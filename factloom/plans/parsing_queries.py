@@ -191,3 +191,27 @@ def objective_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     acct = load(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", F.lit("acct").alias("origin"), F.col("c_acctbal").alias("value"))
     order = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("value")).select("c_custkey", F.lit("order").alias("origin"), "value")
     return O.best_source(acct.unionByName(order), "c_custkey", {"order": 0, "acct": 1})
+
+
+IMPORTS = Fixture("file string, module string", [("pkg/a.py", ".b"), ("pkg/a.py", "pkg.sub"), ("pkg/sub/c.py", "..a"), ("pkg/a.py", "os"), ("main.py", "pkg.b"), ("pkg/a.py", ".")])
+TREE = Fixture("path string", [(p,) for p in ("pkg/a.py", "pkg/b.py", "pkg/sub/__init__.py", "pkg/sub/c.py", "main.py")])
+
+
+@query("SELECT * FROM (VALUES ('pkg/a.py', '.b', 'pkg/b.py'), ('pkg/a.py', 'pkg.sub', 'pkg/sub/__init__.py'), ('pkg/sub/c.py', '..a', 'pkg/a.py'), ('main.py', 'pkg.b', 'pkg/b.py')) t(file, module, target)")
+def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.resolved_imports(IMPORTS.frame(spark), TREE.frame(spark))
+
+
+FRAMES = Fixture(
+    "id int, frame string",
+    [
+        (1, 'Content-Length: 9\r\n\r\n{"method":"textDocument/publishDiagnostics","params":{"uri":"file:///w/a.rs","diagnostics":[{"severity":1,"code":"E0432","message":"unresolved import `x::y`"},{"severity":3,"code":"E0432","message":"hint"},{"code":"odd","message":"no"}]}}'),
+        (2, '{"method":"other","params":{}}'),
+        (3, "broken"),
+    ],
+)
+
+
+@query("SELECT * FROM (VALUES (1, 'fix_import', 'E0432', 'x::y', '/w/a.rs')) t(id, action, code, symbol, file)")
+def editor_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.editor_commands(FRAMES.frame(spark), {"E0432": "fix_import"})
