@@ -329,23 +329,23 @@ def jaccard_links(classes: DataFrame, least: int, of: int) -> tuple[DataFrame, D
 
 
 def ngram_groups(docs: DataFrame, n: int = 5, least: int = 80, of: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, links, text_hash) of every row of ``docs``.
+    """(doc_id, n_shingles, component_id, found_links, text_hash) of every row of ``docs``.
 
     Documents link when ``of * common >= least * union``. ``component_id`` is the smallest id
-    that links reach; ``links`` counts the different sets whose link to this one was found
-    before components made further tests idle; ``text_hash`` is ``xxhash64(text)``.
+    that links reach; ``found_links`` counts the different sets whose link to this one was found:
+    links inside a component that others already join are not looked for; ``text_hash`` is ``xxhash64(text)``.
     """
     rows = stored(shingle_table(docs, n, least, of), "join-docs")
     lowest = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     classes = stored(rows.where("prefix is not null").dropDuplicates(["cls"]).drop("doc_id", "text_hash"), "join-classes")
     links, roots = jaccard_links(classes, least, of)
     roots = stored(roots, "join-final")
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("found_links"))
     members = roots.join(lowest.withColumnRenamed("cls", "node"), "node")
     groups = members.groupBy("root").agg(F.min("low").alias("component"))
-    placed = roots.join(groups, "root").join(ends, "node").select(F.col("node").alias("cls"), "component", "links")
+    placed = roots.join(groups, "root").join(ends, "node").select(F.col("node").alias("cls"), "component", "found_links")
     out = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(lowest, "cls", "left").join(placed, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "low", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"), "text_hash")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "low", "doc_id").alias("component_id"), F.coalesce("found_links", F.lit(0)).alias("found_links"), "text_hash")
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, least: int = 80, of: int = 100) -> DataFrame:
@@ -359,4 +359,24 @@ def one_of_each_group(docs: DataFrame, n: int = 5, least: int = 80, of: int = 10
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_groups(table(spark, sf_dir, "documents"), n=4, least=85, of=100).select("doc_id", "n_shingles", "component_id", "links")
+    return ngram_groups(table(spark, sf_dir, "documents"), n=4, least=85, of=100).select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) END) AS s FROM w),
+c AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS cls, any_value(s) AS s, min(doc_id) AS low FROM s WHERE len(s) > 0 GROUP BY 1),
+t AS (SELECT cls, len(s) AS n, unnest(s) AS h FROM c),
+f AS (SELECT h FROM t GROUP BY 1 HAVING count(*) > 1),
+u AS (SELECT t.* FROM t SEMI JOIN f USING (h)),
+p AS (SELECT a.cls AS a, b.cls AS b FROM u a JOIN u b ON a.h = b.h AND a.cls < b.cls AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85
+      GROUP BY a.cls, b.cls, a.n, b.n HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 85),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a AS cls, a AS other FROM e UNION SELECT r.cls, e.b FROM r JOIN e ON e.a = r.other),
+g AS (SELECT r.cls, min(c.low) AS component_id FROM r JOIN c ON c.cls = r.other GROUP BY 1)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(g.component_id, c.low, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON len(s.s) > 0 AND c.cls = md5(array_to_string(list_sort(s.s), chr(10))) LEFT JOIN g ON g.cls = c.cls
+"""

@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_format": preference.OP1_SQL, "op8_warc": warc.OP8_SQL, "op10_temperature_mix": mixing.OP10_SQL}
+    return {"op1_preference_format": preference.OP1_SQL, "op4_ngram_join": ngram_join.OP4_SQL, "op8_warc": warc.OP8_SQL, "op10_temperature_mix": mixing.OP10_SQL}
