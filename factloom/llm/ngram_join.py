@@ -44,6 +44,8 @@ CUTS = (8, 64)
 PART = 256
 #: Shingles at each end of a prefix, the rarest and the most frequent, that name lists for it.
 ENDS = 4
+#: Further neighbour tests between components.
+ROUNDS = 3
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _RS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcd")])
@@ -142,7 +144,7 @@ def _shared(held: int):
             df = np.repeat(times, times)
             keep = df > 1
             # Again 64 bits: of the range and the bits sent.
-            h = _finish(h[keep] + np.uint64(now + 1) * _MIX[0])
+            h = _finish(h[keep] + np.array([now + 1], "<u8") * _MIX[0])
             df, place = np.minimum(df[keep], MOST).astype("<u2"), order[keep]
             owner, docs = owner[place], docs[place]
             back = np.argsort(owner, kind="stable")
@@ -290,42 +292,70 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _contracted(roots: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """(node, root) after further links (a, b): components of the roots that they join."""
+    ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    over = stored(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), name)
+    top = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stored(moved.unionByName(over.join(roots, "node", "left_anti")), name)
+
+
+def _open_lists(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """Posting lists that hold more than one component, with each row's root and the largest one."""
+    known = postings.join(roots, postings["cls"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "cls"))
+    by_root = known.groupBy("h", "root").agg(F.count("*").alias("n"))
+    major = by_root.groupBy("h").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("major")).where("roots > 1").select("h", "major")
+    return stored(known.join(major, "h"), "join-open")
+
+
+def _neighbours(rows: DataFrame, seed: int, least: int, of: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows that follow each other in a random order of their list and may link."""
+    mixed = F.xxhash64("cls", "h", F.lit(seed))
+    turn = Window.partitionBy("h", "part").orderBy(mixed, "cls")
+    names = ["cls", "n_shingles", *SIZES, *(["root"] if "root" in rows.columns else [])]
+    follow = rows.withColumn("part", F.pmod(mixed, F.ceil(F.col("size") / PART))).select(*names, *[F.lead(c).over(turn).alias(f"next_{c}") for c in names])
+    cols = lambda *x: [F.col(c) for c in x]
+    near = follow.where(F.col("next_cls").isNotNull() & fitting(*cols("n_shingles", "next_n_shingles"), cols(*SIZES), cols(*[f"next_{c}" for c in SIZES]), least, of))
+    if "root" in names:
+        near = near.where("root <> next_root")
+    return near.select(F.least("cls", "next_cls").alias("a"), F.greatest("cls", "next_cls").alias("b")).distinct()
+
+
 def jaccard_links(classes: DataFrame, least: int, of: int) -> tuple[DataFrame, DataFrame]:
-    """Steps 3 and 4 for distinct classes: (links tested so far, (node, root) of all that link)."""
-    postings = sized(classes).select("cls", "n_shingles", *SIZES, F.size("prefix").alias("of"), F.posexplode("prefix").alias("pos", "h"))
-    ends = (F.col("pos") < ENDS) | (F.col("pos") >= F.col("of") - ENDS)
-    postings = postings.withColumn("end", ends).drop("pos", "of")
+    """Steps 3 and 4 for distinct classes: (links found, (node, root) of all that link)."""
+    postings = sized(classes).select("cls", "n_shingles", *SIZES, "prefix", F.posexplode("prefix").alias("pos", "h"))
     counts = postings.groupBy("h").agg(F.count("*").alias("size"), F.min("n_shingles").alias("low")).where("size > 1")
     # A set whose shared part is small can only link with a small one: none may be in the list.
     shared = sum((F.col(c) for c in SIZES), F.lit(0))
     postings = postings.join(counts, "h").where(shared * (of + least) >= (F.col("n_shingles") + F.col("low")) * least).drop("low")
     postings = stored(postings, "join-postings")
-    mixed = F.xxhash64("cls", "h")
-    part = F.pmod(mixed, F.ceil(F.col("size") / PART))
-    turn = Window.partitionBy("h", "part").orderBy(mixed, "cls")
-    cols = lambda *names: [F.col(c) for c in names]
-    follow = postings.where("end").withColumn("part", part).select("cls", "n_shingles", *SIZES, *[F.lead(c).over(turn).alias(f"next_{c}") for c in ("cls", "n_shingles", *SIZES)])
-    near = follow.where(F.col("next_cls").isNotNull() & fitting(*cols("n_shingles", "next_n_shingles"), cols(*SIZES), cols(*[f"next_{c}" for c in SIZES]), least, of))
-    tried = stored(near.select(F.least("cls", "next_cls").alias("a"), F.greatest("cls", "next_cls").alias("b")).distinct(), "join-tried")
+    ends = (F.col("pos") < ENDS) | (F.col("pos") >= F.size("prefix") - ENDS)
+    tried = stored(_neighbours(postings.where(ends), 0, least, of), "join-tried")
     links = stored(linked(tried, classes, least, of), "join-links")
     roots = stored(components(links), "join-roots")
-    # Step 4: posting lists that hold more than one component.
-    known = postings.join(roots, postings["cls"] == roots["node"], "left").select("h", "cls", "n_shingles", *SIZES, F.coalesce("root", "cls").alias("root"))
-    known = stored(known, "join-known")
-    by_root = known.groupBy("h", "root").agg(F.count("*").alias("n"))
-    major = by_root.groupBy("h").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("major")).where("roots > 1").select("h", "major")
-    open_ = stored(known.join(major, "h"), "join-open")
-    minor = open_.where("root <> major").select("h", "cls", "n_shingles", "root", *SIZES)
-    other = open_.select("h", F.col("cls").alias("cls2"), F.col("n_shingles").alias("n2"), F.col("root").alias("root2"), "major", *[F.col(c).alias(f"{c}_2") for c in SIZES])
-    apart = minor.join(other, "h").where((F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("major")) | (F.col("cls") < F.col("cls2"))) & fitting(*cols("n_shingles", "n2"), cols(*SIZES), cols(*[f"{c}_2" for c in SIZES]), least, of))
+    # Again, in other orders, between components only: what links to a large one joins it here.
+    for seed in range(1, ROUNDS + 1):
+        next_ = stored(_neighbours(_open_lists(postings, roots), seed, least, of).join(tried, ["a", "b"], "left_anti"), "join-tried")
+        more = stored(linked(next_, classes, least, of), "join-links")
+        tried, links = tried.unionByName(next_), links.unionByName(more)
+        if more.isEmpty():
+            continue
+        roots = _contracted(roots, more, "join-roots")
+    # Step 4: every pair of different components, given out by the first shingle of both prefixes.
+    open_ = _open_lists(postings, roots)
+    minor = open_.where("root <> major").select("h", "cls", "n_shingles", "root", "prefix", *SIZES)
+    other = open_.select("h", F.col("cls").alias("cls2"), F.col("n_shingles").alias("n2"), F.col("root").alias("root2"), F.col("prefix").alias("prefix2"), "major", *[F.col(c).alias(f"{c}_2") for c in SIZES])
+    cols = lambda *x: [F.col(c) for c in x]
+    apart = minor.join(other, "h").where(
+        (F.col("root") != F.col("root2"))
+        & ((F.col("root2") == F.col("major")) | (F.col("cls") < F.col("cls2")))
+        & fitting(*cols("n_shingles", "n2"), cols(*SIZES), cols(*[f"{c}_2" for c in SIZES]), least, of)
+        & (F.get(F.array_intersect("prefix", "prefix2"), F.lit(0)) == F.col("h"))
+    )
     rest = apart.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stored(linked(stored(rest, "join-rest"), classes, least, of), "join-more")
-    links = links.unionByName(more)
-    ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    over = stored(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "join-over")
-    top = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    final = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return links, final.unionByName(over.join(roots, "node", "left_anti"))
+    return links.unionByName(more), _contracted(roots, more, "join-final")
 
 
 def ngram_groups(docs: DataFrame, n: int = 5, least: int = 80, of: int = 100) -> DataFrame:
@@ -339,7 +369,6 @@ def ngram_groups(docs: DataFrame, n: int = 5, least: int = 80, of: int = 100) ->
     lowest = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     classes = stored(rows.where("prefix is not null").dropDuplicates(["cls"]).drop("doc_id", "text_hash"), "join-classes")
     links, roots = jaccard_links(classes, least, of)
-    roots = stored(roots, "join-final")
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("found_links"))
     members = roots.join(lowest.withColumnRenamed("cls", "node"), "node")
     groups = members.groupBy("root").agg(F.min("low").alias("component"))
