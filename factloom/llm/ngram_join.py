@@ -324,34 +324,36 @@ def _neighbours(rows: DataFrame, seed: int, least: int, of: int) -> DataFrame:
 
 def jaccard_links(classes: DataFrame, least: int, of: int) -> tuple[DataFrame, DataFrame]:
     """Steps 3 and 4 for distinct classes: (links found, (node, root) of all that link)."""
-    postings = sized(classes).select("cls", "n_shingles", *SIZES, "prefix", F.posexplode("prefix").alias("pos", "h"))
+    postings = sized(classes).select("cls", "n_shingles", *SIZES, F.size("prefix").alias("of"), F.posexplode("prefix").alias("pos", "h"))
+    ends = (F.col("pos") < ENDS) | (F.col("pos") >= F.col("of") - ENDS)
+    postings = postings.withColumn("end", ends).drop("pos", "of")
     counts = postings.groupBy("h").agg(F.count("*").alias("size"), F.min("n_shingles").alias("low")).where("size > 1")
     # A set whose shared part is small can only link with a small one: none may be in the list.
     shared = sum((F.col(c) for c in SIZES), F.lit(0))
     postings = postings.join(counts, "h").where(shared * (of + least) >= (F.col("n_shingles") + F.col("low")) * least).drop("low")
     postings = stored(postings, "join-postings")
-    ends = (F.col("pos") < ENDS) | (F.col("pos") >= F.size("prefix") - ENDS)
-    tried = stored(_neighbours(postings.where(ends), 0, least, of), "join-tried")
+    tried = stored(_neighbours(postings.where("end"), 0, least, of), "join-tried")
     links = stored(linked(tried, classes, least, of), "join-links")
     roots = stored(components(links), "join-roots")
     # Again, in other orders, between components only: what links to a large one joins it here.
     for seed in range(1, ROUNDS + 1):
-        next_ = stored(_neighbours(_open_lists(postings, roots), seed, least, of).join(tried, ["a", "b"], "left_anti"), "join-tried")
+        open_ = _open_lists(postings, roots)
+        next_ = stored(_neighbours(open_, seed, least, of).join(tried, ["a", "b"], "left_anti"), "join-tried")
+        dropped(open_)
         more = stored(linked(next_, classes, least, of), "join-links")
         tried, links = tried.unionByName(next_), links.unionByName(more)
         if more.isEmpty():
             continue
         roots = _contracted(roots, more, "join-roots")
-    # Step 4: every pair of different components, given out by the first shingle of both prefixes.
+    # Step 4: every pair of different components.
     open_ = _open_lists(postings, roots)
-    minor = open_.where("root <> major").select("h", "cls", "n_shingles", "root", "prefix", *SIZES)
-    other = open_.select("h", F.col("cls").alias("cls2"), F.col("n_shingles").alias("n2"), F.col("root").alias("root2"), F.col("prefix").alias("prefix2"), "major", *[F.col(c).alias(f"{c}_2") for c in SIZES])
+    minor = open_.where("root <> major").select("h", "cls", "n_shingles", "root", *SIZES)
+    other = open_.select("h", F.col("cls").alias("cls2"), F.col("n_shingles").alias("n2"), F.col("root").alias("root2"), "major", *[F.col(c).alias(f"{c}_2") for c in SIZES])
     cols = lambda *x: [F.col(c) for c in x]
     apart = minor.join(other, "h").where(
         (F.col("root") != F.col("root2"))
         & ((F.col("root2") == F.col("major")) | (F.col("cls") < F.col("cls2")))
         & fitting(*cols("n_shingles", "n2"), cols(*SIZES), cols(*[f"{c}_2" for c in SIZES]), least, of)
-        & (F.get(F.array_intersect("prefix", "prefix2"), F.lit(0)) == F.col("h"))
     )
     rest = apart.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stored(linked(stored(rest, "join-rest"), classes, least, of), "join-more")
