@@ -235,7 +235,7 @@ def _prefixes(least: int, of: int):
     return run
 
 
-def shingle_table(docs: DataFrame, n: int, least: int, of: int, block_chars: int = 8_000_000, held: int = 8_000_000) -> DataFrame:
+def shingle_table(docs: DataFrame, n: int, least: int, of: int, block_chars: int = 4_000_000, held: int = 2_000_000) -> DataFrame:
     """Steps 1 and 2: (doc_id, text_hash, n_shingles, cls, prefix, f0, f1, ...) of every row."""
     parts = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).mapInArrow(frugal(_to_ranges(n, block_chars, RANGES_A_PARTITION * parts)), ROWS)
@@ -326,11 +326,13 @@ def jaccard_links(classes: DataFrame, least: int, of: int) -> tuple[DataFrame, D
     """Steps 3 and 4 for distinct classes: (links found, (node, root) of all that link)."""
     postings = sized(classes).select("cls", "n_shingles", *SIZES, F.size("prefix").alias("of"), F.posexplode("prefix").alias("pos", "h"))
     ends = (F.col("pos") < ENDS) | (F.col("pos") >= F.col("of") - ENDS)
-    postings = postings.withColumn("end", ends).drop("pos", "of")
+    # Shared shingles from this one on, in the global order.
+    left = sum((F.col(c) for c in SIZES), F.lit(0)) - F.col("pos")
+    postings = postings.withColumns({"end": ends, "left": left}).drop("pos", "of")
     counts = postings.groupBy("h").agg(F.count("*").alias("size"), F.min("n_shingles").alias("low")).where("size > 1")
-    # A set whose shared part is small can only link with a small one: none may be in the list.
-    shared = sum((F.col(c) for c in SIZES), F.lit(0))
-    postings = postings.join(counts, "h").where(shared * (of + least) >= (F.col("n_shingles") + F.col("low")) * least).drop("low")
+    # The first common shingle of sets that link has their whole overlap after it in both:
+    # with the list's smallest set, what is left here must be as much as a link needs.
+    postings = postings.join(counts, "h").where(F.col("left") * (of + least) >= (F.col("n_shingles") + F.col("low")) * least).drop("low")
     postings = stored(postings, "join-postings")
     tried = stored(_neighbours(postings.where("end"), 0, least, of), "join-tried")
     links = stored(linked(tried, classes, least, of), "join-links")
@@ -347,12 +349,13 @@ def jaccard_links(classes: DataFrame, least: int, of: int) -> tuple[DataFrame, D
         roots = _contracted(roots, more, "join-roots")
     # Step 4: every pair of different components.
     open_ = _open_lists(postings, roots)
-    minor = open_.where("root <> major").select("h", "cls", "n_shingles", "root", *SIZES)
-    other = open_.select("h", F.col("cls").alias("cls2"), F.col("n_shingles").alias("n2"), F.col("root").alias("root2"), "major", *[F.col(c).alias(f"{c}_2") for c in SIZES])
+    minor = open_.where("root <> major").select("h", "cls", "n_shingles", "root", "left", *SIZES)
+    other = open_.select("h", F.col("cls").alias("cls2"), F.col("n_shingles").alias("n2"), F.col("root").alias("root2"), F.col("left").alias("left2"), "major", *[F.col(c).alias(f"{c}_2") for c in SIZES])
     cols = lambda *x: [F.col(c) for c in x]
     apart = minor.join(other, "h").where(
         (F.col("root") != F.col("root2"))
         & ((F.col("root2") == F.col("major")) | (F.col("cls") < F.col("cls2")))
+        & (F.least("left", "left2") * (of + least) >= (F.col("n_shingles") + F.col("n2")) * least)
         & fitting(*cols("n_shingles", "n2"), cols(*SIZES), cols(*[f"{c}_2" for c in SIZES]), least, of)
     )
     rest = apart.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
