@@ -1,15 +1,18 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
-
-Texts become lower-cased words. A document is cut into overlapping windows of a size a
-little below the items', so that each passage of an item's length holds one whole window;
-an item is indexed by its windows at every offset. A window is embedded by random walks
-that read a word a step and move on by a random bit of (step, word), so a few edits leave
-most positions of two walks equal. Keys sample few positions of a walk; windows that share
-a key are candidates, and the item's exact edit distance to the best place near the window
-decides (Sellers' problem, bit-parallel).
-
-The number of keys follows from ``recall``: for windows whose walks agree in ``agree`` of
-their positions, a key of ``sampled`` positions hits with probability agree ** sampled.
+"""Benchmark decontamination: exact seeds of characters, a q-gram bound, exact edit verification.
+
+Texts become lower-cased words with a space between. An item is held where its edit distance
+to a part of the document is within the limit, 20 % of its characters. Each place where a
+document and an item share ``seed_of`` characters in a row is a candidate. k edits leave a run
+of (n - k) / (k + 1) of an item's n characters, so with seeds of 10 no place within 9 % is
+missed, wherever its edits are; up to 20 % a place is missed only where no 10 characters in a
+row are left (README has the measured recall). Items of under 40 characters have seeds so short
+that nothing within the limit is missed.
+
+An edit changes q overlapping q-grams at most, so a place within the limit keeps a number of
+them, each shifted against the seed by the limit at most. Candidates that keep fewer are left
+out, which rejects none within the limit; all others are decided by the exact distance
+(Sellers' problem, bit-parallel: many side by side on the characters' last bytes, which is
+never above it, then those that pass alone).
 
 Items come in chunks of bounded size, each of which is a pass over the documents; a chunk's
 index goes to all executors.
@@ -21,8 +24,8 @@ it holds, with the least distance; an empty table on either side gives an empty
 
 from __future__ import annotations
 
-import math
 import re
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,50 +35,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, frugal, pieces, table
-from .words import Words, worker_words
 
 WORD = re.compile(r"\w+")
 #: Item text in a chunk.
 CHUNK_CHARS = 1_000_000
-#: Bits of the table that says which keys the index may have.
-FILTER_BITS = 20
-#: Windows whose walks agree in a smaller part of their positions are no candidates.
-LEAST_AGREEMENT = 0.4
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Text that is searched at once.
+TEXT_CHARS = 1_000_000
+#: Characters of a seed; diagonals that are one candidate; bits of the table that says which seeds there are.
+SEED = 10
+NEAR = 16
+FILTER_BITS = 22
+#: Characters of the grams that candidates must keep.
+GRAM = 4
+
 
 
 def split(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def window_of(n: int) -> tuple[int, int]:
-    """(size, step) in words of the windows for items of n words: size + step - 1 <= n.
+def seed_of(n: int, limit: int) -> int:
+    """Characters of a seed for items of n characters: few enough that all within the limit is found, if short."""
+    sure = max(1, (n - limit) // (limit + 1))
+    return max(sure, SEED if n >= 80 else 7 if n >= 40 else 1) if sure < SEED else SEED
 
-    Sizes are those of classes whose shortest items grow by a third or more.
-    """
-    low = 1
-    while max(low + 1, low * 3 // 2) <= n:
-        low = max(low + 1, low * 3 // 2)
-    step = max(1, low // 4)
-    return low - step + 1, step
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
-def walk_steps(size: int) -> int:
-    """Twice the words: a walk moves at every second step."""
-    return 2 * size
 
+def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
+    """Hash of each q characters that follow each other; equal hashes of different grams only add candidates."""
+    n = max(0, len(codes) - q + 1)
+    h = np.zeros(n, "u4")
+    for k in range(q):
+        h += codes[k : k + n]
+        h *= np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return h
 
-def edit_distance(pattern: str, text: str) -> int:
-    """Least edit distance between the pattern and any part of the text."""
+
+def nearest(pattern: str, text: str) -> tuple[int, int]:
+    """(least edit distance between the pattern and any part of the text, first end of such a part)."""
     if not pattern:
-        return 0
+        return 0, 0
     m, where = len(pattern), defaultdict(int)
     for k, c in enumerate(pattern):
         where[c] |= 1 << k
     full, high = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best = full, 0, m, m
+    up, down, score, best, end = full, 0, m, m, 0
     get = where.get
-    for c in text:
+    for n, c in enumerate(text, 1):
         eq = get(c, 0)
         zero = ((((eq & up) + up) ^ up) | eq | down) & full
         plus = (down | ~(zero | up)) & full
@@ -84,153 +94,160 @@ def edit_distance(pattern: str, text: str) -> int:
             score += 1
         elif minus & high:
             score -= 1
+            if score < best:
+                best, end = score, n
         plus, minus = plus << 1 & full, minus << 1 & full
         up, down = (minus | ~(zero | plus)) & full, plus & zero
-        best = min(best, score)
-    return best
+    return best, end
+
+
+def edit_distance(pattern: str, text: str) -> int:
+    """Least edit distance between the pattern and any part of the text."""
+    return nearest(pattern, text)[0]
 
 
 class Index:
-    """Items' windows by key; finds the items that a document holds."""
-
-    def __init__(self, items: list[tuple[int | None, str]], distance: float = 0.2, recall: float = 0.999, agree: float = 0.7, sampled: int = 4, walks: int = 2, seed: int = 5):
-        self.distance, self.walks = distance, walks
-        self.keys_a_walk = math.ceil(math.log(1 - recall) / math.log(1 - agree**sampled) / walks)
-        words = Words()
-        self.items: list[tuple[int | None, str, int]] = []
-        by_size: dict[tuple[int, int], list[int]] = defaultdict(list)
-        hashes = []
-        for i, text in items:
-            own = split(text)
-            if own:
-                by_size[window_of(len(own))].append(len(self.items))
-                self.items.append((i, " ".join(own), len(own)))
-                hashes.append(words.hashes(own))
-        rng = np.random.default_rng(seed)
+    """Items' seeds by hash; finds the items that a document holds."""
+
+    def __init__(self, items: list[tuple[int | None, str]], distance: float = 0.2):
+        self.distance = distance
+        self.items: list[tuple[int | None, str]] = [(i, t) for i, t in ((i, " ".join(split(text))) for i, text in items) if t]
+        self.grams = [gram_hashes(_codes(t), GRAM).astype("u2") for _, t in self.items]
+        #: Items by the words of 64 bits that they take: their rows in the group, and places of each character.
+        self.groups: dict[int, np.ndarray] = {}
+        self.row = np.zeros(len(self.items), "i8")
+        by_words: dict[int, list[int]] = defaultdict(list)
+        for k, (_, text) in enumerate(self.items):
+            self.row[k] = len(by_words[-(-len(text) // 64)])
+            by_words[-(-len(text) // 64)].append(k)
+        for w, members in by_words.items():
+            self.groups[w] = np.zeros((w, len(members), 256), "u8")
+            for row, k in enumerate(members):
+                for j, c in enumerate(_codes(self.items[k][1])):
+                    self.groups[w][j // 64, row, c & 255] |= np.uint64(1 << j % 64)
+        by_seed: dict[int, list[int]] = defaultdict(list)
+        for k, (_, text) in enumerate(self.items):
+            by_seed[seed_of(len(text), self._limit(k))].append(k)
         self.classes = []
-        for (size, step), members in sorted(by_size.items()):
-            steps = walk_steps(size)
-            # One position of each part of the walk, so that a key reads different words.
-            parts = np.linspace(0, steps, sampled + 1).astype(int)
-            places = [[sorted(int(rng.integers(a, max(a + 1, b))) for a, b in zip(parts, parts[1:], strict=False)) for _ in range(self.keys_a_walk)] for _ in range(walks)]
-            all_, starts, owners, places_in = [], [], [], []
-            base = 0
-            for k in members:
-                n = len(hashes[k])
-                all_.append(hashes[k])
-                offsets = np.arange(max(1, n - size + 1))
-                starts.append(base + offsets)
-                owners.append(np.full(len(offsets), k))
-                places_in.append(offsets)
-                base += n
-            ends = np.repeat(np.cumsum([len(h) for h in all_]), [len(s) for s in starts])
-            own, starts, owner = np.concatenate(all_), np.concatenate(starts), np.concatenate(owners)
-            tables = []
-            for walk, samples in enumerate(places):
-                read = np.stack(list(self._walk(own, starts, ends, size, walk, steps)), 1)
-                for key in self._keys(iter(read.T), len(starts), samples):
-                    order = np.argsort(key, kind="stable")
-                    there = np.zeros(1 << FILTER_BITS, bool)
-                    there[key >> np.uint64(64 - FILTER_BITS)] = True
-                    tables.append((np.packbits(there), key[order], order))
-                tables[-1] += (read,)
-            self.classes.append((size, step, places, owner.astype("i4"), np.concatenate(places_in), tables))
-
-    @staticmethod
-    def _walk(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, walk: int, steps: int) -> Iterator[np.ndarray]:
-        """What each window's walk reads, step by step; 0 past the window or its text's end."""
-        last = np.minimum(starts + size, ends).astype("i4")
-        at = starts.astype("i4")
-        words = np.append(words, np.uint64(0))
-        for step in range(steps):
-            if step % 64 == 0:
-                # A word's own random bits, other ones for each walk and each 64 steps.
-                bits = (words + np.uint64(walk * 64 + step // 64 + 1)) * _STEP
-                bits ^= bits >> np.uint64(29)
-                bits *= np.uint64(0xBF58476D1CE4E5B9)
-                bits ^= bits >> np.uint64(32)
-            inside = at < last
-            yield np.where(inside, words[at], np.uint64(0))
-            at += inside & (bits[at] >> np.uint64(step % 64) & np.uint64(1)).astype(bool)
-
-    @staticmethod
-    def _keys(read: Iterator[np.ndarray], n: int, samples: list[list[int]]) -> list[np.ndarray]:
-        """A key of each list of positions, from what walks read there."""
-        keys = [np.zeros(n, "<u8") for _ in samples]
-        wanted = defaultdict(list)
-        for k, positions in enumerate(samples):
-            for p in positions:
-                wanted[p].append(k)
-        for step, values in enumerate(read):
-            for k in wanted.get(step, ()):
-                keys[k] = (keys[k] + values) * _STEP
-                keys[k] ^= keys[k] >> np.uint64(31)
-        return [k * np.uint64(0xD6E8FEB86659FD93) for k in keys]
-
-    def candidates(self, words: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, item, word where the item would start) of documents whose words follow each other."""
-        found: set[tuple[int, int, int]] = set()
-        first = np.cumsum(sizes) - sizes
-        for size, step, places, owner, inner, tables in self.classes:
-            n = np.where(sizes > 0, np.maximum(0, sizes - size) // step + 1, 0)
-            doc = np.repeat(np.arange(len(sizes)), n)
-            if not len(doc):
+        for q, members in sorted(by_seed.items()):
+            hashes = [gram_hashes(_codes(self.items[k][1]), q) for k in members]
+            seeds = np.concatenate(hashes)
+            order = np.argsort(seeds, kind="stable")
+            there = np.zeros(1 << FILTER_BITS, bool)
+            there[seeds >> np.uint32(32 - FILTER_BITS)] = True
+            owner = np.repeat(members, [len(h) for h in hashes])
+            place = np.concatenate([np.arange(len(h)) for h in hashes])
+            self.classes.append((q, np.packbits(there), seeds[order], owner[order], place[order]))
+
+    def _limit(self, k: int) -> int:
+        return int(self.distance * len(self.items[k][1]))
+
+    def _seeded(self, codes: np.ndarray) -> np.ndarray:
+        """(item, first diagonal) of each NEAR diagonals with a seed, in order; a diagonal is the place where the item would start."""
+        found = [np.zeros((0, 2), "i8")]
+        for q, there, seeds, owner, place in self.classes:
+            h = gram_hashes(codes, q)
+            top = h >> np.uint32(32 - FILTER_BITS)
+            at = np.flatnonzero(there[top >> np.uint32(3)] >> (7 - (top & np.uint32(7))).astype("u1") & 1)
+            a, b = np.searchsorted(seeds, h[at], "left"), np.searchsorted(seeds, h[at], "right")
+            count = b - a
+            post = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
+            near = (np.repeat(at, count) - place[post]) // NEAR
+            # One number for both, as a sort of numbers is the faster.
+            both = np.unique(owner[post] << 40 | near + (1 << 39))
+            found.append(np.stack([both >> 40, ((both & (1 << 40) - 1) - (1 << 39)) * NEAR], 1))
+        return np.concatenate(found)
+
+    def _stretches(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first character, end) around seeds with as many of the item's grams as the limit leaves."""
+        seeded = self._seeded(codes)
+        seeded = seeded[np.argsort(seeded[:, 0], kind="stable")]
+        edge = max((len(t) for _, t in self.items), default=0) * 2 + 2 * NEAR
+        text = np.pad(gram_hashes(codes, GRAM).astype("u2"), edge + GRAM)
+        kept_by_words: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for part in np.split(seeded, np.flatnonzero(np.diff(seeded[:, 0])) + 1):
+            if not len(part):
                 continue
-            offset = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step
-            starts, ends = first[doc] + offset, (first + sizes)[doc]
-            for walk, samples in enumerate(places):
-                steps = 1 + max(max(p) for p in samples)
-                own = tables[walk * self.keys_a_walk : (walk + 1) * self.keys_a_walk]
-                pairs = []
-                for key, (there, known, row, *_) in zip(self._keys(self._walk(words, starts, ends, size, walk, steps), len(starts), samples), own, strict=True):
-                    top = (key >> np.uint64(64 - FILTER_BITS)).astype("i8")
-                    maybe = np.flatnonzero(there[top >> 3] >> (7 - (top & 7)).astype("u1") & 1)
-                    a, b = np.searchsorted(known, key[maybe], "left"), np.searchsorted(known, key[maybe], "right")
-                    count = b - a
-                    place = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
-                    pairs.append(np.stack([np.repeat(maybe, count), row[place]], 1))
-                pairs = np.unique(np.concatenate(pairs), axis=0)
-                if not len(pairs):
-                    continue
-                # The embedding's distance: the part of the item's walk that the window's repeats.
-                window, item = pairs.T
-                theirs = own[-1][-1][item]
-                ours = np.stack(list(self._walk(words, starts[window], ends[window], size, walk, theirs.shape[1])), 1)
-                agree = ((ours == theirs) & (theirs != 0)).sum(1) >= LEAST_AGREEMENT * (theirs != 0).sum(1)
-                first_word = offset[window[agree]] - inner[item[agree]]
-                found.update(zip(doc[window[agree]].tolist(), owner[item[agree]].tolist(), first_word.tolist(), strict=True))
-        return found
-
-    def search(self, texts: list[str | None], words: Words) -> list[list[tuple[int | None, int, int, int]]]:
+            k = int(part[0, 0])
+            limit, own = self._limit(k), self.grams[k]
+            least = len(own) - GRAM * limit
+            for some in np.array_split(part[:, 1], -(-len(part) // 500)):
+                if least > 0:
+                    wide = text[(some - limit + edge + GRAM)[:, None] + np.arange(len(own) + 2 * limit + NEAR)]
+                    kept = np.zeros((len(some), len(own)), bool)
+                    for shift in range(2 * limit + NEAR):
+                        kept |= wide[:, shift : shift + len(own)] == own
+                    some = some[kept.sum(1) >= least]
+                kept_by_words[-(-len(self.items[k][1]) // 64)] += [(k, start - limit) for start in some.tolist()]
+        low = np.pad(codes & 255, edge).astype("u1")
+        for words, rows in kept_by_words.items():
+            for x in range(0, len(rows), 4_000):
+                item, start = np.array(rows[x : x + 4_000]).T
+                size = np.array([NEAR + len(self.items[k][1]) + 2 * self._limit(k) for k in item])
+                near = self._least(words, item, low, start + edge, int(size.max())) <= [self._limit(k) for k in item]
+                yield from zip(item[near].tolist(), start[near].tolist(), (start + size)[near].tolist(), strict=True)
+
+    def _least(self, words: int, item: np.ndarray, text: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+        """Least distance of each item to a part of its stretch, side by side; characters with equal last bytes are equal, so it is never above the exact one."""
+        places, row = self.groups[words], self.row[item]
+        n = np.array([len(self.items[k][1]) for k in item])
+        zero, one, top = np.zeros(len(item), "u8"), np.uint64(1), np.uint64(63)
+        up, down = [~zero for _ in range(words)], [zero] * words
+        last = ((n - 1) % 64).astype("u8")
+        score, best = n.copy(), n.copy()
+        for step in range(size):
+            c = text[np.minimum(start + step, len(text) - 1)]
+            more, less = zero, zero
+            for w in range(words):
+                eq, p, m = places[w][row, c], up[w], down[w]
+                keep = eq | m
+                eq = eq | less
+                x = (((eq & p) + p) ^ p) | eq
+                plus, minus = m | ~(x | p), p & x
+                bit = last if w == words - 1 else top
+                above, below = plus >> bit & one, minus >> bit & one
+                plus, minus = plus << one | more, minus << one | less
+                up[w], down[w] = minus | ~(keep | plus), plus & keep
+                more, less = above, below
+            score = score + more.astype("i8") - less.astype("i8")
+            np.minimum(best, score, out=best)
+        return best
+
+    def search(self, texts: list[str | None]) -> list[list[tuple[int | None, int, int, int]]]:
         """For each text the items that it holds: (item, distance, item's characters, first word)."""
         out: list[list] = [[] for _ in texts]
-        split_ = [split(t) for t in texts]
-        sizes = np.array([len(x) for x in split_], "i8")
-        hashes = words.hashes([w for x in split_ for w in x])
-        if not len(hashes):
-            return out
-        spots: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for d, i, o in self.candidates(hashes, sizes):
-            spots[d, i].append(o)
-        for (d, i), offsets in sorted(spots.items()):
-            name, pattern, n = self.items[i]
-            best = None
-            until = -1
-            for o in sorted(offsets):
-                # Edits before the window shift the item by half its words at most.
-                a, b = max(0, o - n // 2 - 1), o + n + n // 2 + 1
-                if b <= until:
-                    continue
-                until = b + n // 2  # places that follow closely lie in the same stretch
-                e = edit_distance(pattern, " ".join(split_[d][a:until]))
-                if best is None or e < best[0]:
-                    best = (e, o)
-                if e == 0:
-                    break
-            if best and best[0] <= self.distance * len(pattern):
-                out[d].append((name, best[0], len(pattern), max(0, best[1])))
+        plain = [" ".join(split(t)) for t in texts]
+        for part in pieces(plain, TEXT_CHARS):
+            some = plain[part]
+            firsts = np.cumsum([0] + [len(t) + 1 for t in some])
+            spots: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            for k, a, b in self._stretches(_codes("\n".join(some))):
+                for d in range(max(0, int(np.searchsorted(firsts, a, "right")) - 1), min(len(some), int(np.searchsorted(firsts, b, "left")))):
+                    spots[d, k].append((max(0, a - int(firsts[d])), b - int(firsts[d])))
+            for (d, k), found in sorted(spots.items()):
+                hit = self._held(k, some[d], sorted(found))
+                if hit:
+                    out[part.start + d].append(hit)
         return out
 
+    def _held(self, k: int, text: str, stretches: list[tuple[int, int]]) -> tuple[int | None, int, int, int] | None:
+        name, pattern = self.items[k]
+        best: tuple[int, int] | None = None
+        a, until = stretches[0]
+        for x, y in [*stretches[1:], (sys.maxsize, 0)]:
+            if x <= until:
+                until = max(until, y)
+                continue
+            e, end = nearest(pattern, text[a:until])
+            if best is None or e < best[0]:
+                best = e, a + end
+            a, until = x, y
+        if best is None or best[0] > self.distance * len(pattern):
+            return None
+        # Read backwards from the place's end, the same distance ends where the place starts.
+        _, back = nearest(pattern[::-1], text[max(0, best[1] - len(pattern) - best[0]) : best[1]][::-1])
+        return name, best[0], len(pattern), text.count(" ", 0, max(0, best[1] - back))
+
 
 def item_chunks(items: DataFrame, limit: int = CHUNK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
     """The items in chunks of about ``limit`` characters."""
@@ -248,9 +265,8 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance",
 
 def _matches(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for ids, texts in blocks(batches, 1_000_000):
-            rows = [(i, *hit) for i, hits in zip(ids, index.search(texts, words), strict=True) for hit in hits]
+            rows = [(i, *hit) for i, hits in zip(ids, index.search(texts), strict=True) for hit in hits]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
 
@@ -273,12 +289,11 @@ def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
     def without(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = worker_words()
             for batch in batches:
                 keep = []
                 texts = batch.column(place).to_pylist()
                 for part in pieces(texts, 1_000_000):
-                    keep += [not hits for hits in index.search(texts[part], words)]
+                    keep += [not hits for hits in index.search(texts[part])]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return run

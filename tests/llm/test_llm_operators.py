@@ -295,6 +295,38 @@ def test_decontamination_finds_edited_passages(spark):
     assert len(chunks) > 3 and sum(map(len, chunks)) == 41
 
 
+def _edited(rng, text, kind, part):
+    if kind == "characters":
+        changed = set(rng.sample(range(len(text)), int(part * len(text))))
+        return "".join(rng.choice(("", "z", c + "z")) if k in changed else c for k, c in enumerate(text))
+    words = []
+    for w in text.split():
+        if rng.random() < part:
+            k = rng.randrange(len(w))
+            w = "" if kind == "deleted" else w[:k] + "z" + w[k + 1 :]
+        words.append(w)
+    return " ".join(w for w in words if w)
+
+
+def test_decontamination_finds_what_is_within_the_limit(spark):
+    """Edits spread over many words; exact distance decides what has to be found."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    items = [(k, " ".join(word() for _ in range(rng.randint(15, 59)))) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for kind, part, least in (("letters", 0.3, 1.0), ("letters", 0.5, 1.0), ("deleted", 0.12, 0.98), ("characters", 0.08, 1.0), ("characters", 0.19, 0.96)):
+        texts, want = [], []
+        for _ in range(100):
+            i, t = rng.choice(items)
+            copy = _edited(rng, t, kind, part)
+            if decontaminate.edit_distance(t, copy) <= 0.2 * len(t):
+                texts.append(" ".join(word() for _ in range(20)) + " " + copy + rng.choice(("", " " + word())))
+                want.append((i, decontaminate.edit_distance(t, texts[-1])))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, bench).collect()}
+        assert len(want) > 30 and sum((d, *w) in got for d, w in enumerate(want)) >= least * len(want)
+
+
 # 8
 
 
