@@ -327,6 +327,28 @@ def test_decontamination_finds_what_is_within_the_limit(spark):
         assert len(want) > 30 and sum((d, *w) in got for d, w in enumerate(want)) >= least * len(want)
 
 
+def test_decontamination_bounds_reject_no_seed_of_an_edited_copy():
+    """Wherever as many characters in a row as a seed's are left by edits within the limit, the bounds let it pass."""
+    rng = random.Random(12)
+    items = [(k, "".join(rng.choice("abcd") for _ in range(rng.randint(1, 300)))) for k in range(60)]
+    index, seen = decontaminate.Index(items), 0
+    for k, (_, t) in enumerate(index.items):
+        limit = int(0.2 * len(t))
+        changed = set(rng.sample(range(len(t)), rng.randint(0, limit)))
+        text, shifts = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 400))), []
+        for j, c in enumerate(t):
+            shifts.append(None if j in changed else len(text) - j)
+            text += rng.choice(("", "z", c + "z")) if j in changed else c
+        near = {a for i, a, _ in index._stretches(decontaminate._codes(text)) if i == k}
+        q = decontaminate.seed_of(len(t), limit)
+        for j in range(len(t) - q + 1):
+            run = set(shifts[j : j + q])
+            if len(run) == 1 and None not in run:
+                assert run.pop() // decontaminate.NEAR * decontaminate.NEAR - limit in near
+                seen += 1
+    assert seen > 500
+
+
 # 8
 
 
