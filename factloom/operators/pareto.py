@@ -7,6 +7,7 @@ the few that survive. Points with equal objectives don't dominate each other.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -54,20 +55,72 @@ def frontier(points: DataFrame, objectives: list[str], minimize: bool = True) ->
     return local.alias("a").join(other.alias("b"), dominates("b", "a", objectives, minimize), "left_anti")
 
 
-def fronts(points: DataFrame, objectives: list[str], minimize: bool = True, limit: int = 1_000) -> DataFrame:
-    """``points`` with ``front``: 0 for the frontier, 1 for that of the rest, and so on.
-
-    Peels front after front; each step is stored, so that lineage stays short.
+def _levels(x: np.ndarray) -> np.ndarray:
+    """The front of each row of distinct points, minimized."""
+    level = np.zeros(len(x), "i8")
+    tails: list[float] = []
+    fronts_: list[list[int]] = []
+    for i in np.lexsort(x.T[::-1]):
+        # Who is dominated in a front is dominated in all before it.
+        if x.shape[1] == 2:
+            k = bisect_right(tails, x[i, 1])
+            tails[k : k + 1] = [x[i, 1]]
+        else:
+            k, high = 0, len(fronts_)
+            while k < high:
+                middle = (k + high) // 2
+                if (x[fronts_[middle]] <= x[i]).all(1).any():
+                    k = middle + 1
+                else:
+                    high = middle
+            if k == len(fronts_):
+                fronts_.append([])
+            fronts_[k].append(i)
+        level[i] = k
+    return level
+
+
+def _least_front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A point's front among those of its batch, which is never behind that among all."""
+    for batch in batches:
+        yield batch.assign(_level=_levels(batch.to_numpy("f8")))
+
+
+def fronts(points: DataFrame, objectives: list[str], minimize: bool = True, block: int = 100_000) -> DataFrame:
+    """``points`` with ``front``: 0 for the frontier, 1 for that of the rest, and so on, until nothing is left.
+
+    Takes as many fronts a round as have ``block`` distinct points at most by their least
+    possible front, one at least; a frontier above it is taken by joins. Each round is stored,
+    so that lineage stays short.
     """
-    rest, done, k = points, None, 0
-    while k < limit:
-        front = _kept(frontier(rest, objectives, minimize).withColumn("front", F.lit(k)))
-        if front.isEmpty():
-            break
+    worst = F.lit(float("inf") if minimize else 0.0)
+    keys = [f"_o{k}" for k in range(len(objectives))]
+    values = {k: F.coalesce(F.nanvl(F.col(o).cast("double"), worst), worst) * (1 if minimize else -1) + 0.0 for k, o in zip(keys, objectives, strict=True)}
+    rows = points.withColumns(values)
+    rest, done, first = _kept(rows.select(*keys).distinct()), None, 0
+    ddl = ", ".join(f"{k} double" for k in keys)
+    while not rest.isEmpty():
+        least = _kept(rest.mapInPandas(_least_front, f"{ddl}, _level long"))
+        total, n = 0, 0
+        for r in least.groupBy("_level").count().orderBy("_level").limit(block + 1).collect():
+            total += r["count"]
+            if total > block:
+                break
+            n = r["_level"] + 1
+        if n:
+            some = least.where(F.col("_level") < n).select(*keys).toPandas()
+            # Dominators of a point in the first n fronts are in them too, so these are exact.
+            some["front"] = _levels(some.to_numpy("f8"))
+            front = points.sparkSession.createDataFrame(some[some["front"] < n].assign(front=lambda d: d["front"] + first), f"{ddl}, front int")
+        else:
+            n, front = 1, frontier(rest, keys).withColumn("front", F.lit(first))
+        front = _kept(front)
         done = front if done is None else done.unionByName(front)
-        rest = _kept(rest.join(front.drop("front"), points.columns, "left_anti"))
-        k += 1
-    return done if done is not None else points.withColumn("front", F.lit(0)).where(F.lit(False))
+        rest = _kept(rest.join(front, keys, "left_anti"))
+        first += n
+    if done is None:
+        return points.withColumn("front", F.lit(0)).where(F.lit(False))
+    return rows.join(done, keys).select(*points.columns, "front")
 
 
 def _kept(df: DataFrame) -> DataFrame:

@@ -56,6 +56,27 @@ def test_frontier_against_brute_force(spark, points):
     assert got == want
 
 
+def test_fronts_against_peeling(spark):
+    rng = np.random.default_rng(4)
+    for n, minimize, block in ((2, True, 100_000), (2, False, 20), (3, True, 3)):
+        names = ["x", "y", "z"][:n]
+        values = [[None if v == 6 else float(v) for v in row] for row in rng.integers(0, 7, (60, n))]
+        df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "id long, " + ", ".join(f"{c} double" for c in names))
+        p = np.array([[(np.inf if minimize else 0.0) if v is None else v for v in row] for row in values]) * (1 if minimize else -1)
+        want, left, k = {}, set(range(len(p))), 0
+        while left:
+            front = {i for i in left if not any((p[j] <= p[i]).all() and (p[j] < p[i]).any() for j in left)}
+            want |= dict.fromkeys(front, k)
+            left, k = left - front, k + 1
+        got = {r.id: r.front for r in pareto.fronts(df.repartition(3), names, minimize, block=block).collect()}
+        assert got == want
+
+
+def test_fronts_of_a_long_chain(spark):
+    df = spark.range(1_200).select("id", F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    assert {(r.id, r.front) for r in pareto.fronts(df, ["x", "y"]).collect()} == {(k, k) for k in range(1_200)}
+
+
 def test_levels_and_cycles(spark):
     diamond = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")], "src string, dst string")
     assert {r.node: r.level for r in graph.levels(diamond).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3}
