@@ -32,18 +32,20 @@ ELSE CASE WHEN s1 > 0 THEN (q1 - p1) / s1 ELSE 0 END + CASE WHEN s2 > 0 THEN (q2
 )
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "part").where(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"))
+def _points(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = load(spark, sf_dir, "part")
+    if not whole:  # as in the statements, which are quadratic
+        rows = rows.where(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"))
     size = F.col("p_size").cast("double")
     return rows.select("p_partkey", F.col("p_retailprice").alias("price"), (-size).alias("minus_size"), size.alias("size"), "p_brand")
 
 
-def _fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.fronts(_points(spark, sf_dir), XY)
+def _fronts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return O.fronts(_points(spark, sf_dir, whole), XY)
 
 
-def _crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.crowding(_fronts(spark, sf_dir), XY, "front", "p_partkey")
+def _crowded(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return O.crowding(_fronts(spark, sf_dir, whole), XY, "front", "p_partkey")
 
 
 @query(
@@ -85,6 +87,28 @@ def best_individual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.select_best(O.crowding(rows, XY, "front", "p_partkey"), 1, "p_partkey").select("p_partkey")
 
 
+@query()
+def pareto_fronts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all parts, as are the next three; tested against brute force."""
+    return _fronts(spark, sf_dir, True).select("p_partkey", "front")
+
+
+@query()
+def crowding_distance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crowded(spark, sf_dir, True).select("p_partkey", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 6)).alias("crowding"))
+
+
+@query()
+def select_best_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.select_best(_crowded(spark, sf_dir, True), 25, "p_partkey").select("p_partkey", "front")
+
+
+@query()
+def best_individual_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = O.frontier(_points(spark, sf_dir, True), XY).withColumn("front", F.lit(0))
+    return O.select_best(O.crowding(rows, XY, "front", "p_partkey"), 1, "p_partkey").select("p_partkey")
+
+
 @query(
     """WITH a AS (SELECT p_brand, p_size::DOUBLE AS x, max(p_retailprice) AS y FROM part WHERE p_size > 10 AND p_retailprice > 500 GROUP BY 1, 2),
 b AS (SELECT *, coalesce(max(y) OVER (PARTITION BY p_brand ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 500) AS above FROM a)

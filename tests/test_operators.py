@@ -72,6 +72,36 @@ def test_fronts_against_peeling(spark):
         assert got == want
 
 
+def test_whole_pareto_queries_against_brute_force(spark, sf_dir):
+    from factloom.plans.catalog import QUERIES
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice", "p_size").toPandas()
+    key, p = part["p_partkey"].to_numpy(), np.stack([part["p_retailprice"], -part["p_size"].astype("f8")], 1)
+    front, left = np.full(len(p), -1), np.ones(len(p), bool)
+    while left.any():
+        rest = np.flatnonzero(left)
+        q = p[rest]
+        worse = ((q[None] <= q[:, None]).all(2) & (q[None] < q[:, None]).any(2)).any(1)
+        front[rest[~worse]] = front.max() + 1
+        left[rest[~worse]] = False
+    crowd = np.zeros(len(p))
+    for f in range(front.max() + 1):
+        own = np.flatnonzero(front == f)
+        for x in p.T:
+            order = own[np.lexsort([key[own], x[own]])]
+            crowd[order[[0, -1]]] = np.inf
+            span = x[own].max() - x[own].min()
+            if span > 0:
+                crowd[order[1:-1]] += (x[order[2:]] - x[order[:-2]]) / span
+    best = sorted(range(len(p)), key=lambda i: (front[i], -crowd[i], key[i]))
+    rows = lambda name: [tuple(r) for r in QUERIES[name](spark, sf_dir).collect()]
+    assert dict(rows("pareto_fronts_whole")) == dict(zip(key, front, strict=True))
+    got = dict(rows("crowding_distance_whole"))
+    assert len(got) == len(p) and all(abs(got[k] - (-1 if np.isinf(c) else c)) < 2e-6 for k, c in zip(key, crowd, strict=True))
+    assert rows("select_best_whole") == [(key[i], front[i]) for i in best[:25]]
+    assert rows("best_individual_whole") == [(key[best[0]],)]
+
+
 def test_fronts_of_a_long_chain(spark):
     df = spark.range(1_200).select("id", F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
     assert {(r.id, r.front) for r in pareto.fronts(df, ["x", "y"]).collect()} == {(k, k) for k in range(1_200)}
