@@ -327,26 +327,73 @@ def test_decontamination_finds_what_is_within_the_limit(spark):
         assert len(want) > 30 and sum((d, *w) in got for d, w in enumerate(want)) >= least * len(want)
 
 
-def test_decontamination_bounds_reject_no_seed_of_an_edited_copy():
-    """Wherever as many characters in a row as a seed's are left by edits within the limit, the bounds let it pass."""
+def test_decontamination_decides_every_candidate_by_the_exact_distance(monkeypatch):
+    """Side by side or alone, a candidate passes where its piece is within the limit, and nothing is lost between."""
     rng = random.Random(12)
-    items = [(k, "".join(rng.choice("abcd") for _ in range(rng.randint(1, 300)))) for k in range(60)]
-    index, seen = decontaminate.Index(items), 0
-    for k, (_, t) in enumerate(index.items):
-        limit = int(0.2 * len(t))
-        changed = set(rng.sample(range(len(t)), rng.randint(0, limit)))
-        text, shifts = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 400))), []
-        for j, c in enumerate(t):
-            shifts.append(None if j in changed else len(text) - j)
-            text += rng.choice(("", "z", c + "z")) if j in changed else c
-        near = {a for i, a, _ in index._stretches(decontaminate._codes(text)) if i == k}
-        q = decontaminate.seed_of(len(t), limit)
-        for j in range(len(t) - q + 1):
-            run = set(shifts[j : j + q])
-            if len(run) == 1 and None not in run:
-                assert run.pop() // decontaminate.NEAR * decontaminate.NEAR - limit in near
-                seen += 1
-    assert seen > 500
+    items = [(k, "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 900)))) for k in range(60)]
+    passed = []
+    for few in (0, 1 << 30):
+        monkeypatch.setattr(decontaminate, "FEW", few)
+        rng.seed(13)
+        index = decontaminate.Index(items)
+        text = " ".join(decontaminate.split(" ".join(_edited(rng, t, "characters", rng.choice((0.02, 0.1, 0.2))) + "".join(rng.choice("abcd ") for _ in range(200)) for _, t in items)))
+        passed.append(set(index._stretches(text)))
+        pieces, diagonals = index._candidates(decontaminate.signs(text))
+        want = set()
+        for p, d in zip(pieces.tolist(), diagonals.tolist(), strict=True):
+            limit, own = int(index.limit[p]), index.parts[p][2]
+            a, b = d - limit, d + decontaminate.NEAR + len(own) + limit
+            if decontaminate.edit_distance(own, text[max(0, a) : max(0, b)]) <= limit:
+                want.add((p, a, b))
+        assert want <= passed[-1] and len(want) > 200
+    assert passed[0] == passed[1]
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_decontamination_recall_up_to_the_limit(long):
+    """Uniform edits of characters and of words up to the limit, for items of 15 to 59 words and short ones."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("etaoinsrhldcum") for _ in range(rng.randint(2, 9)))
+    items = [(k, " ".join(word() for _ in range(rng.randint(15, 59) if long else rng.randint(3, 14)))) for k in range(60)]
+    index = decontaminate.Index(items)
+    for kind, part in (("characters", 0.05), ("characters", 0.1), ("characters", 0.15), ("characters", 0.2), ("letters", 0.5), ("letters", 0.9), ("deleted", 0.15)):
+        texts, want = [], []
+        for _ in range(150):
+            i, t = rng.choice(items)
+            copy = " ".join(decontaminate.split(_edited(rng, t, kind, part)))
+            if decontaminate.edit_distance(t, copy) <= 0.2 * len(t):
+                texts.append(" ".join(word() for _ in range(15)) + " " + copy + " " + word())
+                want.append(i)
+        found = index.search(texts)
+        assert len(want) > 20 and sum(i in {x[0] for x in f} for i, f in zip(want, found, strict=True)) >= 0.9 * len(want), (kind, part)
+
+
+def test_decontamination_of_odd_items(spark):
+    """Items of 20,000 words, many equal ones, and texts without blanks."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    huge = [word() for _ in range(20_000)]
+    same = " ".join(word() for _ in range(30))
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120))
+    items = [(1, " ".join(huge)), *((k, same) for k in range(10, 1010)), (2000, han)]
+    edited = list(huge)
+    for k in range(0, len(edited), 11):
+        edited[k] = word()
+    noise = lambda n: " ".join(word() for _ in range(n))
+    docs = [
+        (1, noise(50) + " " + " ".join(edited) + " " + noise(50)),
+        (2, " ".join(huge[5000:5200])),
+        (3, noise(40) + " " + same.upper() + "! " + noise(5)),
+        (4, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(200)) + han[:60] + "一丁" + han[61:] + "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(100))),
+        (5, noise(3000)),
+        (6, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3000))),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    got = decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    by_doc = {d: sorted(r.item_id for r in got if r.doc_id == d) for d, _ in docs}
+    assert by_doc == {1: [1], 2: [], 3: list(range(10, 1010)), 4: [2000], 5: [], 6: []}
+    assert {(r.distance, r.at_word) for r in got if r.doc_id == 3} == {(0, 40)} and {r.at_word for r in got if r.doc_id == 1} == {50}
+
 
 
 # 8
