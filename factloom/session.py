@@ -11,14 +11,44 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows and bytes of an Arrow batch, where the session doesn't say otherwise: whole texts travel in them.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where a session on one machine has none (tests, notebooks) a temporary folder becomes it;
+    on a cluster that is an error, as executors would not see each other's files.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = current.get() if current.isDefined() else None
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="factloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the files that executors get, once an application."""
+    """Adds the package to the files that executors get, once an application, and bounds Arrow batches."""
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
