@@ -6,35 +6,22 @@ import contextlib
 import ctypes
 import gc
 import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where a session has none (unit tests, one machine) a temporary folder becomes it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="factloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -124,10 +111,28 @@ def pieces(texts: list, chars: int) -> Iterator[slice]:
         k = n
 
 
+_HELD: dict = {}
+
+
+def held(name: tuple, make: Callable[[], object]):
+    """What a Python worker keeps between the tasks of a stage; the next stage's tasks drop it."""
+    if name not in _HELD:
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task function after which freed memory goes back, as its worker lives on for other stages."""
+    """A task function that leaves little behind, as its worker lives on for other stages.
+
+    Arrow's memory comes from the C library, and what is free goes back when the task ends.
+    """
 
     def wrapped(batches: Iterator) -> Iterator:
+        task = TaskContext.get()
+        if task and _HELD.get("stage") != task.stageId():
+            _HELD.clear()
+            _HELD["stage"] = task.stageId()
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
@@ -138,6 +143,18 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return wrapped
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as no column of ``df`` begins with, whatever its case."""
+    taken = [c.lower() for c in df.columns]
+    return [n + "_" * sum(c.startswith(n.lower()) for c in taken) for n in names]
+
+
+def attempt() -> str:
+    """A part of a file's name that no other attempt of a task has; only files that a finished attempt lists count."""
+    task = TaskContext.get()
+    return f"{task.partitionId():06d}-{task.taskAttemptId():08d}" if task else uuid.uuid4().hex[:12]
+
+
 def crc32(data: bytes, start: int = 0) -> int:
     return zlib.crc32(data, start) & 0xFFFFFFFF
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import xxhash
 
@@ -23,9 +21,3 @@ class Words(dict):
         if len(self) > self._kept:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), "<u8", len(words))
-
-
-@lru_cache(maxsize=1)
-def worker_words() -> Words:
-    """One for each Python worker, so that its memory outlives a task."""
-    return Words(600_000)
