@@ -21,7 +21,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc32, frugal, get_file, put_file, scratch, shuffle_partitions, stored, table, tokenizer_path
+from .common import attempt, blocks, crc32, frugal, get_file, held, put_file, scratch, shuffle_partitions, stored, table, tokenizer_path
 
 MAGIC = b"FLWM0001"
 #: Bits of a block that is compressed for itself.
@@ -170,7 +169,9 @@ class WordEncoder:
     """Ids of whole texts from a tokenizer that never joins what white space parts.
 
     Text is cut where the tokenizer cuts it in any case, and each part is encoded once while
-    it is remembered; at most ``kept`` are. A text of Latin letters, digits and ASCII signs
+    it is remembered: about ``kept`` bytes of parts, in two generations, of which the older goes
+    when the younger is half of them. A file with other rules than ``RULES`` has its texts
+    encoded whole. A text of Latin letters, digits and ASCII signs
     without an apostrophe is lower-cased, as the tokenizer does after nothing that changes
     it, and cut into its pre-tokens: runs of letters, single digits and runs of signs. Other
     texts are cut at blanks. New pre-tokens go to the library many at a time, joined by
@@ -182,12 +183,35 @@ class WordEncoder:
     SAFE = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+").fullmatch)
     PARTS = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall)
     MARK = "</w>"
-
-    def __init__(self, path: str, kept: int = 700_000):
+    # How the file cuts texts, which the patterns above follow.
+    RULES = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "post_processor": None,
+        "truncation": None,
+        "padding": None,
+    }
+    #: Bytes that a remembered part takes beside its characters and ids.
+    EACH = 200
+
+    def __init__(self, path: str, kept: int = 160_000_000):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as src:
+            told = json.load(src)
         self._tok = Tokenizer.from_file(path)
-        self._kept, self._memo = kept, {}
+        self._known = all(told.get(k) == v for k, v in self.RULES.items()) and told["model"].get("end_of_word_suffix") == self.MARK
+        self._kept, self._size = kept, 0
+        self._memo: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        if not self._known:
+            return
         words = self._tok.get_vocab()
         self._ends = np.zeros(max(words.values()) + 1, bool)
         self._ends[[i for w, i in words.items() if w.endswith(self.MARK)]] = True
@@ -229,20 +253,26 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        memo = self._memo
-        if len(memo) > self._kept:
-            memo.clear()
+        if not self._known:
+            return [np.array(e.ids, "<u4").tobytes() for e in self._tok.encode_batch(texts, add_special_tokens=False)]
+        if self._size > self._kept // 2:
+            self._old, self._memo, self._size = self._memo, {}, 0
+        memo, old = self._memo, self._old
         split = [self._split(t) for t in texts]
         new = set(chain.from_iterable(split)).difference(memo)
         if new:
-            self._learn(list(new))
+            before = len(memo)
+            again = new.intersection(old)
+            memo.update((w, old[w]) for w in again)
+            self._learn(list(new.difference(again)))
+            # A character of ASCII has one id of 4 bytes at most.
+            self._size += (len(memo) - before) * self.EACH + 5 * sum(map(len, new))
         return [b"".join(map(memo.__getitem__, x)) for x in split]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One for each Python worker, so that its memory outlives a task."""
-    return WordEncoder(path)
+    """One for each Python worker and stage, so that its memory outlives a task."""
+    return held(("encoder", path), lambda: WordEncoder(path))
 
 
 def _few(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
@@ -254,7 +284,7 @@ def _write(folder: str, tokenizer: str, end_id: int, shard_ids: int):
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, own, shard = encoder(tokenizer), TaskContext.get().partitionId(), attempt(), 0
         end = np.array([end_id], "<u4").tobytes()
         docs: list = []
         texts: list[bytes] = []
@@ -262,7 +292,7 @@ def _write(folder: str, tokenizer: str, end_id: int, shard_ids: int):
 
         def flush():
             nonlocal docs, texts, size, shard
-            path = f"{folder}/ids-{part:06d}-{shard:06d}.flwm"
+            path = f"{folder}/ids-{own}-{shard:06d}.flwm"
             lengths = np.array([len(t) // 4 for t in texts], "<u4")
             known = np.array([i is not None for i in docs], "u1")
             ids = np.array([0 if i is None else i for i in docs], "<i8")
