@@ -12,8 +12,10 @@ overlap of a pair is counted in each fragment for itself and summed per pair.
 3. Equal sets are one class from here on. In each posting list of the rest, neighbours in a
    random order are tested, by fragments; the classes they join are components.
 4. What is left to test are pairs of different components in one posting list: all of them
-   are tested whose parts in the fragments are large enough to link at all. Pairs inside one component need no test, so a group of thousands of near
-   copies doesn't grow to all its pairs, and no link is lost.
+   are tested whose parts in the fragments, and in finer ones by hash, are large enough to link
+   at all. Pairs inside one component need no test, so a group of thousands of near copies
+   doesn't grow to all its pairs; in one of near copies that don't link, whose shingles differ
+   in different places, the finer parts tell most pairs apart. No link is lost.
 
 Defined results: null text is empty; documents without words have 0 shingles and are alone;
 documents of fewer words than n have the whole as their only shingle; rows with null or
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, dropped, frugal, shuffle_partitions, stored, table
+from .common import blocks, dropped, frugal, shuffle_partitions, stored, table, unused
 from .words import Words
 
 #: Ranges of shingle hashes to a shuffle partition; a task works off one at a time.
@@ -46,6 +48,9 @@ PART = 256
 ENDS = 4
 #: Further neighbour tests between components.
 ROUNDS = 3
+#: Parts by hash whose sizes bound a pair's overlap, seven to a long.
+LANES = 63
+LANE_COLUMNS = [f"l{k}" for k in range(LANES // 7)]
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _RS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcd")])
@@ -268,11 +273,47 @@ def linked(pairs: DataFrame, classes: DataFrame, least: int, of: int) -> DataFra
     return sums.where((F.col("common") * of) >= (F.col("n_a") + F.col("n_b") - F.col("common")) * least).select("a", "b")
 
 
+def _lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared shingles of each class by lane, seven lanes to a long; null where a lane holds more than 127."""
+    schema = pa.schema([("cls", pa.binary()), *((c, pa.int64()) for c in LANE_COLUMNS)])
+    for batch in batches:
+        out = np.zeros((len(batch), LANES), "<i8")
+        for column in batch.columns[1:]:
+            lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            at = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            flat = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()].view("<u8")
+            np.add.at(out, (at, (flat % np.uint64(LANES)).astype("i8")), 1)
+        fits = out.max(1, initial=0) <= 127
+        packed = (out.reshape(len(batch), -1, 7) << (8 * np.arange(7))).sum(2)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(packed[:, k], pa.int64(), mask=~fits) for k in range(len(LANE_COLUMNS)))], schema=schema)
+
+
+def lanes(classes: DataFrame) -> DataFrame:
+    """(cls, l0, l1, ...): the fragments cut finer, by hash into ``LANES`` parts, of which only the sizes are kept."""
+    ddl = "cls binary, " + ", ".join(f"{c} long" for c in LANE_COLUMNS)
+    return classes.select("cls", *[f"f{k}" for k in range(len(CUTS) + 1)]).mapInArrow(frugal(_lanes), ddl)
+
+
+def lane_bound(a: list[Column], b: list[Column]) -> Column:
+    """Most common shingles by lanes: the sum of the smaller of each two counts, worked out seven at a time."""
+    high, pairs = F.lit(0x80808080808080), F.lit(0x00FF00FF00FF00FF)
+    total = F.lit(0)
+    for x, y in zip(a, b, strict=True):
+        # Where x has y or more, the lane's high bit stands, and a lane of ones picks y.
+        larger = F.shiftrightunsigned((x.bitwiseOR(high) - y).bitwiseAND(high), 7)
+        mask = F.shiftleft(larger, 8) - larger
+        least = y.bitwiseAND(mask).bitwiseOR(x.bitwiseAND(F.bitwise_not(mask)))
+        total = total + least.bitwiseAND(pairs) + F.shiftrightunsigned(least, 8).bitwiseAND(pairs)
+    total = total + F.shiftrightunsigned(total, 32)
+    return (total + F.shiftrightunsigned(total, 16)).bitwiseAND(F.lit(0xFFFF))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for the nodes of edges (a, b): stars are drawn together until none changes.
 
     Alternates large-star and small-star; each joins a node's smallest neighbour, found by an
-    aggregate, to its edges, so a node with many edges is no group in one task.
+    aggregate, to its edges. A star's edges are narrow rows of one key: adaptive execution splits
+    a partition of them that is large.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = None
@@ -349,14 +390,17 @@ def jaccard_links(classes: DataFrame, least: int, of: int) -> tuple[DataFrame, D
         roots = _contracted(roots, more, "join-roots")
     # Step 4: every pair of different components.
     open_ = _open_lists(postings, roots)
-    minor = open_.where("root <> major").select("h", "cls", "n_shingles", "root", "left", *SIZES)
-    other = open_.select("h", F.col("cls").alias("cls2"), F.col("n_shingles").alias("n2"), F.col("root").alias("root2"), F.col("left").alias("left2"), "major", *[F.col(c).alias(f"{c}_2") for c in SIZES])
+    fine = lanes(classes.join(open_.select("cls").distinct(), "cls", "left_semi"))
+    open_ = stored(open_.join(fine, "cls"), "join-lanes")
+    minor = open_.where("root <> major").select("h", "cls", "n_shingles", "root", "left", *SIZES, *LANE_COLUMNS)
+    other = open_.select("h", F.col("cls").alias("cls2"), F.col("n_shingles").alias("n2"), F.col("root").alias("root2"), F.col("left").alias("left2"), "major", *[F.col(c).alias(f"{c}_2") for c in [*SIZES, *LANE_COLUMNS]])
     cols = lambda *x: [F.col(c) for c in x]
     apart = minor.join(other, "h").where(
         (F.col("root") != F.col("root2"))
         & ((F.col("root2") == F.col("major")) | (F.col("cls") < F.col("cls2")))
         & (F.least("left", "left2") * (of + least) >= (F.col("n_shingles") + F.col("n2")) * least)
         & fitting(*cols("n_shingles", "n2"), cols(*SIZES), cols(*[f"{c}_2" for c in SIZES]), least, of)
+        & F.coalesce(lane_bound(cols(*LANE_COLUMNS), cols(*[f"{c}_2" for c in LANE_COLUMNS])) * (of + least) >= (F.col("n_shingles") + F.col("n2")) * least, F.lit(True))
     )
     rest = apart.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stored(linked(stored(rest, "join-rest"), classes, least, of), "join-more")
@@ -385,11 +429,12 @@ def ngram_groups(docs: DataFrame, n: int = 5, least: int = 80, of: int = 100) ->
 def one_of_each_group(docs: DataFrame, n: int = 5, least: int = 80, of: int = 100) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group; of rows equal in id and text one."""
     groups = stored(ngram_groups(docs, n, least, of), "join-groups")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).agg(F.count("*").alias("k_n"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("k_hash"))
-    single = docs.join(kept.where("k_n = 1"), same).select(*[docs[c] for c in docs.columns])
-    several = docs.join(kept.where("k_n > 1"), same).select(*[docs[c] for c in docs.columns], "k_id", "k_hash")
-    return single.unionByName(several.dropDuplicates(["k_id", "k_hash"]).drop("k_id", "k_hash"))
+    id_, hash_, n = unused(docs, "k_id", "k_hash", "k_n")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.count("*").alias(n))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(hash_))
+    single = docs.join(kept.where(F.col(n) == 1), same).select(*[docs[c] for c in docs.columns])
+    several = docs.join(kept.where(F.col(n) > 1), same).select(*[docs[c] for c in docs.columns], id_, hash_)
+    return single.unionByName(several.dropDuplicates([id_, hash_]).drop(id_, hash_))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
