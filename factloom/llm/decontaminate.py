@@ -62,6 +62,8 @@ STEPS, SHORT_STEPS = 28, 20
 COPIES, MOST_KEYS = 300, 12
 #: Hits that are expanded at once; candidates under which each is decided for itself.
 HITS, FEW = 1_000_000, 48
+#: Walks side by side; so few that they stay in a processor's cache.
+WALKS = 1 << 14
 
 
 def split(text: str | None) -> list[str]:
@@ -178,6 +180,10 @@ class Table:
 
     def hits(self, text: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(piece, diagonal, place in the text) of equal keys, a bounded number at a time."""
+        for k in range(0, len(at), WALKS):
+            yield from self._hits(text, at[k : k + WALKS])
+
+    def _hits(self, text: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         h, _ = self.key.read(text, at)
         top = h >> np.uint32(32 - FILTER_BITS)
         some = np.flatnonzero(self.there[top >> np.uint32(3)] >> (7 - (top & np.uint32(7))).astype("u1") & 1)
@@ -235,8 +241,8 @@ class Index:
         self.limit = (distance * self.size).astype("i8")
         self.tables: list[tuple[Table, bool]] = []
         self._add_keys(recall)
-        #: Pieces by the words of 64 bits that they take, two of them at a time: places of each character.
-        self.words = (self.size + 127) // 128 * 2
+        #: Pieces by the words of 64 bits that they take: places of each character.
+        self.words = (self.size + 63) // 64
         self.row = np.zeros(len(self.parts), "i8")
         self.places: dict[int, list[np.ndarray]] = {}
         for w in np.unique(self.words).tolist():
@@ -315,7 +321,7 @@ class Index:
         places, row, n = self.places[words], self.row[piece] * 128, self.size[piece]
         zero, one, top = np.zeros(len(piece), "u8"), np.uint64(1), np.uint64(63)
         up, down = [~zero for _ in range(words)], [zero.copy() for _ in range(words)]
-        last, at = ((n - 1) % 64).astype("u8"), (n - 1) // 64
+        last = ((n - 1) % 64).astype("u8")
         score, best = n.copy(), n.copy()
         live = len(piece)
         for step in range(int(size[0])):
@@ -329,16 +335,12 @@ class Index:
                 eq |= less
                 x = (((eq & p) + p) ^ p) | eq
                 plus, minus = m | ~(x | p), p & x
-                if w >= words - 2:
-                    ends = at[:live] == w
-                    bit = last[:live]
-                    change = (plus >> bit & one).astype("i8") - (minus >> bit & one).astype("i8")
-                    score[:live] += change * ends
-                if w < words - 1:
-                    above, below = plus >> top, minus >> top
+                bit = last[:live] if w == words - 1 else top
+                above, below = plus >> bit, minus >> bit
                 plus, minus = plus << one | more, minus << one | less
                 up[w][:live], down[w][:live] = minus | ~(keep | plus), plus & keep
                 more, less = above, below
+            score[:live] += (more & one).view("i8") - (less & one).view("i8")
             np.minimum(best[:live], score[:live], out=best[:live])
         out = np.empty_like(best)
         out[order] = best
@@ -405,7 +407,7 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance",
 
 def _matches(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches, 1_000_000):
+        for ids, texts in blocks(batches, TEXT_CHARS):
             rows = [(i, *hit) for i, hits in zip(ids, index.search(texts), strict=True) for hit in hits]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
@@ -430,10 +432,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     def without(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = []
-                texts = batch.column(place).to_pylist()
-                for part in pieces(texts, 1_000_000):
-                    keep += [not hits for hits in index.search(texts[part])]
+                keep = [not hits for hits in index.search(batch.column(place).to_pylist())]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return run
