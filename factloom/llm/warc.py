@@ -20,11 +20,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_file, put_file, scratch, shuffle_partitions, stored, table
+from .common import attempt, frugal, open_file, put_file, scratch, shuffle_partitions, stored, table
 
 CRLF = b"\r\n"
 #: Fixed values of the format (WARC 1.1).
@@ -33,6 +32,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: No date is in the input; a fixed one keeps a second attempt's bytes the same.
 DATE = "1970-01-01T00:00:00Z"
 CHUNK = 1 << 16
+#: Rows with equal payloads under which they are no hot group, however small the table.
+LEAST_HOT = 100
 
 
 class WarcError(ValueError):
@@ -141,11 +142,11 @@ def _write(folder: str, file_bytes: int):
     schema = pa.schema([("path", pa.string()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, size, out = TaskContext.get().partitionId(), 0, 0, []
+        own, number, size, out = attempt(), 0, 0, []
 
         def flush():
             nonlocal number, size, out
-            path = f"{folder}/pages-{part:06d}-{number:05d}.warc.gz"
+            path = f"{folder}/pages-{own}-{number:05d}.warc.gz"
             put_file(path, b"".join(out))
             row = pa.RecordBatch.from_pylist([{"path": path, "records": len(out)}], schema)
             number, size, out = number + 1, 0, []
@@ -182,22 +183,31 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 100, file_bytes: int = 32_000_000) -> DataFrame:
     """Writes the archives and returns their list (path, records).
 
-    Digests that stand once need no join partner: only those of two rows or more are
-    grouped to their smallest id, and the pages are joined to those by digest, which is a
-    join whose large partitions Spark may split.
+    Digests of two rows or more are grouped to their smallest id. Pages with one of those that
+    hold more rows than an even partition has, of which there are no more than partitions, meet
+    them by a broadcast; small payloads meet nothing; only the rest is shuffled by digest. Rows
+    may come to a task in any order: an attempt's files have names of their own, and the list
+    has those of finished attempts alone.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= revisit_bytes, F.sha2(F.col("html").cast("binary"), 256)))
-    equal = rows.where("digest is not null").groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    parts = shuffle_partitions(pages.sparkSession)
+    equal = rows.where("digest is not null").groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
+    equal = stored(equal, "warc-equal")
+    even = max(LEAST_HOT, (equal.agg(F.sum("n")).first()[0] or 0) // parts)
+    hot = equal.where(F.col("n") > even).select("digest", "first", F.lit(True).alias("hot"))  # no more than partitions
+    marked = rows.join(F.broadcast(hot), "digest", "left")
+    alone = F.col("digest").isNull() | F.col("hot").isNotNull()
+    calm = marked.where(~alone).drop("first", "hot").join(equal.where(F.col("n") <= even).select("digest", "first"), "digest", "left")
     refers = F.when(~F.coalesce(F.col("page") == F.col("first"), F.col("first").isNull()), F.col("first"))
-    joined = rows.join(equal, "digest", "left").select("page", "url", "html", refers.alias("refers"))
-    return stored(joined.mapInArrow(_write(folder, file_bytes), "path string, records long"), "warc-files")
+    joined = marked.where(alone).drop("hot").unionByName(calm).select("page", "url", "html", refers.alias("refers"))
+    return stored(joined.mapInArrow(frugal(_write(folder, file_bytes)), "path string, records long"), "warc-files")
 
 
 def read_archives(files: DataFrame) -> DataFrame:
     """A row for each record of the listed archives."""
     ddl = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    return files.select("path").repartition(max(1, 2 * shuffle_partitions(files.sparkSession)), "path").mapInArrow(_read, ddl)
+    return files.select("path").repartition(max(1, 2 * shuffle_partitions(files.sparkSession)), "path").mapInArrow(frugal(_read), ddl)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
