@@ -2,8 +2,8 @@
 
 Words and word pairs are hashed to ``buckets``. Two bag-of-buckets models are counted, of
 all text and of target text (documents that a label marks as good). A document's log
-weight is the mean log ratio of its n-grams times ``length``, so that a text's length does
-not decide. Sampling without replacement in proportion to the weights takes the k largest
+weight is the log of the models' ratio, the sum of its n-grams' log ratios. With ``length``
+it is instead their mean times that, which leaves a text's length out. Sampling without replacement in proportion to the weights takes the k largest
 of log weight plus Gumbel noise, the noise drawn from a hash of the id.
 
 The k-th key is found exactly without a sort: the range that holds it is narrowed by
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, stored, table
+from .common import blocks, frugal, stored, table
 from .words import Words
 
 _SPLIT = re.compile(r"\w+|[^\w\s]")
@@ -57,7 +57,7 @@ def _counts(buckets: int):
     return run
 
 
-def _scores(ratio: np.ndarray, length: float):
+def _scores(ratio: np.ndarray, length: float | None):
     schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("log_weight", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def _scores(ratio: np.ndarray, length: float):
             out = []
             for text in batch.column(1).to_pylist():
                 g = _grams(words, text or "", len(ratio)).astype("i8")
-                out.append(length * float(ratio[g].mean()) if len(g) else 0.0)
+                out.append(float(ratio[g].sum() if length is None else length * ratio[g].mean()) if len(g) else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.float64())], schema=schema)
 
     return run
@@ -74,7 +74,7 @@ def _scores(ratio: np.ndarray, length: float):
 
 def log_ratios(docs: DataFrame, buckets: int, smoothing: float) -> np.ndarray:
     """Log of target over raw probability of each bucket, from (target, text) of all rows."""
-    rows = docs.mapInArrow(_counts(buckets), "target boolean, bucket int, n long").groupBy("target", "bucket").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(frugal(_counts(buckets)), "target boolean, bucket int, n long").groupBy("target", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((2, buckets))
     for target, bucket, n in rows.collect():  # 2 * buckets rows at most
         counts[int(target), bucket] = n
@@ -104,7 +104,7 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 2048) -> float:
 
 
 def importance_resample(
-    docs: DataFrame, labels: DataFrame, keep: float | None = None, buckets: int = 10_000, smoothing: float = 1.0, length: float = 200.0, seed: int = 13
+    docs: DataFrame, labels: DataFrame, keep: float | None = None, buckets: int = 10_000, smoothing: float = 1.0, length: float | None = None, seed: int = 13
 ) -> DataFrame:
     """The sample: (doc_id, log_weight, gumbel_key) of the k documents drawn from ``docs``.
 
@@ -119,7 +119,7 @@ def importance_resample(
     # A shuffle at every size: labels grow with the documents, and a text is moved once.
     marked = rows.join(good.hint("merge"), F.col("id") == F.col("g"), "left").select(F.col("g").isNotNull().alias("target"), "text")
     ratio = log_ratios(marked, buckets, smoothing)
-    scored = rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))).select("id", "text", "tie").mapInArrow(_scores(ratio, length), "doc_id long, tie long, log_weight double")
+    scored = rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))).select("id", "text", "tie").mapInArrow(frugal(_scores(ratio, length)), "doc_id long, tie long, log_weight double")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", "tie")), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     keyed = stored(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "resample-keys")
     total = keyed.count()
