@@ -40,6 +40,8 @@ WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
 GRAMS = (3, 4, 5)
 #: Documents of each label that training takes at most, by ascending hash of the id.
 TRAIN_DOCS = 2000
+#: Characters of each label that training takes at most.
+TRAIN_CHARS = 20_000_000
 
 
 def split(text: str | None) -> list[str]:
@@ -330,10 +332,11 @@ class Scorer:
         return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS) -> tuple[list[str], list[int], float]:
-    """Texts and labels to learn from, at most ``per_label`` of each label, and the share of toxic ones.
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> tuple[list[str], list[int], float]:
+    """Texts and labels to learn from, at most ``per_label`` and ``chars`` of each label, and the share of toxic ones.
 
-    Rows whose crc32 of the id's decimal text is divisible by 5 are held out.
+    Rows whose crc32 of the id's decimal text is divisible by 5 are held out. Of an id's texts
+    the shortest is taken; one that would exceed ``chars`` is passed over.
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("l_toxic"))
     one = one.where(F.crc32(F.col("l_id").cast("string")) % 5 != 0)
@@ -344,10 +347,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_D
     if not ids:
         return [], [], share
     spark = docs.sparkSession
-    chosen = spark.createDataFrame([(k, v) for k, v in ids.items()], "l_id long, l_toxic int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), F.col("id") == F.col("l_id"))
-    found = sorted(rows.select("id", "text", "l_toxic").collect(), key=lambda r: (r[0], r[1] or ""))
-    return [r[1] or "" for r in found], [r[2] for r in found], share
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    chosen = spark.createDataFrame([(k,) for k in ids], "l_id long")
+    sizes = rows.join(F.broadcast(chosen), F.col("id") == F.col("l_id")).select("id", F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h")).alias("t")).groupBy("id").agg(F.min("t").alias("t"))
+    left, wanted = {0: chars, 1: chars}, []
+    for i, n, h in sorted((r.id, r.t.n, r.t.h) for r in sizes.collect()):  # a row for each chosen id at most
+        if n <= left[ids[i]]:
+            left[ids[i]] -= n
+            wanted.append((i, h))
+    picked = spark.createDataFrame(wanted, "l_id long, l_hash long")
+    texts = rows.join(F.broadcast(picked), (F.col("id") == F.col("l_id")) & (F.xxhash64("text") == F.col("l_hash"))).dropDuplicates(["l_id"])
+    found = sorted((r.id, r.text) for r in texts.select("id", "text").collect())
+    return [t for _, t in found], [ids[i] for i, _ in found], share
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Network:
@@ -380,5 +391,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = fit(docs, table(spark, sf_dir, "labels"))
     scored = with_scores(docs.select("doc_id", "text"), net)
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
