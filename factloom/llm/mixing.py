@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Interior points of the interval that one aggregate tries, and aggregates: 33 ** 7 parts.
@@ -138,7 +138,9 @@ def block_permutations(units: DataFrame, weights: DataFrame, seed: int, block_to
     same = F.col("source").eqNullSafe(F.col("f_source")) & (F.col("epoch") == F.col("f_epoch")) & (F.col("bucket") == F.col("f_bucket"))
     placed = rows.withColumn("inside", inside).join(firsts, same)
     start = F.col("epoch") * F.col("tokens") + F.col("first") + F.col("inside")
-    placed = placed.withColumn("start", start).where((F.col("start") < F.col("budget")) | (F.col("tokens") == 0))
+    # What has no tokens and stands behind the last of a whole pass is of that pass.
+    behind = (F.col("size") == 0) & (F.col("start") == F.col("budget"))
+    placed = placed.withColumn("start", start).where((F.col("start") < F.col("budget")) | (F.col("tokens") == 0) | behind)
     block = F.when(F.col("per_block") > 0, F.floor(F.col("start") / F.col("per_block"))).otherwise(0).cast("long")
     return placed.select("doc_id", "source", "text_md5", "n_tokens", "n_rows", "epoch", block.alias("block"), "order_key")
 
@@ -151,14 +153,14 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, repetition_limit:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with its columns."""
-    names = ["_mix_id", "_mix_source", "_mix_md5"]
+    names = unused(docs, "_mix_id", "_mix_source", "_mix_md5")
     places = mix(docs, **options).select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "source", "text_md5"), names, strict=True)])
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & F.col("source").cast("string").eqNullSafe(F.col(names[1])) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col(names[2]))
     return docs.join(places, same).select(*[docs[c] for c in docs.columns])
 
 
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", "block", "order_key")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "n_rows", "epoch", "block", "order_key")
 
 
 OP10_SQL = """
@@ -198,6 +200,6 @@ keyed AS (
 placed AS (
   SELECT *, epoch * tokens + sum(n_tokens * n_rows) OVER (PARTITION BY source, epoch ORDER BY order_key, doc_id, text_md5 ROWS UNBOUNDED PRECEDING) - n_tokens * n_rows AS start
   FROM keyed)
-SELECT doc_id, source, n_tokens, epoch, CASE WHEN per_block > 0 THEN floor(start / per_block) ELSE 0 END::BIGINT AS block, order_key
-FROM placed WHERE start < budget OR tokens = 0
+SELECT doc_id, source, n_tokens, n_rows::BIGINT AS n_rows, epoch, CASE WHEN per_block > 0 THEN floor(start / per_block) ELSE 0 END::BIGINT AS block, order_key
+FROM placed WHERE start < budget OR tokens = 0 OR (n_tokens = 0 AND start = budget)
 """
