@@ -150,6 +150,20 @@ def test_groups_of_empty_tables_and_one_of_each(spark, odd):
     assert ids == sorted({i or 0 for i, _ in ODD})
 
 
+def test_lanes_bound_every_overlap(spark):
+    rng = random.Random(3)
+    sets = [[rng.randrange(-(1 << 63), 1 << 63) for _ in range(rng.choice((0, 1, 40, 500, 12_000)))] for _ in range(12)]
+    sets += [s[: len(s) // 2] + s[: len(s) // 3] for s in sets]
+    rows = [(bytes([k]), s[: len(s) // 4], None, s[len(s) // 4 :]) for k, s in enumerate(sets)]
+    got = ngram_join.lanes(spark.createDataFrame(rows, "cls binary, f0 array<long>, f1 array<long>, f2 array<long>"))
+    a = got.select(F.col("cls").alias("a"), *[F.col(c).alias(f"a{c}") for c in ngram_join.LANE_COLUMNS])
+    pairs = a.crossJoin(got).select("a", "cls", ngram_join.lane_bound([F.col(f"a{c}") for c in ngram_join.LANE_COLUMNS], [F.col(c) for c in ngram_join.LANE_COLUMNS]).alias("bound"))
+    counts = [np.bincount((np.array(s, "i8").view("u8") % 63).astype("i8"), minlength=63) for s in sets]
+    for r in pairs.collect():
+        x, y = counts[r.a[0]], counts[r.cls[0]]
+        assert r.bound == (np.minimum(x, y).sum() if max(x.max(), y.max()) <= 127 else None)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(bytes([k]), bytes([k + 1])) for k in range(40)] + [(bytes([200]), bytes([100]))], "a binary, b binary")
     got = {bytes(r.node)[0]: bytes(r.root)[0] for r in ngram_join.components(edges).collect()}
@@ -520,3 +534,153 @@ def test_mixed_documents_cover_all(spark, odd):
     got = collections.Counter((r.doc_id, r.text) for r in out.collect())
     assert set(got) == {(i, t) for i, t in ODD} and all(got[i, t] >= ODD.count((i, t)) for i, t in ODD)
     assert mixing.mixed_documents(docs.limit(0), cover=True).count() == 0
+
+
+def test_names_that_operators_use_inside_may_be_columns(spark, odd):
+    docs = odd.withColumns({n: F.lit(1) for n in ("k_id", "k_hash", "k_n", "K_ID_", "_mix_id", "_mix_source", "_mix_md5", "cls", "node", "h")}).withColumn("source", F.lit("s"))
+    assert ngram_join.one_of_each_group(docs).columns == docs.columns and mixing.mixed_documents(docs, cover=True).columns == docs.columns
+    assert ngram_join.one_of_each_group(docs).count() == len({i for i, _ in ODD})
+
+
+# the pipeline's stages
+
+
+def test_stages_take_odd_rows(spark, odd, sf_dir):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(40)]
+    more = [(20, " ".join(words)), (21, " ".join(words)), (21, " ".join(words)), (22, " ".join([*words[:-1], "other"])), (None, None), (23, "x " * 60_000)]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    docs = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.when(F.col("doc_id") != 4, "s").alias("source"), F.length("text").alias("n_chars"), F.lit(1).alias("k_id"), F.lit(2).alias("_mix_id"), F.lit("a").alias("_toxicity"))
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, sf_dir), stage(spark, docs.limit(0), sf_dir)
+        assert none.count() == 0, name
+        got = collections.Counter(r.doc_id for r in out.select("doc_id").collect())
+        if name == "token_ids":
+            assert sum(got.values()) == docs.count()
+        else:
+            assert out.columns == docs.columns, name
+        if name == "near_copies":
+            assert set(got) == ids - {21, 22} and max(got.values()) <= 2
+        elif name != "toxicity":
+            assert set(got) == ids, name
+
+
+# what the registered queries rest on, by hand
+
+
+def test_resampling_keys_by_hand(spark):
+    rng = random.Random(31)
+    rows = [(k, " ".join(rng.choice(("ab", "cd", "ef", "gh", "X!")) for _ in range(rng.randint(0, 12)))) for k in range(80)] + [(None, "ab ab"), (7, None), (90, "ab " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 3 == 0) for k in range(60)], "doc_id long, quality boolean").withColumn("quality", F.col("quality").cast("int"))
+    buckets, seed = 97, 13
+    words = {w: resampling.Words()[w] for _, t in rows for w in resampling._SPLIT.findall((t or "").lower())}
+
+    def grams(t):
+        h = [words[w] for w in resampling._SPLIT.findall((t or "").lower())]
+        pairs = [((a * 0x9E3779B97F4A7C15 + b) * 0xD6E8FEB86659FD93) % (1 << 64) for a, b in zip(h, h[1:])]
+        return [(x >> 11) % buckets for x in h + pairs]
+
+    raw, good = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i is not None and i < 60 and i % 3 == 0:
+            good.update(grams(t))
+    p = lambda c: {b: (c[b] + 1) / (sum(c.values()) + buckets) for b in range(buckets)}
+    p_raw, p_good = p(raw), p(good)
+    weight = lambda t: sum(np.log(p_good[g]) - np.log(p_raw[g]) for g in grams(t))
+    noise = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))).alias("x")).collect()
+    keys = sorted(((weight(r.text) - np.log(-np.log(((r.x % (1 << 64)) >> 11) / 2**53 + 0.5 / 2**53)), r.doc_id) for r in noise), key=lambda k: -k[0])
+    out = resampling.importance_resample(docs, labels, buckets=buckets, seed=seed).collect()
+    k = round(len(rows) / 3)
+    assert len(out) == k
+    got = sorted(((r.gumbel_key, r.doc_id) for r in out), key=lambda k: -k[0])
+    assert [i for _, i in got] == [i for _, i in keys[:k]] and np.allclose([x for x, _ in got], [x for x, _ in keys[:k]])
+    mean = {r.doc_id: r.log_weight for r in resampling.importance_resample(docs, labels, keep=1.0, buckets=buckets, length=50.0).collect()}
+    assert np.isclose(mean[90], 50 * weight(rows[-1][1]) / len(grams(rows[-1][1])))
+    none = spark.createDataFrame([(None, "same text")] * 40, "doc_id long, text string")
+    assert resampling.importance_resample(none, labels, keep=0.5).count() == 20
+
+
+def test_toxicity_scores_by_hand():
+    """Scores of batches equal those of one window of one text at a time, worked out step by step."""
+    rng = random.Random(32)
+    word = lambda: "".join(rng.choice(["ba", "do", "mi", "ru"]) for _ in range(rng.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(n)) for n in (1, 3, 31, 32, 33, 48, 49, 100)] + ["", "..."]
+    net = toxicity.train([*texts, "ba grolk ru"] * 4, [0, 1] * 22, 0.25, rounds=1)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    p, size = net.p, toxicity.HIDDEN
+
+    def embedded(w):
+        g, _ = toxicity.grams([w])
+        return np.concatenate([p["word"][zlib.crc32(w.encode()) & (toxicity.WORD_BUCKETS - 1)], p["gram"][g].sum(0) / np.sqrt(len(g))])
+
+    def run(way, xs):
+        h, out = np.zeros(size), []
+        for x in xs:
+            q, g = x @ p[f"W{way}"] + p[f"b{way}"], h @ p[f"U{way}"]
+            z, r = sigmoid(q[:size] + g[:size]), sigmoid(q[size : 2 * size] + g[size : 2 * size])
+            n = np.tanh(q[2 * size :] + r * g[2 * size :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    def window(words):
+        xs = [embedded(w) for w in words]
+        states = np.concatenate([run("f", xs), run("b", xs[::-1])[::-1]], 1)
+        e = np.exp(np.tanh(states @ p["A"] + p["a"]) @ p["v"])
+        return float((e / e.sum()) @ states @ p["o"] + p["c"][0])
+
+    def score(text):
+        words = toxicity.split(text)
+        if not words:
+            return net.base
+        first = [0, *range(toxicity.STEP, len(words) - toxicity.WINDOW + toxicity.STEP, toxicity.STEP)]
+        return sigmoid(max(window(words[k : k + toxicity.WINDOW]) for k in first))
+
+    scorer = toxicity.Scorer(net, kept=20)
+    want = [score(t) for t in texts]
+    assert np.allclose(scorer(texts), want, atol=1e-4) and np.allclose([scorer([t])[0] for t in texts], want, atol=1e-4)
+
+
+def test_toxicity_training_is_bounded(spark):
+    docs = spark.createDataFrame([(k, "word " * 100) for k in range(50)] + [(1, "short"), (1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
+    texts, toxic, share = toxicity.labelled_sample(docs, labels, per_label=10, chars=1600)
+    assert sum(map(len, texts)) <= 3200 and 4 <= len(texts) <= 20 and len(texts) == len(toxic) and 0.3 < share < 0.7
+    assert all(len(t) in (0, 500) for t in texts)
+
+
+def test_warc_attempts_and_hot_payloads(spark):
+    """Many equal payloads go past the join, and a second attempt's files are its own."""
+    pages = [(k, f"u{k}", ("hot " * 40) if k % 3 else ("cold %d " % (k % 50)) * 20) for k in range(900)] + [(None, None, None)] * 3 + [(2000 + k, "s", "small") for k in range(300)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    folder = scratch(spark, "w")
+    first = warc.write_archives(frame.repartition(5), folder, file_bytes=20_000)
+    again = warc.write_archives(frame.orderBy(F.rand(3)).repartition(3), folder, file_bytes=30_000)
+    for files in (first, again):
+        rows = warc.read_archives(files).collect()
+        assert collections.Counter(r.page_id for r in rows) == collections.Counter(i for i, _, _ in pages)
+        refers = {r.page_id: r.refers_to for r in rows}
+        assert refers[1] is None and refers[4] == 1 and refers[899] == 1 and refers[2299] is None
+        assert sum(r.record_type == "revisit" for r in rows) == 599 + 300 - 50
+    assert not {r.path for r in first.collect()} & {r.path for r in again.collect()}
+
+
+def test_encoder_of_another_file_and_small_memory(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    told = json.load(open(path, encoding="utf-8"))
+    told["normalizer"] = {"type": "NFC"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(told), encoding="utf-8")
+    for file, kept in ((str(other), 10**8), (path, 5_000)):
+        tok, enc, rng = Tokenizer.from_file(file), wavelet.WordEncoder(file, kept=kept), random.Random(8)
+        for _ in range(60):
+            t = [" ".join(rng.choice(("Some", "words", "IT'S", "né", "a-b", "12")) + str(rng.randint(0, 30)) for _ in range(20)) for _ in range(3)]
+            assert enc(t) == [np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in t]
