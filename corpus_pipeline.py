@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, mixing, ngram_join, toxicity, wavelet
-from factloom.llm.common import stored, table
+from factloom.llm.common import dropped, stored, table
 from factloom.session import ship
 
 #: A source goes out at most so often; the mix is as large as this and whole sources need.
@@ -63,9 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
+        after = stage(spark, docs, sf_dir)
+        # The last stage has written its files by now, and its result is read from them.
+        docs = stored(after, f"pipeline-{name}") if k < len(STAGES) - 1 else after
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
