@@ -136,13 +136,18 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            trim()
 
     return wrapped
 
 
+def trim() -> None:
+    """Hands freed memory back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores as no column of ``df`` begins with, whatever its case."""
     taken = [c.lower() for c in df.columns]

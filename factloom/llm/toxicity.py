@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, pieces, table
+from .common import frugal, pieces, table, trim
 
 WORD = re.compile(r"\w+")
 #: Window and step in words.
@@ -362,8 +362,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_D
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Network:
-    texts, toxic, share = labelled_sample(docs, labels)
-    return train(texts, toxic, share, **options)
+    net = train(*labelled_sample(docs, labels), **options)
+    trim()
+    return net
 
 
 def with_scores(docs: DataFrame, net: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:
