@@ -32,56 +32,84 @@ def per_file(files: DataFrame, extract: Callable[[str, str], list[tuple]], colum
     return files.select("path", "text").mapInPandas(run, ", ".join(f"{c} {t}" for c, t in columns))
 
 
+# Type names of constants, and calls that count as work on sequences and texts.
+_HINTS = {bool: "boolean", int: "integer", float: "real", str: "string"}
+HOT_CALLS = frozenset(
+    "append extend insert pop remove sort reverse split join replace find index count strip startswith endswith encode decode format map filter reduce sorted zip enumerate".split()
+)
+
+
+def _named_constant(node: ast.stmt) -> tuple[str, object] | None:
+    """The name and value of ``name = constant`` or ``name: type = constant``; None is no constant."""
+    target = node.targets[0] if isinstance(node, ast.Assign) and len(node.targets) == 1 else node.target if isinstance(node, ast.AnnAssign) else None
+    if isinstance(target, ast.Name) and isinstance(node.value, ast.Constant) and node.value.value is not None:
+        return target.id, node.value.value
+    return None
+
+
+def _used(node: ast.AST) -> list[str]:
+    return [n.id for n in ast.walk(node) if isinstance(n, ast.Name)]
+
+
 def _facts(path: str, text: str) -> list[tuple]:
     tree, out = ast.parse(text), []
     for node in tree.body:
-        if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Constant):
-            v = node.value.value
-            kind = "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "real" if isinstance(v, float) else "string" if isinstance(v, str) else "unknown"
-            number = float(v) if kind in ("integer", "real") else None
-            out.append((path, "variable", node.targets[0].id, kind, None, number, node.lineno, 0.9))
+        named = _named_constant(node)
+        if named:
+            name, v = named
+            number = float(v) if type(v) in (int, float) else None
+            out.append((path, "variable", name, _HINTS.get(type(v), "unknown"), None, [], number, node.lineno, 0.9))
     for node in ast.walk(tree):
         if isinstance(node, ast.Assert) and isinstance(node.test, ast.Compare):
-            names = [n.id for n in ast.walk(node.test) if isinstance(n, ast.Name)]
-            out.append((path, "boundary", names[0] if names else f"assert_{node.lineno}", None, ast.unparse(node.test), None, node.lineno, 0.9))
-        if isinstance(node, ast.FunctionDef) and len(node.body) == 1 and isinstance(node.body[0], ast.Return):
-            value = node.body[0].value
+            names = _used(node.test)
+            out.append((path, "boundary", names[0] if names else f"assert_{node.lineno}", None, ast.unparse(node.test), names, None, node.lineno, 0.9))
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            # Docstrings and other bare constants aside, the body is one return of more than a name or constant.
+            rest = [x for x in node.body if not (isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant))]
+            value = rest[0].value if len(rest) == 1 and isinstance(rest[0], ast.Return) else None
             if value is not None and not isinstance(value, (ast.Constant, ast.Name)):
-                out.append((path, "equation", node.name, None, f"{node.name} = {ast.unparse(value)}", None, node.lineno, 0.8))
+                out.append((path, "equation", node.name, None, f"{node.name} = {ast.unparse(value)}", list(dict.fromkeys(_used(value))), None, node.lineno, 0.8))
     return out
 
 
 def python_facts(files: DataFrame) -> DataFrame:
     """Constants of modules, asserted comparisons and functions of one returned expression."""
-    return per_file(files, _facts, [("path", "string"), ("kind", "string"), ("symbol", "string"), ("type_hint", "string"), ("expression", "string"), ("value", "double"), ("line", "long"), ("confidence", "double")])
+    columns = [("path", "string"), ("kind", "string"), ("symbol", "string"), ("type_hint", "string"), ("expression", "string"), ("variables", "array<string>"), ("value", "double"), ("line", "long"), ("confidence", "double")]
+    return per_file(files, _facts, columns)
 
 
-_LOOPS = (ast.For, ast.While, ast.AsyncFor)
+_LOOPS = (ast.For, ast.While, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 
 
 def _depth(node: ast.AST, now: int = 0) -> int:
+    """Deepest nesting of loops and comprehensions; ``async for`` is none."""
     here = now + isinstance(node, _LOOPS)
     return max([here, *(_depth(c, here) for c in ast.iter_child_nodes(node))])
 
 
+def _called(node: ast.AST) -> list[str]:
+    """Names of calls, by name or by attribute."""
+    found = (n.func for n in ast.walk(node) if isinstance(n, ast.Call))
+    return [f.id if isinstance(f, ast.Name) else f.attr for f in found if isinstance(f, (ast.Name, ast.Attribute))]
+
+
 def _functions(path: str, text: str) -> list[tuple]:
     out = []
     for node in ast.walk(ast.parse(text)):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            inner = list(ast.walk(node))
-            calls = [n for n in inner if isinstance(n, ast.Call)]
-            again = sum(isinstance(c.func, ast.Name) and c.func.id == node.name for c in calls)
-            ops = sum(isinstance(n, (ast.BinOp, ast.AugAssign, ast.UnaryOp)) for n in inner)
-            span = (node.end_lineno or node.lineno) - node.lineno + 1
-            depth = _depth(node)
-            score = round(depth * 3 + ops * 1.5 + again * 5 + len(calls) * 0.2 + span * 0.05, 2)
-            out.append((path, node.name, depth, ops, again, len(calls), span, score))
+            calls, depth = _called(node), _depth(node)
+            ops, again = sum(c in HOT_CALLS for c in calls), node.name in calls
+            span = max((node.end_lineno or node.lineno) - node.lineno + 1, 1)
+            out.append((path, node.name, depth, ops, again, len(calls), span, round(depth * 3.0 + ops * 1.5 + 5.0 * again + len(calls) * 0.2 + span * 0.05, 2)))
     return out
 
 
+SCORED = [("path", "string"), ("function", "string"), ("depth", "long"), ("ops", "long"), ("recursive", "boolean"), ("calls", "long"), ("span", "long"), ("score", "double")]
+
+
 def function_scores(files: DataFrame) -> DataFrame:
-    """Depth of loops, operations, recursion, calls, length and their weighted sum for each function."""
-    return per_file(files, _functions, [("path", "string"), ("function", "string"), ("depth", "long"), ("ops", "long"), ("recursion", "long"), ("calls", "long"), ("span", "long"), ("score", "double")])
+    """Depth of loops, sequence work, recursion, calls, length and their weighted sum for each Python function."""
+    return per_file(files, _functions, SCORED)
 
 
 def file_density(scores: DataFrame) -> DataFrame:
@@ -188,6 +216,59 @@ def lexical_tokens(files: DataFrame) -> DataFrame:
     return per_file(files, _lexical, [("path", "string"), ("n", "long"), ("kind", "string"), ("text", "string"), ("depth", "long")])
 
 
+def _symbols(path: str, text: str) -> list[tuple]:
+    tree = list(ast.walk(ast.parse(text)))
+    functions = sorted({n.name for n in tree if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))})
+    return [(path, functions, sorted({n.name for n in tree if isinstance(n, ast.ClassDef)}))]
+
+
+def python_symbols(files: DataFrame) -> DataFrame:
+    """(path, functions, types) of Python files, each sorted and distinct."""
+    return per_file(files, _symbols, [("path", "string"), ("functions", "array<string>"), ("types", "array<string>")])
+
+
+# Types of nodes that hold a declaration's name.
+NAME_TYPES = ("identifier", "type_identifier", "name", "field_identifier")
+
+
+def declared_symbols(nodes: DataFrame) -> DataFrame:
+    """(file, functions, types) of syntax nodes (file, id, parent, type, kind, text).
+
+    A declaration's name is the first name below it, level by level. A file's nodes are one
+    task's work, as a file is one row's elsewhere.
+    """
+
+    def named(pdf: pd.DataFrame) -> pd.DataFrame:
+        below: dict[int, list[int]] = {}
+        for child, parent in zip(pdf["id"], pdf["parent"], strict=True):
+            if not pd.isna(parent):
+                below.setdefault(int(parent), []).append(int(child))
+        kind, text = dict(zip(pdf["id"], pdf["type"], strict=True)), dict(zip(pdf["id"], pdf["text"], strict=True))
+
+        def name(of: int) -> str | None:
+            level = sorted(below.get(of, []))
+            while level:
+                found = next((n for n in level if kind[n] in NAME_TYPES), None)
+                if found is not None:
+                    return text[found]
+                level = [c for n in level for c in sorted(below.get(n, []))]
+            return None
+
+        symbols = {k: sorted({name(int(i)) for i in pdf.loc[pdf["kind"] == k, "id"]} - {None}) for k in ("function_declaration", "type_declaration")}
+        return pd.DataFrame({"file": [pdf["file"].iloc[0]], "functions": [symbols["function_declaration"]], "types": [symbols["type_declaration"]]})
+
+    rows = nodes.select(F.col("file").cast("string").alias("file"), "id", "parent", "type", "kind", "text")
+    return rows.groupBy("file").applyInPandas(named, "file string, functions array<string>, types array<string>")
+
+
+def syntax_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, name, n): nodes (id, language, kind) by language and by kind, edges (src, dst, edge_type) by type, and both in all."""
+    count = lambda df, what, name: df.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "name", "n")
+    out = count(nodes, "language", F.coalesce("language", F.lit("unknown"))).unionByName(count(nodes.where("kind is not null"), "kind", F.col("kind")))
+    out = out.unionByName(count(edges, "edge", F.col("edge_type")))
+    return out.unionByName(count(nodes, "total", F.lit("nodes"))).unionByName(count(edges, "total", F.lit("edges")))
+
+
 def consolidated(bodies: DataFrame) -> DataFrame:
     """(name, files) of functions (path, name, body) whose normalised body stands in two files or more."""
     same = F.sha2(F.regexp_replace("body", r"\s+", " "), 256)
