@@ -24,6 +24,13 @@ NAME_HINTS = [
     ("c", ["c_core", "clang", "_c_"]),
 ]
 COMPILED = ["cpp", "c", "rust", "fortran"]
+# Languages of an extension, the order in which ties are decided, and words that name languages only.
+LANGUAGES_OF_EXTENSION = {
+    ".cpp": ["cpp"], ".cc": ["cpp"], ".cxx": ["cpp"], ".hpp": ["cpp"], ".hh": ["cpp"], ".h": ["cpp", "c"], ".c": ["c"], ".rs": ["rust"],
+    ".py": ["python"], ".pyi": ["python"], ".f90": ["fortran"], ".f": ["fortran"], ".f95": ["fortran"],
+}
+EXTENSION_ORDER = ["cpp", "c", "rust", "python", "fortran"]
+LANGUAGE_WORDS = ["cpp", "rust", "python", "py", "c", "fortran"]
 MECHANISMS = {"cpp": "pybind11", "c": "ctypes", "rust": "pyo3", "fortran": "ctypes"}
 
 # Names of files that are not hot, and the density from which others are.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,6 +48,7 @@ def objective_vector(rows: DataFrame, record: str = "record", success: str | Non
     return rows.withColumns({"accuracy_score": S.objective(accuracy), "inverse_wall_seconds": S.inverse_seconds(seconds), "compression_ratio": S.objective(first(COMPRESSION))})
 
 
+# A line's verdict, and its error.
 VERDICT = r"(?i)^\s*([\w./\-]+)\s*[:=]\s*(PASS|FAIL|OK|ERROR)\b"
 ERROR = rf"(?i)^\s*([\w./\-]+)\s+.*?error\s*[=:]\s*({NUMBER})"
 
@@ -96,33 +98,150 @@ def hot_groups(rows: DataFrame, fields: str, least: int = 2) -> DataFrame:
     return rows.groupBy(label.alias("label")).agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
+# Faults of a Rust build.
+METHOD = r"no method named `([^`]+)` found for [\w ]+ `([^`]+)`"
+UNRESOLVED = r"unresolved import `([^`]+)`"
+
+
 def rust_diagnoses(rows: DataFrame, text: str = "out") -> DataFrame:
     """(id, kind, name, receiver) of missing methods and unresolved imports."""
-    method = r"no method named `([^`]+)` found for [\w ]+ `([^`]+)`"
-    unresolved = r"unresolved import `([^`]+)`"
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(method), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(method), F.lit(2)).alias("b"))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(METHOD), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(METHOD), F.lit(2)).alias("b"))
     bare = F.regexp_replace(F.regexp_replace("m.b", r"^(&|mut\s+|\s)+", ""), r"<.*$", "")
     methods = rows.select("id", F.explode(pairs).alias("m")).select("id", F.lit("method_not_found").alias("kind"), F.col("m.a").alias("name"), bare.alias("receiver"))
-    imports = rows.select("id", F.explode(F.regexp_extract_all(text, F.lit(unresolved), F.lit(1))).alias("name")).select("id", F.lit("unresolved_import").alias("kind"), "name", F.lit(None).cast("string").alias("receiver"))
+    imports = rows.select("id", F.explode(F.regexp_extract_all(text, F.lit(UNRESOLVED), F.lit(1))).alias("name")).select("id", F.lit("unresolved_import").alias("kind"), "name", F.lit(None).cast("string").alias("receiver"))
     return methods.unionByName(imports)
 
 
-_SPAN = "struct<file_name:string,line_start:int,is_primary:boolean>"
+def locked_versions(text: Column) -> Column:
+    """Map of package to version of a lock file's text; of repeated packages the last."""
+    block = r'(?s)\[\[package\]\]\s*name = "([^"]+)"\s*version = "([^"]+)"'
+    names, versions = (F.regexp_extract_all(text, F.lit(block), F.lit(k)) for k in (1, 2))
+    pairs = F.arrays_zip(names.alias("name"), versions.alias("version"))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["name"] == p["name"]))
+    return F.map_from_entries(last)
+
+
+def rust_root_causes(rows: DataFrame, text: str = "out", declared: str = "declared", locked: str = "locked") -> DataFrame:
+    """(id, kind, name, receiver, crate, resolved_version, declared_version): of each text the first fault.
 
+    A missing method comes before an unresolved import. A path names its crate, as the declared
+    dependency that it is with ``-`` for ``_``; a bare type is of the only dependency, if there
+    is one. Versions are looked up in maps of name to version, declared and locked.
+    """
+    first = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    names = F.coalesce(F.map_keys(declared), F.array().cast("array<string>"))
+    found = rows.withColumns({"method": first(METHOD, 1), "seen": first(METHOD, 2), "path": first(UNRESOLVED, 1)}).where("method is not null or path is not null")
+    receiver = F.when(F.col("method").isNotNull(), F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim("seen"), "^&+", ""), r"^\s*mut\s+", ""), "<.*$", ""))).otherwise(F.col("path"))
+    found = found.withColumn("receiver", receiver).withColumn("head", F.substring_index("receiver", "::", 1))
+    known = F.get(F.filter(names, lambda d: F.replace(d, F.lit("-"), F.lit("_")) == F.replace(F.col("head"), F.lit("-"), F.lit("_"))), F.lit(0))
+    bare = F.when(F.size(names) == 1, F.get(names, F.lit(0))).otherwise("")
+    crate = F.when(F.col("method").isNull(), F.col("head")).when(F.contains("receiver", F.lit("::")), F.coalesce(known, "head")).otherwise(bare)
+    found = found.withColumn("crate", crate)
+    look = lambda m: F.coalesce(F.try_element_at(m, F.col("crate")), F.try_element_at(m, F.replace("crate", F.lit("-"), F.lit("_"))))
+    kind = F.when(F.col("method").isNotNull(), "method_not_found").otherwise("unresolved_import")
+    return found.select("id", kind.alias("kind"), F.col("method").alias("name"), "receiver", "crate", look(F.col(locked)).alias("resolved_version"), look(F.col(declared)).alias("declared_version"))
+
+
+_SPAN = "struct<file_name:string,line_start:int,column_start:int,byte_start:bigint,byte_end:bigint,is_primary:boolean>"
+_RUST = f"`$message_type` string, message string, level string, code struct<code:string>, spans array<{_SPAN}>"
+_GCC = "array<struct<kind:string,message:string,option:string,locations:array<struct<caret:struct<file:string,line:int,column:int,`byte-column`:bigint>,finish:struct<`byte-column`:bigint>>>>>"
 
-def compiler_messages(rows: DataFrame, text: str = "line") -> DataFrame:
-    """(id, level, code, message, file, line) of JSON diagnostics; of the primary span, else the first."""
-    shape = f"reason string, message struct<level:string,message:string,code:struct<code:string>,spans:array<{_SPAN}>>"
-    j = rows.withColumn("j", F.from_json(text, shape)).where("j.message is not null")
-    spans = F.coalesce(F.col("j.message.spans"), F.array().cast(f"array<{_SPAN}>"))
-    span = F.coalesce(F.get(F.filter(spans, lambda s: s["is_primary"]), F.lit(0)), F.get(spans, F.lit(0)))
-    return j.select("id", F.col("j.message.level").alias("level"), F.col("j.message.code.code").alias("code"), F.col("j.message.message").alias("message"), span["file_name"].alias("file"), span["line_start"].alias("line")).where("level = 'error'")
 
+def rustc_messages(rows: DataFrame, text: str = "out", errors_only: bool = True) -> DataFrame:
+    """Diagnostics of JSON lines, bare or in the build tool's envelope; at the primary span, else the first.
 
-def inferred_targets(names: DataFrame) -> DataFrame:
-    """(name, language, role): by hints in the name, else python."""
-    language = F.when(S.language_of_name(F.col("name")) == "unknown", "python").otherwise(S.language_of_name(F.col("name")))
-    rows = names.withColumn("language", language)
+    Lines that are no JSON, of another message type, or without a span give none.
+    """
+    lines = rows.select("id", F.explode(F.split(text, r"\r?\n")).alias("raw")).where(F.ltrim("raw").startswith("{"))
+    inner = F.when(F.get_json_object("raw", "$.reason") == "compiler-message", F.get_json_object("raw", "$.message")).otherwise(F.col("raw"))
+    j = lines.select("id", F.from_json(inner, _RUST).alias("j")).select("id", "j.*")
+    span = F.coalesce(F.get(F.filter("spans", lambda s: s["is_primary"]), F.lit(0)), F.get("spans", F.lit(0)))
+    j = j.where(F.coalesce(F.col("$message_type"), F.lit("diagnostic")) == "diagnostic").withColumn("s", span).where("message is not null and s is not null")
+    out = j.select(
+        "id",
+        F.lit("rustc").alias("source"),
+        F.coalesce("level", F.lit("error")).alias("level"),
+        F.col("code.code").alias("code"),
+        "message",
+        F.coalesce("s.file_name", F.lit("")).alias("file"),
+        F.coalesce("s.line_start", F.lit(1)).alias("line"),
+        F.coalesce("s.column_start", F.lit(1)).alias("column"),
+        F.col("s.byte_start").alias("start_byte"),
+        F.col("s.byte_end").alias("end_byte"),
+    )
+    return out.where("level = 'error'") if errors_only else out
+
+
+def gcc_messages(rows: DataFrame, text: str = "out", errors_only: bool = True) -> DataFrame:
+    """Diagnostics of JSON arrays, one a translation unit and line, at the first location's caret."""
+    lines = rows.select("id", F.explode(F.split(text, r"\r?\n")).alias("raw")).where(F.ltrim("raw").startswith("["))
+    d = lines.select("id", F.explode(F.from_json("raw", _GCC)).alias("d")).where("d is not null").select("id", "d.*").withColumn("at", F.get("locations", F.lit(0)))
+    out = d.select(
+        "id",
+        F.lit("gcc").alias("source"),
+        F.coalesce("kind", F.lit("error")).alias("level"),
+        F.col("option").alias("code"),
+        F.coalesce("message", F.lit("")).alias("message"),
+        F.coalesce("at.caret.file", F.lit("")).alias("file"),
+        F.coalesce("at.caret.line", F.lit(1)).alias("line"),
+        F.coalesce("at.caret.column", F.lit(1)).alias("column"),
+        F.col("at.caret.byte-column").alias("start_byte"),
+        F.col("at.finish.byte-column").alias("end_byte"),
+    )
+    return out.where("level = 'error'") if errors_only else out
+
+
+def compiler_messages(rows: DataFrame, text: str = "out", errors_only: bool = True) -> DataFrame:
+    """(id, source, level, code, message, file, line, column, start_byte, end_byte) of either compiler's JSON."""
+    return rustc_messages(rows, text, errors_only).unionByName(gcc_messages(rows, text, errors_only))
+
+
+# What a diagnostic is about, by code or by parts of its message; the first that holds.
+CATEGORIES = [
+    ("pyo3_glob_import", "contains(msg, 'pymodule') and contains(msg, 'glob')"),
+    ("missing_crate", "code in ('E0433', 'E0405')"),
+    ("duplicate_definition", "code = 'E0428' or contains(msg, 'is defined multiple times')"),
+    ("unresolved_parent_import", "(code = 'E0432' or contains(msg, 'unresolved import')) and contains(msg, 'super::')"),
+    ("mismatched_slice_type", "code = 'E0308' and contains(raw, 'expected `&[') and contains(raw, 'found `&[[')"),
+    (
+        "missing_import",
+        "code = 'E0432' or contains(msg, 'unresolved import') or contains(msg, 'could not be resolved') or contains(code, 'REPORTMISSINGIMPORTS')"
+        " or contains(msg, 'is not defined') or contains(code, 'REPORTUNDEFINEDVARIABLE')",
+    ),
+    (
+        "immutable_assignment",
+        "code in ('E0384', 'E0594', 'E0596') or (contains(msg, 'cannot assign') and contains(msg, 'immutable')) or (contains(msg, 'cannot borrow') and contains(msg, 'as mutable'))",
+    ),
+    ("missing_semicolon", "contains(msg, concat('expected ', chr(39), ';', chr(39))) or contains(msg, 'expected semi') or code = 'EXPECTED_SEMICOLON' or (contains(msg, 'expected') and contains(msg, '`;`'))"),
+]
+
+
+def diagnosis_categories(messages: DataFrame) -> DataFrame:
+    """``messages`` (code, message, ...) with ``category``, null where none holds."""
+    views = {"code": "upper(coalesce(code, ''))", "msg": "lower(message)", "raw": "message"}
+    rule = lambda text: re.sub(r"(?<![\w'`])(code|msg|raw)\b", lambda m: views[m[1]], text)
+    return messages.withColumn("category", F.expr("case " + " ".join(f"when {rule(r)} then '{name}'" for name, r in CATEGORIES) + " end"))
+
+
+def inferred_targets(names: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(name, language, role): by hints in the name, else by the most frequent language of its files, else python.
+
+    A file (path) is of a target whose name has a part that stands in the path, language names aside.
+    """
+    rows = names.withColumn("language", S.language_of_name(F.col("name")))
+    if files is not None:
+        parts = F.filter(F.split(F.replace(F.lower("name"), F.lit("-"), F.lit("_")), "_"), lambda p: p != "")
+        own = F.filter(parts, lambda p: ~p.isin(*S.LANGUAGE_WORDS))
+        sought = rows.where("language = 'unknown'").select("name", F.explode(F.when(F.size(own) > 0, own).otherwise(parts)).alias("part"))
+        known = F.create_map(*[x for e, ls in S.LANGUAGES_OF_EXTENSION.items() for x in (F.lit(e), F.array(*map(F.lit, ls)))])
+        typed = files.select(F.lower("path").alias("path"), F.try_element_at(known, F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).alias("languages")).where("languages is not null")
+        # Targets are a configuration's and few; files meet them by the parts of their paths' words.
+        hits = typed.join(sought, F.contains("path", F.col("part"))).select("name", "path", F.explode("languages").alias("language")).distinct()
+        votes = hits.groupBy("name", "language").agg(F.count("*").alias("n"))
+        order = F.create_map(*[x for k, lang in enumerate(S.EXTENSION_ORDER) for x in (F.lit(lang), F.lit(-k))])
+        best = votes.groupBy("name").agg(F.max_by("language", F.struct("n", order[F.col("language")])).alias("voted"))
+        rows = rows.join(best, "name", "left").withColumn("language", F.when(F.col("language") == "unknown", F.coalesce("voted", F.lit("unknown"))).otherwise(F.col("language"))).drop("voted")
+    rows = rows.withColumn("language", F.when(F.col("language") == "unknown", "python").otherwise(F.col("language")))
     return rows.withColumn("role", F.when(F.col("language").isin(S.COMPILED), "core").otherwise("binding"))
 
 
