@@ -55,14 +55,35 @@ def read_lean(text: str) -> dict:
     return out
 
 
+def read_ini(text: str) -> dict:
+    """Sections of ``key = value`` lines, with literals; keys before any section are under ''."""
+    out: dict = {}
+    section = ""
+    for line in text.splitlines():
+        bare = line.strip()
+        if not bare or bare[0] in "#;":
+            continue
+        if bare.startswith("[") and bare.endswith("]"):
+            section = bare[1:-1].strip()
+            out.setdefault(section, {})
+        elif "=" in bare or ":" in bare:
+            key, _, value = re.split(r"([=:])", bare, maxsplit=1)
+            out.setdefault(section, {})[key.strip()] = literal(value)
+    return out
+
+
 def sniff(text: str) -> str:
-    """json, toml, blocks or lean: the first that the text looks like."""
+    """json, toml, blocks or lean: the first that the text looks like; sections that are no TOML are ini."""
     t = text.lstrip()
     if t.startswith("{"):
         return "json"
     if _BLOCK.search(text):
         return "blocks"
     if re.search(r"(?m)^\s*\[[^\]]+\]\s*$", text):
+        try:
+            tomllib.loads(text)
+        except tomllib.TOMLDecodeError:
+            return "ini"
         return "toml"
     return "lean"
 
@@ -73,7 +94,7 @@ def read(text: str):
         return json.loads(text)
     if kind == "toml":
         return tomllib.loads(text)
-    return read_blocks(text) if kind == "blocks" else read_lean(text)
+    return read_blocks(text) if kind == "blocks" else read_ini(text) if kind == "ini" else read_lean(text)
 
 
 def validated(targets: list[dict]) -> list[str]:

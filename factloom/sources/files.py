@@ -64,25 +64,43 @@ def listing(spark: SparkSession, folder: str, glob: str | None = None) -> DataFr
     return out.where(~skipped & ~F.concat(F.lit("/"), F.col("relative")).rlike(r"/\."))
 
 
-_PDF_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-_PDF_SHOW = re.compile(rb"\(((?:\\.|[^\\()])*)\)\s*Tj|\[((?:\\.|[^\]])*)\]\s*TJ", re.S)
-_PDF_PART = re.compile(rb"\(((?:\\.|[^\\()])*)\)")
+def workspace_bytes(files: DataFrame, skipped: tuple[str, ...] = (".git", "__pycache__", ".aero")) -> DataFrame:
+    """Total size of the Python files of a listing (path, extension, size), some folders left out."""
+    out = reduce(lambda a, b: a | b, [F.contains("path", F.lit(f"/{d}/")) for d in skipped])
+    return files.where(~out & (F.col("extension") == ".py")).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+# Streams with their dictionary, operators that show text, and escapes of literal strings.
+_PDF_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
+_PDF_SHOW = re.compile(rb"\((.*?)\)\s*Tj", re.S)
+_PDF_LIST = re.compile(rb"\[(.*?)\]\s*TJ", re.S)
+_PDF_PART = re.compile(rb"\((.*?)\)")
+_PDF_ESCAPE = re.compile(rb"\\(?:([0-7]{1,3})|([nrt()\\])|)", re.S)
+_PDF_SIGNS = {b"n": b"\n", b"r": b"\r", b"t": b"\t"}
+
+
+def pdf_literal(raw: bytes) -> str:
+    """A literal string's text: signs and octal numbers for what is escaped; other backslashes go."""
+
+    def one(m: re.Match) -> bytes:
+        octal, sign = m.groups()
+        return bytes([int(octal, 8) & 255]) if octal else _PDF_SIGNS.get(sign, sign or b"")
+
+    return _PDF_ESCAPE.sub(one, raw).decode("latin-1")
 
 
 def pdf_text(data: bytes) -> str:
-    """Shown strings of a PDF's streams, inflated where they are deflated."""
-    out = []
-    for m in _PDF_STREAM.finditer(data):
-        raw = m[1]
-        try:
-            raw = zlib.decompress(raw)
-        except zlib.error:
-            pass
-        for s in _PDF_SHOW.finditer(raw):
-            parts = [s[1]] if s[1] is not None else [p[1] for p in _PDF_PART.finditer(s[2])]
-            text = b"".join(parts)
-            out.append(re.sub(rb"\\([()\\])", rb"\1", text).decode("latin-1"))
-    return "\n".join(out)
+    """Shown strings of a PDF's streams, single ones before those of lists; a stream that can't be inflated is skipped."""
+    out: list[str] = []
+    for about, body in _PDF_STREAM.findall(data):
+        if b"FlateDecode" in about:
+            try:
+                body = zlib.decompress(body)
+            except zlib.error:
+                continue
+        shown = _PDF_SHOW.findall(body) + [part for several in _PDF_LIST.findall(body) for part in _PDF_PART.findall(several)]
+        out += [*map(pdf_literal, shown), "\n"]
+    return " ".join(out)
 
 
 def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

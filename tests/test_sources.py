@@ -13,9 +13,9 @@ def test_documents_and_listing(spark, tmp_path):
     (tmp_path / "sub" / "b.json").write_text("{}")
     (tmp_path / "sub" / "c.xyz").write_text("no")
     (tmp_path / "node_modules" / "d.py").write_text("x = 1")
-    (tmp_path / "e.pdf").write_bytes(b"%PDF\nstream\n" + zlib.compress(b"(Hello \\(you\\)) Tj [(a) 3 (b)] TJ") + b"\nendstream")
+    (tmp_path / "e.pdf").write_bytes(b"%PDF\n<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(b"(Hello \\(you\\)) Tj [(a) 3 (b)] TJ") + b"\nendstream")
     got = {r.path.rpartition("/")[2]: (r.format, r.text, r.error) for r in files.documents(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": ("text", "caf text", None), "b.json": ("json", "{}", None), "e.pdf": ("pdf", "Hello (you)\nab", None)}
+    assert got == {"a.txt": ("text", "caf text", None), "b.json": ("json", "{}", None), "e.pdf": ("pdf", "Hello (you) a b \n", None)}
     assert files.documents(spark, str(tmp_path / "none")).count() == 0
     assert sorted(r.relative for r in files.listing(spark, str(tmp_path)).collect()) == ["a.txt", "e.pdf", "sub/b.json", "sub/c.xyz"]
     assert files.listing(spark, str(tmp_path), "*.json").count() == 1
@@ -51,3 +51,11 @@ def test_port_graph(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps(body))
     nodes, wires = files.port_graph(spark, str(tmp_path / "g.json"))
     assert nodes.count() == 2 and [tuple(r) for r in wires.collect()] == [(1, "p", 2, "out")]
+
+
+def test_pdf_escapes_and_streams_that_cannot_be_inflated():
+    plain = b"<< /Length 10 >>\nstream\n(line1\\nline2 \\050in\\51 \\q) Tj [(Array) (Text)] TJ\nendstream\n"
+    broken = b"<< /Filter /FlateDecode >>\nstream\n(not shown) Tj\nendstream\n"
+    assert files.pdf_text(plain + broken) == "line1\nline2 (in) q Array Text \n"
+    assert files.pdf_text(b"no streams") == ""
+    assert files.pdf_literal(rb"a\tb\\c") == "a\tb\\c"
