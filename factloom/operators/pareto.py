@@ -1,8 +1,9 @@
 """Pareto fronts, crowding, hypervolume and selections from them.
 
-Fronts are taken in two phases: each partition keeps its own non-dominated points in
-numpy, and only those are compared with each other by a join, so the quadratic part sees
-the few that survive. Points with equal objectives don't dominate each other.
+A frontier is taken in a tree: each partition keeps its own non-dominated points in numpy,
+in half as many partitions they are reduced again, and so on while that leaves fewer; what
+then is too much for one task is compared by a join. Points with equal objectives don't
+dominate each other.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def dominates(a: str, b: str, objectives: list[str], minimize: bool) -> Column:
     """Whether a is as good in all and better in one. Null is the worst when minimizing, 0 when maximizing."""
@@ -25,34 +28,63 @@ def dominates(a: str, b: str, objectives: list[str], minimize: bool) -> Column:
     return reduce(lambda x, y: x & y, [p <= q for p, q in pairs]) & reduce(lambda x, y: x | y, [p < q for p, q in pairs])
 
 
-def _local(objectives: list[str], minimize: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
-        for batch in batches:
-            whole = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            x = whole[objectives].to_numpy("f8")
-            x = np.where(np.isnan(x), np.inf if minimize else 0.0, x) * (1 if minimize else -1)
-            order = np.lexsort(x.T[::-1])
-            front: list[int] = []
-            # In this order a later point never dominates an earlier one.
-            for i in order:
-                if front:
-                    f = x[front]
-                    if ((f <= x[i]).all(1) & (f < x[i]).any(1)).any():
-                        continue
-                front.append(i)
-            kept = whole.iloc[sorted(front)].reset_index(drop=True)
-        if kept is not None:
-            yield kept
-
-    return run
+def _front(x: np.ndarray, chunk: int = 512) -> np.ndarray:
+    """The distinct points that none dominates, minimized.
+
+    In order of their values a later point never dominates an earlier one; points are held
+    against the front so far many at a time, then against those of their own chunk.
+    """
+    values = np.unique(x, axis=0)
+    if len(values) > chunk:
+        # A few points that are good in all objectives take most others away at once.
+        rank = sum(np.argsort(np.argsort(values[:, k], kind="stable"), kind="stable") for k in range(values.shape[1]))
+        for good in values[np.argsort(rank, kind="stable")[:16]]:
+            values = values[~((good <= values).all(1) & (good < values).any(1))]
+    front = np.zeros((0, x.shape[1]))
+    for k in range(0, len(values), chunk):
+        part = values[k : k + chunk]
+        for f in range(0, len(front), 4096):
+            part = part[~(front[f : f + 4096, None] <= part).all(2).any(0)]
+        under = (part[:, None] <= part).all(2)
+        np.fill_diagonal(under, False)
+        front = np.concatenate([front, part[~under.any(0)]])
+    return front
+
+
+def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    left: pd.DataFrame | None = None
+    for batch in batches:
+        whole = batch if left is None else pd.concat([left, batch], ignore_index=True)
+        left = pd.DataFrame(_front(whole.to_numpy("f8")), columns=whole.columns)
+    if left is not None:
+        yield left
+
+
+#: Points that one task compares with each other in the last step of a frontier.
+LAST = 50_000
 
 
 def frontier(points: DataFrame, objectives: list[str], minimize: bool = True) -> DataFrame:
-    """The rows that no row dominates."""
-    local = points.mapInPandas(_local(objectives, minimize), points.schema)
-    other = local.select(*objectives).distinct()
-    return local.alias("a").join(other.alias("b"), dominates("b", "a", objectives, minimize), "left_anti")
+    """The rows that no row dominates. Null is the worst when minimizing, 0 when maximizing."""
+    keys = [f"_o{k}" for k in range(len(objectives))]
+    ddl = ", ".join(f"{k} double" for k in keys)
+    worst = F.lit(float("inf") if minimize else 0.0)
+    values = {k: F.coalesce(F.nanvl(F.col(o).cast("double"), worst), worst) * (1 if minimize else -1) + 0.0 for k, o in zip(keys, objectives, strict=True)}
+    # Only values travel; rows that have the front's come back by a join.
+    left = kept(points.select(*[v.alias(k) for k, v in values.items()]).mapInPandas(_local, ddl))
+    count = left.count()
+    while count:
+        parts = -(-count // LAST)
+        left = kept(left.repartition(parts).mapInPandas(_local, ddl))
+        now = left.count()
+        if parts == 1:
+            break
+        if now > 0.7 * count:
+            left = left.alias("a").join(left.alias("b"), dominates("b", "a", keys, True), "left_anti")
+            break
+        count = now
+    same = reduce(lambda x, y: x & y, [values[k] == F.col(f"_f{k}") for k in keys])
+    return points.join(left.select(*[F.col(k).alias(f"_f{k}") for k in keys]), same, "left_semi")
 
 
 def _levels(x: np.ndarray) -> np.ndarray:
@@ -97,10 +129,10 @@ def fronts(points: DataFrame, objectives: list[str], minimize: bool = True, bloc
     keys = [f"_o{k}" for k in range(len(objectives))]
     values = {k: F.coalesce(F.nanvl(F.col(o).cast("double"), worst), worst) * (1 if minimize else -1) + 0.0 for k, o in zip(keys, objectives, strict=True)}
     rows = points.withColumns(values)
-    rest, done, first = _kept(rows.select(*keys).distinct()), None, 0
+    rest, done, first = kept(rows.select(*keys).distinct()), None, 0
     ddl = ", ".join(f"{k} double" for k in keys)
     while not rest.isEmpty():
-        least = _kept(rest.mapInPandas(_least_front, f"{ddl}, _level long"))
+        least = kept(rest.mapInPandas(_least_front, f"{ddl}, _level long"))
         total, n = 0, 0
         for r in least.groupBy("_level").count().orderBy("_level").limit(block + 1).collect():
             total += r["count"]
@@ -114,30 +146,20 @@ def fronts(points: DataFrame, objectives: list[str], minimize: bool = True, bloc
             front = points.sparkSession.createDataFrame(some[some["front"] < n].assign(front=lambda d: d["front"] + first), f"{ddl}, front int")
         else:
             n, front = 1, frontier(rest, keys).withColumn("front", F.lit(first))
-        front = _kept(front)
+        front = kept(front)
         done = front if done is None else done.unionByName(front)
-        rest = _kept(rest.join(front, keys, "left_anti"))
+        rest = kept(rest.join(front, keys, "left_anti"))
         first += n
     if done is None:
         return points.withColumn("front", F.lit(0)).where(F.lit(False))
     return rows.join(done, keys).select(*points.columns, "front")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint where a folder for it is set."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    return df.checkpoint()
-
-
-def crowding(points: DataFrame, objectives: list[str], front: str, tie: str, skip_infinite: bool = False) -> DataFrame:
+def crowding(points: DataFrame, objectives: list[str], front: str, tie: str) -> DataFrame:
     """With ``crowding``: the sum of relative gaps between a point's neighbours in each objective.
 
-    Ends of an objective, and all points of a front of two or fewer, are infinite.
+    Ends of an objective, and all points of a front of two or fewer, are infinite. Gaps are the
+    same whichever end is the better, so one form serves minimized and maximized objectives.
     """
     size = Window.partitionBy(front)
     rows = points.withColumn("_n", F.count("*").over(size))

@@ -11,15 +11,17 @@ from ..session import load
 from .registry import query
 
 XY = ["price", "minus_size"]
-_P = "WITH RECURSIVE p AS (SELECT p_partkey, p_retailprice AS price, -p_size::DOUBLE AS minus_size, p_size::DOUBLE AS size, p_brand FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13')),\n"
-_FRONTS = (
-    _P
-    + """d AS (SELECT a.p_partkey AS hi, b.p_partkey AS lo FROM p a JOIN p b ON a.price <= b.price AND a.minus_size <= b.minus_size AND (a.price < b.price OR a.minus_size < b.minus_size)),
-r AS (SELECT p_partkey, 0 AS depth FROM p UNION SELECT d.lo, r.depth + 1 FROM r JOIN d ON d.hi = r.p_partkey),
-f AS (SELECT p_partkey, max(depth) AS front FROM r GROUP BY 1),
-g AS (SELECT p.*, front FROM p JOIN f USING (p_partkey))
+# A sweep by price: the tails are each front's least size so far, and a point is of the first front whose tail doesn't dominate it.
+_FRONTS = """WITH p AS (SELECT p_partkey, p_retailprice AS price, -p_size::DOUBLE AS minus_size, p_size::DOUBLE AS size, p_brand FROM part),
+l AS (SELECT list({'x': price, 'y': minus_size} ORDER BY price, minus_size) AS l FROM (SELECT DISTINCT price, minus_size FROM p)),
+s AS (SELECT list_reduce(list_transform(l, lambda v: {'x': v.x, 'y': v.y, 'tails': []::DOUBLE[], 'out': []::BIGINT[]}),
+  lambda a, v: {'x': v.x, 'y': v.y,
+    'tails': a.tails[1:len(list_filter(a.tails, lambda t: t <= v.y))] || [v.y] || a.tails[len(list_filter(a.tails, lambda t: t <= v.y)) + 2:],
+    'out': a.out || [len(list_filter(a.tails, lambda t: t <= v.y))::BIGINT]},
+  {'x': 0.0::DOUBLE, 'y': 0.0::DOUBLE, 'tails': []::DOUBLE[], 'out': []::BIGINT[]}) AS s FROM l),
+f AS (SELECT unnest(l).x AS price, unnest(l).y AS minus_size, unnest(s.out) AS front FROM l, s),
+g AS (SELECT p.*, front::INT AS front FROM p JOIN f USING (price, minus_size))
 """
-)
 _CROWD = (
     _FRONTS
     + """, n AS (SELECT *, count(*) OVER (PARTITION BY front) AS n,
@@ -32,20 +34,17 @@ ELSE CASE WHEN s1 > 0 THEN (q1 - p1) / s1 ELSE 0 END + CASE WHEN s2 > 0 THEN (q2
 )
 
 
-def _points(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    rows = load(spark, sf_dir, "part")
-    if not whole:  # as in the statements, which are quadratic
-        rows = rows.where(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"))
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("double")
-    return rows.select("p_partkey", F.col("p_retailprice").alias("price"), (-size).alias("minus_size"), size.alias("size"), "p_brand")
+    return load(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("price"), (-size).alias("minus_size"), size.alias("size"), "p_brand")
 
 
-def _fronts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return O.fronts(_points(spark, sf_dir, whole), XY)
+def _fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.fronts(_points(spark, sf_dir), XY)
 
 
-def _crowded(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return O.crowding(_fronts(spark, sf_dir, whole), XY, "front", "p_partkey")
+def _crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.crowding(_fronts(spark, sf_dir), XY, "front", "p_partkey")
 
 
 @query(
@@ -87,26 +86,16 @@ def best_individual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.select_best(O.crowding(rows, XY, "front", "p_partkey"), 1, "p_partkey").select("p_partkey")
 
 
-@query()
-def pareto_fronts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all parts, as are the next three; tested against brute force."""
-    return _fronts(spark, sf_dir, True).select("p_partkey", "front")
-
-
-@query()
-def crowding_distance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _crowded(spark, sf_dir, True).select("p_partkey", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 6)).alias("crowding"))
-
-
-@query()
-def select_best_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.select_best(_crowded(spark, sf_dir, True), 25, "p_partkey").select("p_partkey", "front")
-
-
-@query()
-def best_individual_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = O.frontier(_points(spark, sf_dir, True), XY).withColumn("front", F.lit(0))
-    return O.select_best(O.crowding(rows, XY, "front", "p_partkey"), 1, "p_partkey").select("p_partkey")
+@query(
+    """WITH n AS (SELECT p_partkey, p_brand, count(*) OVER (PARTITION BY p_brand) AS n, lag(p_retailprice) OVER a AS p1, lead(p_retailprice) OVER a AS q1, lag(p_size) OVER b AS p2, lead(p_size) OVER b AS q2,
+max(p_retailprice) OVER (PARTITION BY p_brand) - min(p_retailprice) OVER (PARTITION BY p_brand) AS s1, max(p_size) OVER (PARTITION BY p_brand) - min(p_size) OVER (PARTITION BY p_brand) AS s2
+FROM part WINDOW a AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey), b AS (PARTITION BY p_brand ORDER BY p_size, p_partkey))
+SELECT p_partkey, CASE WHEN n <= 2 OR p1 IS NULL OR q1 IS NULL OR p2 IS NULL OR q2 IS NULL THEN -1.0 ELSE round(CASE WHEN s1 > 0 THEN (q1 - p1) / s1 ELSE 0 END + CASE WHEN s2 > 0 THEN (q2 - p2) / s2 ELSE 0 END, 6) END AS crowding FROM n"""
+)
+def crowding_maximized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within each brand, price and size both to be large."""
+    rows = O.crowding(load(spark, sf_dir, "part"), ["p_retailprice", "p_size"], "p_brand", "p_partkey")
+    return rows.select("p_partkey", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 6)).alias("crowding"))
 
 
 @query(

@@ -95,11 +95,11 @@ def test_whole_pareto_queries_against_brute_force(spark, sf_dir):
                 crowd[order[1:-1]] += (x[order[2:]] - x[order[:-2]]) / span
     best = sorted(range(len(p)), key=lambda i: (front[i], -crowd[i], key[i]))
     rows = lambda name: [tuple(r) for r in QUERIES[name](spark, sf_dir).collect()]
-    assert dict(rows("pareto_fronts_whole")) == dict(zip(key, front, strict=True))
-    got = dict(rows("crowding_distance_whole"))
+    assert dict(rows("pareto_fronts")) == dict(zip(key, front, strict=True))
+    got = dict(rows("crowding_distance"))
     assert len(got) == len(p) and all(abs(got[k] - (-1 if np.isinf(c) else c)) < 2e-6 for k, c in zip(key, crowd, strict=True))
-    assert rows("select_best_whole") == [(key[i], front[i]) for i in best[:25]]
-    assert rows("best_individual_whole") == [(key[best[0]],)]
+    assert rows("select_best") == [(key[i], front[i]) for i in best[:25]]
+    assert rows("best_individual") == [(key[best[0]],)]
 
 
 def test_fronts_of_a_long_chain(spark):
