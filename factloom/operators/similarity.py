@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +36,75 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(size > 0, 1 - dot(a, b) / size).otherwise(1.0)
 
 
-METRICS: dict[str, Metric] = {"euclidean": euclidean, "cosine": cosine_distance}
+def squared(a: Column, b: Column) -> Column:
+    """Squared distance in the vectors' own type, exact for three decimals."""
+    part = lambda k: (F.get(a, F.lit(k)) - F.get(b, F.lit(k))) * (F.get(a, F.lit(k)) - F.get(b, F.lit(k)))
+    return part(0) + part(1) + part(2)
 
 
-def nearest(rows: DataFrame, probes: DataFrame, k: int, metric: str = "euclidean", digits: int = 6) -> DataFrame:
-    """The k nearest rows of (id, vector) for each probe of (probe, vector), exactly.
+#: Distances by name; those of ``KERNELS`` have a form over blocks of vectors as well.
+METRICS: dict[str, Metric] = {"euclidean": euclidean, "cosine": cosine_distance, "decimal": squared}
+KERNELS = ("euclidean", "cosine")
 
-    The probes are a stated set against all rows, in blocks that are small enough to
-    broadcast; the rank filter keeps k rows of each probe in every task before the shuffle.
+
+def _sequential(a: np.ndarray, b: np.ndarray, term: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum of terms over the last axis, in the order of the values, so that equal vectors have equal sums."""
+    total = np.zeros(a.shape[:-1])
+    for k in range(a.shape[-1]):
+        total = total + term(a[..., k], b[..., k])
+    return total
+
+
+def _exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if metric == "euclidean":
+        return np.sqrt(_sequential(a, b, lambda x, y: (x - y) * (x - y)))
+    product = lambda x, y: _sequential(x, y, lambda u, v: u * v)
+    size = np.sqrt(product(a, a)) * np.sqrt(product(b, b))
+    return np.where(size > 0, 1 - product(a, b) / np.where(size > 0, size, 1.0), 1.0)
+
+
+def _quick(metric: str, rows: np.ndarray, probes: np.ndarray) -> np.ndarray:
+    """Distances by a matrix product, near enough to leave out what is far."""
+    if metric == "euclidean":
+        return np.sqrt(np.maximum((rows * rows).sum(1)[:, None] + (probes * probes).sum(1) - 2 * rows @ probes.T, 0.0))
+    size = np.sqrt((rows * rows).sum(1))[:, None] * np.sqrt((probes * probes).sum(1))
+    return np.where(size > 0, 1 - rows @ probes.T / np.where(size > 0, size, 1.0), 1.0)
+
+
+def _near(names: list, vectors: np.ndarray, k: int, metric: str):
+    """The k nearest rows of a task for each probe: by quick distances first, decided by exact ones."""
+
+    def best(probe: np.ndarray, ids: np.ndarray, far: np.ndarray) -> np.ndarray:
+        order = np.lexsort((ids, far, probe))
+        first = np.flatnonzero(np.concatenate([[True], np.diff(probe[order]) > 0]))
+        nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        return order[nth < k]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        probe, ids, far = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
+        for batch in batches:
+            for x in range(0, len(batch), 1000):
+                some = batch.iloc[x : x + 1000]
+                rows = np.stack(some["vector"].to_numpy()).astype("f8")
+                quick = _quick(metric, rows, vectors)
+                bound = np.partition(quick, min(k, len(rows)) - 1, axis=0)[min(k, len(rows)) - 1]
+                slack = 1e-6 * (1 + np.abs(bound) + np.sqrt((vectors * vectors).sum(1)))
+                r, p = np.nonzero(quick <= bound + slack)
+                probe, ids = np.concatenate([probe, p]), np.concatenate([ids, some["id"].to_numpy("i8")[r]])
+                far = np.concatenate([far, _exact(metric, rows[r], vectors[p])])
+                keep = best(probe, ids, far)
+                probe, ids, far = probe[keep], ids[keep], far[keep]
+        yield pd.DataFrame({"probe": np.array(names, "i8")[probe], "id": ids, "distance": far})
+
+    return run
+
+
+def nearest(rows: DataFrame, probes: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+    """The k nearest rows of (id, vector) for each probe of (probe, vector), exactly; ties by id.
+
+    The probes are a stated set against all rows, in blocks of at most ``PROBES`` that go to all
+    tasks; each task hands on k rows a probe. A metric that is a function of two columns is
+    worked out by a join instead.
     """
     count = probes.count()
     blocks = max(1, -(-count // PROBES))
@@ -49,29 +112,38 @@ def nearest(rows: DataFrame, probes: DataFrame, k: int, metric: str = "euclidean
     for b in range(blocks):
         some = probes if blocks == 1 else probes.where(F.pmod(F.xxhash64("probe"), F.lit(blocks)) == b)
         some = some.select("probe", F.col("vector").alias("probe_vector"))
-        pairs = rows.join(F.broadcast(some), F.lit(True))
-        near = pairs.select("probe", "id", F.round(METRICS[metric](F.col("vector"), F.col("probe_vector")), digits).alias("distance"))
+        if metric in KERNELS:
+            held = some.collect()  # PROBES rows or so
+            if not held:
+                continue
+            run = _near([r.probe for r in held], np.array([r.probe_vector for r in held], "f8"), k, metric)
+            near = rows.select(F.col("id").cast("long").alias("id"), "vector").mapInPandas(run, "probe long, id long, distance double")
+        else:
+            near = rows.join(F.broadcast(some), F.lit(True)).select("probe", "id", METRICS[metric](F.col("vector"), F.col("probe_vector")).alias("distance"))
         rank = F.row_number().over(Window.partitionBy("probe").orderBy("distance", "id"))
         part = near.withColumn("rank", rank).where(F.col("rank") <= k)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else rows.sparkSession.createDataFrame([], "probe long, id long, distance double, rank int")
 
 
 def similar_pairs(profiles: DataFrame, cutoff: float) -> DataFrame:
     """(a, b, similarity) with a < b of sparse profiles (id, feature, value) with cosine of ``cutoff`` or more.
 
-    The product is a join on the feature, so pairs without one in common never meet. A pair
-    that meets the cutoff shares a feature among those that hold all but cutoff**2 of a
-    profile's squared length; with values of one sign, the features of largest value come
-    first and only these are joined for candidates.
+    The product is a join on the feature, so pairs without one in common never meet. Features
+    have one order, rarest first. At a pair's first common feature the rest of both profiles
+    bounds their cosine by the product of its lengths (Cauchy-Schwarz), so only features with a
+    rest of ``cutoff`` or more are joined, and only pairs whose rests allow it are added up.
     """
     norms = profiles.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    unit = profiles.join(norms.where("norm > 0"), "id").select("id", "feature", (F.col("value") / F.col("norm")).alias("u"))
-    w = Window.partitionBy("id").orderBy("feature")
-    suffix = F.sum(F.col("u") * F.col("u")).over(w.rowsBetween(0, Window.unboundedFollowing))
-    heads = unit.withColumn("rest", suffix).where(F.col("rest") >= cutoff * cutoff - 1e-9).select("id", "feature")
-    left, right = heads, heads.select(F.col("id").alias("other"), "feature")
-    candidates = left.join(right, "feature").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    often = profiles.where("value <> 0").groupBy("feature").agg(F.count("*").alias("df"))
+    unit = profiles.join(norms.where("norm > 0"), "id").join(often, "feature").select("id", "feature", "df", (F.col("value") / F.col("norm")).alias("u"))
+    w = Window.partitionBy("id").orderBy("df", "feature")
+    rest = F.sqrt(F.sum(F.col("u") * F.col("u")).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    own = unit.withColumn("rest", rest).where("df > 1")
+    heads = own.where(F.col("rest") >= cutoff - 1e-9).select("id", "feature", "rest")
+    right = heads.select(F.col("id").alias("other"), "feature", F.col("rest").alias("rest2"))
+    able = F.col("rest") * F.col("rest2") >= cutoff - 1e-9
+    candidates = heads.join(right, "feature").where((F.col("id") < F.col("other")) & able).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     one = unit.select(F.col("id").alias("a"), "feature", F.col("u").alias("ua"))
     two = unit.select(F.col("id").alias("b"), "feature", F.col("u").alias("ub"))
     sums = candidates.join(one, "a").join(two, ["b", "feature"]).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("similarity"))

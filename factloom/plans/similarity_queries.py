@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import similarity as O
@@ -12,8 +12,8 @@ from .registry import Fixture, query
 _EUC = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)))"
 _DOT = "list_sum(list_transform(list_zip({x}.embedding, {y}.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 _COS = f"1 - {_DOT.format(x='a', y='b')} / (sqrt({_DOT.format(x='a', y='a')}) * sqrt({_DOT.format(x='b', y='b')}))"
-_KNN = """WITH d AS (SELECT b.vec_id AS probe, a.vec_id AS id, round({d}, 6) + 0.0 AS distance FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)
-SELECT probe, id, distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY distance, id) AS rank FROM d) WHERE rank <= 5"""
+_KNN = """WITH d AS (SELECT b.vec_id AS probe, a.vec_id AS id, {d} AS distance FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)
+SELECT probe, id, round(distance, 6) + 0.0 AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY distance, id) AS rank FROM d) WHERE rank <= 5"""
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _nearest(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     probes = rows.where(F.col("id") % 20 == 0).withColumnRenamed("id", "probe")
-    return O.nearest(rows, probes, 5, metric)
+    return O.nearest(rows, probes, 5, metric).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
 @query(_KNN.format(d=_EUC))
@@ -38,7 +38,26 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, "cosine")
 
 
-_PROFILE = """WITH p AS (SELECT l_partkey AS id, l_suppkey AS feature, sum(l_quantity) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+_GRID = "CAST({x}.p_size AS DECIMAL(12, 2)), CAST({x}.p_retailprice AS DECIMAL(12, 2)), CAST({x}.p_partkey % 97 AS DECIMAL(12, 2))"
+_SQUARE = " + ".join(f"(a{k} - b{k}) * (a{k} - b{k})" for k in range(3))
+
+
+@query(
+    f"""WITH a(id, a0, a1, a2) AS (SELECT p_partkey, {_GRID.format(x='part')} FROM part), b(probe, b0, b1, b2) AS (SELECT p_partkey, {_GRID.format(x='part')} FROM part WHERE p_partkey % 20 = 0)
+SELECT probe, id, d::DOUBLE AS distance FROM (SELECT probe, id, {_SQUARE} AS d, row_number() OVER (PARTITION BY probe ORDER BY {_SQUARE}, id) AS k FROM a, b WHERE id <> probe) WHERE k = 1"""
+)
+def nearest_coordinate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest other point in space, squared, in exact decimals."""
+    d = lambda c: F.col(c).cast("decimal(12,2)")
+    rows = load(spark, sf_dir, "part").withColumn("p_k", F.col("p_partkey") % 97)
+    points = rows.select(F.col("p_partkey").alias("id"), F.array(d("p_size"), d("p_retailprice"), d("p_k")).alias("vector"))
+    near = O.nearest(points, points.where(F.col("id") % 20 == 0).withColumnRenamed("id", "probe"), 2, "decimal")
+    # A point is its own nearest, or an equal one of smaller id is.
+    other = near.where("id <> probe").withColumn("k", F.row_number().over(Window.partitionBy("probe").orderBy("distance", "id"))).where("k = 1")
+    return other.select("probe", "id", F.col("distance").cast("double").alias("distance"))
+
+
+_PROFILE = """WITH p AS (SELECT l_partkey AS id, l_suppkey AS feature, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
 n AS (SELECT id, sqrt(sum(value * value)) AS norm FROM p GROUP BY 1),
 u AS (SELECT id, feature, value / norm AS u FROM p JOIN n USING (id))
 SELECT * FROM (SELECT x.id AS a, y.id AS b, round(sum(x.u * y.u), 6) AS similarity FROM u x JOIN u y ON x.feature = y.feature AND x.id < y.id GROUP BY 1, 2) WHERE similarity >= 0.8"""
@@ -46,8 +65,8 @@ SELECT * FROM (SELECT x.id AS a, y.id AS b, round(sum(x.u * y.u), 6) AS similari
 
 @query(_PROFILE)
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose returned quantities are spread alike over suppliers."""
-    rows = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("feature")).agg(F.sum("l_quantity").alias("value"))
+    """Parts whose quantities are spread alike over suppliers."""
+    rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("feature")).agg(F.sum("l_quantity").alias("value"))
     return O.similar_pairs(rows, 0.8)
 
 
