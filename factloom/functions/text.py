@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that parts tokens.
@@ -75,22 +75,24 @@ def entropy(items: Column) -> Column:
 
 
 def keyword_count(text: Column, word: str) -> Column:
-    """Occurrences of a word that don't overlap, inside other words too."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(word)))) / len(word)).cast("long")
+    """Occurrences of a word that don't overlap, inside other words too; most texts don't hold it at all."""
+    return F.when(F.contains(text, F.lit(word)), ((F.length(text) - F.length(F.replace(text, F.lit(word)))) / len(word)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-def domain_scores(stem: Column, text: Column) -> list[Column]:
-    """A column for each domain with its words' occurrences: one projection, no explode."""
-    whole = F.lower(F.concat_ws(" ", stem, text))
-    return [sum((keyword_count(whole, w) for w in words), F.lit(0)).cast("long").alias(domain) for domain, words in DOMAIN_KEYWORDS.items()]
+def with_domains(docs: DataFrame, stem: Column, text: Column, form: Column) -> DataFrame:
+    """``docs`` with a column for each domain, its words' occurrences, and ``domain``: one projection each, no explode.
 
+    The lowered text is a column of its own, so that it is made once for all words.
+    """
+    name = "_lowered" + "_" * sum(c.startswith("_lowered") for c in docs.columns)
+    whole = docs.withColumn(name, F.lower(F.concat_ws(" ", stem, text)))
+    scores = {domain: sum((keyword_count(F.col(name), w) for w in words), F.lit(0)).cast("long") for domain, words in DOMAIN_KEYWORDS.items()}
+    return whole.withColumns(scores).drop(name).withColumn("domain", best_domain(form))
 
-def best_domain(form: Column, scores: list[Column]) -> Column:
-    """Code documents are of their format, others of the first domain with the highest score above 0.
 
-    Each score stands once in the expression, so it is computed once.
-    """
-    ranked = F.array(*[F.struct(c.alias("score"), F.lit(-k).alias("rank"), F.lit(n).alias("name")) for k, (n, c) in enumerate(zip(DOMAIN_KEYWORDS, scores, strict=True))])
+def best_domain(form: Column) -> Column:
+    """Code documents are of their format, others of the first domain with the highest score above 0."""
+    ranked = F.array(*[F.struct(F.col(n).alias("score"), F.lit(-k).alias("rank"), F.lit(n).alias("name")) for k, n in enumerate(DOMAIN_KEYWORDS)])
     chosen = F.get(F.transform(F.array(F.array_max(ranked)), lambda x: F.when(x["score"] > 0, x["name"]).otherwise(DEFAULT_DOMAIN)), F.lit(0))
     return F.when(form.startswith("code:"), form).otherwise(chosen)
 

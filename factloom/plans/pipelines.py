@@ -13,7 +13,7 @@ from ..sources import files
 def classified(docs: DataFrame) -> DataFrame:
     """Documents (path, format, text) with their domain."""
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
-    return docs.withColumn("domain", T.best_domain(F.col("format"), T.domain_scores(stem, F.col("text"))))
+    return T.with_domains(docs, stem, F.col("text"), F.col("format")).select(*docs.columns, "domain")
 
 
 def invariants(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -28,7 +28,7 @@ def invariants(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     data = facts.json_facts(rows.where("format = 'json'"))
     c_like = facts.c_facts(rows.where("format in ('code:c', 'code:cpp')"))
     py = code.python_facts(rows.where("format = 'code:python'"))
-    python = py.select(F.col("path").alias("doc"), "kind", "symbol", F.lit(None).cast("string").alias("description"), "expression", F.array().cast("array<string>").alias("variables"), F.col("value").alias("lo"), F.col("value").alias("hi"), "type_hint", "confidence")
+    python = py.select(F.col("path").alias("doc"), "kind", "symbol", F.lit(None).cast("string").alias("description"), "expression", "variables", F.col("value").alias("lo"), F.col("value").alias("hi"), "type_hint", "confidence")
     found = prose.unionByName(data).unionByName(c_like).unionByName(python)
     placed = found.join(rows.select("doc", "domain"), "doc").withColumn("seq", F.struct("doc", "kind", "symbol", F.coalesce("expression", F.lit(""))))
     named = facts.disambiguated(placed)
@@ -67,3 +67,28 @@ def build_plan(targets: DataFrame) -> DataFrame:
     staged = graph.levels(needs.select(F.col("r").alias("src"), F.col("name").alias("dst")))
     lone = targets.select("name").join(staged, F.col("name") == F.col("node"), "left_anti").withColumn("stage", F.lit(0))
     return staged.select(F.col("node").alias("name"), F.col("level").alias("stage")).unionByName(lone)
+
+
+#: What a registry holds of a source file.
+REGISTRY = "context string, path string, language string, semantic_hash string, functions array<string>, types array<string>, version long"
+
+
+def ingest(spark: SparkSession, folder: str, context: str, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(registry, errors) after the Python sources of a folder: each file's semantic hash and symbols, keyed by context and path.
+
+    A file is hashed by the types of its syntax nodes in order, so white space and comments make
+    no difference. Files that don't parse are errors and leave the registry as it was.
+    """
+    from ..operators import code, ledger
+
+    docs = files.documents(spark, folder).where("format = 'code:python'").select("path", F.coalesce("text", F.lit("")).alias("text"), "error")
+    nodes = code.syntax_nodes(docs.where("error is null"))
+    kinds = F.transform(F.array_sort(F.collect_list(F.struct("id", "type"))), lambda n: n["type"])
+    hashed = nodes.groupBy("path").agg(F.sha2(F.array_join(kinds, "\n").cast("binary"), 256).alias("semantic_hash"))
+    now = registry if registry is not None else spark.createDataFrame([], REGISTRY)
+    # One row; the version of this run.
+    version = now.agg(F.coalesce(F.max("version"), F.lit(0)).alias("last"))
+    rows = hashed.join(code.python_symbols(docs.where("error is null")), "path").crossJoin(F.broadcast(version))
+    found = rows.select(F.lit(context).alias("context"), "path", F.lit("python").alias("language"), "semantic_hash", "functions", "types", (F.col("last") + 1).cast("long").alias("version"))
+    errors = docs.join(hashed.select("path"), "path", "left_anti").select("path", F.coalesce("error", F.lit("does not parse")).alias("error"))
+    return ledger.upserted(now, found, ["context", "path"], "version"), errors

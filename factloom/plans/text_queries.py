@@ -115,27 +115,28 @@ def _domain_sql() -> str:
 
 @query(_domain_sql())
 def domain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = T.domain_scores(F.col("source"), F.col("text"))
-    return load(spark, sf_dir, "documents").select("doc_id", *scores, T.best_domain(F.lit("text"), scores).alias("domain"))
+    rows = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return T.with_domains(rows, F.col("source"), F.col("text"), F.lit("text")).drop("source", "text")
 
 
-def _profile_sql() -> str:
-    plain = {k: p.replace("(?!=)", "") for k, p in T.TOKEN_PATTERNS.items() if "(?!" not in p}
-    cols = ", ".join(f"len(regexp_extract_all(html, {literal('(?m)' + p)}))::BIGINT AS {k}" for k, p in plain.items())
-    return f"SELECT page_id, {cols} FROM pages"
+def _profile_columns(text: str) -> str:
+    """Counts of all patterns; ``=`` but not ``==`` for an engine without look-ahead, by another sign for ``==``."""
+    out = []
+    for k, p in T.TOKEN_PATTERNS.items():
+        own = rf"regexp_replace({text}, '(^|[^:+\-*/|&^=])==', '\1' || chr(1) || chr(1), 'g')" if "(?!=)" in p else text
+        out.append(f"len(regexp_extract_all({own}, {literal('(?m)' + p.replace('(?!=)', ''))}))::BIGINT AS {k}")
+    return ", ".join(out)
 
 
-@query(_profile_sql())
+@query(f"SELECT page_id, {_profile_columns('html')} FROM pages")
 def page_token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile but for assignments, whose look-ahead the checking SQL lacks."""
-    return load(spark, sf_dir, "pages").select("page_id", *T.token_profile(F.col("html"))).drop("assignment")
+    return load(spark, sf_dir, "pages").select("page_id", *T.token_profile(F.col("html")))
 
 
-@query(f"WITH p AS ({_profile_sql()}) SELECT " + ", ".join(f"sum({k})::BIGINT AS {k}" for k, p in T.TOKEN_PATTERNS.items() if "(?!" not in p) + " FROM p")
+@query("SELECT " + ", ".join(f"sum({k})::BIGINT AS {k}" for k in T.TOKEN_PATTERNS) + f" FROM (SELECT {_profile_columns('html')} FROM pages)")
 def token_profile_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [k for k in T.TOKEN_PATTERNS if k != "assignment"]
     rows = load(spark, sf_dir, "pages").select(*T.token_profile(F.col("html")))
-    return rows.agg(*[F.sum(n).alias(n) for n in names])
+    return rows.agg(*[F.sum(n).alias(n) for n in T.TOKEN_PATTERNS])
 
 
 @query("SELECT fingerprint, count(*)::BIGINT AS copies, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256(text) AS fingerprint FROM documents) GROUP BY 1 HAVING count(*) > 1")
@@ -174,16 +175,15 @@ SOURCES = Fixture(
         ("a.py", "import os\n\n@wrap\ndef f(x):\n    # note\n    return x + 1\n\nclass A:\n    y = 'text'\n"),
         ("b.py", "async def g():\n    try:\n        await h()\n    except E:\n        raise\n    return [i for i in range(3)]\n"),
         ("c.py", "from os import path\nwith open(p) as f:\n    assert f, \"no\"\n    yield lambda: 0x1F\n"),
-        ("d.py", ""),
+        ("d.py", "a == b; c = d==e; f += 1; g: int = 2; h === i; j = k = 3\n"),
+        ("e.py", ""),
     ],
 )
 
 
-@query(
-    "SELECT path, " + ", ".join(f"len(regexp_extract_all(text, {literal('(?m)' + p)}))::BIGINT AS {k}" for k, p in T.TOKEN_PATTERNS.items() if "(?!" not in p) + f" FROM {SOURCES.sql}"
-)
+@query(f"SELECT path, {_profile_columns('text')} FROM {SOURCES.sql}")
 def source_token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SOURCES.frame(spark).select("path", *T.token_profile(F.col("text"))).drop("assignment")
+    return SOURCES.frame(spark).select("path", *T.token_profile(F.col("text")))
 
 
 DELTAS = Fixture(
