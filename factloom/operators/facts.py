@@ -176,6 +176,16 @@ def shared_symbols(facts: DataFrame) -> DataFrame:
     return own.join(other, "unique_symbol").where("domain <> domain2").select(F.col("fact_id").alias("src"), "dst", F.col("unique_symbol").alias("symbol"), F.lit("shared_symbol").alias("edge_type"))
 
 
+def linked_domains(facts: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst, edge_type) of explicit links (domain_a, symbol_a, domain_b, symbol_b, relation); an end that is no fact is an error."""
+    known = facts.select("fact_id").distinct()
+    ends = links.select(F.concat_ws("::", "domain_a", "symbol_a").alias("src"), F.concat_ws("::", "domain_b", "symbol_b").alias("dst"), F.coalesce("relation", F.lit("maps_to")).alias("edge_type"))
+    both = ends.join(known.select(F.col("fact_id").alias("src"), F.lit(True).alias("has_src")), "src", "left").join(known.select(F.col("fact_id").alias("dst"), F.lit(True).alias("has_dst")), "dst", "left")
+    missing = F.when(F.col("has_src").isNull(), F.col("src")).when(F.col("has_dst").isNull(), F.col("dst"))
+    checked = F.when(missing.isNotNull(), F.raise_error(F.concat(F.lit("no fact "), missing)).cast("string")).otherwise(F.col("edge_type"))
+    return both.select("src", "dst", checked.alias("edge_type"))
+
+
 def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Counts of nodes by type, edges by type, domains and edges that cross them."""
     by_node = nodes.groupBy(F.concat(F.lit("node:"), F.col("kind")).alias("what")).agg(F.count("*").alias("n"))

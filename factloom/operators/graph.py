@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pareto import _kept
+from ..session import kept
 
 
 class CycleError(ValueError):
@@ -20,16 +20,16 @@ class CycleError(ValueError):
 
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level) of an acyclic graph (src, dst): the length of the longest way to a node."""
-    edges = _kept(edges.select("src", "dst").distinct())
+    edges = kept(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    front = _kept(nodes.join(edges, nodes["node"] == edges["dst"], "left_anti"))
+    front = kept(nodes.join(edges, nodes["node"] == edges["dst"], "left_anti"))
     left, done, level = edges, [], 0
     while not front.isEmpty():
         done.append(front.withColumn("level", F.lit(level)))
-        rest = _kept(left.join(front, left["src"] == front["node"], "left_anti"))
+        rest = kept(left.join(front, left["src"] == front["node"], "left_anti"))
         # Next are the targets of what goes, if nothing left points at them.
         gone = left.join(front, left["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        front = _kept(gone.join(rest, gone["node"] == rest["dst"], "left_anti"))
+        front = kept(gone.join(rest, gone["node"] == rest["dst"], "left_anti"))
         left, level = rest, level + 1
     if not left.isEmpty():
         raise CycleError("the graph has a cycle")
@@ -47,17 +47,47 @@ def has_cycle(edges: DataFrame) -> bool:
     return False
 
 
+def cyclic_part(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) that are left when nodes without a way in or without a way out are peeled off, again and again."""
+    left = kept(edges.select("src", "dst").distinct())
+    count = left.count()
+    while count:
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = kept(inner.select("src", "dst"))
+        now = left.count()
+        if now == count:
+            break
+        count = now
+    return left
+
+
+def one_cycle(edges: DataFrame) -> DataFrame:
+    """(node, place) of one cycle of edges (src, dst), from its least node on; empty for an acyclic graph.
+
+    In the cyclic part each node points at its least successor; the pointers are doubled until
+    all lie on cycles, and the cycle of the least node is walked.
+    """
+    left = cyclic_part(edges)
+    pointer = kept(left.groupBy("src").agg(F.min("dst").alias("dst")))
+    ahead, steps, nodes = pointer, 1, pointer.count()
+    while steps < nodes:
+        ahead, steps = kept(ahead.alias("a").join(ahead.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))), steps * 2
+    round_ = pointer.join(ahead.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    start = round_.agg(F.min("src").alias("node")).where("node is not null")
+    return reachable(round_, start).select("node", F.col("depth").alias("place"))
+
+
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth): the seeds (node) and all that follows from them, with the least depth."""
-    found = _kept(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    found = kept(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front, depth = found, 0
     while True:
         depth += 1
         step = edges.join(front, edges["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        front = _kept(step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        front = kept(step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return found
-        found = _kept(found.unionByName(front))
+        found = kept(found.unionByName(front))
 
 
 def invalidated(cache: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -79,6 +109,23 @@ def degree_violations(edges: DataFrame, expected: DataFrame) -> DataFrame:
     return both.where("arity <> expected").select("node", "arity", "expected")
 
 
+def type_violations(wires: DataFrame, ports: DataFrame) -> DataFrame:
+    """(src, src_port, dst, dst_port, expected, actual) of wires between ports (node, port, type) of different types; null fits all."""
+    a = ports.select(F.col("node").alias("src"), F.col("port").alias("src_port"), F.col("type").alias("expected"))
+    b = ports.select(F.col("node").alias("dst"), F.col("port").alias("dst_port"), F.col("type").alias("actual"))
+    return wires.join(a, ["src", "src_port"]).join(b, ["dst", "dst_port"]).where("expected <> actual").select("src", "src_port", "dst", "dst_port", "expected", "actual")
+
+
+def connectivity_drops(before: DataFrame, after: DataFrame, threshold: float = 0.15) -> DataFrame:
+    """(g, before, after) of graphs (g, connectivity) whose connectivity fell by more than the threshold.
+
+    A graph that had none must have the threshold itself; one that is gone has 0.
+    """
+    both = before.select("g", F.col("connectivity").alias("before")).join(after.select("g", F.col("connectivity").alias("after")), "g", "left").na.fill(0.0, ["after"])
+    least = F.when(F.col("before") > 0, (1 - threshold) * F.col("before")).otherwise(F.lit(threshold))
+    return both.where(F.col("after") < least)
+
+
 def crossing_edges(edges: DataFrame, level: DataFrame) -> DataFrame:
     """(src, dst, from_level, to_level) of edges between different levels."""
     a = level.select(F.col("node").alias("src"), F.col("level").alias("from_level"))
@@ -93,7 +140,7 @@ def two_hop(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, "mid").groupBy("src", "dst").agg(F.count("*").alias("paths"))
 
 
-def sigmoid_product(first: DataFrame, second: DataFrame, clip: float = 60.0) -> DataFrame:
+def sigmoid_product(first: DataFrame, second: DataFrame, clip: float = 30.0) -> DataFrame:
     """(i, j, value): the sigmoid of the product of two sparse matrices (i, j, w)."""
     a = first.select("i", F.col("j").alias("k"), F.col("w").alias("wa"))
     b = second.select(F.col("i").alias("k"), "j", F.col("w").alias("wb"))
@@ -102,6 +149,15 @@ def sigmoid_product(first: DataFrame, second: DataFrame, clip: float = 60.0) ->
     return sums.select("i", "j", (1 / (1 + F.exp(-F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("x")))))).alias("value"))
 
 
+def sigmoid_gradients(first: DataFrame, second: DataFrame, value: DataFrame, loss: DataFrame) -> DataFrame:
+    """(matrix, i, j, w): derivatives by the ``first`` and ``second`` factor, for ``loss`` (i, j, w) by the product's ``value``."""
+    y = F.col("value")
+    g = loss.join(value, ["i", "j"]).select("i", "j", (F.col("w") * y * (1 - y)).alias("g"))
+    by_first = g.join(second.select(F.col("i").alias("k"), "j", "w"), "j").groupBy("i", F.col("k").alias("j")).agg(F.sum(F.col("g") * F.col("w")).alias("w"))
+    by_second = g.join(first.select("i", F.col("j").alias("k"), "w"), "i").groupBy(F.col("k").alias("i"), "j").agg(F.sum(F.col("g") * F.col("w")).alias("w"))
+    return by_first.select(F.lit("first").alias("matrix"), "i", "j", "w").unionByName(by_second.select(F.lit("second").alias("matrix"), "i", "j", "w"))
+
+
 def in_arena(cells: DataFrame, n: int) -> DataFrame:
     """Cells (i, j, w) within an n by n arena."""
     return cells.where((F.col("i") >= 0) & (F.col("i") < n) & (F.col("j") >= 0) & (F.col("j") < n))
@@ -115,14 +171,14 @@ def rerouted(cells: DataFrame, fault: int, n: int) -> DataFrame:
 
 def _components(edges: DataFrame) -> DataFrame:
     """(node, component): least node that is reached, for undirected edges of bounded graphs."""
-    both = _kept(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    now = _kept(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
+    both = kept(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    now = kept(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
         least = both.join(now, both["dst"] == now["node"]).groupBy("src").agg(F.min("component").alias("m")).withColumnRenamed("src", "node")
-        after = _kept(now.join(least, "node").select("node", F.least("component", "m").alias("component")))
+        after = kept(now.join(least, "node").select("node", F.least("component", "m").alias("component")))
         # Follow the label's own label, which halves the way.
         up = after.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        after = _kept(after.join(up, "component").select("node", F.least("component", "top").alias("component")))
+        after = kept(after.join(up, "component").select("node", F.least("component", "top").alias("component")))
         if after.exceptAll(now).isEmpty():
             return after
         now = after
@@ -230,7 +286,7 @@ def wave_order(edges: DataFrame) -> list[list[str]]:
 
 def simple_cycles(edges: DataFrame, longest: int) -> DataFrame:
     """(cycle) of at most ``longest`` nodes, each once, written from its smallest node on."""
-    e = _kept(edges.select("src", "dst").distinct())
+    e = kept(edges.select("src", "dst").distinct())
     paths = e.where("src <= dst").select(F.array("src").alias("path"), F.col("dst").alias("at"))
     found = None
     for k in range(longest):
@@ -240,7 +296,7 @@ def simple_cycles(edges: DataFrame, longest: int) -> DataFrame:
             break
         open_ = paths.where((F.col("at") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("at")))
         grown = open_.select(F.concat("path", F.array("at")).alias("path"))
-        paths = _kept(grown.join(e, F.get("path", F.size("path") - 1) == e["src"]).select("path", F.col("dst").alias("at")))
+        paths = kept(grown.join(e, F.get("path", F.size("path") - 1) == e["src"]).select("path", F.col("dst").alias("at")))
         if paths.isEmpty():
             break
     return found

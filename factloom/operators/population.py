@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pareto import crowding, frontier
+
 
 def merged(first: DataFrame, second: DataFrame, key: str = "uid") -> DataFrame:
     """Union of two populations; of a key in both, the first's row."""
@@ -28,6 +30,52 @@ def twins_replaced(archive: DataFrame, candidates: DataFrame, axes: list[str], k
     return archive.join(gone, key, "left_anti").unionByName(candidates)
 
 
+def archived(archive: DataFrame, candidates: DataFrame, axes: list[str], objectives: list[str], capacity: int, key: str = "uid") -> DataFrame:
+    """The archive after candidates: twins replaced, the frontier (maximized) of what there is, and of more than ``capacity`` the least crowded."""
+    return _least_crowded(frontier(twins_replaced(archive, candidates, axes, key), objectives, minimize=False), objectives, capacity, key)
+
+
+def elites(population: DataFrame, archive: DataFrame, objectives: list[str], capacity: int, key: str = "uid") -> DataFrame:
+    """The frontier (maximized) of a population and the archive's other members, the least crowded ``capacity`` of it."""
+    return _least_crowded(frontier(merged(population, archive, key), objectives, minimize=False), objectives, capacity, key)
+
+
+def _least_crowded(front: DataFrame, objectives: list[str], capacity: int, key: str) -> DataFrame:
+    rows = crowding(front.withColumn("_front", F.lit(0)), objectives, "_front", key)
+    return rows.orderBy(F.desc("crowding"), key).limit(capacity).select(*front.columns)
+
+
+def survivors(evaluated: DataFrame, size: int, threshold: float = 2.0, key: str = "uid") -> DataFrame:
+    """The best ``size`` of (key, status, speed_gain) by gain; reverted ones, and losses of more than the threshold, are out."""
+    rows = evaluated.where((F.col("status") != "REVERTED") & (F.col("speed_gain") >= -threshold))
+    return rows.orderBy(F.desc("speed_gain"), key).limit(size)
+
+
+def seed_objectives(coverage: Column, anomalies: Column, targets: Column, wall: Column, code_tokens: Column, comment_tokens: Column) -> Column:
+    """Struct of ``score`` and three ``rows`` of (accuracy, seconds, compression) to start a population from."""
+    number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    share = number(anomalies) / F.greatest(F.coalesce(targets.cast("long"), F.lit(0)), F.lit(1))
+    accuracy = F.greatest(F.lit(0.0), number(coverage) * (1 - F.least(F.lit(1.0), share) * 0.5))
+    code = F.when(number(code_tokens) > 0, number(code_tokens)).otherwise(1.0)
+    compression = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - number(comment_tokens) / code))
+    row = lambda a, w, c: F.array(a, w, c)
+    return F.struct(
+        F.round(accuracy, 6).alias("score"),
+        F.array(
+            row(accuracy, number(wall), compression),
+            row(F.greatest(F.lit(0.0), accuracy * 0.99), number(wall) * 1.05, compression),
+            row(F.least(F.lit(1.0), accuracy * 1.01), number(wall) * 0.95, F.least(F.lit(1.0), compression * 1.01)),
+        ).alias("rows"),
+    )
+
+
+def anomaly_ratio(anomalies: Column, failures: Column, ceiling: Column, fallback_ceiling: Column) -> Column:
+    """The larger count over the first ceiling that is not 0; 0 without one."""
+    most = F.greatest(F.coalesce(anomalies, F.lit(0)), F.coalesce(failures, F.lit(0)))
+    limit = F.coalesce(F.nullif(ceiling, F.lit(0)), fallback_ceiling, F.lit(0))
+    return F.when(limit > 0, most / limit).otherwise(0.0)
+
+
 def tournament(population: DataFrame, rounds: int, size: int, key: str, order: list[Column], seed: int = 0) -> DataFrame:
     """(round, winner): the best of ``size`` members that a hash draws for each round."""
     drawn = population.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_draw", F.xxhash64(F.lit(seed), "round", key))

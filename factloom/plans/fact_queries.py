@@ -167,3 +167,12 @@ BROKEN = Fixture(
 )
 def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.violations(BROKEN.frame(spark)).select("kind", "missing")
+
+
+LINKED = Fixture("fact_id string", [("bio::rate",), ("game::rate",), ("game::speed",)])
+LINKS = Fixture("domain_a string, symbol_a string, domain_b string, symbol_b string, relation string", [("bio", "rate", "game", "rate", None), ("game", "speed", "bio", "rate", "drives")])
+
+
+@query(f"SELECT domain_a || '::' || symbol_a AS src, domain_b || '::' || symbol_b AS dst, coalesce(relation, 'maps_to') AS edge_type FROM {LINKS.sql} WHERE domain_a || '::' || symbol_a IN (SELECT fact_id FROM {LINKED.sql}) AND domain_b || '::' || symbol_b IN (SELECT fact_id FROM {LINKED.sql})")
+def linked_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.linked_domains(LINKED.frame(spark), LINKS.frame(spark))

@@ -63,8 +63,37 @@ CYCLES = Fixture("g string, src string, dst string", [("dag", "a", "b"), ("dag",
 SELECT g, bool_or(src = dst) AS cyclic FROM r GROUP BY 1"""
 )
 def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs side by side are one graph of pairs; those with a node that no level takes are cyclic."""
     edges = CYCLES.frame(spark)
-    return spark.createDataFrame([(g, O.has_cycle(edges.where(F.col("g") == g))) for g in ("dag", "loop", "self")], "g string, cyclic boolean")
+    names = edges.select("g").distinct()
+    left = O.cyclic_part(edges.select(F.struct("g", F.col("src").alias("n")).alias("src"), F.struct("g", F.col("dst").alias("n")).alias("dst")))
+    cyclic = left.select(F.col("src.g").alias("g")).distinct().withColumn("cyclic", F.lit(True))
+    return names.join(cyclic, "g", "left").na.fill(False, ["cyclic"])
+
+
+@query("SELECT * FROM (VALUES ('b', 0), ('c', 1), ('a', 2)) t(node, place) UNION ALL SELECT NULL, NULL WHERE false")
+def cycle_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One cycle among others and ways that lead in and out, from its least node on."""
+    edges = [("x", "b"), ("b", "c"), ("c", "a"), ("a", "b"), ("c", "y"), ("p", "q"), ("q", "p"), ("y", "z")]
+    shown = O.one_cycle(spark.createDataFrame(edges, "src string, dst string"))
+    return shown.select(F.col("node"), F.pmod(F.col("place") + 2, F.lit(3)).alias("place"))
+
+
+WIRES = Fixture("src string, src_port string, dst string, dst_port string", [("a", "out", "b", "in"), ("a", "out", "c", "in"), ("b", "out", "c", "in"), ("c", "out", "a", "in")])
+PORTS = Fixture("node string, port string, type string", [("a", "out", "int"), ("a", "in", None), ("b", "in", "int"), ("b", "out", "text"), ("c", "in", "text"), ("c", "out", "int")])
+
+
+@query(f"SELECT w.*, a.type AS expected, b.type AS actual FROM {WIRES.sql} w JOIN {PORTS.sql} a ON a.node = w.src AND a.port = w.src_port JOIN {PORTS.sql} b ON b.node = w.dst AND b.port = w.dst_port WHERE a.type <> b.type")
+def type_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.type_violations(WIRES.frame(spark), PORTS.frame(spark))
+
+
+# The connectivity of a triangle is 3, of a path of three 1, of two apart 0.
+@query("SELECT * FROM (VALUES ('cut', 3.0::DOUBLE, 1.0::DOUBLE), ('gone', 1.0, 0.0)) t(g, before, after)")
+def connectivity_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    triangle, path = [("a", "b"), ("b", "c"), ("c", "a")], [("a", "b"), ("b", "c")]
+    measured = lambda graphs: O.fiedler_split(spark.createDataFrame([(g, *e) for g, es in graphs.items() for e in es], "component string, src string, dst string")).groupBy(F.col("component").alias("g")).agg(F.round(F.max("connectivity"), 6).alias("connectivity"))
+    return O.connectivity_drops(measured({"cut": triangle, "same": triangle, "gone": path, "grown": path}), measured({"cut": path, "same": triangle, "grown": triangle}))
 
 
 @query(
@@ -98,10 +127,24 @@ def rule_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 CELLS = Fixture("i int, j int, w double", [(0, 1, 0.5), (1, 2, -1.25), (1, 0, 2.0), (2, 2, 0.75), (4, 5, 99.0), (5, 5, 1.0), (7, 0, 3.0)])
 
 
-@query(f"SELECT a.i, b.j, round(1 / (1 + exp(-sum(a.w * b.w))), 9) AS value FROM {CELLS.sql} a JOIN {CELLS.sql} b ON a.j = b.i WHERE abs(a.w * b.w) < 60 GROUP BY 1, 2")
+@query(f"SELECT a.i, b.j, round(1 / (1 + exp(-greatest(-30, least(30, sum(a.w * b.w))))), 9) AS value FROM {CELLS.sql} a JOIN {CELLS.sql} b ON a.j = b.i GROUP BY 1, 2")
 def sigmoid_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = CELLS.frame(spark)
-    return O.sigmoid_product(cells, cells).where("i <> 4").withColumn("value", F.round("value", 9))
+    return O.sigmoid_product(cells, cells).withColumn("value", F.round("value", 9))
+
+
+LOSS = Fixture("i int, j int, w double", [(0, 2, 0.5), (0, 0, -2.0), (2, 2, 1.5), (7, 1, 0.25), (3, 3, 9.0)])
+_Y = f"SELECT a.i, b.j, 1 / (1 + exp(-greatest(-30, least(30, sum(a.w * b.w))))) AS y FROM {CELLS.sql} a JOIN {CELLS.sql} b ON a.j = b.i GROUP BY 1, 2"
+
+
+@query(
+    f"""WITH y AS ({_Y}), g AS (SELECT i, j, w * y * (1 - y) AS g FROM {LOSS.sql} JOIN y USING (i, j))
+SELECT 'first' AS matrix, g.i, b.i AS j, round(sum(g * b.w), 9) AS w FROM g JOIN {CELLS.sql} b ON b.j = g.j GROUP BY 2, 3
+UNION ALL SELECT 'second', a.j, g.j, round(sum(g * a.w), 9) FROM g JOIN {CELLS.sql} a ON a.i = g.i GROUP BY 2, 3"""
+)
+def sigmoid_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = CELLS.frame(spark)
+    return O.sigmoid_gradients(cells, cells, O.sigmoid_product(cells, cells), LOSS.frame(spark)).withColumn("w", F.round("w", 9))
 
 
 @query(f"SELECT CASE WHEN i = 4 THEN 5 ELSE i END AS i, j, sum(w) AS w FROM {CELLS.sql} WHERE i < 6 AND j < 6 GROUP BY 1, 2")
@@ -182,7 +225,11 @@ def unknown_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.unknown_requirements(TARGETS.frame(spark))
 
 
-@query("SELECT * FROM (VALUES ('base', 0), ('left', 1), ('right', 1), ('top', 2)) t(name, stage)")
+@query(
+    f"""WITH RECURSIVE e AS (SELECT name, r FROM (SELECT name, unnest(requires) AS r FROM {TARGETS.sql}) WHERE r IN (SELECT name FROM {TARGETS.sql})),
+d AS (SELECT r AS name, 0 AS stage FROM e UNION SELECT e.name, d.stage + 1 FROM d JOIN e ON e.r = d.name)
+SELECT name, max(stage)::INT AS stage FROM d GROUP BY 1"""
+)
 def build_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stage in which a target can be built."""
     rows = TARGETS.frame(spark)

@@ -28,6 +28,49 @@ def archive_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.twins_replaced(_half(spark, sf_dir, 0, 5), _half(spark, sf_dir, 5, 10), ["x", "y"]).select("uid")
 
 
+_SET = "(SELECT p_partkey AS uid, p_retailprice AS x, p_size::DOUBLE AS y FROM part WHERE p_partkey % 10 {})"
+_TWINS = f"(SELECT * FROM {_SET.format('< 5')} a WHERE NOT EXISTS (SELECT 1 FROM {_SET.format('>= 5')} b WHERE abs(b.x - a.x) <= 1e-9 AND b.y = a.y) UNION ALL SELECT * FROM {_SET.format('>= 5')})"
+_KEPT = """WITH p AS {}, f AS (SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))),
+n AS (SELECT uid, count(*) OVER () AS n, lag(x) OVER a AS p1, lead(x) OVER a AS q1, lag(y) OVER b AS p2, lead(y) OVER b AS q2, max(x) OVER () - min(x) OVER () AS s1, max(y) OVER () - min(y) OVER () AS s2 FROM f WINDOW a AS (ORDER BY x, uid), b AS (ORDER BY y, uid))
+SELECT uid FROM n ORDER BY CASE WHEN n <= 2 OR p1 IS NULL OR q1 IS NULL OR p2 IS NULL OR q2 IS NULL THEN 1e300 ELSE CASE WHEN s1 > 0 THEN (q1 - p1) / s1 ELSE 0 END + CASE WHEN s2 > 0 THEN (q2 - p2) / s2 ELSE 0 END END DESC, uid LIMIT 4"""
+
+
+@query(_KEPT.format(_TWINS))
+def archive_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.archived(_half(spark, sf_dir, 0, 5), _half(spark, sf_dir, 5, 10), ["x", "y"], ["x", "y"], 4).select("uid")
+
+
+@query(_KEPT.format("(SELECT p_partkey AS uid, p_retailprice AS x, p_size::DOUBLE AS y FROM part)"))
+def elites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.elites(_half(spark, sf_dir, 0, 6), _half(spark, sf_dir, 3, 10), ["x", "y"], 4).select("uid")
+
+
+@query("SELECT o_orderkey AS uid FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice / 1000 - 100 >= -2.0 ORDER BY o_totalprice / 1000 - 100 DESC, o_orderkey LIMIT 40")
+def survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "REVERTED").otherwise("OK")
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uid"), status.alias("status"), (F.col("o_totalprice") / 1000 - 100).alias("speed_gain"))
+    return O.survivors(rows, 40).select("uid")
+
+
+SEEDS = Fixture(
+    "id int, coverage double, anomalies bigint, targets bigint, wall double, code bigint, comments bigint, failures bigint, ceiling bigint, other bigint",
+    [(1, 0.96, 3, 50, 2.0, 400, 30, 5, 10, 7), (2, 1.0, 0, 0, None, 0, 0, None, 0, 8), (3, None, 9, 3, 1.0, 10, 40, 2, None, None), (4, 1.2, 0, 5, 0.0, 100, 0, 0, None, 4)],
+)
+
+
+@query(
+    f"""WITH a AS (SELECT id, coalesce(wall, 0) AS w, greatest(0.0, coalesce(coverage, 0) * (1 - least(1.0, coalesce(anomalies, 0) / greatest(coalesce(targets, 0), 1)) * 0.5)) AS a,
+greatest(0.0, least(1.0, 1 - coalesce(comments, 0) / CASE WHEN code > 0 THEN code ELSE 1 END)) AS c, greatest(coalesce(anomalies, 0), coalesce(failures, 0)) AS m, coalesce(nullif(ceiling, 0), other, 0) AS l FROM {SEEDS.sql})
+SELECT id, round(a, 6) AS score, round(least(1.0, a * 1.01), 6) AS third_accuracy, round(w * 0.95, 6) AS third_seconds, round(least(1.0, c * 1.01), 6) AS third_compression, round(CASE WHEN l > 0 THEN m / l ELSE 0 END, 6) AS anomaly_ratio FROM a"""
+)
+def seed_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score and the third row of the first population, and the share of anomalies."""
+    seeds = O.seed_objectives(*[F.col(c) for c in ("coverage", "anomalies", "targets", "wall", "code", "comments")])
+    rows = SEEDS.frame(spark).withColumn("s", seeds).withColumn("r", F.get("s.rows", F.lit(2)))
+    third = [F.round(F.get("r", F.lit(k)), 6).alias(f"third_{n}") for k, n in enumerate(("accuracy", "seconds", "compression"))]
+    return rows.select("id", "s.score", *third, F.round(O.anomaly_ratio(F.col("anomalies"), F.col("failures"), F.col("ceiling"), F.col("other")), 6).alias("anomaly_ratio"))
+
+
 @query()
 def tournament_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.tournament(_half(spark, sf_dir, 0, 10), 20, 3, "uid", [F.desc("x")])
@@ -71,7 +114,9 @@ _T = "parent string, child string, next string"
 PCS = [Fixture(_T, [("p", "a", "b"), ("p", "b", None)]), Fixture(_T, [("p", "a", "x"), ("p", "b", None), ("q", "c", "d")]), Fixture(_T, [("p", "a", "y"), ("p", "b", None), ("q", "c", "d")])]
 
 
-@query("SELECT * FROM (VALUES ('p', 'a', 'x', 'y')) t(parent, child, left_next, right_next)")
+@query(
+    f"SELECT parent, child, l.next AS left_next, r.next AS right_next FROM (SELECT * FROM {PCS[1].sql} EXCEPT SELECT * FROM {PCS[0].sql}) l JOIN (SELECT * FROM {PCS[2].sql} EXCEPT SELECT * FROM {PCS[0].sql}) r USING (parent, child) WHERE l.next IS DISTINCT FROM r.next"
+)
 def successor_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.successor_conflicts(*[f.frame(spark) for f in PCS])
 
@@ -79,7 +124,7 @@ def successor_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SITES = Fixture("site int, name string, text string", [(1, "add", "add(x)"), (2, "main", "scale <<<1, 2>>>(y); other<<<3>>>()"), (3, "scale", ""), (4, "none", "x << 3")])
 
 
-@query("SELECT * FROM (VALUES (1, 'add'), (2, 'scale'), (3, 'scale')) t(site, kernel)")
+@query(f"SELECT site, name AS kernel FROM {SITES.sql} WHERE name IN ('add', 'scale') UNION SELECT site, k FROM (SELECT site, unnest(regexp_extract_all(text, '(\\w+)\\s*<<<', 1)) AS k FROM {SITES.sql}) WHERE k IN ('add', 'scale')")
 def launch_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.launch_edges(SITES.frame(spark), spark.createDataFrame([("add",), ("scale",)], "kernel string"))
 
