@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 #: Probes that one pass may hold as a broadcast; more go in several passes.
 PROBES = 2_000
 
@@ -139,13 +141,14 @@ def similar_pairs(profiles: DataFrame, cutoff: float) -> DataFrame:
     unit = profiles.join(norms.where("norm > 0"), "id").join(often, "feature").select("id", "feature", "df", (F.col("value") / F.col("norm")).alias("u"))
     w = Window.partitionBy("id").orderBy("df", "feature")
     rest = F.sqrt(F.sum(F.col("u") * F.col("u")).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    own = unit.withColumn("rest", rest).where("df > 1")
+    # Read four times below.
+    own = kept(unit.withColumn("rest", rest).where("df > 1"))
     heads = own.where(F.col("rest") >= cutoff - 1e-9).select("id", "feature", "rest")
     right = heads.select(F.col("id").alias("other"), "feature", F.col("rest").alias("rest2"))
     able = F.col("rest") * F.col("rest2") >= cutoff - 1e-9
     candidates = heads.join(right, "feature").where((F.col("id") < F.col("other")) & able).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    one = unit.select(F.col("id").alias("a"), "feature", F.col("u").alias("ua"))
-    two = unit.select(F.col("id").alias("b"), "feature", F.col("u").alias("ub"))
+    one = own.select(F.col("id").alias("a"), "feature", F.col("u").alias("ua"))
+    two = own.select(F.col("id").alias("b"), "feature", F.col("u").alias("ub"))
     sums = candidates.join(one, "a").join(two, ["b", "feature"]).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("similarity"))
     return sums.withColumn("similarity", F.round("similarity", 6)).where(F.col("similarity") >= cutoff)
 

@@ -57,7 +57,7 @@ def nearest_coordinate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return other.select("probe", "id", F.col("distance").cast("double").alias("distance"))
 
 
-_PROFILE = """WITH p AS (SELECT l_partkey AS id, l_suppkey AS feature, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
+_PROFILE = """WITH p AS (SELECT l_orderkey AS id, l_partkey AS feature, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
 n AS (SELECT id, sqrt(sum(value * value)) AS norm FROM p GROUP BY 1),
 u AS (SELECT id, feature, value / norm AS u FROM p JOIN n USING (id))
 SELECT * FROM (SELECT x.id AS a, y.id AS b, round(sum(x.u * y.u), 6) AS similarity FROM u x JOIN u y ON x.feature = y.feature AND x.id < y.id GROUP BY 1, 2) WHERE similarity >= 0.8"""
@@ -65,8 +65,8 @@ SELECT * FROM (SELECT x.id AS a, y.id AS b, round(sum(x.u * y.u), 6) AS similari
 
 @query(_PROFILE)
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose quantities are spread alike over suppliers."""
-    rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("feature")).agg(F.sum("l_quantity").alias("value"))
+    """Orders whose quantities are spread alike over parts."""
+    rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("feature")).agg(F.sum("l_quantity").alias("value"))
     return O.similar_pairs(rows, 0.8)
 
 
