@@ -48,9 +48,10 @@ PART = 256
 ENDS = 4
 #: Further neighbour tests between components.
 ROUNDS = 3
-#: Parts by hash whose sizes bound a pair's overlap, seven to a long.
-LANES = 63
-LANE_COLUMNS = [f"l{k}" for k in range(LANES // 7)]
+#: Parts by hash whose sizes bound a pair's overlap, and bits of each; posting lists from which on they are used.
+LANES, LANE_BITS = 64, 16
+LANE_COLUMNS = [*(f"l{k}" for k in range(LANES * LANE_BITS // 64)), "over"]
+LARGE = 64
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _RS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcd")])
@@ -274,38 +275,29 @@ def linked(pairs: DataFrame, classes: DataFrame, least: int, of: int) -> DataFra
 
 
 def _lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared shingles of each class by lane, seven lanes to a long; null where a lane holds more than 127."""
+    """Shared shingles of each class by lane, as many ones in the lane's bits; what a lane can't hold is counted in all."""
     schema = pa.schema([("cls", pa.binary()), *((c, pa.int64()) for c in LANE_COLUMNS)])
     for batch in batches:
-        out = np.zeros((len(batch), LANES), "<i8")
-        for column in batch.columns[1:]:
-            lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        counts = np.zeros((len(batch), LANES), "<i8")
+        for lists in batch.columns[1:]:
             at = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
             flat = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()].view("<u8")
-            np.add.at(out, (at, (flat % np.uint64(LANES)).astype("i8")), 1)
-        fits = out.max(1, initial=0) <= 127
-        packed = (out.reshape(len(batch), -1, 7) << (8 * np.arange(7))).sum(2)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(packed[:, k], pa.int64(), mask=~fits) for k in range(len(LANE_COLUMNS)))], schema=schema)
+            np.add.at(counts, (at, (flat % np.uint64(LANES)).astype("i8")), 1)
+        ones = ((1 << np.minimum(counts, LANE_BITS)) - 1).astype("<u2")
+        packed = np.ascontiguousarray(ones).view("<i8")
+        over = np.maximum(counts - LANE_BITS, 0).sum(1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(packed[:, k]), pa.int64()) for k in range(packed.shape[1])), pa.array(over, pa.int64())], schema=schema)
 
 
 def lanes(classes: DataFrame) -> DataFrame:
-    """(cls, l0, l1, ...): the fragments cut finer, by hash into ``LANES`` parts, of which only the sizes are kept."""
+    """(cls, l0, l1, ..., over): the fragments cut finer, by hash into ``LANES`` parts, of which only the sizes are kept."""
     ddl = "cls binary, " + ", ".join(f"{c} long" for c in LANE_COLUMNS)
     return classes.select("cls", *[f"f{k}" for k in range(len(CUTS) + 1)]).mapInArrow(frugal(_lanes), ddl)
 
 
 def lane_bound(a: list[Column], b: list[Column]) -> Column:
-    """Most common shingles by lanes: the sum of the smaller of each two counts, worked out seven at a time."""
-    high, pairs = F.lit(0x80808080808080), F.lit(0x00FF00FF00FF00FF)
-    total = F.lit(0)
-    for x, y in zip(a, b, strict=True):
-        # Where x has y or more, the lane's high bit stands, and a lane of ones picks y.
-        larger = F.shiftrightunsigned((x.bitwiseOR(high) - y).bitwiseAND(high), 7)
-        mask = F.shiftleft(larger, 8) - larger
-        least = y.bitwiseAND(mask).bitwiseOR(x.bitwiseAND(F.bitwise_not(mask)))
-        total = total + least.bitwiseAND(pairs) + F.shiftrightunsigned(least, 8).bitwiseAND(pairs)
-    total = total + F.shiftrightunsigned(total, 32)
-    return (total + F.shiftrightunsigned(total, 16)).bitwiseAND(F.lit(0xFFFF))
+    """Most common shingles by lanes: ones that stand in both, and the lesser of what the lanes couldn't hold."""
+    return sum((F.bit_count(x.bitwiseAND(y)) for x, y in zip(a[:-1], b[:-1], strict=True)), F.least(a[-1], b[-1]))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -390,8 +382,10 @@ def jaccard_links(classes: DataFrame, least: int, of: int) -> tuple[DataFrame, D
         roots = _contracted(roots, more, "join-roots")
     # Step 4: every pair of different components.
     open_ = _open_lists(postings, roots)
-    fine = lanes(classes.join(open_.select("cls").distinct(), "cls", "left_semi"))
-    open_ = stored(open_.join(fine, "cls"), "join-lanes")
+    dropped(postings)
+    # Pairs of small lists are few; their rows carry no lanes.
+    fine = stored(lanes(classes.join(open_.where(F.col("size") >= LARGE).select("cls").distinct(), "cls", "left_semi")).withColumnRenamed("cls", "l_cls"), "join-lanes")
+    open_ = open_.join(fine, (F.col("cls") == F.col("l_cls")) & (F.col("size") >= LARGE), "left").drop("l_cls")
     minor = open_.where("root <> major").select("h", "cls", "n_shingles", "root", "left", *SIZES, *LANE_COLUMNS)
     other = open_.select("h", F.col("cls").alias("cls2"), F.col("n_shingles").alias("n2"), F.col("root").alias("root2"), F.col("left").alias("left2"), "major", *[F.col(c).alias(f"{c}_2") for c in [*SIZES, *LANE_COLUMNS]])
     cols = lambda *x: [F.col(c) for c in x]
