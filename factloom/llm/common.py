@@ -115,23 +115,32 @@ _HELD: dict = {}
 
 
 def held(name: tuple, make: Callable[[], object]):
-    """What a Python worker keeps between the tasks of a stage; the next stage's tasks drop it."""
+    """What a Python worker keeps between tasks; those of another operator drop it."""
     if name not in _HELD:
         _HELD[name] = make()
     return _HELD[name]
 
 
+def begin(owner: str) -> None:
+    """A task of an operator begins in this worker.
+
+    Of the module, not of the function below: that one travels by value, with copies of what it names.
+    """
+    if _HELD.get("owner") != owner:
+        _HELD.clear()
+        _HELD["owner"] = owner
+
+
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task function that leaves little behind, as its worker lives on for other stages.
 
     Arrow's memory comes from the C library, and what is free goes back when the task ends.
     """
 
+    owner = run.__module__
+
     def wrapped(batches: Iterator) -> Iterator:
-        task = TaskContext.get()
-        if task and _HELD.get("stage") != task.stageId():
-            _HELD.clear()
-            _HELD["stage"] = task.stageId()
+        begin(owner)
         pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)

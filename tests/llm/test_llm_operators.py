@@ -685,3 +685,19 @@ def test_encoder_of_another_file_and_small_memory(tmp_path):
         for _ in range(60):
             t = [" ".join(rng.choice(("Some", "words", "IT'S", "né", "a-b", "12")) + str(rng.randint(0, 30)) for _ in range(20)) for _ in range(3)]
             assert enc(t) == [np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in t]
+
+
+def test_workers_drop_what_another_operator_kept():
+    """A task function travels by value, yet reaches what the worker's module holds."""
+    from pyspark import cloudpickle
+
+    from factloom.llm import common
+
+    task = lambda of: cloudpickle.loads(cloudpickle.dumps(common.frugal(of)))
+    read, other = task(wavelet._read), task(resampling._counts(5))
+    list(read([]))
+    assert common.held(("x",), lambda: 5) == 5
+    list(read([]))
+    assert common.held(("x",), lambda: 6) == 5
+    list(other([]))
+    assert common.held(("x",), lambda: 6) == 6
