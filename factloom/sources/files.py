@@ -64,7 +64,7 @@ def listing(spark: SparkSession, folder: str, glob: str | None = None) -> DataFr
     return out.where(~skipped & ~F.concat(F.lit("/"), F.col("relative")).rlike(r"/\."))
 
 
-def workspace_bytes(files: DataFrame, skipped: tuple[str, ...] = (".git", "__pycache__", ".aero")) -> DataFrame:
+def workspace_bytes(files: DataFrame, skipped: tuple[str, ...] = (".git", "__pycache__")) -> DataFrame:
     """Total size of the Python files of a listing (path, extension, size), some folders left out."""
     out = reduce(lambda a, b: a | b, [F.contains("path", F.lit(f"/{d}/")) for d in skipped])
     return files.where(~out & (F.col("extension") == ".py")).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
