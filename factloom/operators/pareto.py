@@ -1,14 +1,19 @@
 """Pareto fronts, crowding, hypervolume and selections from them.
 
-A frontier is taken in a tree: each partition keeps its own non-dominated points in numpy,
-in half as many partitions they are reduced again, and so on while that leaves fewer; what
-then is too much for one task is compared by a join. Points with equal objectives don't
-dominate each other.
+In order of their values a point is dominated only by earlier ones. With three objectives or
+fewer that leaves a question of the last two: whether a staircase of earlier points lies under
+a point, which a binary search answers. Over many partitions, points are dealt out by ranges of
+that order; what a range has to know of earlier ones is their staircases.
+
+A frontier is taken in a tree: each partition keeps its own non-dominated points, in half as
+many partitions they are reduced again, and so on while that leaves fewer; ranges that stay
+are held against each earlier range's staircase. Points with equal objectives don't dominate
+each other.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import kept
+from ..session import kept, ranges
 
 
 def dominates(a: str, b: str, objectives: list[str], minimize: bool) -> Column:
@@ -28,11 +33,37 @@ def dominates(a: str, b: str, objectives: list[str], minimize: bool) -> Column:
     return reduce(lambda x, y: x & y, [p <= q for p, q in pairs]) & reduce(lambda x, y: x | y, [p < q for p, q in pairs])
 
 
+class Stairs:
+    """The minimal ones of points in the plane, by rising first and falling second value."""
+
+    def __init__(self):
+        self.x: list[float] = []
+        self.y: list[float] = []
+
+    def under(self, x: float, y: float) -> bool:
+        """Whether a point is as small in both."""
+        k = bisect_right(self.x, x)
+        return k > 0 and self.y[k - 1] <= y
+
+    def put(self, x: float, y: float) -> None:
+        """Adds a point that none is under, and drops those that it is under."""
+        first = last = bisect_left(self.x, x)
+        while last < len(self.y) and self.y[last] >= y:
+            last += 1
+        self.x[first:last] = [x]
+        self.y[first:last] = [y]
+
+
+def _plane(x: np.ndarray) -> np.ndarray:
+    """The last two of three objectives or fewer; what lacks is equal for all."""
+    return np.concatenate([np.zeros((len(x), 2)), x[:, 1:]], axis=1)[:, -2:] if x.shape[1] < 3 else x[:, 1:]
+
+
 def _front(x: np.ndarray, chunk: int = 512) -> np.ndarray:
-    """The distinct points that none dominates, minimized.
+    """The distinct points that none dominates, minimized, in order.
 
-    In order of their values a later point never dominates an earlier one; points are held
-    against the front so far many at a time, then against those of their own chunk.
+    More than three objectives are compared many at a time: points with the front so far, then
+    with those of their own chunk.
     """
     values = np.unique(x, axis=0)
     if len(values) > chunk:
@@ -40,17 +71,39 @@ def _front(x: np.ndarray, chunk: int = 512) -> np.ndarray:
         rank = sum(np.argsort(np.argsort(values[:, k], kind="stable"), kind="stable") for k in range(values.shape[1]))
         for good in values[np.argsort(rank, kind="stable")[:16]]:
             values = values[~((good <= values).all(1) & (good < values).any(1))]
+    if x.shape[1] <= 3:
+        stairs, keep = Stairs(), []
+        for k, (a, b) in enumerate(_plane(values).tolist()):
+            if not stairs.under(a, b):
+                stairs.put(a, b)
+                keep.append(k)
+        return values[keep]
     front = np.zeros((0, x.shape[1]))
     for k in range(0, len(values), chunk):
         part = values[k : k + chunk]
-        for f in range(0, len(front), 4096):
-            part = part[~(front[f : f + 4096, None] <= part).all(2).any(0)]
+        part = part[~_above(part, front)]
         under = (part[:, None] <= part).all(2)
         np.fill_diagonal(under, False)
         front = np.concatenate([front, part[~under.any(0)]])
     return front
 
 
+def _above(points: np.ndarray, others: np.ndarray, chunk: int = 512) -> np.ndarray:
+    """Which points have an earlier one of ``others`` that is as small in all values but the first."""
+    out = np.zeros(len(points), bool)
+    if points.shape[1] <= 3:
+        stairs = Stairs()
+        for a, b in _plane(others).tolist():
+            if not stairs.under(a, b):
+                stairs.put(a, b)
+        return np.array([stairs.under(a, b) for a, b in _plane(points).tolist()], bool)
+    for k in range(0, len(points), chunk):
+        part = points[k : k + chunk, 1:]
+        for f in range(0, len(others), 4096):
+            out[k : k + chunk] |= (others[f : f + 4096, None, 1:] <= part).all(2).any(0)
+    return out
+
+
 def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     left: pd.DataFrame | None = None
     for batch in batches:
@@ -60,16 +113,45 @@ def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield left
 
 
-#: Points that one task compares with each other in the last step of a frontier.
+#: Points that one task compares with each other.
 LAST = 50_000
+#: Distinct points whose fronts one task finds, after those of all earlier ranges.
+RANGE = 200_000
+
+
+def _objectives(objectives: list[str], minimize: bool) -> dict[str, Column]:
+    """Values to minimize, by names of their own. Null and NaN are the worst when minimizing, 0 when maximizing."""
+    worst = F.lit(float("inf") if minimize else 0.0)
+    return {f"_o{k}": F.coalesce(F.nanvl(F.col(o).cast("double"), worst), worst) * (1 if minimize else -1) + 0.0 for k, o in enumerate(objectives)}
+
+
+def _dominated(key: tuple, points: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    own, before = points.drop(columns=["i", "j"]), others.drop(columns=["i", "j"])
+    if own.empty or before.empty:
+        return own.iloc[:0]
+    return own[_above(own.to_numpy("f8"), before.to_numpy("f8"))]
+
+
+def _across(left: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """What of ``left``, too much for one task, no other row dominates.
+
+    Rows go to ranges of their order; a range keeps its own front, which is then held against
+    that of each earlier range, a task for each two.
+    """
+    ddl = ", ".join(f"{k} double" for k in keys)
+    parts = -(-count // LAST)
+    own = kept(ranges(left, parts, keys).mapInPandas(_local, ddl).withColumn("i", F.spark_partition_id()))
+    late = own.where("i > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("i") - 1)))
+    early = own.where(F.col("i") < parts - 1).withColumnRenamed("i", "j").withColumn("i", F.explode(F.sequence(F.col("j") + 1, F.lit(parts - 1))))
+    gone = late.select("i", "j", *keys).groupBy("i", "j").cogroup(early.select("i", "j", *keys).groupBy("i", "j")).applyInPandas(_dominated, ddl)
+    return own.drop("i").join(gone.distinct(), keys, "left_anti")
 
 
 def frontier(points: DataFrame, objectives: list[str], minimize: bool = True) -> DataFrame:
     """The rows that no row dominates. Null is the worst when minimizing, 0 when maximizing."""
-    keys = [f"_o{k}" for k in range(len(objectives))]
+    values = _objectives(objectives, minimize)
+    keys = list(values)
     ddl = ", ".join(f"{k} double" for k in keys)
-    worst = F.lit(float("inf") if minimize else 0.0)
-    values = {k: F.coalesce(F.nanvl(F.col(o).cast("double"), worst), worst) * (1 if minimize else -1) + 0.0 for k, o in zip(keys, objectives, strict=True)}
     # Only values travel; rows that have the front's come back by a join.
     left = kept(points.select(*[v.alias(k) for k, v in values.items()]).mapInPandas(_local, ddl))
     count = left.count()
@@ -80,81 +162,148 @@ def frontier(points: DataFrame, objectives: list[str], minimize: bool = True) ->
         if parts == 1:
             break
         if now > 0.7 * count:
-            left = left.alias("a").join(left.alias("b"), dominates("b", "a", keys, True), "left_anti")
+            left = _across(left, keys, now)
             break
         count = now
     same = reduce(lambda x, y: x & y, [values[k] == F.col(f"_f{k}") for k in keys])
     return points.join(left.select(*[F.col(k).alias(f"_f{k}") for k in keys]), same, "left_semi")
 
 
-def _levels(x: np.ndarray) -> np.ndarray:
-    """The front of each row of distinct points, minimized."""
+class _Levels:
+    """Fronts of points that come in order. A point's dominators in a front imply one in each front before.
+
+    Of each front the staircase of the last two of three objectives is held; of more objectives all points.
+    """
+
+    def __init__(self, dims: int):
+        self._dims = dims
+        self._fronts: list = []
+
+    def __len__(self) -> int:
+        return len(self._fronts)
+
+    def under(self, front: int, point: list[float]) -> bool:
+        if front >= len(self._fronts):
+            return False
+        held = self._fronts[front]
+        if self._dims <= 3:
+            return held.under(*point)
+        return any((np.stack(held[f : f + 1024]) <= point).all(1).any() for f in range(0, len(held), 1024))
+
+    def first_free(self, low: int, point: list[float]) -> int:
+        """The first front from ``low`` on in which no point is under."""
+        high = max(low, len(self._fronts))
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if self.under(middle, point) else (low, middle)
+        return low
+
+    def put(self, front: int, point: list[float]) -> None:
+        while front >= len(self._fronts):
+            self._fronts.append(Stairs() if self._dims <= 3 else [])
+        held = self._fronts[front]
+        if self._dims > 3:
+            held.append(np.array(point))
+        elif not held.under(*point):
+            held.put(*point)
+
+
+def _tails(x: np.ndarray) -> list[list[float]]:
+    return (_plane(x) if x.shape[1] <= 3 else x[:, 1:]).tolist()
+
+
+def _levels(x: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
+    """The front of each of distinct points, minimized; ``base`` is the least that earlier ranges leave it."""
     level = np.zeros(len(x), "i8")
-    tails: list[float] = []
-    fronts_: list[list[int]] = []
-    for i in np.lexsort(x.T[::-1]):
-        # Who is dominated in a front is dominated in all before it.
-        if x.shape[1] == 2:
-            k = bisect_right(tails, x[i, 1])
-            tails[k : k + 1] = [x[i, 1]]
-        else:
-            k, high = 0, len(fronts_)
-            while k < high:
-                middle = (k + high) // 2
-                if (x[fronts_[middle]] <= x[i]).all(1).any():
-                    k = middle + 1
-                else:
-                    high = middle
-            if k == len(fronts_):
-                fronts_.append([])
-            fronts_[k].append(i)
-        level[i] = k
+    base = np.zeros(len(x), "i8") if base is None else base
+    held, tails = _Levels(x.shape[1]), _tails(x)
+    for i in np.lexsort(x.T[::-1]).tolist():
+        # From its base on, only points of this range can be under it.
+        level[i] = held.first_free(int(base[i]), tails[i])
+        held.put(int(level[i]), tails[i])
     return level
 
 
-def _least_front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A point's front among those of its batch, which is never behind that among all."""
-    for batch in batches:
-        yield batch.assign(_level=_levels(batch.to_numpy("f8")))
+def _after(key: tuple, points: pd.DataFrame, stairs: pd.DataFrame) -> pd.DataFrame:
+    """Points with the first front that a run of earlier fronts leaves them."""
+    keys = [c for c in points.columns if c.startswith("_o")]
+    x, out = points[keys].to_numpy("f8"), points[keys].copy()
+    out["base"] = 0
+    if len(points) and len(stairs):
+        first = int(stairs["front"].min())
+        held = _Levels(len(keys))
+        for front, point in zip((stairs["front"] - first).tolist(), _tails(stairs[keys].to_numpy("f8")), strict=True):
+            held.put(front, point)
+        found = np.array([held.first_free(0, p) for p in _tails(x)])
+        out["base"] = np.where(found > 0, found + first, 0)
+    return out
+
 
+def _ranked(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
+    keys = [c for c in points.columns if c.startswith("_o")]
+    return points[keys].assign(front=_levels(points[keys].to_numpy("f8"), points["base"].to_numpy("i8")).astype("i4"))
 
-def fronts(points: DataFrame, objectives: list[str], minimize: bool = True, block: int = 100_000) -> DataFrame:
+
+def fronts(points: DataFrame, objectives: list[str], minimize: bool = True, block: int = RANGE) -> DataFrame:
     """``points`` with ``front``: 0 for the frontier, 1 for that of the rest, and so on, until nothing is left.
 
-    Takes as many fronts a round as have ``block`` distinct points at most by their least
-    possible front, one at least; a frontier above it is taken by joins. Each round is stored,
-    so that lineage stays short.
+    Distinct values are dealt out by ranges of their order, of about ``block``. Range by range, many
+    tasks hold a range's points against the staircases of the fronts so far, and one finds the
+    fronts inside the range. Every step is stored; nothing passes the driver.
     """
-    worst = F.lit(float("inf") if minimize else 0.0)
-    keys = [f"_o{k}" for k in range(len(objectives))]
-    values = {k: F.coalesce(F.nanvl(F.col(o).cast("double"), worst), worst) * (1 if minimize else -1) + 0.0 for k, o in zip(keys, objectives, strict=True)}
+    values = _objectives(objectives, minimize)
+    keys = list(values)
     rows = points.withColumns(values)
-    rest, done, first = kept(rows.select(*keys).distinct()), None, 0
+    distinct = kept(rows.select(*keys).distinct())
+    count = distinct.count()
+    parts = max(1, -(-count // block))
     ddl = ", ".join(f"{k} double" for k in keys)
-    while not rest.isEmpty():
-        least = kept(rest.mapInPandas(_least_front, f"{ddl}, _level long"))
-        total, n = 0, 0
-        for r in least.groupBy("_level").count().orderBy("_level").limit(block + 1).collect():
-            total += r["count"]
-            if total > block:
-                break
-            n = r["_level"] + 1
-        if n:
-            some = least.where(F.col("_level") < n).select(*keys).toPandas()
-            # Dominators of a point in the first n fronts are in them too, so these are exact.
-            some["front"] = _levels(some.to_numpy("f8"))
-            front = points.sparkSession.createDataFrame(some[some["front"] < n].assign(front=lambda d: d["front"] + first), f"{ddl}, front int")
+    if parts > 1:
+        distinct = kept(ranges(distinct, parts, keys).withColumn("range", F.spark_partition_id()))
+    done, stairs = None, None
+    for k in range(parts):
+        own = distinct.where(F.col("range") == k).drop("range") if parts > 1 else distinct
+        if stairs is None:
+            own = own.withColumn("base", F.lit(0))
         else:
-            n, front = 1, frontier(rest, keys).withColumn("front", F.lit(first))
-        front = kept(front)
+            own = _bases(own, stairs, keys, block)
+        front = kept(own.groupBy(F.lit(0).alias("g")).applyInPandas(_ranked, f"{ddl}, front int"))
         done = front if done is None else done.unionByName(front)
-        rest = kept(rest.join(front, keys, "left_anti"))
-        first += n
-    if done is None:
-        return points.withColumn("front", F.lit(0)).where(F.lit(False))
+        if k < parts - 1:
+            stairs = kept(_stairs(front if stairs is None else stairs.unionByName(front), keys))
     return rows.join(done, keys).select(*points.columns, "front")
 
 
+def _stairs(front: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each front the points that matter to later ranges: the minimal ones of all values but the first."""
+    if len(keys) > 3:
+        return front
+    last = keys[-1]
+    if len(keys) < 3:
+        return front.groupBy("front").agg(*[F.min(k).alias(k) for k in keys])
+    w = Window.partitionBy("front").orderBy(keys[1], last, keys[0]).rowsBetween(Window.unboundedPreceding, -1)
+    lower = F.min(last).over(w)
+    return front.withColumn("_low", lower).where(F.col("_low").isNull() | (F.col(last) < F.col("_low"))).drop("_low")
+
+
+def _bases(points: DataFrame, stairs: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Points with ``base``, the first front that earlier ranges leave them: each of some groups of
+    points is held against each of some runs of fronts."""
+    spark = points.sparkSession
+    total = stairs.count()
+    runs = max(1, -(-total // size))
+    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    ddl = ", ".join(f"{k} double" for k in keys)
+    if runs > 1:
+        stairs = ranges(stairs, runs, ["front", *keys]).withColumn("run", F.spark_partition_id())
+    else:
+        stairs = stairs.withColumn("run", F.lit(0))
+    rows = points.withColumn("group", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    held = stairs.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    cut = rows.select("group", "run", *keys).groupBy("group", "run").cogroup(held.select("group", "run", "front", *keys).groupBy("group", "run"))
+    return cut.applyInPandas(_after, f"{ddl}, base int").groupBy(*keys).agg(F.max("base").alias("base"))
+
+
 def crowding(points: DataFrame, objectives: list[str], front: str, tie: str) -> DataFrame:
     """With ``crowding``: the sum of relative gaps between a point's neighbours in each objective.
 
@@ -208,29 +357,97 @@ def hypervolume_2d(points: DataFrame, x: str, y: str, ref: tuple[float, float],
     return strips.groupBy(*keys).agg(F.sum("_strip").alias("hypervolume"))
 
 
+def _volume(points: np.ndarray, before: np.ndarray, low: float) -> float:
+    """Volume over 0 of slabs from the highest z of ``points`` (x, y, z) down to ``low``; ``before`` are points (x, y) of higher z.
+
+    The area under the staircase grows by what a new point covers beyond it.
+    """
+    x, y = [0.0], [float("inf")]  # rising x, falling y; the corner of no area
+    area = total = 0.0
+
+    def put(a: float, b: float) -> float:
+        k = bisect_left(x, a)
+        if k < len(x) and y[k] >= b:
+            return 0.0
+        gained, right, j = 0.0, y[k] if k < len(y) else 0.0, k
+        # Steps to the left are covered up to the first that is higher.
+        end, floor = a, right
+        while True:
+            j -= 1
+            gained += (end - x[j]) * (b - floor)
+            if y[j] > b:
+                break
+            end, floor = x[j], y[j]
+        last = k + 1 if k < len(x) and x[k] == a else k
+        x[j + 1 : last] = [a]
+        y[j + 1 : last] = [b]
+        return gained
+
+    for a, b in before.tolist():
+        area += put(a, b)
+    rows = points[np.argsort(-points[:, 2], kind="stable")].tolist()
+    for k, (a, b, c) in enumerate(rows):
+        area += put(a, b)
+        total += area * (c - (rows[k + 1][2] if k + 1 < len(rows) else low))
+    return total
+
+
+def _plane_front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each run of a group in a partition: the points (x, y) that no other is over, and its highest z."""
+    left: pd.DataFrame | None = None
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in rows.groupby(["g", "part"], dropna=False, sort=False):
+            front = -_front(-own[["x", "y"]].to_numpy("f8"))
+            out.append(pd.DataFrame({"g": [own["g"].iloc[0]] * len(front), "part": own["part"].iloc[0], "x": front[:, 0], "y": front[:, 1], "top": own["z"].max() if "z" in own else own["top"].max()}))
+        return pd.concat(out, ignore_index=True)
+
+    for batch in batches:
+        if len(batch):
+            batch = best(batch)
+            if left is None:
+                left = batch
+            else:
+                top = pd.concat([left, batch], ignore_index=True)
+                left = best(top)
+    if left is not None:
+        yield left
+
+
 def hypervolume_3d(points: DataFrame, axes: tuple[str, str, str], ref: tuple[float, float, float], group: str) -> DataFrame:
-    """Volume by slabs of falling z; a group's frontier has to be of bounded size, as it is one task's."""
-    x, y, z = axes
+    """Volume that points dominate over a reference, all maximized, for each group.
 
-    def volume(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[(pdf[x] > ref[0]) & (pdf[y] > ref[1]) & (pdf[z] > ref[2])].sort_values(z, ascending=False)
-        total, seen = 0.0, []
-        values = p[[x, y, z]].to_numpy("f8")
-        for k, (a, b, c) in enumerate(values):
-            seen.append((a, b))
-            low = values[k + 1][2] if k + 1 < len(values) else ref[2]
-            if c <= low:
-                continue
-            best, area = ref[1], 0.0
-            for u, v in sorted(seen, reverse=True):
-                if v > best:
-                    area += (u - ref[0]) * (v - best)
-                    best = v
-            total += area * (c - low)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "hypervolume": [total]})
-
-    kind = dict(points.dtypes)[group]
-    return points.select(group, x, y, z).groupBy(group).applyInPandas(volume, f"{group} {kind}, hypervolume double")
+    Points are dealt out by ranges of group and falling z. A range's part of a group is a task's:
+    its slabs lie on the staircase (x, y) of the group's ranges above, which is all that it needs
+    of them.
+    """
+    x, y, z = axes
+    spark = points.sparkSession
+    over = reduce(lambda a, b: a & b, [F.col(c) > r for c, r in zip(axes, ref, strict=True)])
+    rows = points.where(over).select(F.col(group).alias("g"), *[(F.col(c).cast("double") - r).alias(n) for c, r, n in zip(axes, ref, "xyz", strict=True)])
+    best = rows.groupBy("g", "x", "y").agg(F.max("z").alias("z"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = kept(ranges(best.withColumn("down", -F.col("z")), parts, ["g", "down", "x", "y"]).drop("down").withColumn("part", F.spark_partition_id()))
+    kind = dict(dealt.dtypes)["g"]
+    fronts_ = kept(dealt.mapInPandas(_plane_front, f"g {kind}, part int, x double, y double, top double"))
+    runs = fronts_.groupBy("g", "part").agg(F.max("top").alias("top"))
+    w = Window.partitionBy("g").orderBy("part")
+    runs = runs.select("g", "part", F.coalesce(F.lead("top").over(w), F.lit(0.0)).alias("low"), F.lead("part").over(w).alias("next"))
+    later = runs.select(F.col("g").alias("g2"), F.col("part").alias("p2"))
+    above = fronts_.join(later, F.col("g").eqNullSafe(F.col("g2")) & (F.col("part") < F.col("p2"))).select("g", F.col("p2").alias("part"), "x", "y")
+    bounded = dealt.join(runs.select(F.col("g").alias("g2"), F.col("part").alias("p2"), "low"), F.col("g").eqNullSafe(F.col("g2")) & (F.col("part") == F.col("p2"))).select("g", "part", "x", "y", "z", "low")
+
+    def volume(key: tuple, own: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return pd.DataFrame({"g": [], "volume": []})
+        total = _volume(own[["x", "y", "z"]].to_numpy("f8"), before[["x", "y"]].to_numpy("f8").reshape(-1, 2), float(own["low"].iloc[0]))
+        return pd.DataFrame({"g": own["g"].iloc[:1], "volume": [total]})
+
+    sums = bounded.groupBy("g", "part").cogroup(above.groupBy("g", "part")).applyInPandas(volume, f"g {kind}, volume double")
+    volumes = sums.groupBy("g").agg(F.sum("volume").alias("hypervolume"))
+    names = points.select(F.col(group).alias("_name")).distinct()
+    return names.join(volumes, F.col("_name").eqNullSafe(F.col("g")), "left").select(F.col("_name").alias(group), F.coalesce("hypervolume", F.lit(0.0)).alias("hypervolume"))
 
 
 def weighted_fitness(metrics: DataFrame, weights: dict[str, float], key: str) -> DataFrame:

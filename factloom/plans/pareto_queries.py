@@ -70,6 +70,13 @@ def pareto_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fronts(spark, sf_dir).select("p_partkey", "front")
 
 
+@query()
+def pareto_fronts_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fronts of all line items by three objectives, minimized; too many for SQL, tested against brute force."""
+    cols = ["l_extendedprice", "l_discount", "l_tax"]
+    return O.fronts(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *cols), cols).select("l_orderkey", "l_linenumber", "front")
+
+
 @query(_CROWD + "SELECT p_partkey, CASE WHEN isinf(crowding) THEN -1.0 ELSE round(crowding, 6) END AS crowding FROM c")
 def crowding_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crowded(spark, sf_dir).select("p_partkey", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 6)).alias("crowding"))
@@ -125,6 +132,19 @@ def hypervolume_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.hypervolume_3d(rows, ("x", "y", "z"), (0.0, 900.0, 0.0), "p_brand").withColumn("hypervolume", F.round("hypervolume", 3))
 
 
+@query(
+    """WITH p AS (SELECT DISTINCT p_size::DOUBLE AS x, p_retailprice AS y, (p_partkey % 97)::DOUBLE AS z FROM part WHERE p_size > 0 AND p_retailprice > 900 AND p_partkey % 97 > 0),
+zs AS (SELECT z, z - coalesce(lead(z) OVER (ORDER BY z DESC), 0) AS h FROM (SELECT DISTINCT z FROM p)),
+s AS (SELECT zs.z, h, x, max(y) AS y FROM zs JOIN p ON p.z >= zs.z GROUP BY ALL),
+a AS (SELECT z, h, x, y, coalesce(max(y) OVER (PARTITION BY z ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 900) AS above FROM s)
+SELECT round(sum(h * x * greatest(0, y - above)), 3) AS hypervolume FROM a"""
+)
+def hypervolume_3d_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as one group."""
+    rows = load(spark, sf_dir, "part").select(F.lit(0).alias("g"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 97).cast("double").alias("z"))
+    return O.hypervolume_3d(rows, ("x", "y", "z"), (0.0, 900.0, 0.0), "g").select(F.round("hypervolume", 3).alias("hypervolume"))
+
+
 @query(
     """WITH s AS (SELECT min(p_retailprice) a, max(p_retailprice) b, min(p_size) c, max(p_size) d FROM part)
 SELECT p_partkey, round(sqrt((1 - (p_retailprice - a) / (b - a)) ** 2 + (1 - (p_size - c) / (d - c)) ** 2), 6) AS distance FROM part, s ORDER BY round(sqrt((1 - (p_retailprice - a) / (b - a)) ** 2 + (1 - (p_size - c) / (d - c)) ** 2), 9), p_partkey LIMIT 1"""

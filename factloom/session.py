@@ -44,6 +44,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ranges(df: DataFrame, parts: int, keys: list[str]) -> DataFrame:
+    """``df`` in exactly so many partitions by ranges of the keys, each sorted."""
+    return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Adds the package to the files that executors get, once an application, and bounds Arrow batches."""
     for key, (default, ours) in BATCH.items():
