@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import similarity as O
+from ..operators.metric_index import MetricIndex
 from ..session import load
 from .registry import Fixture, query
 
@@ -38,6 +39,48 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, "cosine")
 
 
+_ALL = """WITH d AS (SELECT b.{id} AS id, a.{id} AS neighbour, {d} AS distance FROM {t} a, {t} b)
+SELECT id, neighbour, round(distance, 6) + 0.0 AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS rank FROM d) WHERE rank <= 5"""
+
+
+def _index(spark: SparkSession, sf_dir: str, metric: str) -> MetricIndex:
+    return MetricIndex(_vectors(spark, sf_dir), 5, metric)
+
+
+@query(_ALL.format(id="vec_id", t="embeddings", d=_EUC))
+def knn_index_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest neighbours of every vector, by the index."""
+    return _index(spark, sf_dir, "euclidean").neighbours().withColumn("distance", F.round("distance", 6) + 0.0)
+
+
+@query(_ALL.format(id="vec_id", t="embeddings", d=_COS))
+def knn_index_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, "cosine").neighbours().withColumn("distance", F.round("distance", 6) + 0.0)
+
+
+def _part_index(spark: SparkSession, sf_dir: str) -> MetricIndex:
+    d = lambda c: F.col(c).cast("double")
+    rows = load(spark, sf_dir, "part").withColumn("p_k", F.col("p_partkey") % 97)
+    return MetricIndex(rows.select(F.col("p_partkey").alias("id"), F.array(d("p_size"), d("p_retailprice"), d("p_k")).alias("vector")), 5)
+
+
+_PART = " + ".join(f"({a} - {b}) ** 2" for a, b in (("a.p_size::DOUBLE", "b.p_size"), ("a.p_retailprice", "b.p_retailprice"), ("(a.p_partkey % 97)::DOUBLE", "b.p_partkey % 97")))
+
+
+@query(_ALL.format(id="p_partkey", t="part", d=f"sqrt({_PART})"))
+def knn_index_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest neighbours of every part in space."""
+    return _part_index(spark, sf_dir).neighbours().withColumn("distance", F.round("distance", 6) + 0.0)
+
+
+@query()
+def knn_index_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of all distances between parts the index measured."""
+    index = _part_index(spark, sf_dir)
+    index.neighbours()
+    return index.pruned()
+
+
 _GRID = "CAST({x}.p_size AS DECIMAL(12, 2)), CAST({x}.p_retailprice AS DECIMAL(12, 2)), CAST({x}.p_partkey % 97 AS DECIMAL(12, 2))"
 _SQUARE = " + ".join(f"(a{k} - b{k}) * (a{k} - b{k})" for k in range(3))
 
