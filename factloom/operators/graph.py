@@ -267,41 +267,6 @@ def spectral_clamp(cells: DataFrame, n: int, parameter: float) -> DataFrame:
     return cells.groupBy("g").applyInPandas(clamp, _CELLS)
 
 
-def wave_order(edges: DataFrame) -> list[list[str]]:
-    """Waves of names that are ready together, sorted; what a cycle holds comes last. For configurations."""
-    pairs = [(r.src, r.dst) for r in edges.select("src", "dst").distinct().collect()]
-    waiting = {x: set() for p in pairs for x in p}
-    for src, dst in pairs:
-        waiting[dst].add(src)
-    out: list[list[str]] = []
-    while waiting:
-        ready = sorted(k for k, v in waiting.items() if not v) or sorted(waiting)
-        out.append(ready)
-        for k in ready:
-            del waiting[k]
-        for v in waiting.values():
-            v.difference_update(ready)
-    return out
-
-
-def simple_cycles(edges: DataFrame, longest: int) -> DataFrame:
-    """(cycle) of at most ``longest`` nodes, each once, written from its smallest node on."""
-    e = kept(edges.select("src", "dst").distinct())
-    paths = e.where("src <= dst").select(F.array("src").alias("path"), F.col("dst").alias("at"))
-    found = None
-    for k in range(longest):
-        closed = paths.where(F.col("at") == F.get("path", F.lit(0))).select(F.col("path").alias("cycle"))
-        found = closed if found is None else found.unionByName(closed)
-        if k == longest - 1:
-            break
-        open_ = paths.where((F.col("at") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("at")))
-        grown = open_.select(F.concat("path", F.array("at")).alias("path"))
-        paths = kept(grown.join(e, F.get("path", F.size("path") - 1) == e["src"]).select("path", F.col("dst").alias("at")))
-        if paths.isEmpty():
-            break
-    return found
-
-
 def projector(rows: DataFrame, order: str, vector: str, gain: str, last: int = 32, least: float = 0.5, rank: int = 2) -> DataFrame:
     """(i, j, value): the projector onto the leading directions of the last vectors with enough gain.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import components as C
 from ..operators import graph as O
 from ..session import load
 from .registry import Fixture, query
@@ -201,14 +202,63 @@ RINGS = Fixture("src string, dst string", [("a", "b"), ("b", "c"), ("c", "a"), (
 
 @query("SELECT * FROM (VALUES ('a,b'), ('a,b,c'), ('d')) t(cycle)")
 def simple_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.simple_cycles(RINGS.frame(spark), 5).select(F.array_join("cycle", ",").alias("cycle"))
+    return C.cycles(RINGS.frame(spark), 5).select(F.array_join("cycle", ",").alias("cycle"))
 
 
 @query("SELECT * FROM (VALUES (0::BIGINT, 'e'), (1, 'a,b,c,d')) t(wave, names)")
 def wave_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a cycle holds comes last, sorted."""
-    waves = O.wave_order(RINGS.frame(spark))
-    return spark.createDataFrame([(k, ",".join(w)) for k, w in enumerate(waves)], "wave long, names string")
+    waves = C.waves(RINGS.frame(spark)).groupBy(F.col("wave").cast("long").alias("wave"))
+    return waves.agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("names"))
+
+
+# Orders point at their parts; numbers that are an order's and a part's make ways longer than one, and cycles.
+_ITEMS = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey::BIGINT AS src, l_partkey::BIGINT AS dst FROM lineitem),
+i AS (SELECT src, dst FROM e WHERE src IN (SELECT dst FROM e) AND dst IN (SELECT src FROM e)),
+c AS (SELECT src, dst FROM i UNION SELECT c.src, i.dst FROM c JOIN i ON i.src = c.dst),
+n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst"))
+
+
+@query(_ITEMS + "SELECT node, coalesce(least(node, m), node) AS component FROM n LEFT JOIN (SELECT a.src, min(a.dst) AS m FROM c a JOIN c b ON b.src = a.dst AND b.dst = a.src GROUP BY 1) ON src = node")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.strong_components(_items(spark, sf_dir))
+
+
+@query(
+    _ITEMS
+    + """, s AS (SELECT DISTINCT src AS node FROM c WHERE src = dst UNION SELECT e.dst FROM s JOIN e ON e.src = s.node),
+f AS (SELECT src, dst FROM e WHERE dst NOT IN (SELECT node FROM s)),
+r AS (SELECT node, 0 AS wave FROM n WHERE node NOT IN (SELECT node FROM s) UNION SELECT f.dst, r.wave + 1 FROM r JOIN f ON f.src = r.node),
+w AS (SELECT node, max(wave)::INT AS wave FROM r GROUP BY 1)
+SELECT node, wave FROM w UNION ALL SELECT node, (SELECT coalesce(max(wave), -1) + 1 FROM w)::INT FROM s"""
+)
+def waves_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves of orders and parts; what hangs on a cycle comes last."""
+    return C.waves(_items(spark, sf_dir))
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT l_orderkey::BIGINT AS src, l_partkey::BIGINT AS dst FROM lineitem)
+SELECT a.src::VARCHAR AS cycle FROM e a WHERE a.src = a.dst
+UNION ALL SELECT a.src || ',' || a.dst FROM e a JOIN e b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
+UNION ALL SELECT a.src || ',' || a.dst || ',' || b.dst FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst"""
+)
+def cycles_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of three or fewer."""
+    return C.cycles(_items(spark, sf_dir), 3).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"))
+
+
+@query()
+def spectral_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, side, connectivity) of customers (as negative numbers) and the suppliers that their orders name; no SQL has eigenvectors."""
+    items = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = items.select(F.lit(0).alias("component"), (-F.col("o_custkey").cast("long")).alias("src"), F.col("l_suppkey").cast("long").alias("dst")).distinct()
+    return C.spectral_halves(edges, tolerance=1e-3).select("node", "side", F.round("connectivity", 3).alias("connectivity"), (F.col("residual") < 1).alias("settled"))
 
 
 @query()
