@@ -39,6 +39,41 @@ def levels(edges: DataFrame) -> DataFrame:
     return out
 
 
+def repaired_levels(before: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(node, level, touched) of the changed graph ``edges`` from the levels (node, level) that it had ``before``.
+
+    Work starts at the targets of changed edges and goes on to the successors of nodes whose level
+    turns out another; no other node is looked at. ``touched`` tells which were. Each step
+    stores the levels that changed so far, not the whole.
+    """
+    edges = edges.select("src", "dst").distinct()
+    both = added.select("src", "dst").unionByName(removed.select("src", "dst"))
+    fresh = added.select(F.col("src").alias("node")).unionByName(added.select(F.col("dst").alias("node"))).distinct()
+    new = fresh.join(before, "node", "left_anti").select("node", F.lit(0).alias("level"))
+    old = kept(before.select("node", "level").unionByName(new))
+    open_ = kept(both.select(F.col("dst").alias("node")).distinct())
+    seen, changed = open_, None
+    # A new edge adds the longest way there was, and itself, at most; only a cycle adds more.
+    top = old.agg(F.max("level")).first()[0] or 0
+    most = (top + 1) * (added.count() + 1)
+    while not open_.isEmpty():
+        now = old if changed is None else old.join(changed.select("node", F.col("level").alias("_l")), "node", "left").select("node", F.coalesce("_l", "level").alias("level"))
+        into = edges.join(open_.select(F.col("node").alias("dst")), "dst", "left_semi")
+        above = into.join(now.select(F.col("node").alias("src"), "level"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("fit"))
+        fit = open_.join(now, "node").join(above, "node", "left").select("node", "level", F.coalesce("fit", F.lit(0)).alias("fit"))
+        moved = kept(fit.where("fit <> level").select("node", F.col("fit").cast("int").alias("level")))
+        if not moved.where(F.col("level") > most).isEmpty():
+            raise CycleError("the changed graph has a cycle")
+        changed = moved if changed is None else kept(changed.join(moved, "node", "left_anti").unionByName(moved))
+        open_ = kept(edges.join(moved.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct())
+        seen = kept(seen.unionByName(open_).distinct())
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    out = nodes.join(old, "node").join(seen.withColumn("touched", F.lit(True)), "node", "left")
+    if changed is not None:
+        out = out.join(changed.select("node", F.col("level").alias("_l")), "node", "left").withColumn("level", F.coalesce("_l", "level"))
+    return out.select("node", "level", F.coalesce("touched", F.lit(False)).alias("touched"))
+
+
 def has_cycle(edges: DataFrame) -> bool:
     try:
         levels(edges)
