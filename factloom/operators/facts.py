@@ -123,7 +123,7 @@ def json_scalars(docs: DataFrame) -> DataFrame:
     keys = ["state_variables", "variables", "boundaries", "constraints", "equations"]
     value = F.try_parse_json("text")
     rows = docs.withColumn("v", value).where("v is not null").where(F.schema_of_variant("v").startswith("OBJECT"))
-    flat = rows.select("doc", F.expr("variant_get(v, '$', 'map<string,variant>')").alias("m"))
+    flat = rows.select("doc", F.expr("try_variant_get(v, '$', 'map<string,variant>')").alias("m"))
     flat = flat.where(~F.arrays_overlap(F.map_keys("m"), F.array(*map(F.lit, keys)))).select("doc", F.explode("m").alias("key", "value"))
     kind = F.schema_of_variant("value")
     hint = F.when(kind == "BOOLEAN", "boolean").when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer").when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "real").when(kind == "STRING", "string")

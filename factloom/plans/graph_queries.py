@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import components as C
 from ..operators import graph as O
 from ..session import load
-from .registry import Fixture, query
+from .registry import Fixture, of_suppliers, query
 
 # A DAG over parts: p points at 2p, 3p and 5p.
 _EDGES = "(SELECT p_partkey AS src, p_partkey * k AS dst FROM part, (VALUES (2), (3), (5)) v(k) WHERE p_partkey > 0 AND p_partkey * k <= (SELECT max(p_partkey) FROM part))"
@@ -42,6 +42,22 @@ def wave_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLOSURE = f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_EDGES}), c AS (SELECT 7::BIGINT AS node UNION SELECT dst FROM c JOIN e ON e.src = c.node)\n"
 
 
+# Edges whose ends add up to a multiple of 97 go, and part p points at 7 p + 1 where p is a multiple of 50.
+_CHANGED = f"(SELECT src, dst FROM {_EDGES} WHERE (src + dst) % 97 <> 0 UNION SELECT p_partkey, p_partkey * 7 + 1 FROM part WHERE p_partkey % 50 = 0 AND p_partkey * 7 + 1 <= (SELECT max(p_partkey) FROM part))"
+
+
+@query(_LEVELS.replace(_EDGES, _CHANGED) + "SELECT node, level FROM l")
+def repaired_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels after some edges went and others came, from the levels before."""
+    edges = _edges(spark, sf_dir)
+    gone = edges.where((F.col("src") + F.col("dst")) % 97 == 0)
+    part = load(spark, sf_dir, "part").select("p_partkey")
+    new = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 7 + 1).alias("dst"))
+    new = new.crossJoin(F.broadcast(part.agg(F.max("p_partkey").alias("top")))).where("dst <= top").select("src", "dst")  # one row
+    after = edges.where((F.col("src") + F.col("dst")) % 97 != 0).unionByName(new)
+    return O.repaired_levels(O.levels(edges), after, new, gone).select("node", "level")
+
+
 @query(_CLOSURE + "SELECT node FROM c")
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.reachable(_edges(spark, sf_dir), spark.createDataFrame([(7,)], "node long")).select("node")
@@ -57,6 +73,7 @@ def closure_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CYCLES = Fixture("g string, src string, dst string", [("dag", "a", "b"), ("dag", "a", "c"), ("dag", "b", "d"), ("dag", "c", "d"), ("loop", "a", "b"), ("loop", "b", "c"), ("loop", "c", "a"), ("self", "x", "x")])
+CYCLES = of_suppliers(CYCLES, "g")
 
 
 @query(
@@ -65,7 +82,7 @@ SELECT g, bool_or(src = dst) AS cyclic FROM r GROUP BY 1"""
 )
 def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graphs side by side are one graph of pairs; those with a node that no level takes are cyclic."""
-    edges = CYCLES.frame(spark)
+    edges = CYCLES.frame(spark, sf_dir)
     names = edges.select("g").distinct()
     left = O.cyclic_part(edges.select(F.struct("g", F.col("src").alias("n")).alias("src"), F.struct("g", F.col("dst").alias("n")).alias("dst")))
     cyclic = left.select(F.col("src.g").alias("g")).distinct().withColumn("cyclic", F.lit(True))
@@ -81,12 +98,14 @@ def cycle_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WIRES = Fixture("src string, src_port string, dst string, dst_port string", [("a", "out", "b", "in"), ("a", "out", "c", "in"), ("b", "out", "c", "in"), ("c", "out", "a", "in")])
+WIRES = of_suppliers(WIRES, "src", "dst")
 PORTS = Fixture("node string, port string, type string", [("a", "out", "int"), ("a", "in", None), ("b", "in", "int"), ("b", "out", "text"), ("c", "in", "text"), ("c", "out", "int")])
+PORTS = of_suppliers(PORTS, "node")
 
 
 @query(f"SELECT w.*, a.type AS expected, b.type AS actual FROM {WIRES.sql} w JOIN {PORTS.sql} a ON a.node = w.src AND a.port = w.src_port JOIN {PORTS.sql} b ON b.node = w.dst AND b.port = w.dst_port WHERE a.type <> b.type")
 def type_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.type_violations(WIRES.frame(spark), PORTS.frame(spark))
+    return O.type_violations(WIRES.frame(spark, sf_dir), PORTS.frame(spark, sf_dir))
 
 
 # The connectivity of a triangle is 3, of a path of three 1, of two apart 0.
@@ -117,35 +136,41 @@ def rule_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FACTS = Fixture("rel string, src string, dst string", [("parent", "a", "b"), ("parent", "b", "c"), ("parent", "b", "d"), ("parent", "c", "e")])
+FACTS = of_suppliers(FACTS, "src", "dst")
 
 
 @query(f"SELECT x.src, y.dst, count(*)::BIGINT AS paths FROM {FACTS.sql} x JOIN {FACTS.sql} y ON x.dst = y.src GROUP BY 1, 2")
 def rule_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parent = FACTS.frame(spark)
+    parent = FACTS.frame(spark, sf_dir)
     return O.two_hop(parent, parent)
 
 
 CELLS = Fixture("i int, j int, w double", [(0, 1, 0.5), (1, 2, -1.25), (1, 0, 2.0), (2, 2, 0.75), (4, 5, 99.0), (5, 5, 1.0), (7, 0, 3.0)])
 
 
-@query(f"SELECT a.i, b.j, round(1 / (1 + exp(-greatest(-30, least(30, sum(a.w * b.w))))), 9) AS value FROM {CELLS.sql} a JOIN {CELLS.sql} b ON a.j = b.i GROUP BY 1, 2")
+#: A block of the matrix for each supplier.
+BLOCKS = of_suppliers(CELLS, "i", "j")
+
+
+@query(f"SELECT a.i, b.j, round(1 / (1 + exp(-greatest(-30, least(30, sum(a.w * b.w))))), 9) AS value FROM {BLOCKS.sql} a JOIN {BLOCKS.sql} b ON a.j = b.i GROUP BY 1, 2")
 def sigmoid_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = CELLS.frame(spark)
+    cells = BLOCKS.frame(spark, sf_dir)
     return O.sigmoid_product(cells, cells).withColumn("value", F.round("value", 9))
 
 
 LOSS = Fixture("i int, j int, w double", [(0, 2, 0.5), (0, 0, -2.0), (2, 2, 1.5), (7, 1, 0.25), (3, 3, 9.0)])
-_Y = f"SELECT a.i, b.j, 1 / (1 + exp(-greatest(-30, least(30, sum(a.w * b.w))))) AS y FROM {CELLS.sql} a JOIN {CELLS.sql} b ON a.j = b.i GROUP BY 1, 2"
+LOSS = of_suppliers(LOSS, "i", "j")
+_Y = f"SELECT a.i, b.j, 1 / (1 + exp(-greatest(-30, least(30, sum(a.w * b.w))))) AS y FROM {BLOCKS.sql} a JOIN {BLOCKS.sql} b ON a.j = b.i GROUP BY 1, 2"
 
 
 @query(
     f"""WITH y AS ({_Y}), g AS (SELECT i, j, w * y * (1 - y) AS g FROM {LOSS.sql} JOIN y USING (i, j))
-SELECT 'first' AS matrix, g.i, b.i AS j, round(sum(g * b.w), 9) AS w FROM g JOIN {CELLS.sql} b ON b.j = g.j GROUP BY 2, 3
-UNION ALL SELECT 'second', a.j, g.j, round(sum(g * a.w), 9) FROM g JOIN {CELLS.sql} a ON a.i = g.i GROUP BY 2, 3"""
+SELECT 'first' AS matrix, g.i, b.i AS j, round(sum(g * b.w), 9) AS w FROM g JOIN {BLOCKS.sql} b ON b.j = g.j GROUP BY 2, 3
+UNION ALL SELECT 'second', a.j, g.j, round(sum(g * a.w), 9) FROM g JOIN {BLOCKS.sql} a ON a.i = g.i GROUP BY 2, 3"""
 )
 def sigmoid_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = CELLS.frame(spark)
-    return O.sigmoid_gradients(cells, cells, O.sigmoid_product(cells, cells), LOSS.frame(spark)).withColumn("w", F.round("w", 9))
+    cells = BLOCKS.frame(spark, sf_dir)
+    return O.sigmoid_gradients(cells, cells, O.sigmoid_product(cells, cells), LOSS.frame(spark, sf_dir)).withColumn("w", F.round("w", 9))
 
 
 @query(f"SELECT CASE WHEN i = 4 THEN 5 ELSE i END AS i, j, sum(w) AS w FROM {CELLS.sql} WHERE i < 6 AND j < 6 GROUP BY 1, 2")
@@ -154,47 +179,51 @@ def fault_rerouting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPLITS = Fixture("component int, src int, dst int", [(1, 0, 1), (1, 1, 2), (1, 0, 2), (1, 2, 3), (1, 3, 4), (1, 4, 5), (1, 3, 5), (2, 10, 11)])
+SPLITS = of_suppliers(SPLITS, "component")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 0), (1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 1), (1, 5, 1), (2, 10, 0), (2, 11, 1)) t(component, node, side)")
+@query(SPLITS.answers("(1, 0, 0), (1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 1), (1, 5, 1), (2, 10, 0), (2, 11, 1)", "component int, node int, side int"))
 def fiedler_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two triangles with a bridge part at the bridge."""
-    return O.fiedler_split(SPLITS.frame(spark)).select("component", "node", "side")
+    return O.fiedler_split(SPLITS.frame(spark, sf_dir)).select("component", "node", "side")
 
 
-@query("SELECT * FROM (VALUES (1, 0.438447::DOUBLE), (2, 2.0)) t(component, connectivity)")
+@query(SPLITS.answers("(1, 0.438447::DOUBLE), (2, 2.0)", "component int, connectivity double"))
 def algebraic_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.fiedler_split(SPLITS.frame(spark)).groupBy("component").agg(F.round(F.max("connectivity"), 6).alias("connectivity"))
+    return O.fiedler_split(SPLITS.frame(spark, sf_dir)).groupBy("component").agg(F.round(F.max("connectivity"), 6).alias("connectivity"))
 
 
 WAVES = Fixture(
     "g long, matrix string, i int, j int, w double",
     [(1, "U", 0, 1, 0.5), (1, "U", 1, 2, 0.5), (2, "U", 0, 0, 0.5), (3, "U", 0, 1, 2.0), (3, "M", 1, 2, 3.0), (3, "U", 2, 2, 0.5), (3, "M", 2, 2, 1.0)],
 )
+WAVES = of_suppliers(WAVES, "g")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 1::BIGINT, 0.5::DOUBLE), (1, 1, 2, 0.5), (1, 0, 2, 0.25), (2, 0, 0, 1.0), (3, 0, 1, 2.0), (3, 0, 2, 6.0), (3, 2, 2, 1.0)) t(g, i, j, w)")
+@query(WAVES.answers("(1::BIGINT, 0::BIGINT, 1::BIGINT, 0.5::DOUBLE), (1, 1, 2, 0.5), (1, 0, 2, 0.25), (2, 0, 0, 1.0), (3, 0, 1, 2.0), (3, 0, 2, 6.0), (3, 2, 2, 1.0)", "g long, i long, j long, w double"))
 def execution_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nilpotent matrix gives U + U^2; a loop of weight a half gives 1; a routing matrix comes between."""
-    return O.execution_wave(WAVES.frame(spark), 3).withColumn("w", F.round("w", 9))
+    return O.execution_wave(WAVES.frame(spark, sf_dir), 3).withColumn("w", F.round("w", 9))
 
 
 SLOPES = Fixture("g long, matrix string, i int, j int, w double", [(1, "U", 0, 0, 0.5), (1, "G", 0, 0, 1.0)])
+SLOPES = of_suppliers(SLOPES, "g")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 0::BIGINT, 4.0::DOUBLE)) t(g, i, j, w)")
+@query(SLOPES.answers("(1::BIGINT, 0::BIGINT, 0::BIGINT, 4.0::DOUBLE)", "g long, i long, j long, w double"))
 def wave_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """u / (1 - u) has the slope 1 / (1 - u)^2."""
-    return O.wave_gradient(SLOPES.frame(spark), 1).withColumn("w", F.round("w", 9))
+    return O.wave_gradient(SLOPES.frame(spark, sf_dir), 1).withColumn("w", F.round("w", 9))
 
 
 CLAMPS = Fixture("g long, matrix string, i int, j int, w double", [(1, "U", 0, 0, 2.0), (1, "U", 1, 1, -0.5)])
+CLAMPS = of_suppliers(CLAMPS, "g")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 0::BIGINT, 1.4::DOUBLE), (1, 1, 1, -0.35)) t(g, i, j, w)")
+@query(CLAMPS.answers("(1::BIGINT, 0::BIGINT, 0::BIGINT, 1.4::DOUBLE), (1, 1, 1, -0.35)", "g long, i long, j long, w double"))
 def spectral_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eigenvalues 2 and a half count as 0.9 and 0.5."""
-    return O.spectral_clamp(CLAMPS.frame(spark), 2, 0.1).withColumn("w", F.round("w", 9))
+    return O.spectral_clamp(CLAMPS.frame(spark, sf_dir), 2, 0.1).withColumn("w", F.round("w", 9))
 
 
 RINGS = Fixture("src string, dst string", [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "d"), ("d", "d"), ("e", "a")])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import delta as D
 from ..operators import ledger as O
 from ..session import load
-from .registry import Fixture, query
+from .registry import Fixture, of_suppliers, query
 
 _CHAIN = """WITH RECURSIVE s AS (SELECT user_id, event_type AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t FROM events WHERE user_id < 100000),
 c AS (SELECT user_id, t, '' AS prev_hash, payload, sha256('|' || t || '|' || payload) AS block_hash FROM s WHERE t = 0
@@ -91,24 +91,48 @@ def readonly_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _E = "name string, body string"
 BASE = Fixture(_E, [("a", "1"), ("b", "1"), ("c", "1"), ("d", "1"), ("e", "1"), ("f", "1"), ("g", "1")])
+BASE = of_suppliers(BASE, "name")
 LEFT = Fixture(_E, [("a", "1"), ("b", "2"), ("c", "1"), ("d", "2"), ("e", "2"), ("g", "2"), ("h", "9")])
+LEFT = of_suppliers(LEFT, "name")
 RIGHT = Fixture(_E, [("a", "1"), ("b", "1"), ("c", "3"), ("d", "2"), ("e", "3"), ("f", "4"), ("i", "8")])
+RIGHT = of_suppliers(RIGHT, "name")
 
 
 @query(
-    "SELECT * FROM (VALUES ('a', '1', 'same'), ('b', '2', 'left'), ('c', '3', 'right'), ('d', '2', 'same'), ('e', '3', 'conflict'), ('f', '4', 'conflict'), ('g', '2', 'conflict'), ('h', '9', 'left'), ('i', '8', 'right')) t(name, body, outcome)"
+    BASE.answers("('a', '1', 'same'), ('b', '2', 'left'), ('c', '3', 'right'), ('d', '2', 'same'), ('e', '3', 'conflict'), ('f', '4', 'conflict'), ('g', '2', 'conflict'), ('h', '9', 'left'), ('i', '8', 'right')", "name, body, outcome")
 )
 def three_way_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.three_way_merge(BASE.frame(spark), LEFT.frame(spark), RIGHT.frame(spark), ["name"], "body")
+    return D.three_way_merge(BASE.frame(spark, sf_dir), LEFT.frame(spark, sf_dir), RIGHT.frame(spark, sf_dir), ["name"], "body")
+
+
+# A document's sentences as numbered lines. Left changes each sixth line, right each tenth, so each thirtieth is changed apart.
+_LINE = "list_transform(string_split(coalesce(text, ''), '. '), lambda x, i: (i - 1) || ': ' || replace(x, chr(10), ' '))"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_LINE} AS lines FROM documents)
+SELECT doc_id, sha256(array_to_string(list_transform(lines, lambda x, i: CASE WHEN (i - 1) % 10 = 0 THEN x || ' right' WHEN (i - 1) % 6 = 0 THEN x || ' left' ELSE x END), chr(10))) AS merged_sha256,
+((len(lines) + 29) // 30)::BIGINT AS conflicts FROM d"""
+)
+def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of each text, merged line by line; the right side's lines where both changed."""
+    parts = F.split(F.coalesce("text", F.lit("")), r"\. ")
+    lines = F.transform(parts, lambda x, i: F.concat(i.cast("string"), F.lit(": "), F.translate(x, "\n", " ")))
+    rows = load(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    version = lambda step, mark: F.array_join(F.transform("lines", lambda x, i: F.when(i % step == 0, F.concat(x, F.lit(mark))).otherwise(x)), "\n")
+    rows = rows.select("doc_id", F.array_join("lines", "\n").alias("base"), version(6, " left").alias("left"), version(10, " right").alias("right"))
+    return D.merged_texts(rows, "base", "left", "right").select("doc_id", F.sha2("merged", 256).alias("merged_sha256"), "conflicts")
 
 
 NODES = Fixture("node int, cls string", [(1, "Add"), (2, "Num"), (3, "Num"), (4, "Dup")])
+NODES = of_suppliers(NODES, "node")
 PORTS = Fixture("node int, port string, target int", [(1, "left", 2), (1, "right", 3), (2, "out", 1), (3, "out", 1), (4, "in", None)])
+PORTS = of_suppliers(PORTS, "node", "target")
 
 
-@query("SELECT * FROM (VALUES (1, 'Add|2|left->Num,right->Num'), (2, 'Num|1|out->Add'), (3, 'Num|1|out->Add'), (4, 'Dup|1|in->-')) t(node, signature)")
+@query(NODES.answers("(1, 'Add|2|left->Num,right->Num'), (2, 'Num|1|out->Add'), (3, 'Num|1|out->Add'), (4, 'Dup|1|in->-')", "node int, signature"))
 def node_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.node_signatures(NODES.frame(spark), PORTS.frame(spark))
+    return O.node_signatures(NODES.frame(spark, sf_dir), PORTS.frame(spark, sf_dir))
 
 
 @query("SELECT event_id, sha256(user_id || '|' || event_type || '|' || event_id) AS state_hash FROM events")

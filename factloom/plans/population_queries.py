@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import population as O
 from ..session import load
 from . import pipelines
-from .registry import Fixture, query
+from .registry import Fixture, of_parts, of_suppliers, query
 
 
 def _half(spark: SparkSession, sf_dir: str, lo: int, hi: int) -> DataFrame:
@@ -56,6 +56,7 @@ SEEDS = Fixture(
     "id int, coverage double, anomalies bigint, targets bigint, wall double, code bigint, comments bigint, failures bigint, ceiling bigint, other bigint",
     [(1, 0.96, 3, 50, 2.0, 400, 30, 5, 10, 7), (2, 1.0, 0, 0, None, 0, 0, None, 0, 8), (3, None, 9, 3, 1.0, 10, 40, 2, None, None), (4, 1.2, 0, 5, 0.0, 100, 0, 0, None, 4)],
 )
+SEEDS = of_parts(SEEDS, "id")
 
 
 @query(
@@ -66,7 +67,7 @@ SELECT id, round(a, 6) AS score, round(least(1.0, a * 1.01), 6) AS third_accurac
 def seed_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score and the third row of the first population, and the share of anomalies."""
     seeds = O.seed_objectives(*[F.col(c) for c in ("coverage", "anomalies", "targets", "wall", "code", "comments")])
-    rows = SEEDS.frame(spark).withColumn("s", seeds).withColumn("r", F.get("s.rows", F.lit(2)))
+    rows = SEEDS.frame(spark, sf_dir).withColumn("s", seeds).withColumn("r", F.get("s.rows", F.lit(2)))
     third = [F.round(F.get("r", F.lit(k)), 6).alias(f"third_{n}") for k, n in enumerate(("accuracy", "seconds", "compression"))]
     return rows.select("id", "s.score", *third, F.round(O.anomaly_ratio(F.col("anomalies"), F.col("failures"), F.col("ceiling"), F.col("other")), 6).alias("anomaly_ratio"))
 
@@ -90,13 +91,14 @@ def sampled_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BLENDS = Fixture("id int, build map<string,double>, wall double, energy double", [(1, {"size": 3.0}, 2.0, None), (2, {"size": 1.0, "runtime_energy": 9.0}, 0.5, 4.0)])
+BLENDS = of_parts(BLENDS, "id")
 
 
-@query("SELECT * FROM (VALUES (1, 'runtime_wall_time=1.0;size=3.0'), (2, 'runtime_energy=2.0;runtime_wall_time=0.25;size=1.0')) t(id, objectives)")
+@query(BLENDS.answers("(0, 1, 'runtime_wall_time=1.0;size=3.0'), (1, 2, 'runtime_energy=2.0;runtime_wall_time=0.25;size=1.0')", "n, id int, objectives"))
 def runtime_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = O.blended(F.col("build"), {"runtime_wall_time": F.col("wall"), "runtime_energy": F.col("energy")}, 0.5)
     shown = F.array_join(F.array_sort(F.transform(F.map_entries(both), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ";")
-    return BLENDS.frame(spark).select("id", shown.alias("objectives"))
+    return BLENDS.frame(spark, sf_dir).select("id", shown.alias("objectives"))
 
 
 @query("SELECT round(avg(n), 6) AS consensus FROM (SELECT l_suppkey, sqrt(sum(l_quantity * l_quantity)) AS n FROM lineitem GROUP BY 1)")
@@ -111,22 +113,26 @@ def cache_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _T = "parent string, child string, next string"
-PCS = [Fixture(_T, [("p", "a", "b"), ("p", "b", None)]), Fixture(_T, [("p", "a", "x"), ("p", "b", None), ("q", "c", "d")]), Fixture(_T, [("p", "a", "y"), ("p", "b", None), ("q", "c", "d")])]
+PCS = [
+    of_suppliers(Fixture(_T, rows), "parent")
+    for rows in ([("p", "a", "b"), ("p", "b", None)], [("p", "a", "x@"), ("p", "b", None), ("q", "c", "d")], [("p", "a", "y@"), ("p", "b", None), ("q", "c", "d")])
+]
 
 
 @query(
     f"SELECT parent, child, l.next AS left_next, r.next AS right_next FROM (SELECT * FROM {PCS[1].sql} EXCEPT SELECT * FROM {PCS[0].sql}) l JOIN (SELECT * FROM {PCS[2].sql} EXCEPT SELECT * FROM {PCS[0].sql}) r USING (parent, child) WHERE l.next IS DISTINCT FROM r.next"
 )
 def successor_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.successor_conflicts(*[f.frame(spark) for f in PCS])
+    return O.successor_conflicts(*[f.frame(spark, sf_dir) for f in PCS])
 
 
 SITES = Fixture("site int, name string, text string", [(1, "add", "add(x)"), (2, "main", "scale <<<1, 2>>>(y); other<<<3>>>()"), (3, "scale", ""), (4, "none", "x << 3")])
+SITES = of_parts(SITES, "site")
 
 
 @query(f"SELECT site, name AS kernel FROM {SITES.sql} WHERE name IN ('add', 'scale') UNION SELECT site, k FROM (SELECT site, unnest(regexp_extract_all(text, '(\\w+)\\s*<<<', 1)) AS k FROM {SITES.sql}) WHERE k IN ('add', 'scale')")
 def launch_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.launch_edges(SITES.frame(spark), spark.createDataFrame([("add",), ("scale",)], "kernel string"))
+    return O.launch_edges(SITES.frame(spark, sf_dir), spark.createDataFrame([("add",), ("scale",)], "kernel string"))
 
 
 DOCS = Fixture(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import kmeans as K
 from ..operators import similarity as O
 from ..operators.metric_index import MetricIndex
 from ..session import load
@@ -187,13 +189,25 @@ def offspring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, cluster) of a seeded k-means; labels are arbitrary, so there is no SQL for it."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """(id, cluster) of a seeded k-means in 25 steps; draws have no SQL, a step has (below)."""
+    return K.clusters(_vectors(spark, sf_dir), 8, seed=1, steps=25).select("id", "cluster")
 
-    rows = _vectors(spark, sf_dir).withColumn("features", array_to_vector("vector"))
-    model = KMeans(k=8, seed=1, maxIter=25).fit(rows)
-    return model.transform(rows).select("id", F.col("prediction").alias("cluster"))
+
+_STEP = """a{n} AS (SELECT p.id, p.v, arg_min(c.cluster, ((p.x - c.x) ** 2 + (p.y - c.y) ** 2, c.cluster)) AS cluster, min((p.x - c.x) ** 2 + (p.y - c.y) ** 2) AS square
+  FROM (SELECT id, x, y, 0 AS v FROM p) p, c{n} c GROUP BY 1, 2),
+c{m} AS (SELECT cluster, avg(x) AS x, avg(y) AS y FROM a{n} JOIN p USING (id) GROUP BY 1 UNION ALL SELECT cluster, x, y FROM c{n} WHERE cluster NOT IN (SELECT cluster FROM a{n}))"""
+
+
+@query(
+    "WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y FROM part), c0 AS (SELECT (id - 1)::INT AS cluster, x, y FROM p WHERE id BETWEEN 1 AND 6),\n"
+    + ",\n".join(_STEP.format(n=n, m=n + 1) for n in range(4))
+    + "\nSELECT id, cluster, round(square, 4) AS square FROM a3"
+)
+def kmeans_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts after three of Lloyd's steps from the first six."""
+    rows = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), "p_retailprice").alias("vector"))
+    first = np.array([r.vector for r in rows.where("id BETWEEN 1 AND 6").orderBy("id").collect()])
+    return K.assigned(rows, K.lloyd(rows, first, 3)).select("id", "cluster", F.round("square", 4).alias("square"))
 
 
 @query("SELECT DISTINCT round(p_retailprice, 0) AS price, p_size FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey % 2 = 0 AND round(b.p_retailprice, 0) = round(a.p_retailprice, 0) AND b.p_size = a.p_size) AND a.p_partkey % 2 = 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import states as S
 from ..operators import stats as O
 from ..session import load
-from .registry import Fixture, query
+from .registry import Fixture, of_parts, query
 
 METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _LONG = " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{m}' AS metric, {m} AS value FROM lineitem" for m in METRICS)
@@ -112,7 +112,7 @@ def stagnation_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.without_improvement(load(spark, sf_dir, "events"), "user_id", ["event_id"], "value").select("event_id", "idle")
 
 
-_CYCLES = "(SELECT unnest(range(0, 1000)) AS cycle)"
+_CYCLES = "(SELECT o_orderkey % 1000 AS cycle FROM orders)"
 
 
 @query(
@@ -123,7 +123,7 @@ round(CASE WHEN cycle < 50 THEN 0.00001 + 0.00999 * (cycle / 50.0) ELSE greatest
 round(CASE WHEN cycle < 50 THEN 0.00001 + 0.00999 * (cycle / 50.0) ELSE greatest(0.00001, 0.00001 + 0.00999 * 0.5 * (1 + cos(pi() * (pos - 100 * (2.0 ** k - 1)) / (100 * 2.0 ** k)))) END, 8) AS cosine FROM k"""
 )
 def anneal_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(1000).withColumnRenamed("id", "cycle")
+    rows = load(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1000).cast("long").alias("cycle"))
     c = F.col("cycle")
     return rows.select("cycle", F.round(S.exponential_rate(c), 8).alias("exponential"), F.round(S.step_rate(c), 8).alias("step"), F.round(S.cosine_rate(c), 8).alias("cosine"))
 
@@ -139,14 +139,15 @@ def action_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "net_benefit", rank.cast("long").alias("rank_order"))
 
 
-STATES = Fixture("raw string", [(x,) for x in ("R", "pd", " CG ", "CD", "F", "TO", "NF", "Q", "H", "E", "B", "C", "odd", "", "CA")])
+STATES = Fixture("raw string", [(x,) for x in ("R", "pd", " CG ", "CD", "F", "TO", "NF", "Q", "H", "E", "B", "C", "odd@", "", "CA")])
+STATES = of_parts(STATES)
 
 
 @query(
     f"""SELECT raw, CASE upper(trim(raw)) WHEN 'R' THEN 'RUNNING' WHEN 'PD' THEN 'PENDING' WHEN 'CG' THEN 'RUNNING' WHEN 'CD' THEN 'COMPLETED' WHEN 'F' THEN 'FAILED' WHEN 'TO' THEN 'TIMEOUT' WHEN 'NF' THEN 'NODE_FAIL' WHEN 'Q' THEN 'PENDING' WHEN 'H' THEN 'PENDING' WHEN 'E' THEN 'RUNNING' WHEN 'B' THEN 'RUNNING' WHEN 'C' THEN 'COMPLETED' WHEN 'CA' THEN 'CANCELLED' WHEN '' THEN 'UNKNOWN' ELSE upper(trim(raw)) END AS state FROM {STATES.sql}"""
 )
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return STATES.frame(spark).select("raw", S.job_state(F.col("raw")).alias("state"))
+    return STATES.frame(spark, sf_dir).select("raw", S.job_state(F.col("raw")).alias("state"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 1e9 ELSE least(1e9, 1 / l_discount) END AS inverse, least(l_tax, 1e9) AS objective FROM lineitem")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import load
-from .registry import Fixture, literal, query
+from .registry import Fixture, Spread, literal, of_parts, query
 
 _TOKENS = "regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')"
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
@@ -172,24 +172,26 @@ def top_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 SOURCES = Fixture(
     "path string, text string",
     [
-        ("a.py", "import os\n\n@wrap\ndef f(x):\n    # note\n    return x + 1\n\nclass A:\n    y = 'text'\n"),
-        ("b.py", "async def g():\n    try:\n        await h()\n    except E:\n        raise\n    return [i for i in range(3)]\n"),
-        ("c.py", "from os import path\nwith open(p) as f:\n    assert f, \"no\"\n    yield lambda: 0x1F\n"),
-        ("d.py", "a == b; c = d==e; f += 1; g: int = 2; h === i; j = k = 3\n"),
-        ("e.py", ""),
+        ("d@/a.py", "import os\n\n@wrap\ndef f(x):\n    # note\n    return x + 1\n\nclass A:\n    y = 'text'\n"),
+        ("d@/b.py", "async def g():\n    try:\n        await h()\n    except E:\n        raise\n    return [i for i in range(3)]\n"),
+        ("d@/c.py", "from os import path\nwith open(p) as f:\n    assert f, \"no\"\n    yield lambda: 0x1F\n"),
+        ("d@/d.py", "a == b; c = d==e; f += 1; g: int = 2; h === i; j = k = 3\n"),
+        ("d@/e.py", ""),
     ],
 )
+SOURCES = Spread(SOURCES, [], value="s_suppkey")
 
 
 @query(f"SELECT path, {_profile_columns('text')} FROM {SOURCES.sql}")
 def source_token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SOURCES.frame(spark).select("path", *T.token_profile(F.col("text")))
+    return SOURCES.frame(spark, sf_dir).select("path", *T.token_profile(F.col("text")))
 
 
 DELTAS = Fixture(
     "path string, old string, new string",
-    [("a", "x\ny\nz", "x\nz\nw\nv"), ("b", "same", "same"), ("c", "", "one"), ("d", "p\np\nq", "q\np")],
+    [("a", "x\ny@\nz", "x\nz\nw@\nv"), ("b", "same", "same"), ("c", "", "one"), ("d", "p\np\nq", "q\np")],
 )
+DELTAS = of_parts(DELTAS, "path")
 
 
 @query(
@@ -201,7 +203,7 @@ len(list_filter(list_distinct(string_split(old, chr(10))), lambda x: NOT list_co
 def content_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes between two texts, over sets of lines; an empty text has no line."""
     own = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, "\n"))
-    return DELTAS.frame(spark).select(
+    return DELTAS.frame(spark, sf_dir).select(
         "path",
         (T.fingerprint(F.col("old")) != T.fingerprint(F.col("new"))).alias("changed"),
         F.size(F.array_except(own("new"), own("old"))).cast("long").alias("lines_added"),
