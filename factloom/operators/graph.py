@@ -114,15 +114,16 @@ def one_cycle(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth): the seeds (node) and all that follows from them, with the least depth."""
-    found = kept(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    front, depth = found, 0
+    front = kept(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    found, depth = front, 0
     while True:
         depth += 1
         step = edges.join(front, edges["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
         front = kept(step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return found
-        found = kept(found.unionByName(front))
+        # Each depth is stored once.
+        found = found.unionByName(front)
 
 
 def invalidated(cache: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:

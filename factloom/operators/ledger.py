@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,18 +25,27 @@ def canonical(fields: dict[str, Column]) -> Column:
 def chained(rows: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
     """(chain, t_causal, prev_hash, payload, block_hash): each chain's payloads hashed in order.
 
-    A chain is a fold and so one row's work; chains are many, and each is of bounded length.
+    A hash needs the one before, so a chain is read in order by one task, a row at a time; what is
+    held is the last hash. A block without payload has no hash, and the next begins anew.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p"))))
-    empty = F.array().cast("array<struct<t:bigint,prev:string,payload:string,hash:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        prev = F.coalesce(F.get(acc, F.size(acc) - 1)["hash"], F.lit(""))
-        t = F.size(acc).cast("long")
-        return F.concat(acc, F.array(F.struct(t.alias("t"), prev.alias("prev"), x["p"].cast("string").alias("payload"), block_hash(prev, t, x["p"]).alias("hash"))))
-
-    folded = rows.groupBy(chain).agg(F.aggregate(items, empty, step).alias("blocks"))
-    return folded.select(chain, F.inline("blocks")).select(chain, F.col("t").alias("t_causal"), F.col("prev").alias("prev_hash"), "payload", F.col("hash").alias("block_hash"))
+    kind = dict(rows.dtypes)[chain]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, t, last = None, 0, ""
+        for batch in batches:
+            out = []
+            for known, c, p in zip(batch["known"].tolist(), batch["chain"].tolist(), batch["payload"].tolist(), strict=True):
+                if now != (known, c if known else None):
+                    now, t, last = (known, c if known else None), 0, ""
+                made = None if p is None else hashlib.sha256(f"{last}|{t}|{p}".encode()).hexdigest()
+                out.append((t, last, made))
+                t, last = t + 1, made or ""
+            t_, prev, made = zip(*out, strict=True) if out else ((), (), ())
+            yield pd.DataFrame({chain: batch["chain"], "t_causal": t_, "prev_hash": prev, "payload": batch["payload"], "block_hash": made})
+
+    cols = rows.select(F.col(chain).alias("chain"), F.col(order).alias("o"), F.col(payload).cast("string").alias("payload"), F.col(chain).isNotNull().alias("known"))
+    sorted_ = cols.repartition("chain").sortWithinPartitions("chain", "o", "payload").select("chain", "payload", "known")
+    return sorted_.mapInPandas(run, f"{chain} {kind}, t_causal long, prev_hash string, payload string, block_hash string")
 
 
 def chain_faults(ledger: DataFrame, chain: str, content: bool = True) -> DataFrame:

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import kept
+from .skew import hot_keys, spread_join
 
+#: Rows of a key from which on the pairs of it are dealt out.
+PAIRED = 2_000
 #: Probes that one pass may hold as a broadcast; more go in several passes.
 PROBES = 2_000
 
@@ -146,7 +149,8 @@ def similar_pairs(profiles: DataFrame, cutoff: float) -> DataFrame:
     heads = own.where(F.col("rest") >= cutoff - 1e-9).select("id", "feature", "rest")
     right = heads.select(F.col("id").alias("other"), "feature", F.col("rest").alias("rest2"))
     able = F.col("rest") * F.col("rest2") >= cutoff - 1e-9
-    candidates = heads.join(right, "feature").where((F.col("id") < F.col("other")) & able).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    # A feature of many heads is dealt out, so that no task has all its pairs.
+    candidates = spread_join(heads, right, "feature", hot_keys(heads, "feature", PAIRED)).where((F.col("id") < F.col("other")) & able).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     one = own.select(F.col("id").alias("a"), "feature", F.col("u").alias("ua"))
     two = own.select(F.col("id").alias("b"), "feature", F.col("u").alias("ub"))
     sums = candidates.join(one, "a").join(two, ["b", "feature"]).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("similarity"))
@@ -164,7 +168,11 @@ def close_pairs(points: DataFrame, axes: list[str], radius: float) -> DataFrame:
     for k in range(len(axes)):
         near = near.withColumn(f"_c{k}", F.explode(F.array(F.col(f"_c{k}") - 1, F.col(f"_c{k}"), F.col(f"_c{k}") + 1)))
     near = near.select(F.col("id").alias("b"), *[F.col(a).alias(f"_{a}") for a in axes], *cell)
-    both = here.withColumnRenamed("id", "a").join(near, list(cell)).where("a < b")
+    place = F.concat_ws("|", *[F.col(c).cast("string") for c in cell])
+    left = here.withColumnRenamed("id", "a").withColumn("_cell", place).drop(*cell)
+    right = near.withColumn("_cell", place).drop(*cell)
+    # A dense cell is dealt out, so that no task has all its pairs.
+    both = spread_join(left, right, "_cell", hot_keys(left, "_cell", PAIRED)).where("a < b")
     distance = F.sqrt(reduce(lambda x, y: x + y, [F.pow(F.col(a) - F.col(f"_{a}"), 2) for a in axes]))
     return both.select("a", "b", distance.alias("distance")).where(F.col("distance") < radius)
 

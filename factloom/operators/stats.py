@@ -77,13 +77,14 @@ def kinetics(scores: DataFrame, series: str, order: list[str], score: str) -> Da
 
 
 def moving_average(series: DataFrame, key: str, order: str, value: str, alpha: float = 0.1) -> DataFrame:
-    """(key, n, ema): the last exponential moving average of each series, from 0.
+    """(key, n, ema): the last exponential moving average of each series, from 0; null where a value is.
 
-    A fold over the series' values in order; a series is gathered, so it has to be of bounded length.
+    A value counts by its distance from the end, so a series is numbered from there and added up.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
-    folded = F.aggregate(items, F.lit(0.0), lambda a, x: F.lit(alpha) * x["v"] + F.lit(1 - alpha) * a)
-    return series.groupBy(key).agg(F.count("*").alias("n"), folded.alias("ema"))
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.desc(value))) - 1
+    weighted = F.lit(alpha) * F.pow(F.lit(1 - alpha), back.cast("double")) * F.col(value).cast("double")
+    rows = series.select(F.col(key), F.col(value).alias("_v"), weighted.alias("_w"))
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.when(F.count("_v") == F.count("*"), F.sum("_w")).alias("ema"))
 
 
 def without_improvement(series: DataFrame, key: str, order: list[str], value: str, least: float = 0.0) -> DataFrame:

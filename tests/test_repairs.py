@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from factloom.operators import delta, graph, kmeans
+from factloom.operators import delta, graph, kmeans, ledger, similarity, stats
 
 
 def test_repaired_levels(spark):
@@ -76,3 +76,39 @@ def test_clusters(spark):
     assert np.allclose(kmeans.lloyd(rows, centres, 3), want)
     assert kmeans.clusters(rows.where("id < 0"), 3).count() == 0
     assert {r.cluster for r in kmeans.clusters(rows.limit(2), 5).collect()} == {0, 1}
+
+
+def test_long_chain_and_series(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([(c, k, None if k == 700 else f"p{k % 7}") for c in ("a", None) for k in range(1500)], "c string, k int, p string")
+    got = ledger.chained(rows.repartition(4), "c", "k", "p").collect()
+    last, want = "", []
+    for k in range(1500):
+        made = None if k == 700 else hashlib.sha256(f"{last}|{k}|p{k % 7}".encode()).hexdigest()
+        want.append((k, last, made))
+        last = made or ""
+    for c in ("a", None):
+        assert sorted((r.t_causal, r.prev_hash, r.block_hash) for r in got if r.c == c) == sorted(want)
+    ema = 0.0
+    for k in range(1500):
+        ema = 0.1 * (k % 5) + 0.9 * ema
+    series = rows.selectExpr("coalesce(c, 'b') AS c", "k", "cast(k % 5 AS double) AS v")
+    out = {r.c: (r.n, r.ema) for r in stats.moving_average(series, "c", "k", "v").collect()}
+    assert out["a"][0] == 1500 and abs(out["a"][1] - ema) < 1e-9
+
+
+def test_hot_feature_and_dense_cell_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PAIRED", 10)
+    rng = random.Random(3)
+    rows = [(i, f, 1.0) for i in range(60) for f in {0, *(rng.randrange(5) for _ in range(3))}]
+    own = {}
+    for i, f, _ in rows:
+        own.setdefault(i, set()).add(f)
+    want = {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) / (len(own[a]) * len(own[b])) ** 0.5 >= 0.8 - 1e-9}
+    got = similarity.similar_pairs(spark.createDataFrame(rows, "id int, feature int, value double"), 0.8).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+    points = [(k, rng.random(), rng.random()) for k in range(60)] + [(100, 9.0, 9.0)]
+    near = similarity.close_pairs(spark.createDataFrame(points, "id int, x double, y double"), ["x", "y"], 0.5).collect()
+    want = {(a[0], b[0]) for a in points for b in points if a[0] < b[0] and ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 < 0.5}
+    assert len(near) == len(want) and {(r.a, r.b) for r in near} == want
