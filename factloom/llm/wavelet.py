@@ -197,6 +197,8 @@ class WordEncoder:
         "truncation": None,
         "padding": None,
     }
+    # Strings that are ids of their own; a file with more of them is not cut here.
+    ADDED = ("<|startoftext|>", "<|endoftext|>")
     #: Bytes that a remembered part takes beside its characters and ids.
     EACH = 200
 
@@ -206,7 +208,9 @@ class WordEncoder:
         with open(path, encoding="utf-8") as src:
             told = json.load(src)
         self._tok = Tokenizer.from_file(path)
-        self._known = all(told.get(k) == v for k, v in self.RULES.items()) and told["model"].get("end_of_word_suffix") == self.MARK
+        added = [t["content"] for t in told.get("added_tokens") or []]
+        plain = not any(t.get(k) for t in told.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self._known = all(told.get(k) == v for k, v in self.RULES.items()) and told["model"].get("end_of_word_suffix") == self.MARK and plain and set(added) <= set(self.ADDED)
         self._kept, self._size = kept, 0
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -265,8 +269,8 @@ class WordEncoder:
             again = new.intersection(old)
             memo.update((w, old[w]) for w in again)
             self._learn(list(new.difference(again)))
-            # A character of ASCII has one id of 4 bytes at most.
-            self._size += (len(memo) - before) * self.EACH + 5 * sum(map(len, new))
+            # A character takes up to 4 bytes.
+            self._size += (len(memo) - before) * self.EACH + 4 * sum(map(len, new)) + sum(map(len, map(memo.__getitem__, new)))
         return [b"".join(map(memo.__getitem__, x)) for x in split]
 
 

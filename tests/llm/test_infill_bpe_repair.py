@@ -137,7 +137,11 @@ def test_bpe_with_another_added_token(tmp_path):
     told["added_tokens"].append(told["added_tokens"][0] | {"id": 49408, "content": "[MASK]"})
     (tmp_path / "t.json").write_text(json.dumps(told))
     own, tok = bpe.Bpe(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    from factloom.llm.wavelet import WordEncoder
+
+    encoder = WordEncoder(str(tmp_path / "t.json"))
     for t in ("a [MASK] b", "[mask][MASK]x", "a[MASK", "plain"):
+        assert encoder([t]) == own.encode([t])
         assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
