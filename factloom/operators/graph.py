@@ -6,6 +6,9 @@ is a join on the part of the graph that is still open.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -303,20 +306,38 @@ def spectral_clamp(cells: DataFrame, n: int, parameter: float) -> DataFrame:
     return cells.groupBy("g").applyInPandas(clamp, _CELLS)
 
 
-def projector(rows: DataFrame, order: str, vector: str, gain: str, last: int = 32, least: float = 0.5, rank: int = 2) -> DataFrame:
-    """(i, j, value): the projector onto the leading directions of the last vectors with enough gain.
+def hashed_vector(text: str, size: int) -> np.ndarray:
+    """A vector that a text stands for: normal numbers seeded by its hash."""
+    return np.random.default_rng(int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")).standard_normal(size)
 
-    At most ``last`` rows reach the one task that decomposes them.
-    """
-    recent = rows.where(F.col(gain) > least).orderBy(F.desc(order)).limit(last).select(F.lit(0).alias("g"), vector)
 
-    def project(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, vt = np.linalg.svd(np.stack(pdf[vector].to_numpy()), full_matrices=False)
-        p = vt[:rank].T @ vt[:rank]
-        i, j = np.indices(p.shape)
-        return pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "value": p.ravel()})
+def projector(rows: DataFrame, order: str, vector: str, gain: str, canonical: str, size: int, last: int = 32, least: float = 0.5) -> DataFrame:
+    """(i, j, value): the projector onto what the vectors with enough gain among the ``last`` rows span.
 
-    return recent.groupBy("g").applyInPandas(project, "i long, j long, value double")
+    A row without a vector has the one that its canonical text stands for; others are cut or
+    filled up to ``size``. The identity, if there are fewer than three rows or none has the gain.
+    At most ``last`` rows reach the one task that decomposes them.
+    """
+    recent = rows.select(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"), F.col(gain).cast("double").alias("gain"), F.col(canonical).alias("text"))
+    recent = recent.orderBy(F.desc("o")).limit(last).groupBy().agg(F.collect_list(F.struct("v", "gain", "text")).alias("rows"))  # so many
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own in batch["rows"]:
+                p = np.eye(size)
+                good = [r for r in own if r["gain"] is not None and r["gain"] > least] if len(own) >= 3 else []
+                if good:
+                    x = np.zeros((len(good), size))
+                    for k, r in enumerate(good):
+                        v = np.asarray(r["v"], "f8")[:size] if r["v"] is not None and len(r["v"]) else hashed_vector(r["text"] or "", size)
+                        x[k, : len(v)] = v
+                    _, s, vt = np.linalg.svd(x, full_matrices=False)
+                    vt = vt[s > 1e-10 * max(s.max(), 1e-300)]
+                    p = vt.T @ vt
+                i, j = np.indices(p.shape)
+                yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "value": p.ravel()})
+
+    return recent.mapInPandas(project, "i long, j long, value double")
 
 
 def unknown_requirements(targets: DataFrame) -> DataFrame:

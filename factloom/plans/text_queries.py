@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import extractors
 from ..session import load
 from .registry import Fixture, Spread, literal, of_parts, query
 
@@ -210,3 +211,17 @@ def content_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.array_except(own("old"), own("new"))).cast("long").alias("lines_removed"),
         (F.length("new") - F.length("old")).cast("long").alias("size_delta"),
     )
+
+
+# Words, numbers, quoted strings and signs, for an engine whose word class is ASCII's.
+_TOKENS = literal(r"[A-Za-z_][\p{L}\p{N}_]*|\d+(?:\.\d+)?|\"[^\"\n]*\"|'[^'\n]*'|[^\s\p{L}\p{N}_]")
+
+
+@query(
+    f"""SELECT doc_id, kind, count(*)::BIGINT AS n FROM (SELECT doc_id, CASE WHEN regexp_matches(t, '^[A-Za-z_]') THEN 'identifier' WHEN regexp_matches(t, '^[0-9]') THEN 'number'
+WHEN length(t) > 1 AND t[1] IN ('"', chr(39)) OR t IN ('"', chr(39)) THEN 'string' ELSE 'punctuation' END AS kind FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_TOKENS})) AS t FROM documents)) GROUP BY 1, 2"""
+)
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each text by kind, by a table function joined laterally."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return extractors.extracted(rows, extractors.tokens, extractors.TOKENS).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
