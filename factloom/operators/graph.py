@@ -172,6 +172,16 @@ def crossing_edges(edges: DataFrame, level: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("from_level <> to_level").select("src", "dst", "from_level", "to_level")
 
 
+def complexity(edges: DataFrame, threshold: int = 40) -> DataFrame:
+    """(nodes, edges, density, average_degree, exceeds_threshold) of distinct undirected edges (src, dst), loops left out."""
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    n, e = F.col("nodes"), F.col("edges")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("x")).agg(F.countDistinct("x").alias("nodes"))
+    both = ends.crossJoin(pairs.agg(F.count("*").alias("edges")))  # one row each
+    density = F.when(n > 1, 2.0 * e / (n * (n - 1))).otherwise(0.0)
+    return both.select("nodes", "edges", density.alias("density"), F.when(n > 0, 2.0 * e / n).otherwise(0.0).alias("average_degree"), (n > threshold).alias("exceeds_threshold"))
+
+
 def two_hop(first: DataFrame, second: DataFrame) -> DataFrame:
     """(src, dst, paths): A(x, y) and B(y, z) give C(x, z) with the number of y."""
     a = first.select("src", F.col("dst").alias("mid")).distinct()

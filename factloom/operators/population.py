@@ -90,12 +90,21 @@ def clamped(value: Column, low: float, high: float, kind: str) -> Column:
     return F.bround(inside).cast("long") if kind == "int" else inside
 
 
+def snapped(value: Column, choices: Column, default: Column) -> Column:
+    """A categorical value, or the default if it isn't among the choices, or the first of them if neither is; without choices it stays."""
+    none = choices.isNull() | (F.size(choices) == 0)
+    return F.when(none | F.array_contains(choices, value), value).when(F.array_contains(choices, default), default).otherwise(F.get(choices, F.lit(0)))
+
+
 def sampled(parameters: DataFrame, seed: int, count: int) -> DataFrame:
-    """(member, name, value): values of (name, low, high, kind) drawn by a hash of member and name."""
+    """(member, name, value): values of (name, low, high, kind), and of ``choices`` where there are any, drawn by a hash of member and name."""
     rows = parameters.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     u = F.pmod(F.xxhash64(F.lit(seed), "member", "name"), F.lit(1 << 40)).cast("double") / float(1 << 40)
     value = F.col("low") + u * (F.col("high") - F.col("low"))
-    return rows.select("member", "name", F.when(F.col("kind") == "int", F.bround(value)).otherwise(value).alias("value"))
+    value = F.when(F.col("kind") == "int", F.bround(value)).otherwise(value)
+    if "choices" in parameters.columns:
+        value = F.when(F.size("choices") > 0, F.get("choices", F.floor(u * F.size("choices")).cast("int"))).otherwise(value)
+    return rows.select("member", "name", value.alias("value"))
 
 
 def blended(build: Column, runtime: dict[str, Column], weight: float) -> Column:

@@ -332,13 +332,10 @@ def dependency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH d AS (SELECT DISTINCT least(s_nationkey, c_nationkey) AS a, greatest(s_nationkey, c_nationkey) AS b FROM supplier, customer WHERE s_suppkey % 25 = c_custkey % 25 AND s_nationkey <> c_nationkey), n AS (SELECT count(DISTINCT x) AS n FROM (SELECT a AS x FROM d UNION ALL SELECT b FROM d)), e AS (SELECT count(*) AS e FROM d) SELECT n::BIGINT AS nodes, e::BIGINT AS edges, round(2.0 * e / (n * (n - 1)), 6) AS density, round(2.0 * e / n, 6) AS average_degree FROM n, e"
+    "WITH d AS (SELECT DISTINCT least(s_nationkey, c_nationkey) AS a, greatest(s_nationkey, c_nationkey) AS b FROM supplier, customer WHERE s_suppkey % 25 = c_custkey % 25 AND s_nationkey <> c_nationkey), n AS (SELECT count(DISTINCT x) AS n FROM (SELECT a AS x FROM d UNION ALL SELECT b FROM d)), e AS (SELECT count(*) AS e FROM d) SELECT n::BIGINT AS nodes, e::BIGINT AS edges, round(2.0 * e / (n * (n - 1)), 6) AS density, round(2.0 * e / n, 6) AS average_degree, n > 20 AS exceeds_threshold FROM n, e"
 )
 def graph_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = load(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 25).alias("k"), "s_nationkey").distinct()
     c = load(spark, sf_dir, "customer").select((F.col("c_custkey") % 25).alias("k"), "c_nationkey").distinct()
-    pairs = s.join(c, "k").where("s_nationkey <> c_nationkey").select(F.least("s_nationkey", "c_nationkey").alias("a"), F.greatest("s_nationkey", "c_nationkey").alias("b")).distinct()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("x"))
-    both = ends.agg(F.countDistinct("x").alias("nodes")).crossJoin(pairs.agg(F.count("*").alias("edges")))  # one row each
-    n, e = F.col("nodes"), F.col("edges")
-    return both.select("nodes", "edges", F.round(2.0 * e / (n * (n - 1)), 6).alias("density"), F.round(2.0 * e / n, 6).alias("average_degree"))
+    edges = s.join(c, "k").select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst"))
+    return O.complexity(edges, 20).withColumns({"density": F.round("density", 6), "average_degree": F.round("average_degree", 6)})

@@ -82,12 +82,14 @@ def clamped_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", O.clamped(F.col("l_discount"), 0.02, 0.06, "float").alias("rate"), O.clamped(F.col("l_quantity"), 5.0, 30.0, "int").alias("size"))
 
 
-SPECS = Fixture("name string, low double, high double, kind string", [("rate", 0.0, 1.0, "float"), ("size", 1.0, 9.0, "int")])
-
-
 @query()
 def sampled_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.sampled(SPECS.frame(spark), 3, 50)
+    """Three members of a parameter for each part, up to its size; every fifth has the parts' own size and price to choose from."""
+    size = F.col("p_size").cast("double")
+    some = F.when(F.col("p_partkey") % 5 == 0, F.array(size, "p_retailprice"))
+    kind = F.when(F.col("p_partkey") % 2 == 0, "int").otherwise("float")
+    rows = load(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.lit(0.0).alias("low"), size.alias("high"), kind.alias("kind"), some.alias("choices"))
+    return O.sampled(rows, 3, 3)
 
 
 BLENDS = Fixture("id int, build map<string,double>, wall double, energy double", [(1, {"size": 3.0}, 2.0, None), (2, {"size": 1.0, "runtime_energy": 9.0}, 0.5, 4.0)])

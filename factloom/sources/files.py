@@ -127,6 +127,46 @@ def documents(spark: SparkSession, folder: str, glob: str | None = None) -> Data
     return typed.mapInPandas(_decoded, "path string, format string, text string, error string")
 
 
+# Patterns of a language's files, where a source names none.
+LANGUAGE_GLOBS = {"python": ["**/*.py"], "rust": ["**/*.rs"], "c": ["**/*.c", "**/*.h"], "cpp": ["**/*.cpp", "**/*.hpp", "**/*.cc"]}
+
+
+def glob_pattern(glob: str) -> str:
+    """A regular expression for a relative path: ``**/`` is any folders or none, ``*`` and ``?`` stay in one name."""
+    parts = re.split(r"(\*\*/|\*\*|\*|\?)", glob)
+    known = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "^" + "".join(known.get(p) or re.escape(p) for p in parts) + "$"
+
+
+def ingested(spark: SparkSession, sources: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """(files, report) of context sources.
+
+    A source has ``path``, and may have ``language``, ``include`` and ``exclude`` (patterns of
+    relative paths; an excluded pattern without a folder holds for names), ``purpose`` and ``target_mapping``.
+    ``files`` is (source, path, relative, destination, language, size), a file once for each source;
+    ``report`` is (source, purpose, files_ingested, bytes, error), a missing folder being an error.
+    """
+    found, told = None, []
+    for source in sources:
+        path, language = source["path"].rstrip("/"), str(source.get("language", "python")).lower()
+        name = path.rpartition("/")[2]
+        told.append((path, source.get("purpose", ""), None if _binary(spark, path, None) is not None else f"context source not found: {path}"))
+        rows = listing(spark, path)
+        wanted = source.get("include") or LANGUAGE_GLOBS.get(language, ["**/*"])
+        keep = reduce(lambda a, b: a | b, [F.col("relative").rlike(glob_pattern(g)) for g in wanted])
+        for g in source.get("exclude") or []:
+            keep = keep & ~F.col("relative").rlike(glob_pattern(g if "/" in g else f"**/{g}"))
+        target = source.get("target_mapping", f"imported/{name}")
+        own = rows.where(keep).select(F.lit(path).alias("source"), "path", "relative", F.concat(F.lit(f"{target}/"), F.col("relative")).alias("destination"), F.lit(language).alias("language"), "size")
+        found = own if found is None else found.unionByName(own)
+    told_ = spark.createDataFrame(told, "source string, purpose string, error string")
+    if found is None:
+        found = spark.createDataFrame([], "source string, path string, relative string, destination string, language string, size long")
+    counts = found.groupBy("source").agg(F.count("*").alias("files_ingested"), F.sum("size").alias("bytes"))
+    report = told_.join(counts, "source", "left").select("source", "purpose", F.coalesce("files_ingested", F.lit(0)).alias("files_ingested"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "error")
+    return found, report
+
+
 def scanned(spark: SparkSession, folder: str) -> DataFrame:
     """(path, size, fingerprint, fields): 16 digits of the content's hash and its KEY=VALUE lines."""
     rows = _binary(spark, folder, None)
@@ -138,14 +178,52 @@ def scanned(spark: SparkSession, folder: str) -> DataFrame:
 
 def ledger_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Blocks of a ledger: JSON lines, a list, or an object with a chain; lines that don't parse are skipped."""
+    lines = spark.read.text(path).where(F.ltrim("value").startswith("{")).select(F.from_json("value", schema).alias("b"))
+    keys = [f.name for f in lines.schema["b"].dataType.fields]
+    lines = lines.where(F.coalesce(*[F.col(f"b.{k}").cast("string") for k in keys]).isNotNull()).select("b.*")
+    if not lines.isEmpty():
+        return lines
+    # No line is a block: the file is one document.
     text = spark.read.text(path, wholetext=True)
     whole = text.select(F.coalesce(F.from_json("value", f"struct<chain:array<{schema}>>")["chain"], F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{schema}>"))).alias("blocks"))
-    listed = whole.where("blocks is not null and not forall(blocks, b -> b is null)").select(F.inline("blocks"))
-    if not listed.isEmpty():
-        return listed
-    lines = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", schema).alias("b"))
-    keys = [f.name for f in lines.schema["b"].dataType.fields]
-    return lines.where(F.coalesce(*[F.col(f"b.{k}").cast("string") for k in keys]).isNotNull()).select("b.*")
+    return whole.where("blocks is not null and not forall(blocks, b -> b is null)").select(F.inline("blocks"))
+
+
+def record_replay(spark: SparkSession, path: str, new: DataFrame, size: int = 200) -> None:
+    """Adds trajectories to a replay ledger (a folder of JSON lines), of which the best ``size`` by result stay.
+
+    The new ledger is written beside the old one and takes its place by renaming, so a reader
+    sees one of both, and a job that fails leaves the old one. One writer at a time.
+    """
+    from ..operators.similarity import bounded
+
+    jvm = spark._jvm
+    here, aside, old = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", "._next", "._old"))
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(here) and fs.exists(old):  # a writer ended between its two renames
+        fs.rename(old, here)
+    rows = new
+    if fs.exists(here):
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema.fields)
+        rows = spark.read.schema(kind).json(path).unionByName(new)
+    bounded(rows, size).write.mode("overwrite").json(path + "._next")
+    fs.delete(old, True)
+    if fs.exists(here):
+        fs.rename(here, old)
+    fs.rename(aside, here)
+    fs.delete(old, True)
+
+
+def write_port_graph(nodes: DataFrame, wires: DataFrame, path: str, version: str = "1") -> None:
+    """A port graph as a folder of JSON lines, a node with its ports each, that ``port_graph`` reads.
+
+    ``nodes`` is (node_id, cls, value), ``wires`` (src, port, dst, dst_port).
+    """
+    port = F.struct(F.col("port").alias("name"), F.col("dst").alias("target_node"), F.col("dst_port").alias("target_port"))
+    ports = wires.groupBy(F.col("src").alias("node_id")).agg(F.array_sort(F.collect_list(port)).alias("ports"))  # a node's ports
+    none = F.array().cast(ports.schema["ports"].dataType)
+    node = F.struct("node_id", F.col("cls").alias("class"), "value", F.coalesce("ports", none).alias("ports"))
+    nodes.join(ports, "node_id", "left").select(F.lit(version).alias("version"), F.array(node).alias("nodes")).write.mode("overwrite").json(path)
 
 
 def write_json(df: DataFrame, path: str, one_file: bool = False) -> None:
@@ -166,9 +244,11 @@ def write_generation(population: DataFrame, generation: int, path: str) -> None:
 
 
 def port_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, wires) of a JSON file with nodes and their ports' targets; wires lead to known nodes only."""
+    """(nodes, wires) of a JSON file, or a folder of JSON lines, with nodes and their ports' targets; wires lead to known nodes only."""
     shape = "version string, nodes array<struct<node_id:bigint,class:string,value:string,ports:array<struct<name:string,target_node:bigint,target_port:string>>>>"
-    rows = spark.read.schema(shape).option("multiLine", "true").json(path).select(F.explode("nodes").alias("n")).select("n.*")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+    rows = spark.read.schema(shape).option("multiLine", str(whole).lower()).json(path).select(F.explode("nodes").alias("n")).select("n.*")
     nodes = rows.select("node_id", F.col("class").alias("cls"), "value")
     wires = rows.select(F.col("node_id").alias("src"), F.explode("ports").alias("p")).select("src", F.col("p.name").alias("port"), F.col("p.target_node").alias("dst"), F.col("p.target_port").alias("dst_port"))
     return nodes, wires.join(nodes.select(F.col("node_id").alias("dst")), "dst").select("src", "port", "dst", "dst_port")

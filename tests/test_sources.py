@@ -59,3 +59,43 @@ def test_pdf_escapes_and_streams_that_cannot_be_inflated():
     assert files.pdf_text(plain + broken) == "line1\nline2 (in) q Array Text \n"
     assert files.pdf_text(b"no streams") == ""
     assert files.pdf_literal(rb"a\tb\\c") == "a\tb\\c"
+
+
+def test_sources_with_patterns_and_a_report(spark, tmp_path):
+    for name in ("a.py", "sub/b.py", "sub/test_c.py", "d.rs", "venv/e.py"):
+        (tmp_path / "lib" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "lib" / name).write_text("x = 1\n")
+    sources = [{"path": str(tmp_path / "lib"), "exclude": ["test_*"]}, {"path": str(tmp_path / "lib") + "/sub", "language": "c", "include": ["*.py"], "target_mapping": "in"}, {"path": str(tmp_path / "gone")}]
+    found, report = files.ingested(spark, sources)
+    assert sorted((r.relative, r.destination) for r in found.collect()) == [("a.py", "imported/lib/a.py"), ("b.py", "in/b.py"), ("sub/b.py", "imported/lib/sub/b.py"), ("test_c.py", "in/test_c.py")]
+    told = {r.source.rpartition("/")[2]: (r.files_ingested, r.bytes, r.error is None) for r in report.collect()}
+    assert told == {"lib": (2, 12, True), "sub": (2, 12, True), "gone": (0, 0, False)}
+
+
+def test_replay_ledger_is_written_bounded(spark, tmp_path):
+    path = f"file://{tmp_path}/replay"
+    row = lambda *x: spark.createDataFrame(list(x), "id long, action string, result double, params map<string,double>")
+    files.record_replay(spark, path, row((1, "a", 0.5, {"x": 1.0}), (2, "a", float("nan"), None)), 2)
+    files.record_replay(spark, path, row((3, "b", 0.9, None), (4, "b", 0.1, None)), 2)
+    got = spark.read.schema("id long, result double, params map<string,double>").json(path)
+    assert sorted((r.id, r.result, r.params) for r in got.collect()) == [(1, 0.5, {"x": 1.0}), (3, 0.9, None)]
+    assert not (tmp_path / "replay._next").exists() and not (tmp_path / "replay._old").exists()
+
+
+def test_port_graph_round_trip(spark, tmp_path):
+    nodes = spark.createDataFrame([(1, "Add", None), (2, "Num", "3"), (3, "Num", None)], "node_id long, cls string, value string")
+    wires = spark.createDataFrame([(1, "left", 2, "out"), (1, "right", 9, "out"), (2, "out", 1, "left")], "src long, port string, dst long, dst_port string")
+    path = f"file://{tmp_path}/graph"
+    files.write_port_graph(nodes, wires, path)
+    again, links = files.port_graph(spark, path)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, nodes.collect()), key=str)
+    assert sorted(map(tuple, links.collect())) == [(1, "left", 2, "out"), (2, "out", 1, "left")]
+
+
+def test_snapped_values(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.operators.population import snapped
+
+    rows = spark.createDataFrame([("a", ["a", "b"], "b"), ("x", ["a", "b"], "b"), ("x", ["a", "b"], "z"), ("x", [], "z"), ("x", None, "z")], "v string, c array<string>, d string")
+    assert [r[0] for r in rows.select(snapped(F.col("v"), F.col("c"), F.col("d"))).collect()] == ["a", "b", "a", "x", "x"]
