@@ -82,9 +82,12 @@ def unused_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.unused_imports(O.name_roles(ALL.frame(spark, sf_dir)))
 
 
-@query("SELECT * FROM (VALUES ('d@/b.py', 'area', 'd@/a.py')) t(path, name, provider)")
+USES = Spread(Fixture("path string, text string", [("d@/a.py", "def area@(r):\n    return r\n"), ("d@/b.py", "print(area@(2), unknown@)\n")]), [], value="s_suppkey")
+
+
+@query(USES.answers("('d@/b.py', 'area@', 'd@/a.py')", "path, name, provider"))
 def missing_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.missing_imports(O.name_roles(FILES.frame(spark)))
+    return O.missing_imports(O.name_roles(USES.frame(spark, sf_dir)))
 
 
 @query()

@@ -173,9 +173,11 @@ def sigmoid_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.sigmoid_gradients(cells, cells, O.sigmoid_product(cells, cells), LOSS.frame(spark, sf_dir)).withColumn("w", F.round("w", 9))
 
 
-@query(f"SELECT CASE WHEN i = 4 THEN 5 ELSE i END AS i, j, sum(w) AS w FROM {CELLS.sql} WHERE i < 6 AND j < 6 GROUP BY 1, 2")
+@query("SELECT CASE WHEN l_linenumber = 4 THEN 5 ELSE l_linenumber END AS i, l_quantity::INT % 9 AS j, round(sum(l_tax), 6) AS w FROM lineitem WHERE l_linenumber < 6 AND l_quantity::INT % 9 < 6 GROUP BY 1, 2")
 def fault_rerouting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.rerouted(O.in_arena(CELLS.frame(spark), 6), 4, 6)
+    """Taxes by line number and quantity as cells; those out of bounds are left out, and row 4 moves on."""
+    cells = load(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("i"), (F.col("l_quantity").cast("int") % 9).alias("j"), F.col("l_tax").alias("w"))
+    return O.rerouted(O.in_arena(cells, 6), 4, 6).withColumn("w", F.round("w", 6))
 
 
 SPLITS = Fixture("component int, src int, dst int", [(1, 0, 1), (1, 1, 2), (1, 0, 2), (1, 2, 3), (1, 3, 4), (1, 4, 5), (1, 3, 5), (2, 10, 11)])
@@ -301,19 +303,30 @@ def svd_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 TARGETS = Fixture("name string, requires array<string>", [("top", ["left", "right"]), ("base", []), ("left", ["base"]), ("right", ["base", "gone"])])
 
 
-@query(f"SELECT name, r AS missing FROM (SELECT name, unnest(requires) AS r FROM {TARGETS.sql}) WHERE r NOT IN (SELECT name FROM {TARGETS.sql})")
+# Part p requires its half and its third where they are whole, and every tenth something that isn't there.
+_NEEDS = """(SELECT 'p' || p_partkey AS name, unnest(list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'p' || (p_partkey // 2) END, CASE WHEN p_partkey % 3 = 0 THEN 'p' || (p_partkey // 3) END, CASE WHEN p_partkey % 10 = 0 THEN 'x' || p_partkey END], lambda r: r IS NOT NULL)) AS r FROM part WHERE p_partkey > 0)"""
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("long").cast("string"))
+    needs = F.array(F.when(p % 2 == 0, name("p", p / 2)), F.when(p % 3 == 0, name("p", p / 3)), F.when(p % 10 == 0, name("x", p)))
+    return load(spark, sf_dir, "part").where("p_partkey > 0").select(name("p", p).alias("name"), F.array_compact(needs).alias("requires"))
+
+
+@query(f"SELECT name, r AS missing FROM {_NEEDS} WHERE r NOT IN (SELECT 'p' || p_partkey FROM part)")
 def unknown_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.unknown_requirements(TARGETS.frame(spark))
+    return O.unknown_requirements(_targets(spark, sf_dir))
 
 
 @query(
-    f"""WITH RECURSIVE e AS (SELECT name, r FROM (SELECT name, unnest(requires) AS r FROM {TARGETS.sql}) WHERE r IN (SELECT name FROM {TARGETS.sql})),
+    f"""WITH RECURSIVE e AS (SELECT name, r FROM {_NEEDS} WHERE r IN (SELECT 'p' || p_partkey FROM part)),
 d AS (SELECT r AS name, 0 AS stage FROM e UNION SELECT e.name, d.stage + 1 FROM d JOIN e ON e.r = d.name)
 SELECT name, max(stage)::INT AS stage FROM d GROUP BY 1"""
 )
 def build_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stage in which a target can be built."""
-    rows = TARGETS.frame(spark)
+    rows = _targets(spark, sf_dir)
     known = rows.select("name", F.explode("requires").alias("r")).join(rows.select(F.col("name").alias("r")), "r")
     return O.levels(known.select(F.col("r").alias("src"), F.col("name").alias("dst"))).select(F.col("node").alias("name"), F.col("level").alias("stage"))
 

@@ -209,12 +209,13 @@ def diagnosis_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.diagnosis_categories(DIAGNOSES.frame(spark, sf_dir)).select("id", "category")
 
 
-NAMES = Fixture("name string", [(x,) for x in ("cpp_core", "python_dashboard", "rust_engine", "solver_f90", "thing", "my_panel", "clang_tool")])
+NAMES = Fixture("name string", [(x,) for x in ("cpp_core@", "python_dashboard@", "rust_engine@", "solver@_f90", "thing@", "my_panel@", "clang_tool@")])
+NAMED = Spread(NAMES, [], value="s_suppkey")
 
 
-@query("SELECT * FROM (VALUES ('cpp_core', 'cpp', 'core'), ('python_dashboard', 'python', 'binding'), ('rust_engine', 'rust', 'core'), ('solver_f90', 'fortran', 'core'), ('thing', 'python', 'binding'), ('my_panel', 'python', 'binding'), ('clang_tool', 'c', 'core')) t(name, language, role)")
+@query(NAMED.answers("('cpp_core@', 'cpp', 'core'), ('python_dashboard@', 'python', 'binding'), ('rust_engine@', 'rust', 'core'), ('solver@_f90', 'fortran', 'core'), ('thing@', 'python', 'binding'), ('my_panel@', 'python', 'binding'), ('clang_tool@', 'c', 'core')", "name, language, role"))
 def target_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.inferred_targets(NAMES.frame(spark))
+    return O.inferred_targets(NAMED.frame(spark, sf_dir))
 
 
 FOUND = Fixture("path string", [(p,) for p in ("core/solver.cpp", "core/solver.h", "src/thing/a.rs", "src/thing/b.rs", "src/thing/c.cpp", "other.f90", "readme.md")])
@@ -227,7 +228,7 @@ def target_languages_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.inferred_targets(names, FOUND.frame(spark))
 
 
-@query("SELECT p AS provider, c AS consumer, m AS mechanism FROM (VALUES ('cpp_core', 'pybind11'), ('rust_engine', 'pyo3'), ('solver_f90', 'ctypes'), ('clang_tool', 'ctypes')) a(p, m), (VALUES ('python_dashboard'), ('thing'), ('my_panel')) b(c)")
+@query("SELECT p AS provider, c AS consumer, m AS mechanism FROM (VALUES ('cpp_core@', 'pybind11'), ('rust_engine@', 'pyo3'), ('solver@_f90', 'ctypes'), ('clang_tool@', 'ctypes')) a(p, m), (VALUES ('python_dashboard@'), ('thing@'), ('my_panel@')) b(c)")
 def ffi_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.boundaries(O.inferred_targets(NAMES.frame(spark)))
 
@@ -312,13 +313,15 @@ def objective_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.best_source(acct.unionByName(order), "c_custkey", {"order": 0, "acct": 1})
 
 
-IMPORTS = Fixture("file string, module string", [("pkg/a.py", ".b"), ("pkg/a.py", "pkg.sub"), ("pkg/sub/c.py", "..a"), ("pkg/a.py", "os"), ("main.py", "pkg.b"), ("pkg/a.py", ".")])
-TREE = Fixture("path string", [(p,) for p in ("pkg/a.py", "pkg/b.py", "pkg/sub/__init__.py", "pkg/sub/c.py", "main.py")])
+IMPORTS = Fixture("file string, module string", [("p@/pkg/a.py", ".b"), ("p@/pkg/a.py", "p@.pkg.sub"), ("p@/pkg/sub/c.py", "..a"), ("p@/pkg/a.py", "os"), ("p@/main.py", "p@.pkg.b"), ("p@/pkg/a.py", ".")])
+IMPORTS = Spread(IMPORTS, [], value="s_suppkey")
+TREE = Fixture("path string", [(p,) for p in ("p@/pkg/a.py", "p@/pkg/b.py", "p@/pkg/sub/__init__.py", "p@/pkg/sub/c.py", "p@/main.py")])
+TREE = Spread(TREE, [], value="s_suppkey")
 
 
-@query("SELECT * FROM (VALUES ('pkg/a.py', '.b', 'pkg/b.py'), ('pkg/a.py', 'pkg.sub', 'pkg/sub/__init__.py'), ('pkg/sub/c.py', '..a', 'pkg/a.py'), ('main.py', 'pkg.b', 'pkg/b.py')) t(file, module, target)")
+@query(IMPORTS.answers("('p@/pkg/a.py', '.b', 'p@/pkg/b.py'), ('p@/pkg/a.py', 'p@.pkg.sub', 'p@/pkg/sub/__init__.py'), ('p@/pkg/sub/c.py', '..a', 'p@/pkg/a.py'), ('p@/main.py', 'p@.pkg.b', 'p@/pkg/b.py')", "file, module, target"))
 def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.resolved_imports(IMPORTS.frame(spark), TREE.frame(spark))
+    return O.resolved_imports(IMPORTS.frame(spark, sf_dir), TREE.frame(spark, sf_dir))
 
 
 FRAMES = Fixture(

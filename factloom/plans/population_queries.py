@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import population as O
 from ..session import load
 from . import pipelines
-from .registry import Fixture, of_parts, of_suppliers, query
+from .registry import Fixture, Spread, of_parts, of_suppliers, query
 
 
 def _half(spark: SparkSession, sf_dir: str, lo: int, hi: int) -> DataFrame:
@@ -140,30 +140,33 @@ def launch_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCS = Fixture(
     "path string, format string, text string",
     [
-        ("genome.txt", "text", "DNA sequences encode genes and mutations.\nLet rate be the mutation rate observed in the genome.\n"),
-        ("game.txt", "text", "The render pipeline updates every frame in the game loop entity system.\nLet rate be the frame render rate for the game loop.\n"),
-        ("config.json", "json", '{"max_retries": 3, "timeout": 1.5}'),
-        ("engine.cpp", "code:cpp", "#define MAX_ENTITIES 1024\nconst float GRAVITY = 9.8;\nvoid tick() { assert(MAX_ENTITIES > 0); }\n"),
-        ("model.py", "code:python", "MAX_RETRIES = 3\ndef area(radius):\n    return 3.14159 * radius * radius\n"),
+        ("d@/genome.txt", "text", "DNA sequences encode genes and mutations.\nLet rate@ be the mutation rate observed in the genome.\n"),
+        ("d@/game.txt", "text", "The render pipeline updates every frame in the game loop entity system.\nLet rate@ be the frame render rate for the game loop.\n"),
+        ("d@/config.json", "json", '{"max_retries@": 3, "timeout@": 1.5}'),
+        ("d@/engine.cpp", "code:cpp", "#define MAX_ENTITIES@ 1024\nconst float GRAVITY@ = 9.8;\nvoid tick() { assert(MAX_ENTITIES@ > 0); }\n"),
+        ("d@/model.py", "code:python", "MAX_RETRIES@ = 3\ndef area@(radius):\n    return 3.14159 * radius * radius\n"),
     ],
 )
+DOCS = Spread(DOCS, [], value="s_suppkey")
 
 
-@query("SELECT * FROM (VALUES ('genomics', 'genomics::rate'), ('game_engine', 'game_engine::rate'), ('general', 'general::max_retries'), ('general', 'general::timeout'), ('code:cpp', 'code:cpp::MAX_ENTITIES'), ('code:cpp', 'code:cpp::GRAVITY'), ('code:cpp', 'code:cpp::MAX_ENTITIES'), ('code:python', 'code:python::MAX_RETRIES'), ('code:python', 'code:python::area')) t(domain, fact_id)")
+@query(DOCS.answers("('genomics', 'genomics::rate@'), ('game_engine', 'game_engine::rate@'), ('general', 'general::max_retries@'), ('general', 'general::timeout@'), ('code:cpp', 'code:cpp::MAX_ENTITIES@'), ('code:cpp', 'code:cpp::GRAVITY@'), ('code:cpp', 'code:cpp::MAX_ENTITIES@'), ('code:python', 'code:python::MAX_RETRIES@'), ('code:python', 'code:python::area@')", "domain, fact_id"))
 def invariants_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.invariants(DOCS.frame(spark))[0].select("domain", "fact_id")
+    return pipelines.invariants(DOCS.frame(spark, sf_dir))[0].select("domain", "fact_id")
 
 
-@query("SELECT * FROM (VALUES ('genomics::rate', 'game_engine::rate', 'shared_symbol'), ('game_engine::rate', 'genomics::rate', 'shared_symbol')) t(src, dst, edge_type)")
+@query(DOCS.answers("('genomics::rate@', 'game_engine::rate@', 'shared_symbol'), ('game_engine::rate@', 'genomics::rate@', 'shared_symbol')", "src, dst, edge_type"))
 def invariants_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-domain edges; a boundary and a variable of one id are one node, so it refers not to itself."""
-    return pipelines.invariants(DOCS.frame(spark))[1].where("edge_type = 'shared_symbol'")
+    return pipelines.invariants(DOCS.frame(spark, sf_dir))[1].where("edge_type = 'shared_symbol'")
 
 
-@query("SELECT * FROM (VALUES ('base', 0), ('left', 1), ('right', 1), ('top', 2), ('lone', 0)) t(name, stage)")
+@query("SELECT 'p' || p_partkey AS name, s::INT AS stage FROM (SELECT p_partkey, (SELECT count(*) FROM range(1, 62) r(k) WHERE p_partkey % (1::BIGINT << k) = 0) AS s FROM part WHERE p_partkey > 0)")
 def build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("top", ["left", "right"]), ("base", []), ("left", ["base"]), ("right", ["base", "gone"]), ("lone", [])]
-    return pipelines.build_plan(spark.createDataFrame(rows, "name string, requires array<string>"))
+    """An even part requires the half of it, so it waits for as many stages as it has twos; others require what isn't there."""
+    part = load(spark, sf_dir, "part").where("p_partkey > 0").select("p_partkey")
+    needs = F.when(F.col("p_partkey") % 2 == 0, F.array(F.concat(F.lit("p"), (F.col("p_partkey") / 2).cast("long").cast("string")))).otherwise(F.array(F.lit("gone")))
+    return pipelines.build_plan(part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), needs.alias("requires")))
 
 
 @query("SELECT 'changed' AS status, count(*)::BIGINT AS n FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT 'created', count(*) FROM pages WHERE page_id % 7 = 1")

@@ -93,8 +93,9 @@ def parameter_recycling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DIVERSITY = Fixture(
     "id int, text string",
-    [(1, "[task:a]\nrun x\n[task:b]\nrun x\n"), (2, "[task:a]\nneeds = b\nrun x\n[task:b]\nrun y"), (3, ""), (4, "head\n[task:a]\nrun"), (5, "no tasks")],
+    [(1, "[task:a]\nrun x@\n[task:b]\nrun x@\n"), (2, "[task:a]\nneeds = b\nrun x\n[task:b]\nrun y"), (3, ""), (4, "head\n[task:a]\nrun"), (5, "no tasks")],
 )
+DIVERSITY = of_parts(DIVERSITY, "id")
 
 
 @query(
@@ -103,7 +104,7 @@ FROM (SELECT id, unnest(string_split(text, '[task:')) AS x, generate_subscripts(
 SELECT f.id, round(coalesce(count(DISTINCT body) FILTER (body <> '') / nullif(count(*) FILTER (body <> ''), 0), 1.0), 6) AS diversity FROM {DIVERSITY.sql} f LEFT JOIN b USING (id) GROUP BY f.id"""
 )
 def structural_diversity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DIVERSITY.frame(spark).select("id", F.round(T.structural_diversity(F.col("text")), 6).alias("diversity"))
+    return DIVERSITY.frame(spark, sf_dir).select("id", F.round(T.structural_diversity(F.col("text")), 6).alias("diversity"))
 
 
 def _domain_sql() -> str:
