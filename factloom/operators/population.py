@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 from .pareto import crowding, frontier
 
 
@@ -77,9 +79,30 @@ def anomaly_ratio(anomalies: Column, failures: Column, ceiling: Column, fallback
 
 
 def tournament(population: DataFrame, rounds: int, size: int, key: str, order: list[Column], seed: int = 0) -> DataFrame:
-    """(round, winner): the best of ``size`` members that a hash draws for each round."""
-    drawn = population.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_draw", F.xxhash64(F.lit(seed), "round", key))
-    some = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("round").orderBy("_draw", key))).where(F.col("_k") <= size)
+    """(round, winner): the best of ``size`` members that a hash draws for each round, ties by key.
+
+    A member's draw in a round is the hash of seed, round and key. Only draws under a bound, which
+    about four times ``size`` members of a round pass, leave the scan; rounds in which fewer than
+    ``size`` pass are drawn again without it.
+    """
+    count = population.count()
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string")))
+    share = min(1.0, (4 * size + 40) / max(count, 1))
+    bound = f"{int(share * 0xFFFFFFFF):08x}"
+
+    def drawn(of: DataFrame, first: bool) -> DataFrame:
+        some = of.withColumn("_draw", draw)
+        some = some.where(F.substring("_draw", 1, 8) <= bound) if first and share < 1 else some
+        return some.withColumn("_k", F.row_number().over(Window.partitionBy("round").orderBy("_draw", key))).where(F.col("_k") <= size)
+
+    every = population.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    some = drawn(every, True)
+    if share < 1:
+        some = kept(some)
+        full = {r["round"] for r in some.groupBy("round").count().where(F.col("count") == size).collect()}  # one row a round
+        few = [k for k in range(rounds) if k not in full]
+        if few:
+            some = some.where(~F.col("round").isin(few)).unionByName(drawn(every.where(F.col("round").isin(few)), False))
     best = F.row_number().over(Window.partitionBy("round").orderBy(*order, key))
     return some.withColumn("_b", best).where("_b = 1").select("round", F.col(key).alias("winner"))
 

@@ -15,7 +15,7 @@ FILES = Fixture(
         ("d@/a.py", "import os\nimport sys as s\nMAX_RETRIES = 3\nRATE = 0.5\n\ndef area(radius):\n    return 3.14159 * radius * radius\n\ndef check(x):\n    assert x > 0\n    return x\n"),
         ("d@/b.py", "def fact(n):\n    if n < 2:\n        return 1\n    for i in range(3):\n        for j in range(2):\n            n = n + i * j\n    return n * fact(n - 1)\nprint(area(2), unknown)\n"),
         ("d@/c.py", "def (:"),
-        ("d.py", ""),
+        ("d@/d.py", ""),
     ],
 )
 ALL = Spread(FILES, [], value="s_suppkey")
@@ -27,9 +27,9 @@ CODE = Fixture(
         ("d@/a.py", "MAX_RETRIES = 3\nA: int = 4\nB = None\nC: float\nNAME = 'x'\nRATE = 0.5\nON = True\nRAW = b'1'\nx.y = 1\np = q = 2\n"),
         ("d@/b.py", 'def area(r):\n    """Area."""\n    return 3.14159 * r * r\nasync def twice(x):\n    return x + x\ndef same(x):\n    return x\ndef none():\n    return\ndef two(x):\n    y = x\n    return y * 2\n'),
         ("d@/c.py", "def check(x):\n    assert x > 0\n    assert x\n    assert 1 < 2\n    return x\nclass K:\n    INNER = 5\n    def m(self):\n        return self.a + 1\n"),
-        ("d.py", "def (:"),
-        ("e.py", ""),
-        ("f.py", None),
+        ("d@/d.py", "def (:"),
+        ("d@/e.py", ""),
+        ("d@/f.py", None),
     ],
 )
 CODE = Spread(CODE, [], value="s_suppkey")
