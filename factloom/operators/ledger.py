@@ -22,11 +22,12 @@ def canonical(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
-def chained(rows: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
+def chained(rows: DataFrame, chain: str, order: str, payload: str, tails: DataFrame | None = None) -> DataFrame:
     """(chain, t_causal, prev_hash, payload, block_hash): each chain's payloads hashed in order.
 
     A hash needs the one before, so a chain is read in order by one task, a row at a time; what is
-    held is the last hash. A block without payload has no hash, and the next begins anew.
+    held is the last hash. A block without payload has no hash, and the next begins anew. With
+    ``tails`` (chain, tail, next) chains go on behind their last blocks.
     """
     kind = dict(rows.dtypes)[chain]
 
@@ -34,9 +35,9 @@ def chained(rows: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
         now, t, last = None, 0, ""
         for batch in batches:
             out = []
-            for known, c, p in zip(batch["known"].tolist(), batch["chain"].tolist(), batch["payload"].tolist(), strict=True):
+            for known, c, p, tail, start in zip(*(batch[x].tolist() for x in ("known", "chain", "payload", "tail", "next")), strict=True):
                 if now != (known, c if known else None):
-                    now, t, last = (known, c if known else None), 0, ""
+                    now, t, last = (known, c if known else None), start, tail
                 made = None if p is None else hashlib.sha256(f"{last}|{t}|{p}".encode()).hexdigest()
                 out.append((t, last, made))
                 t, last = t + 1, made or ""
@@ -44,7 +45,11 @@ def chained(rows: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
             yield pd.DataFrame({chain: batch["chain"], "t_causal": t_, "prev_hash": prev, "payload": batch["payload"], "block_hash": made})
 
     cols = rows.select(F.col(chain).alias("chain"), F.col(order).alias("o"), F.col(payload).cast("string").alias("payload"), F.col(chain).isNotNull().alias("known"))
-    sorted_ = cols.repartition("chain").sortWithinPartitions("chain", "o", "payload").select("chain", "payload", "known")
+    if tails is None:
+        cols = cols.withColumns({"tail": F.lit(""), "next": F.lit(0).cast("long")})
+    else:
+        cols = cols.join(tails.select(F.col(chain).alias("chain"), "tail", "next"), "chain", "left").withColumns({"tail": F.coalesce("tail", F.lit("")), "next": F.coalesce("next", F.lit(0).cast("long"))})
+    sorted_ = cols.repartition("chain").sortWithinPartitions("chain", "o", "payload").select("chain", "payload", "known", "tail", "next")
     return sorted_.mapInPandas(run, f"{chain} {kind}, t_causal long, prev_hash string, payload string, block_hash string")
 
 

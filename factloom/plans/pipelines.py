@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -92,3 +92,55 @@ def ingest(spark: SparkSession, folder: str, context: str, registry: DataFrame |
     found = rows.select(F.lit(context).alias("context"), "path", F.lit("python").alias("language"), "semantic_hash", "functions", "types", (F.col("last") + 1).cast("long").alias("version"))
     errors = docs.join(hashed.select("path"), "path", "left_anti").select("path", F.coalesce("error", F.lit("does not parse")).alias("error"))
     return ledger.upserted(now, found, ["context", "path"], "version"), errors
+
+
+def evolved(population: DataFrame, genes: dict[str, tuple[float, float]], objectives: dict[str, Column], size: int, generations: int, seed: int = 0, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(population, history) after so many generations of members (uid, genes), all objectives to be small.
+
+    Members meet in pairs by two draws of hashes, in groups of bounded size; of each pair the better
+    one (earlier front, more room) is a parent, and a child lies between two parents, moved a
+    little, inside each gene's bounds. Parents and children are one population, of which the best ``size``
+    by front and crowding stay. ``history`` is (generation, members, front, best of each
+    objective); with ``path`` each generation is written there. Draws are hashes of uid, so a run
+    doesn't depend on partitions.
+    """
+    from pyspark.sql import Window
+
+    from ..operators import pareto
+    from ..session import kept
+
+    spark = population.sparkSession
+    names = list(objectives)
+    u = lambda *what: F.pmod(F.xxhash64(F.lit(seed), *what), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    measured = lambda df: df.select("uid", *genes, *[c.alias(n) for n, c in objectives.items()])
+
+    def ranked(df: DataFrame) -> DataFrame:
+        return pareto.crowding(pareto.fronts(df, names), names, "front", "uid")
+
+    def parents(df: DataFrame, generation: int, draw: int) -> DataFrame:
+        """(group, place, genes): the better one of each two that a draw puts together."""
+        groups = max(1, size // 128)
+        drawn = df.withColumn("_d", F.xxhash64(F.lit(seed), F.lit(generation), F.lit(draw), "uid")).withColumn("group", F.pmod("_d", F.lit(groups)))
+        nth = F.row_number().over(Window.partitionBy("group").orderBy("_d", "uid")) - 1
+        better = F.min_by(F.struct(*genes), F.struct("front", (-F.col("crowding")).alias("c"), "uid"))
+        return drawn.withColumn("place", F.floor(nth / 2)).groupBy("group", "place").agg(better.alias(f"p{draw}"))
+
+    now = kept(ranked(measured(population)))
+    told = None
+    for g in range(generations):
+        both = parents(now, g, 0).join(parents(now, g, 1), ["group", "place"])
+        uid = F.xxhash64(F.lit(seed), F.lit(g), "group", "place")
+        made = both.withColumn("uid", uid)
+        for k, (gene, (low, high)) in enumerate(genes.items()):
+            share, step = u(F.lit(g), F.lit(k), "uid"), u(F.lit(g), F.lit(-1 - k), "uid") - 0.5
+            value = share * F.col(f"p0.{gene}") + (1 - share) * F.col(f"p1.{gene}") + step * (0.1 * (high - low))
+            made = made.withColumn(gene, F.greatest(F.lit(low), F.least(F.lit(high), value)))
+        whole = kept(now.select("uid", *genes, *names).unionByName(measured(made)).dropDuplicates(["uid"]))
+        now = kept(pareto.select_best(ranked(whole), size, "uid"))
+        if path:
+            files.write_generation(now, g, path)
+        line = now.agg(F.lit(g).alias("generation"), F.count("*").alias("members"), F.count_if(F.col("front") == 0).alias("front"), *[F.min(n).alias(f"best_{n}") for n in names])
+        told = line if told is None else told.unionByName(line)
+    if told is None:
+        told = spark.createDataFrame([], "generation int, members long, front long, " + ", ".join(f"best_{n} double" for n in names))
+    return now, told

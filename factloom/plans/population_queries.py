@@ -178,3 +178,11 @@ def scan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"), "page_id")
     old = rows.where("page_id % 7 <> 1").select("path", F.when(F.col("page_id") % 7 == 0, "old").otherwise(F.sha2("text", 256)).alias("fingerprint"))
     return pipelines.scan(rows, old)["changes"].groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query()
+def evolved_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three generations of two genes that begin as the parts' sizes and prices; draws have no SQL, tested for what must hold."""
+    rows = load(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("uid"), F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 100).alias("b"))
+    aims = {"near": F.pow(F.col("a") - 20, 2) + F.pow(F.col("b") - 9, 2), "far": F.pow(F.col("a") - 30, 2) + F.col("b")}
+    return pipelines.evolved(rows, {"a": (1.0, 50.0), "b": (0.0, 30.0)}, aims, 200, 3, seed=1)[1]

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ledger import block_hash
 from ..operators.graph import invalidated
+from ..operators.ledger import chained
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -35,17 +35,7 @@ def ledger_writer(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         tail = _before(spark, path, epoch, LEDGER).groupBy("chain").agg(F.max_by("block_hash", "t_causal").alias("tail"), (F.max("t_causal") + 1).alias("next"))
-        items = F.array_sort(F.collect_list(F.struct("seq", "payload")))
-        own = batch.groupBy("chain").agg(items.alias("items")).join(tail, "chain", "left")
-        empty = F.array().cast("array<struct<t:bigint,prev:string,payload:string,hash:string>>")
-        first, start = F.coalesce("tail", F.lit("")), F.coalesce("next", F.lit(0).cast("long"))
-
-        def step(acc, x):
-            prev = F.coalesce(F.get(acc, F.size(acc) - 1)["hash"], first)
-            t = start + F.size(acc)
-            return F.concat(acc, F.array(F.struct(t.cast("long").alias("t"), prev.alias("prev"), x["payload"].alias("payload"), block_hash(prev, t, x["payload"]).alias("hash"))))
-
-        blocks = own.select("chain", F.inline(F.aggregate("items", empty, step))).toDF("chain", "t_causal", "prev_hash", "payload", "block_hash")
+        blocks = chained(batch, "chain", "seq", "payload", tail)
         blocks.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write

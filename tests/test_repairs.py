@@ -112,3 +112,24 @@ def test_hot_feature_and_dense_cell_are_dealt_out(spark, monkeypatch):
     near = similarity.close_pairs(spark.createDataFrame(points, "id int, x double, y double"), ["x", "y"], 0.5).collect()
     want = {(a[0], b[0]) for a in points for b in points if a[0] < b[0] and ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 < 0.5}
     assert len(near) == len(want) and {(r.a, r.b) for r in near} == want
+
+
+def test_evolution(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from factloom.plans import pipelines
+
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(k, rng.uniform(0, 10), rng.uniform(0, 10)) for k in range(60)], "uid long, a double, b double")
+    aims = {"p": F.pow(F.col("a") - 2, 2) + F.col("b"), "q": F.pow(F.col("a") - 6, 2) + F.col("b")}
+    genes = {"a": (0.0, 10.0), "b": (0.0, 10.0)}
+    runs = [pipelines.evolved(rows.repartition(n), genes, aims, 40, 2, seed=3, path=str(tmp_path / f"run{n}")) for n in (1, 4)]
+    found = [sorted(map(tuple, now.select("uid", "a", "b", "front").collect())) for now, _ in runs]
+    assert found[0] == found[1] and len(found[0]) == 40
+    assert all(0 <= r[1] <= 10 and 0 <= r[2] <= 10 for r in found[0])
+    told = runs[0][1].orderBy("generation").collect()
+    first = rows.select(F.min(aims["p"]), F.min(aims["q"])).first()
+    # The best of each objective never goes.
+    assert told[0].best_p <= first[0] and told[1].best_p <= told[0].best_p and told[1].best_q <= told[0].best_q <= first[1]
+    assert spark.read.parquet(str(tmp_path / "run1")).groupBy("generation").count().count() == 2
+    assert pipelines.evolved(rows, genes, aims, 40, 0)[1].count() == 0
