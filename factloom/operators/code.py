@@ -149,11 +149,18 @@ def unused_imports(roles: DataFrame) -> DataFrame:
     return roles.where("role = 'imported'").select("path", "name").join(used, ["path", "name"], "left_anti")
 
 
-def missing_imports(roles: DataFrame) -> DataFrame:
-    """(path, name, provider): undefined names that another file defines; the first by path."""
-    providers = roles.where("role = 'defined'").select(F.col("path").alias("provider"), "name")
-    both = undefined_names(roles).join(providers, "name").where("path <> provider")
-    return both.groupBy("path", "name").agg(F.min("provider").alias("provider"))
+def missing_imports(roles: DataFrame, utilities: DataFrame | None = None) -> DataFrame:
+    """(path, name, provider): undefined names that another file defines.
+
+    The provider is that of ``utilities`` (name, provider) if it has the name, else the first file by
+    path; each name has one before names meet, so a name that many files define or use costs no pairs.
+    """
+    first = roles.where("role = 'defined'").groupBy("name").agg(F.min("path").alias("provider"))
+    if utilities is not None:
+        own = utilities.groupBy("name").agg(F.min("provider").alias("own"))
+        first = first.join(own, "name", "full_outer").select("name", F.coalesce("own", "provider").alias("provider"))
+    both = undefined_names(roles).distinct()
+    return both.join(first, "name").where("path <> provider").select("path", "name", "provider")
 
 
 def _nodes(path: str, text: str) -> list[tuple]:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from factloom.operators import delta, graph, kmeans, ledger, similarity, stats
+from factloom.operators import code, delta, graph, kmeans, ledger, similarity, stats
 
 
 def test_repaired_levels(spark):
@@ -133,3 +133,11 @@ def test_evolution(spark, tmp_path):
     assert told[0].best_p <= first[0] and told[1].best_p <= told[0].best_p and told[1].best_q <= told[0].best_q <= first[1]
     assert spark.read.parquet(str(tmp_path / "run1")).groupBy("generation").count().count() == 2
     assert pipelines.evolved(rows, genes, aims, 40, 0)[1].count() == 0
+
+
+def test_imports_from_utilities_first(spark):
+    files = [("a.py", "def f(): pass\ndef g(): pass\n"), ("b.py", "def g(): pass\nf()\nh()\n"), ("c.py", "f()\ng()\nprint(nowhere)\n"), ("utils.py", "def f(): pass\n")]
+    roles = code.name_roles(spark.createDataFrame(files, "path string, text string"))
+    assert sorted(map(tuple, code.missing_imports(roles).collect())) == [("b.py", "f", "a.py"), ("c.py", "f", "a.py"), ("c.py", "g", "a.py")]
+    own = spark.createDataFrame([("f", "utils.py"), ("h", "utils.py")], "name string, provider string")
+    assert sorted(map(tuple, code.missing_imports(roles, own).collect())) == [("b.py", "f", "utils.py"), ("b.py", "h", "utils.py"), ("c.py", "f", "utils.py"), ("c.py", "g", "a.py")]
