@@ -89,11 +89,14 @@ def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.join(cyclic, "g", "left").na.fill(False, ["cyclic"])
 
 
-@query("SELECT * FROM (VALUES ('b', 0), ('c', 1), ('a', 2)) t(node, place) UNION ALL SELECT NULL, NULL WHERE false")
+LOOPS = Fixture("src string, dst string", [("x", "b"), ("b", "c"), ("c", "a"), ("a", "b"), ("c", "y"), ("p", "q"), ("q", "p"), ("y", "z")])
+LOOPS = of_suppliers(LOOPS, "src", "dst")
+
+
+@query("SELECT v.node || '-' || (SELECT min(s_suppkey::VARCHAR) FROM supplier) AS node, v.place FROM (VALUES ('b', 0), ('c', 1), ('a', 2)) v(node, place)")
 def cycle_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cycle among others and ways that lead in and out, from its least node on."""
-    edges = [("x", "b"), ("b", "c"), ("c", "a"), ("a", "b"), ("c", "y"), ("p", "q"), ("q", "p"), ("y", "z")]
-    shown = O.one_cycle(spark.createDataFrame(edges, "src string, dst string"))
+    shown = O.one_cycle(LOOPS.frame(spark, sf_dir))
     return shown.select(F.col("node"), F.pmod(F.col("place") + 2, F.lit(3)).alias("place"))
 
 
@@ -108,12 +111,17 @@ def type_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.type_violations(WIRES.frame(spark, sf_dir), PORTS.frame(spark, sf_dir))
 
 
+_GRAPHS = "g string, src string, dst string"
+_TRIANGLE, _PATH = [("a", "b"), ("b", "c"), ("c", "a")], [("a", "b"), ("b", "c")]
+BEFORE = of_suppliers(Fixture(_GRAPHS, [(g, *e) for g, es in (("cut", _TRIANGLE), ("same", _TRIANGLE), ("gone", _PATH), ("grown", _PATH)) for e in es]), "g")
+AFTER = of_suppliers(Fixture(_GRAPHS, [(g, *e) for g, es in (("cut", _PATH), ("same", _TRIANGLE), ("grown", _TRIANGLE)) for e in es]), "g")
+
+
 # The connectivity of a triangle is 3, of a path of three 1, of two apart 0.
-@query("SELECT * FROM (VALUES ('cut', 3.0::DOUBLE, 1.0::DOUBLE), ('gone', 1.0, 0.0)) t(g, before, after)")
+@query(BEFORE.answers("('cut', 3.0::DOUBLE, 1.0::DOUBLE), ('gone', 1.0, 0.0)", "g, before double, after double"))
 def connectivity_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triangle, path = [("a", "b"), ("b", "c"), ("c", "a")], [("a", "b"), ("b", "c")]
-    measured = lambda graphs: O.fiedler_split(spark.createDataFrame([(g, *e) for g, es in graphs.items() for e in es], "component string, src string, dst string")).groupBy(F.col("component").alias("g")).agg(F.round(F.max("connectivity"), 6).alias("connectivity"))
-    return O.connectivity_drops(measured({"cut": triangle, "same": triangle, "gone": path, "grown": path}), measured({"cut": path, "same": triangle, "grown": triangle}))
+    measured = lambda graphs: O.fiedler_split(graphs.frame(spark, sf_dir).withColumnRenamed("g", "component")).groupBy(F.col("component").alias("g")).agg(F.round(F.max("connectivity"), 6).alias("connectivity"))
+    return O.connectivity_drops(measured(BEFORE), measured(AFTER))
 
 
 @query(
@@ -231,15 +239,18 @@ def spectral_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 RINGS = Fixture("src string, dst string", [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "d"), ("d", "d"), ("e", "a")])
 
 
-@query("SELECT * FROM (VALUES ('a,b'), ('a,b,c'), ('d')) t(cycle)")
+RINGS = of_suppliers(RINGS, "src", "dst")
+
+
+@query("SELECT array_to_string(list_transform(string_split(cycle, ','), lambda x: x || '-' || s_suppkey), ',') AS cycle FROM supplier, (VALUES ('a,b'), ('a,b,c'), ('d')) t(cycle)")
 def simple_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.cycles(RINGS.frame(spark), 5).select(F.array_join("cycle", ",").alias("cycle"))
+    return C.cycles(RINGS.frame(spark, sf_dir), 5).select(F.array_join("cycle", ",").alias("cycle"))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'e'), (1, 'a,b,c,d')) t(wave, names)")
+@query("SELECT v.wave, string_agg(v.name || '-' || s_suppkey, ',' ORDER BY v.name || '-' || s_suppkey) AS names FROM supplier, (VALUES (0::BIGINT, 'e'), (1, 'a'), (1, 'b'), (1, 'c'), (1, 'd')) v(wave, name) GROUP BY 1")
 def wave_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a cycle holds comes last, sorted."""
-    waves = C.waves(RINGS.frame(spark)).groupBy(F.col("wave").cast("long").alias("wave"))
+    waves = C.waves(RINGS.frame(spark, sf_dir)).groupBy(F.col("wave").cast("long").alias("wave"))
     return waves.agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("names"))
 
 
@@ -300,7 +311,6 @@ def svd_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.projector(rows, "vec_id", "v", "gain", "text", 64)
 
 
-TARGETS = Fixture("name string, requires array<string>", [("top", ["left", "right"]), ("base", []), ("left", ["base"]), ("right", ["base", "gone"])])
 
 
 # Part p requires its half and its third where they are whole, and every tenth something that isn't there.
@@ -331,9 +341,12 @@ def build_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.levels(known.select(F.col("r").alias("src"), F.col("name").alias("dst"))).select(F.col("node").alias("name"), F.col("level").alias("stage"))
 
 
-@query("SELECT * FROM (VALUES ('base', 0::BIGINT), ('left', 1), ('right', 2), ('top', 3)) t(name, place)")
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 1 THEN n_nationkey - 1 WHEN n_nationkey < (SELECT max(n_nationkey) FROM nation) THEN n_nationkey + 1 ELSE n_nationkey END::BIGINT AS place FROM nation")
 def build_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = O.kahn_order([(n, r) for n, r in TARGETS.rows])
+    """Nations as targets, the even ones requiring the next; a configuration's order is the driver's work."""
+    rows = load(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+    names = {r.n_nationkey: r.n_name for r in rows}
+    order = O.kahn_order([(n, [names[k + 1]] if k % 2 == 0 and k + 1 in names else ["gone"]) for k, n in names.items()])
     return spark.createDataFrame([(n, k) for k, n in enumerate(order)], "name string, place long")
 
 

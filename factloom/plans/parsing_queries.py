@@ -218,19 +218,26 @@ def target_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.inferred_targets(NAMED.frame(spark, sf_dir))
 
 
-FOUND = Fixture("path string", [(p,) for p in ("core/solver.cpp", "core/solver.h", "src/thing/a.rs", "src/thing/b.rs", "src/thing/c.cpp", "other.f90", "readme.md")])
+FOUND = Fixture("path string", [(f"k@/{p}",) for p in ("core/solver.cpp", "core/solver.h", "src/thing/a.rs", "src/thing/b.rs", "src/thing/c.cpp", "other.f90", "readme.md")])
+FOUND = Spread(FOUND, [], value="s_suppkey")
 
 
 @query("SELECT * FROM (VALUES ('thing', 'rust', 'core'), ('my_other', 'fortran', 'core'), ('solver', 'cpp', 'core'), ('nothing_here', 'python', 'binding'), ('rust_thing', 'rust', 'core')) t(name, language, role)")
 def target_languages_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names without a hint go by the most frequent language of their files."""
     names = spark.createDataFrame([("thing",), ("my_other",), ("solver",), ("nothing_here",), ("rust_thing",)], "name string")
-    return O.inferred_targets(names, FOUND.frame(spark))
+    return O.inferred_targets(names, FOUND.frame(spark, sf_dir))
 
 
-@query("SELECT p AS provider, c AS consumer, m AS mechanism FROM (VALUES ('cpp_core@', 'pybind11'), ('rust_engine@', 'pyo3'), ('solver@_f90', 'ctypes'), ('clang_tool@', 'ctypes')) a(p, m), (VALUES ('python_dashboard@'), ('thing@'), ('my_panel@')) b(c)")
+#: Targets of every nation: a configuration, as each core is offered to each binding.
+OFFERED = Spread(NAMES, [], "nation", "n_nationkey", "n_nationkey")
+
+
+@query(
+    "SELECT replace(p, '@', x.n_nationkey::VARCHAR) AS provider, replace(c, '@', y.n_nationkey::VARCHAR) AS consumer, m AS mechanism FROM nation x, nation y, (VALUES ('cpp_core@', 'pybind11'), ('rust_engine@', 'pyo3'), ('solver@_f90', 'ctypes'), ('clang_tool@', 'ctypes')) a(p, m), (VALUES ('python_dashboard@'), ('thing@'), ('my_panel@')) b(c)"
+)
 def ffi_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.boundaries(O.inferred_targets(NAMES.frame(spark)))
+    return O.boundaries(O.inferred_targets(OFFERED.frame(spark, sf_dir)))
 
 
 @query("SELECT DISTINCT p_partkey AS call, name FROM part, (VALUES ('blue'), ('ed'), ('green a'), ('zz'), ('part')) n(name) WHERE contains(p_name, name)")
