@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import math
 import re
 from collections import Counter
@@ -234,6 +235,27 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return per_file(files, _symbols, [("path", "string"), ("functions", "array<string>"), ("types", "array<string>")])
 
 
+_COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/", re.S)
+_DEFINED = re.compile(r"\b([A-Za-z_]\w*)\s*\([^;{}()]*\)\s*(?:const\s*)?\{")
+_TYPED = re.compile(r"\b(?:struct|class|enum|union)\s+([A-Za-z_]\w*)")
+_NO_FUNCTIONS = {"if", "for", "while", "switch", "catch"}
+
+
+def _outline(path: str, text: str) -> list[tuple]:
+    plain = _COMMENT.sub(" ", text)
+    kinds = [t if kind == "punctuation" else kind for _, _, kind, t, _ in _lexical(path, plain)]
+    functions = sorted({m for m in _DEFINED.findall(plain) if m not in _NO_FUNCTIONS})
+    return [(path, hashlib.sha256("\n".join(kinds).encode()).hexdigest(), functions, sorted(set(_TYPED.findall(plain))))]
+
+
+def outlines(files: DataFrame) -> DataFrame:
+    """(path, semantic_hash, functions, types) of files in languages with braces and without a parser here.
+
+    The hash is of the kinds of tokens and the signs, so names, white space and comments make no difference.
+    """
+    return per_file(files, _outline, [("path", "string"), ("semantic_hash", "string"), ("functions", "array<string>"), ("types", "array<string>")])
+
+
 # Types of nodes that hold a declaration's name.
 NAME_TYPES = ("identifier", "type_identifier", "name", "field_identifier")
 

@@ -73,24 +73,29 @@ def build_plan(targets: DataFrame) -> DataFrame:
 REGISTRY = "context string, path string, language string, semantic_hash string, functions array<string>, types array<string>, version long"
 
 
-def ingest(spark: SparkSession, folder: str, context: str, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(registry, errors) after the Python sources of a folder: each file's semantic hash and symbols, keyed by context and path.
+def ingest(spark: SparkSession, folder: str, context: str, registry: DataFrame | None = None, language: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(registry, errors) after the sources of a folder, of one language if it is named: each file's semantic hash and symbols, keyed by context and path.
 
-    A file is hashed by the types of its syntax nodes in order, so white space and comments make
-    no difference. Files that don't parse are errors and leave the registry as it was.
+    A Python file is hashed by the types of its syntax nodes in order, a file of C or C++ by the
+    kinds of its tokens, so white space and comments make no difference. Files that don't parse are errors
+    and leave the registry as it was.
     """
     from ..operators import code, ledger
 
-    docs = files.documents(spark, folder).where("format = 'code:python'").select("path", F.coalesce("text", F.lit("")).alias("text"), "error")
-    nodes = code.syntax_nodes(docs.where("error is null"))
+    docs = files.documents(spark, folder).where("format like 'code:%'").select("path", F.substring_index("format", ":", -1).alias("language"), F.coalesce("text", F.lit("")).alias("text"), "error")
+    docs = docs.where(F.col("language") == language) if language else docs
+    good = docs.where("error is null")
+    python = good.where("language = 'python'")
+    nodes = code.syntax_nodes(python)
     kinds = F.transform(F.array_sort(F.collect_list(F.struct("id", "type"))), lambda n: n["type"])
     hashed = nodes.groupBy("path").agg(F.sha2(F.array_join(kinds, "\n").cast("binary"), 256).alias("semantic_hash"))
     now = registry if registry is not None else spark.createDataFrame([], REGISTRY)
     # One row; the version of this run.
     version = now.agg(F.coalesce(F.max("version"), F.lit(0)).alias("last"))
-    rows = hashed.join(code.python_symbols(docs.where("error is null")), "path").crossJoin(F.broadcast(version))
-    found = rows.select(F.lit(context).alias("context"), "path", F.lit("python").alias("language"), "semantic_hash", "functions", "types", (F.col("last") + 1).cast("long").alias("version"))
-    errors = docs.join(hashed.select("path"), "path", "left_anti").select("path", F.coalesce("error", F.lit("does not parse")).alias("error"))
+    read = hashed.join(code.python_symbols(python), "path").unionByName(code.outlines(good.where("language <> 'python'")))
+    rows = read.join(docs.select("path", "language"), "path").crossJoin(F.broadcast(version))
+    found = rows.select(F.lit(context).alias("context"), "path", "language", "semantic_hash", "functions", "types", (F.col("last") + 1).cast("long").alias("version"))
+    errors = docs.join(read.select("path"), "path", "left_anti").select("path", F.coalesce("error", F.lit("does not parse")).alias("error"))
     return ledger.upserted(now, found, ["context", "path"], "version"), errors
 
 

@@ -99,3 +99,17 @@ def test_snapped_values(spark):
 
     rows = spark.createDataFrame([("a", ["a", "b"], "b"), ("x", ["a", "b"], "b"), ("x", ["a", "b"], "z"), ("x", [], "z"), ("x", None, "z")], "v string, c array<string>, d string")
     assert [r[0] for r in rows.select(snapped(F.col("v"), F.col("c"), F.col("d"))).collect()] == ["a", "b", "a", "x", "x"]
+
+
+def test_ingest_of_several_languages(spark, tmp_path):
+    from factloom.plans import pipelines
+
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("def f(): pass\n")
+    (src / "b.c").write_text("struct P { int x; };\nint go(int a) { if (a) { return a; } return 0; } // note\n")
+    (src / "c.cpp").write_text("struct Q { int y; };\nint run(int b) {\n /* other */ if (b) { return b; } return 0; }\n")
+    rows = {r.path.rpartition("/")[2]: r for r in pipelines.ingest(spark, str(src), "ctx")[0].collect()}
+    assert {n: (r.language, r.functions, r.types) for n, r in rows.items()} == {"a.py": ("python", ["f"], []), "b.c": ("c", ["go"], ["P"]), "c.cpp": ("cpp", ["run"], ["Q"])}
+    assert rows["b.c"].semantic_hash == rows["c.cpp"].semantic_hash != rows["a.py"].semantic_hash
+    assert [r.path.rpartition("/")[2] for r in pipelines.ingest(spark, str(src), "ctx", language="c")[0].collect()] == ["b.c"]
