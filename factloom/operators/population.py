@@ -122,7 +122,8 @@ def snapped(value: Column, choices: Column, default: Column) -> Column:
 def sampled(parameters: DataFrame, seed: int, count: int) -> DataFrame:
     """(member, name, value): values of (name, low, high, kind), and of ``choices`` where there are any, drawn by a hash of member and name."""
     rows = parameters.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "member", "name"), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("member").cast("string"), "name"))
+    u = F.conv(F.substring(draw, 1, 10), 16, 10).cast("double") / float(1 << 40)
     value = F.col("low") + u * (F.col("high") - F.col("low"))
     value = F.when(F.col("kind") == "int", F.bround(value)).otherwise(value)
     if "choices" in parameters.columns:

@@ -85,7 +85,10 @@ def clamped_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", O.clamped(F.col("l_discount"), 0.02, 0.06, "float").alias("rate"), O.clamped(F.col("l_quantity"), 5.0, 30.0, "int").alias("size"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT member::INT AS member, 'p' || p_partkey AS name, p_partkey, p_size::DOUBLE AS high, p_retailprice, ('0x' || substring(md5('3:' || member || ':p' || p_partkey), 1, 10))::BIGINT / 1099511627776.0 AS u FROM part, range(0, 3) r(member))
+SELECT member, name, CASE WHEN p_partkey % 5 = 0 THEN [high, p_retailprice][floor(u * 2)::INT + 1] WHEN p_partkey % 2 = 0 THEN round_even(u * high, 0) ELSE u * high END AS value FROM s"""
+)
 def sampled_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three members of a parameter for each part, up to its size; every fifth has the parts' own size and price to choose from."""
     size = F.col("p_size").cast("double")

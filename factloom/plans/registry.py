@@ -94,8 +94,9 @@ class Spread:
         n = len(self.fixture.rows)
         rows = load(spark, sf_dir, self.table).select(F.col(self.key).alias("_key"), F.col(self.value).alias("_value"))
         typed = spark.createDataFrame([(k, *r) for k, r in enumerate(self.fixture.rows)], f"_n int, {self.fixture.ddl}")
+        place = F.pmod("_key", F.lit(n)) if self.one else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         # A handful of templates.
-        both = rows.join(F.broadcast(typed), F.pmod("_key", F.lit(n)) == F.col("_n") if self.one else F.lit(True))
+        both = rows.withColumn("_n", place.cast("int") if self.one else place).join(F.broadcast(typed), "_n")
         out = []
         for name, kind in self.fixture.columns:
             c = F.col(name)
