@@ -30,7 +30,7 @@ def _least_before(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         sent = spread_join(edges, now.select(F.col("node").alias("src"), "label"), "src", hot)
         least = sent.groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
-        after = now.join(least, "node", "left").select("node", F.least("label", "got").alias("label"), F.col("label").alias("old"))
+        after = now.join(least.hint("merge"), "node", "left").select("node", F.least("label", "got").alias("label"), F.col("label").alias("old"))
         # What leads to a label's node leads here too. Labels of many nodes are hot keys.
         after = kept(after)
         tops = after.select(F.col("node").alias("label"), F.col("label").alias("top"))
@@ -40,29 +40,42 @@ def _least_before(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         now = after.select("node", "label")
 
 
-def _trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Edges left when those of nodes without a way in or out go, a few times."""
-    for _ in range(rounds):
-        sources, targets = edges.select("src").distinct(), edges.select(F.col("dst").alias("src")).distinct()
-        inner = edges.join(targets, "src", "left_semi").join(sources.withColumnRenamed("src", "dst"), "dst", "left_semi")
-        edges = inner.select("src", "dst")
-    return kept(edges)
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges left when those of nodes without a way in or out go, as long as that takes a tenth of them."""
+    left = kept(edges)
+    count = left.count()
+    while count:
+        sources, targets = left.select("src").distinct(), left.select(F.col("dst").alias("src")).distinct()
+        inner = left.join(targets.hint("merge"), "src", "left_semi").join(sources.withColumnRenamed("src", "dst").hint("merge"), "dst", "left_semi")
+        left = kept(inner.select("src", "dst"))
+        now = left.count()
+        if now > 0.9 * count:
+            break
+        count = now
+    return left
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of a directed graph (src, dst): the least node of those that lead to each other.
+def _entered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, into, out) of all nodes and whether edges come and go; the distinct edges (src, dst) whose source has one coming in.
 
-    Nodes are coloured by the least node that leads to them. Of a colour, those from which there
-    is a way back to its node are a component; edges between colours are in none. The rest is
-    coloured again. Nodes that no such round takes are components of their own.
+    Only those lie on cycles, or follow from one.
     """
-    edges = kept(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    left, found = edges.where("src <> dst"), None
+    edges = edges.where("src is not null and dst is not null").select("src", "dst")
+    yes, no = F.lit(True), F.lit(False)
+    ends = F.array(F.struct(F.col("src").alias("node"), no.alias("into"), yes.alias("out")), F.struct(F.col("dst").alias("node"), yes.alias("into"), no.alias("out")))
+    nodes = kept(edges.select(F.inline(ends)).groupBy("node").agg(F.max("into").alias("into"), F.max("out").alias("out")))
+    inner = nodes.where("into and out").select(F.col("node").alias("src"))
+    return nodes, kept(edges.join(inner.hint("merge"), "src", "left_semi").distinct())
+
+
+def _coloured(nodes: DataFrame, deep: DataFrame) -> DataFrame:
+    """(node, component) of what rounds of colours find, from ``_entered``; all components of several nodes are in it."""
+    left = deep.where("src <> dst").join(nodes.where("out").select(F.col("node").alias("dst")).hint("merge"), "dst", "left_semi").select("src", "dst")
+    found = nodes.select("node", F.col("node").alias("component")).where(F.lit(False))
     while True:
         left = _trimmed(left)
         if left.isEmpty():
-            break
+            return found
         open_ = kept(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct())
         colour = _least_before(left, open_)
         here = colour.select(F.col("node").alias("src"), F.col("label").alias("a"))
@@ -71,13 +84,22 @@ def strong_components(edges: DataFrame) -> DataFrame:
         own = kept(own.where("a = b").select("src", "dst"))
         # The least node of a colour is its own; who leads to it has it as the least node ahead.
         back = _least_before(_reversed(own), open_)
-        done = kept(colour.join(back.withColumnRenamed("label", "ahead"), "node").where("label = ahead").select("node", F.col("label").alias("component")))
-        found = done if found is None else found.unionByName(done)
+        done = kept(colour.join(back.withColumnRenamed("label", "ahead").hint("merge"), "node").where("label = ahead").select("node", F.col("label").alias("component")))
+        found = found.unionByName(done)
         gone = done.select(F.col("node").alias("src"))
-        left = kept(own.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
-    if found is None:
-        return nodes.select("node", F.col("node").alias("component"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        left = own.join(gone.hint("merge"), "src", "left_anti").join(gone.withColumnRenamed("src", "dst").hint("merge"), "dst", "left_anti").select("src", "dst")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of a directed graph (src, dst): the least node of those that lead to each other.
+
+    Nodes are coloured by the least node that leads to them. Of a colour, those from which there
+    is a way back to its node are a component; edges between colours are in none. The rest is
+    coloured again. Nodes that no such round takes are components of their own.
+    """
+    nodes, deep = _entered(edges)
+    found = _coloured(nodes, deep)
+    return nodes.select("node").join(found.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def inside(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -104,16 +126,16 @@ def waves(edges: DataFrame) -> DataFrame:
     """
     from .graph import levels, reachable
 
-    edges = kept(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    parts = kept(strong_components(edges))
-    loops = edges.where("src = dst").select(F.col("src").alias("node"))
-    several = parts.join(parts.groupBy("component").count().where("count > 1"), "component").select("node")
-    stuck = reachable(edges, several.unionByName(loops)).select("node")
-    nodes = parts.select("node")
-    free = kept(edges.join(stuck.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    nodes, deep = _entered(edges)
+    parts = _coloured(nodes, deep)
+    loops = deep.where("src = dst").select(F.col("src").alias("node"))
+    several = parts.join(parts.groupBy("component").count().where("count > 1").hint("merge"), "component").select("node")
+    stuck = kept(reachable(deep, several.unionByName(loops)).select("node"))
+    free = deep.join(stuck.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_anti").select("src", "dst")
+    # A longest way begins at a node that nothing leads to; from its second node on it is among these edges.
     level = kept(levels(free))
-    alone = nodes.join(stuck, "node", "left_anti").join(level, "node", "left_anti").select("node", F.lit(0).alias("wave"))
-    early = level.select("node", F.col("level").alias("wave")).unionByName(alone)
+    early = nodes.join(stuck.hint("merge"), "node", "left_anti").join(level.hint("merge"), "node", "left")
+    early = kept(early.select("node", F.when(F.col("into"), F.coalesce("level", F.lit(0)) + 1).otherwise(0).alias("wave")))
     # One row.
     last = early.agg((F.coalesce(F.max("wave"), F.lit(-1)) + 1).alias("wave"))
     return early.unionByName(stuck.crossJoin(F.broadcast(last)).select("node", "wave"))
@@ -121,8 +143,9 @@ def waves(edges: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame, longest: int) -> DataFrame:
     """(cycle) of at most ``longest`` nodes, each once, from its least node on; ways grow inside components only."""
-    e = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
-    e = kept(inside(e, strong_components(e)).select("src", "dst"))
+    nodes, deep = _entered(edges)
+    several = inside(deep.where("src <> dst"), _coloured(nodes, deep)).select("src", "dst")
+    e = kept(several.unionByName(deep.where("src = dst")))
     ways = e.where("src <= dst").select(F.array("src").alias("way"), F.col("dst").alias("at"))
     found = []
     for k in range(longest):
@@ -132,7 +155,7 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
         # The least node begins, so later ones are larger.
         going = ways.where((F.col("at") > F.get("way", F.lit(0))) & ~F.array_contains("way", F.col("at")))
         grown = going.select(F.concat("way", F.array("at")).alias("way"), F.col("at").alias("src"))
-        ways = kept(grown.join(e, "src").select("way", F.col("dst").alias("at")))
+        ways = kept(grown.join(e.hint("merge"), "src").select("way", F.col("dst").alias("at")))
         if ways.isEmpty():
             break
     return reduce(DataFrame.unionByName, found)

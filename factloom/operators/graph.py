@@ -25,14 +25,14 @@ def levels(edges: DataFrame) -> DataFrame:
     """(node, level) of an acyclic graph (src, dst): the length of the longest way to a node."""
     edges = kept(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    front = kept(nodes.join(edges, nodes["node"] == edges["dst"], "left_anti"))
+    front = kept(nodes.join(edges.hint("merge"), nodes["node"] == edges["dst"], "left_anti"))
     left, done, level = edges, [], 0
     while not front.isEmpty():
         done.append(front.withColumn("level", F.lit(level)))
-        rest = kept(left.join(front, left["src"] == front["node"], "left_anti"))
+        rest = kept(left.join(front.hint("merge"), left["src"] == front["node"], "left_anti"))
         # Next are the targets of what goes, if nothing left points at them.
-        gone = left.join(front, left["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        front = kept(gone.join(rest, gone["node"] == rest["dst"], "left_anti"))
+        gone = left.join(front.hint("merge"), left["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = kept(gone.join(rest.hint("merge"), gone["node"] == rest["dst"], "left_anti"))
         left, level = rest, level + 1
     if not left.isEmpty():
         raise CycleError("the graph has a cycle")
@@ -121,8 +121,8 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     found, depth = front, 0
     while True:
         depth += 1
-        step = edges.join(front, edges["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        front = kept(step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        step = edges.join(front.hint("merge"), edges["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = kept(step.join(found.hint("merge"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return found
         # Each depth is stored once.

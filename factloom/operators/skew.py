@@ -21,12 +21,14 @@ def lanes(df: DataFrame) -> int:
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` by a column of both. Rows of ``left`` with a hot key are dealt
-    out by their hash, and ``right``, which has few rows of each key, is repeated for them."""
+    out by their hash, and ``right``, which has few rows of each key, is repeated for them.
+
+    Neither side is broadcast: loops would leave a table in the driver's memory for every step."""
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right.hint("merge"), key, how)
     n = lanes(left)
     zero = F.lit(0).cast("long")
     dealt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*left.columns), F.lit(n))).otherwise(zero)
     copies = F.when(F.col(key).isin(hot), F.sequence(zero, F.lit(n - 1).cast("long"))).otherwise(F.array(zero))
     many = right.withColumn("_lane", F.explode(copies))
-    return left.withColumn("_lane", dealt).join(many, [key, "_lane"], how).drop("_lane")
+    return left.withColumn("_lane", dealt).join(many.hint("merge"), [key, "_lane"], how).drop("_lane")

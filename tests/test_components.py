@@ -98,3 +98,15 @@ def test_halves_equal_dense_ones(spark):
         assert all(abs(r.connectivity - values[1]) < 1e-6 and r.residual < 1e-3 for r in own.values())
         side = vectors[:, 1] >= 0
         assert [own[n].side for n in nodes if abs(vectors[nodes.index(n), 1]) > 1e-6] == [int(s != side[0]) for n, s in zip(nodes, side, strict=True) if abs(vectors[nodes.index(n), 1]) > 1e-6]
+
+
+def test_joins_of_loops_are_not_broadcast(spark):
+    """A broadcast for every step would fill the driver's memory."""
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "src long, label long")
+    for hot in ([], [2]):
+        joined = skew.spread_join(edges, labels, "src", hot)
+        assert joined.count() == 3 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    nodes, deep = C._entered(edges)
+    assert {tuple(r) for r in nodes.collect()} == {(1, True, True), (2, True, True), (3, True, False)}
+    assert {tuple(r) for r in deep.collect()} == {(1, 2), (2, 1), (2, 3)}
