@@ -253,6 +253,10 @@ def boundaries(targets: DataFrame) -> DataFrame:
     return core.join(rest, F.lit(True)).select("provider", "consumer", F.coalesce(F.try_element_at(known, F.col("provider_language")), F.lit("cffi")).alias("mechanism"))
 
 
+#: Names that go to all tasks at once.
+NAMES = 20_000
+
+
 def call_bridges(calls: DataFrame, names: DataFrame) -> DataFrame:
     """(call, name): exported names within a call's text.
 
@@ -260,11 +264,14 @@ def call_bridges(calls: DataFrame, names: DataFrame) -> DataFrame:
     names are joined by each of their lengths.
     """
     least = 3
+    names = names.select("name").distinct()
+    # Few names go to all tasks; texts and their parts never do.
+    meet = F.broadcast if names.limit(NAMES + 1).count() <= NAMES else lambda some: some.hint("merge")
     keys = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - least + 1, F.lit(1))), lambda k: F.substring(F.col("text"), k, F.lit(least)))
     grams = calls.select("call", "text", F.explode(F.array_distinct(keys)).alias("g"))
-    long = grams.join(names.where(F.length("name") >= least).withColumn("g", F.substring("name", 1, least)), "g")
+    long = grams.join(meet(names.where(F.length("name") >= least).withColumn("g", F.substring("name", 1, least))), "g")
     single = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(least - 1)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda k: F.substring(F.col("text"), k, n))))
-    short = calls.select("call", "text", F.explode(F.array_distinct(single)).alias("g")).join(names.where((F.length("name") < least) & (F.col("name") != "")).withColumn("g", F.col("name")), "g")
+    short = calls.select("call", "text", F.explode(F.array_distinct(single)).alias("g")).join(meet(names.where((F.length("name") < least) & (F.col("name") != "")).withColumn("g", F.col("name"))), "g")
     both = long.select("call", "text", "name").unionByName(short.select("call", "text", "name"))
     return both.where(F.contains("text", F.col("name"))).select("call", "name").distinct()
 
