@@ -23,10 +23,11 @@ def baseline(values: DataFrame) -> DataFrame:
 def zscore_anomalies(values: DataFrame, stats: DataFrame, threshold: float = 2.5, inverted: tuple[str, ...] = ()) -> DataFrame:
     """Values beyond the threshold: above it, or below it for inverted metrics.
 
-    ``stats`` has a row for each metric. Metrics without spread give none.
+    ``stats`` has a row for each metric, a bounded set that goes to all tasks: joined by a shuffle, all
+    values of a metric would be one task's. Metrics without spread give none.
     """
     z = (F.col("value") - F.col("mean")) / F.col("stdev")
-    rows = values.join(stats.where("stdev >= 1e-9"), "metric").withColumn("zscore", z)
+    rows = values.join(F.broadcast(stats.where("stdev >= 1e-9")), "metric").withColumn("zscore", z)
     beyond = F.when(F.col("metric").isin(list(inverted)), F.col("zscore") < -threshold).otherwise(F.col("zscore") > threshold)
     severity = F.when(F.abs("zscore") > 2 * threshold, "critical").otherwise("warning")
     return rows.where(beyond).withColumn("severity", severity)
