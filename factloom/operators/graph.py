@@ -238,6 +238,48 @@ def with_component(edges: DataFrame) -> DataFrame:
     return edges.join(own, "src")
 
 
+def _equal(keys: pd.Series, value) -> np.ndarray:
+    """Null is equal to null."""
+    return (keys.isna() if pd.isna(value) else keys == value).to_numpy(bool)
+
+
+def _in_groups(rows: DataFrame, key: str, work, ddl: str) -> DataFrame:
+    """``work`` on whole groups of a key, many groups at a time: a call for each would cost more than its small matrix.
+
+    ``work`` takes rows sorted by the key, with all rows of each key that they hold.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            # The last group may go on in the next batch.
+            same = _equal(batch[key], batch[key].iloc[-1])
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if held and (cut or not _equal(held[-1][key].iloc[-1:], batch[key].iloc[0])[0]):
+                yield work(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
+                held = []
+            elif cut:
+                yield work(batch.iloc[:cut].reset_index(drop=True))
+            held.append(batch.iloc[cut:])
+        if held:
+            yield work(pd.concat(held, ignore_index=True))
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInPandas(run, ddl)
+
+
+def _numbered(keys: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted keys the place of each row's group, and the rows at which groups begin."""
+    x, none = keys.to_numpy(), keys.isna().to_numpy()
+    first = np.concatenate([[True], (x[1:] != x[:-1]) & ~(none[1:] & none[:-1])])
+    return np.cumsum(first) - 1, np.flatnonzero(first)
+
+
+#: Cells of the matrices that are worked on at once.
+STACK = 4_000_000
+
+
 def fiedler_split(edges: DataFrame) -> DataFrame:
     """(component, node, side, connectivity) of (component, src, dst): halves by the Fiedler vector.
 
@@ -247,37 +289,73 @@ def fiedler_split(edges: DataFrame) -> DataFrame:
     """
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(pdf[["src", "dst"]].to_numpy())
-        at = {v: k for k, v in enumerate(nodes)}
-        a = np.zeros((len(nodes), len(nodes)))
-        for s, d in zip(pdf["src"], pdf["dst"], strict=True):
-            a[at[s], at[d]] = a[at[d], at[s]] = 1.0
-        np.fill_diagonal(a, 0)
-        values, vectors = np.linalg.eigh(np.diag(a.sum(1)) - a)
-        v = vectors[:, 1] if len(nodes) > 1 else np.zeros(1)
-        side = v >= 0
-        if side.all() or not side.any():
-            side = v >= np.median(v)
-        side = side != side[0]
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "node": nodes, "side": side.astype("i4"), "connectivity": values[1] if len(nodes) > 1 else 0.0})
+        group, first = _numbered(pdf["component"])
+        ends = pd.concat([pdf["src"], pdf["dst"]], ignore_index=True)
+        whole = pd.DataFrame({"g": np.concatenate([group, group]), "node": ends})
+        nodes = whole.drop_duplicates().sort_values(["g", "node"], ignore_index=True)
+        size = np.bincount(nodes["g"], minlength=len(first))
+        start = np.concatenate([[0], np.cumsum(size)])
+        nodes["at"] = np.arange(len(nodes)) - start[nodes["g"]]
+        at = whole.merge(nodes, on=["g", "node"], how="left")["at"].to_numpy()
+        src, dst = at[: len(pdf)], at[len(pdf) :]
+        side, connectivity = np.zeros(len(nodes), "i4"), np.zeros(len(nodes))
+        # Graphs of one size are decomposed together.
+        for n in np.unique(size):
+            if n < 2:
+                continue
+            some = np.flatnonzero(size == n)
+            for k in range(0, len(some), max(1, STACK // int(n * n))):
+                part = some[k : k + max(1, STACK // int(n * n))]
+                place = np.full(len(first), -1)
+                place[part] = np.arange(len(part))
+                own = place[group] >= 0
+                p, s, d = place[group[own]], src[own], dst[own]
+                a = np.zeros((len(part), n, n))
+                a[p, s, d] = a[p, d, s] = 1.0
+                a[:, np.arange(n), np.arange(n)] = 0.0
+                degrees = np.zeros_like(a)
+                degrees[:, np.arange(n), np.arange(n)] = a.sum(2)
+                values, vectors = np.linalg.eigh(degrees - a)
+                v = vectors[:, :, 1]
+                up = v >= 0
+                flat = up.all(1) | ~up.any(1)
+                up[flat] = v[flat] >= np.median(v[flat], axis=1, keepdims=True) if flat.any() else up[flat]
+                rows = start[part][:, None] + np.arange(n)
+                side[rows] = up != up[:, :1]
+                connectivity[rows] = values[:, 1:2]
+        return pd.DataFrame({"component": pdf["component"].to_numpy()[first][nodes["g"]], "node": nodes["node"], "side": side, "connectivity": connectivity})
 
     kind = dict(edges.dtypes)["src"]
-    return edges.select("component", "src", "dst").groupBy("component").applyInPandas(split, f"component {dict(edges.dtypes)['component']}, node {kind}, side int, connectivity double")
-
+    return _in_groups(edges.select("component", "src", "dst"), "component", split, f"component {dict(edges.dtypes)['component']}, node {kind}, side int, connectivity double")
 
-def _dense(pdf: pd.DataFrame, name: str, n: int) -> np.ndarray:
-    part = pdf[pdf["matrix"] == name]
-    out = np.zeros((n, n))
-    np.add.at(out, (part["i"].to_numpy(), part["j"].to_numpy()), part["w"].to_numpy())
-    return out
 
+_CELLS = "g long, i long, j long, w double"
 
-def _sparse(g: int, x: np.ndarray) -> pd.DataFrame:
-    i, j = np.nonzero(np.abs(x) > 1e-12)
-    return pd.DataFrame({"g": g, "i": i, "j": j, "w": x[i, j]})
 
-
-_CELLS = "g long, i long, j long, w double"
+def _on_matrices(cells: DataFrame, n: int, solve) -> DataFrame:
+    """(g, i, j, w) of what ``solve`` makes of each group's U, M (the identity where it is missing) and G, stacked."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        group, first = _numbered(pdf["g"])
+        out = []
+        many = max(1, STACK // (n * n))
+        for k in range(0, len(first), many):
+            count = min(many, len(first) - k)
+            here = (group >= k) & (group < k + count)
+            g, rows = group[here] - k, pdf[here]
+            dense = {name: np.zeros((count, n, n)) for name in ("U", "M", "G")}
+            for name, x in dense.items():
+                own = (rows["matrix"] == name).to_numpy()
+                np.add.at(x, (g[own], rows["i"].to_numpy()[own], rows["j"].to_numpy()[own]), rows["w"].to_numpy()[own])
+            none = np.ones(count, bool)
+            none[g[(rows["matrix"] == "M").to_numpy()]] = False
+            dense["M"][none] = np.eye(n)
+            x = solve(dense["U"], dense["M"], dense["G"])
+            at, i, j = np.nonzero(np.abs(x) > 1e-12)
+            out.append(pd.DataFrame({"g": pdf["g"].to_numpy()[first[k + at]], "i": i, "j": j, "w": x[at, i, j]}))
+        return pd.concat(out)
+
+    return _in_groups(cells, "g", run, _CELLS)
 
 
 def execution_wave(cells: DataFrame, n: int) -> DataFrame:
@@ -285,35 +363,23 @@ def execution_wave(cells: DataFrame, n: int) -> DataFrame:
 
     ``matrix`` is U or M; a group without M has the identity. Bounded by n, as it is one task's.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = _dense(pdf, "U", n)
-        m = _dense(pdf, "M", n) if (pdf["matrix"] == "M").any() else np.eye(n)
-        return _sparse(pdf["g"].iloc[0], np.linalg.solve(np.eye(n) - u @ m, u))
-
-    return cells.groupBy("g").applyInPandas(solve, _CELLS)
+    return _on_matrices(cells, n, lambda u, m, _: np.linalg.solve(np.eye(n) - u @ m, u))
 
 
 def wave_gradient(cells: DataFrame, n: int) -> DataFrame:
     """(g, i, j, w): derivative by U of a loss whose derivative by the wave is the matrix G."""
 
-    def slope(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, out = _dense(pdf, "U", n), _dense(pdf, "G", n)
-        m = _dense(pdf, "M", n) if (pdf["matrix"] == "M").any() else np.eye(n)
+    def slope(u: np.ndarray, m: np.ndarray, out: np.ndarray) -> np.ndarray:
         inverse = np.linalg.inv(np.eye(n) - u @ m)
-        return _sparse(pdf["g"].iloc[0], inverse.T @ out @ (np.eye(n) + m.T @ (inverse @ u).T))
+        turned = lambda x: x.transpose(0, 2, 1)
+        return turned(inverse) @ out @ (np.eye(n) + turned(m) @ turned(inverse @ u))
 
-    return cells.groupBy("g").applyInPandas(slope, _CELLS)
+    return _on_matrices(cells, n, slope)
 
 
 def spectral_clamp(cells: DataFrame, n: int, parameter: float) -> DataFrame:
     """(g, i, j, w): U times the mean of its eigenvalues' sizes, each at most 1 - parameter."""
-
-    def clamp(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = _dense(pdf, "U", n)
-        return _sparse(pdf["g"].iloc[0], u * np.clip(np.abs(np.linalg.eigvals(u)), 0.0, 1.0 - parameter).mean())
-
-    return cells.groupBy("g").applyInPandas(clamp, _CELLS)
+    return _on_matrices(cells, n, lambda u, m, _: u * np.clip(np.abs(np.linalg.eigvals(u)), 0.0, 1.0 - parameter).mean(1)[:, None, None])
 
 
 def hashed_vector(text: str, size: int) -> np.ndarray:

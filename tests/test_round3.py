@@ -37,3 +37,58 @@ def test_anomalies_need_no_shuffle_by_metric(spark, no_small_tables):
     found = stats.zscore_anomalies(values, stats.baseline(values), 2.5)
     assert "SortMergeJoin" not in _plan(found)
     assert [(r.metric, r.value) for r in found.collect()] == [("a", 500.0)]
+
+
+def test_small_matrices_come_many_at_a_time(spark, monkeypatch):
+    """A call of Python for many groups, with groups that go on in the next batch, and null as a group."""
+    import numpy as np
+
+    from factloom.operators import graph as G
+
+    calls = spark.sparkContext.accumulator(0)
+    whole = G._in_groups
+
+    def counted(rows, key, work, ddl):
+        def once(pdf):
+            calls.add(1)
+            return work(pdf)
+
+        return whole(rows, key, once, ddl)
+
+    monkeypatch.setattr(G, "_in_groups", counted)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = np.random.default_rng(1)
+        shapes = {f"g{k}": [(int(a), int(b)) for a, b in rng.integers(0, 2 + k % 5, (1 + k % 11, 2))] for k in range(40)}
+        shapes[None] = [(1, 2), (2, 3), (1, 3)]
+        rows = spark.createDataFrame([(g, *e) for g, es in shapes.items() for e in es], "component string, src int, dst int")
+        got = {}
+        for r in G.fiedler_split(rows).collect():
+            got.setdefault(r.component, {})[r.node] = (r.side, r.connectivity)
+        assert set(got) == set(shapes) and calls.value < len(shapes)
+        for g, es in shapes.items():
+            nodes = sorted({x for e in es for x in e})
+            a = np.zeros((len(nodes),) * 2)
+            for s, d in es:
+                if s != d:
+                    a[nodes.index(s), nodes.index(d)] = a[nodes.index(d), nodes.index(s)] = 1
+            values = np.linalg.eigvalsh(np.diag(a.sum(1)) - a)
+            assert sorted(got[g]) == nodes and got[g][nodes[0]][0] == 0
+            assert all(abs(c - (values[1] if len(nodes) > 1 else 0)) < 1e-9 for _, c in got[g].values())
+        cells = [(k, m, int(i), int(j), float(w)) for k in range(30) for m in ("U", "M", "G")[: 1 + k % 3] for i, j, w in zip(*rng.integers(0, 3, (2, 4)), rng.random(4) / 9, strict=True)]
+        frame = spark.createDataFrame(cells, "g long, matrix string, i int, j int, w double")
+        found = {name: {(r.g, r.i, r.j): r.w for r in df.collect()} for name, df in (("wave", G.execution_wave(frame, 3)), ("slope", G.wave_gradient(frame, 3)), ("clamp", G.spectral_clamp(frame, 3, 0.1)))}
+        for k in range(30):
+            x = {m: np.zeros((3, 3)) for m in "UMG"}
+            for g, m, i, j, w in cells:
+                if g == k:
+                    x[m][i, j] += w
+            if k % 3 == 0:
+                x["M"] = np.eye(3)
+            inverse = np.linalg.inv(np.eye(3) - x["U"] @ x["M"])
+            wants = {"wave": inverse @ x["U"], "slope": inverse.T @ x["G"] @ (np.eye(3) + x["M"].T @ (inverse @ x["U"]).T), "clamp": x["U"] * np.minimum(np.abs(np.linalg.eigvals(x["U"])), 0.9).mean()}
+            for name, want in wants.items():
+                assert all(abs(want[i, j] - found[name].get((k, i, j), 0.0)) < 1e-9 for i in range(3) for j in range(3))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
