@@ -92,3 +92,58 @@ def test_small_matrices_come_many_at_a_time(spark, monkeypatch):
                 assert all(abs(want[i, j] - found[name].get((k, i, j), 0.0)) < 1e-9 for i in range(3) for j in range(3))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_index_blocks_stay_bounded(spark, monkeypatch):
+    """Blocks grow in number with the rows, and a row visits the few nearby; each block has as many visits as its guests need."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from factloom.operators import metric_index as M
+
+    monkeypatch.setattr(M, "BLOCK", 20)
+    monkeypatch.setattr(M, "VISIT", 30)
+    x = np.random.default_rng(5).random((1500, 2))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>")
+    index = M.MetricIndex(rows, 3)
+    visits = index._visits(index._own())
+    groups = visits.groupBy("cell", "block", "visit").count()
+    blocks = sum(index._blocks.values())
+    assert 1500 / 20 <= blocks <= 400 and visits.count() < 10 * 1500 and groups.count() < 10 * blocks
+    got = {}
+    for r in index.neighbours().orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    for k in range(0, 1500, 7):
+        assert got[k] == np.argsort(((x - x[k]) ** 2).sum(1), kind="stable")[:3].tolist()
+    assert index.pruned().select(F.col("share") > 0.95).first()[0]
+
+
+def test_nearest_coordinate_is_no_product_of_all_parts(spark, sf_dir):
+    import __spark_entry__ as E
+
+    assert "NestedLoop" not in _plan(E.queries()["nearest_coordinate"](spark, sf_dir))
+
+
+def test_similar_pairs_that_round_to_the_cutoff(spark):
+    from factloom.operators import similarity as S
+
+    u = 0.7999996
+    rows = [(1, 1, 1.0), (2, 1, u), (2, 2, (1 - u * u) ** 0.5)]
+    got = S.similar_pairs(spark.createDataFrame(rows, "id long, feature long, value double"), 0.8)
+    assert [tuple(r) for r in got.collect()] == [(1, 2, 0.8)]
+
+
+def test_close_pairs_of_dense_cells_are_many_tasks(spark, monkeypatch):
+    import numpy as np
+
+    from factloom.operators import similarity as S
+
+    monkeypatch.setattr(S, "PAIRED", 5)
+    monkeypatch.setattr(S, "TASK_PAIRS", 1000)
+    x = np.random.default_rng(6).random((60, 2)) * 4 - 2
+    rows = spark.createDataFrame([(k, *v.tolist()) for k, v in enumerate(x)], "id long, x double, y double")
+    got = S.close_pairs(rows, ["x", "y"], 1.5)
+    assert got.rdd.getNumPartitions() >= 8
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if ((x[a] - x[b]) ** 2).sum() ** 0.5 < 1.5}
+    rows = [(r.a, r.b) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
