@@ -139,7 +139,7 @@ def test_close_pairs_of_dense_cells_are_many_tasks(spark, monkeypatch):
     from factloom.operators import similarity as S
 
     monkeypatch.setattr(S, "PAIRED", 5)
-    monkeypatch.setattr(S, "TASK_PAIRS", 1000)
+    monkeypatch.setattr(S, "TASK_PAIRS", 100)
     x = np.random.default_rng(6).random((60, 2)) * 4 - 2
     rows = spark.createDataFrame([(k, *v.tolist()) for k, v in enumerate(x)], "id long, x double, y double")
     got = S.close_pairs(rows, ["x", "y"], 1.5)
