@@ -49,7 +49,9 @@ def repaired_levels(before: DataFrame, edges: DataFrame, added: DataFrame, remov
     turns out another; no other node is looked at. ``touched`` tells which were. Each step
     stores the levels that changed so far, not the whole.
     """
-    edges = edges.select("src", "dst").distinct()
+    # Read in every step.
+    edges = kept(edges.select("src", "dst").distinct())
+    added, removed = kept(added.select("src", "dst")), removed.select("src", "dst")
     both = added.select("src", "dst").unionByName(removed.select("src", "dst"))
     fresh = added.select(F.col("src").alias("node")).unionByName(added.select(F.col("dst").alias("node"))).distinct()
     new = fresh.join(before, "node", "left_anti").select("node", F.lit(0).alias("level"))
@@ -60,7 +62,7 @@ def repaired_levels(before: DataFrame, edges: DataFrame, added: DataFrame, remov
     top = old.agg(F.max("level")).first()[0] or 0
     most = (top + 1) * (added.count() + 1)
     while not open_.isEmpty():
-        now = old if changed is None else old.join(changed.select("node", F.col("level").alias("_l")), "node", "left").select("node", F.coalesce("_l", "level").alias("level"))
+        now = old if changed is None else old.join(changed.select("node", F.col("level").alias("_l")).hint("merge"), "node", "left").select("node", F.coalesce("_l", "level").alias("level"))
         into = edges.join(open_.select(F.col("node").alias("dst")), "dst", "left_semi")
         above = into.join(now.select(F.col("node").alias("src"), "level"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("fit"))
         fit = open_.join(now, "node").join(above, "node", "left").select("node", "level", F.coalesce("fit", F.lit(0)).alias("fit"))

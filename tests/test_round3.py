@@ -147,3 +147,21 @@ def test_close_pairs_of_dense_cells_are_many_tasks(spark, monkeypatch):
     want = {(a, b) for a in range(60) for b in range(a + 1, 60) if ((x[a] - x[b]) ** 2).sum() ** 0.5 < 1.5}
     rows = [(r.a, r.b) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+def test_repaired_levels_read_their_edges_once(spark):
+    from factloom.operators import graph as G
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    edges = [(k, k + 1) for k in range(6)]
+    frame = spark.createDataFrame(edges + [(9, 0)], "src long, dst long").mapInPandas(counted, "src long, dst long")
+    before = G.levels(spark.createDataFrame(edges, "src long, dst long"))
+    added, none = spark.createDataFrame([(9, 0)], "src long, dst long"), spark.createDataFrame([], "src long, dst long")
+    got = {r.node: r.level for r in G.repaired_levels(before, frame, added, none).collect()}
+    assert got == {9: 0} | {k: k + 1 for k in range(7)} and reads.value == 7
