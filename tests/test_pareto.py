@@ -27,6 +27,23 @@ def test_fronts_over_ranges(spark, dims):
         assert [got[k] for k in range(len(x))] == want.tolist()
 
 
+@pytest.mark.parametrize("dims", [1, 2, 3, 4])
+def test_fronts_of_few_cells_are_no_chain_of_ranges(spark, monkeypatch, dims):
+    def by_turns(*_):
+        raise AssertionError("a range waits for the one before")
+
+    monkeypatch.setattr(pareto, "_bases", by_turns)
+    rng = np.random.default_rng(10 + dims)
+    x = rng.integers(0, 5, (600, dims)).astype(float)
+    x[:, dims // 2] = rng.integers(-90, 90, 600)  # the one of many values isn't always the first
+    rows = [(k, *map(float, p)) for k, p in enumerate(x)] + [(600, *[None] * dims)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"c{k} double" for k in range(dims)))
+    for minimize, last in ((True, np.inf), (False, 0.0)):
+        want = _peeled(np.concatenate([x, np.full((1, dims), last)]) * (1 if minimize else -1))
+        got = {r.id: r.front for r in pareto.fronts(df, [f"c{k}" for k in range(dims)], minimize, block=25).collect()}
+        assert [got[k] for k in range(601)] == want.tolist()
+
+
 @pytest.mark.parametrize("dims", [2, 3, 4])
 def test_frontier_that_stays_large(spark, monkeypatch, dims):
     monkeypatch.setattr(pareto, "LAST", 60)
