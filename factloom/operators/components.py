@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import kept
+from ..session import kept, tasks_for
 from .skew import hot_keys, spread_join
 
 
@@ -197,7 +197,7 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"component": batch["component"], "theta": theta, **{f"k{j}": out[:, j] for j in range(4)}})
 
 
-def fiedler_vectors(edges: DataFrame, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
+def fiedler_vectors(edges: DataFrame, tolerance: float = 1e-6, most: int = 100, rows: int | None = None) -> DataFrame:
     """(component, node, value, connectivity, residual) of undirected graphs (component, src, dst).
 
     The vector of the second-least eigenvalue of each component's Laplacian, by a preconditioned
@@ -205,17 +205,22 @@ def fiedler_vectors(edges: DataFrame, tolerance: float = 1e-6, most: int = 100)
     along the edges), and takes the best combination of the vector, its residual over the degrees
     and the last direction. ``residual`` is the length of L v - connectivity v for the vector v of
     length 1. Steps end when all residuals are under ``tolerance`` times the largest degree, or
-    after ``most``.
+    after ``most``. Work along the edges is dealt out by their number, which ``rows``, if given,
+    is at least; a task holds no more of them when there are more.
     """
-    both = edges.where("src <> dst").select("component", "src", "dst")
-    both = kept(both.unionByName(both.select("component", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    spark = edges.sparkSession
+    once = edges.where("src <> dst").select("component", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    # An edge is stored once, for both of its directions.
+    once = kept(once.repartition(tasks_for(spark, edges.count() if rows is None else rows), "component", "src", "dst").distinct())
+    parts = tasks_for(spark, 2 * once.count())
+    both = once.unionByName(once.select("component", F.col("dst").alias("src"), F.col("src").alias("dst")))
     hot, large = hot_keys(both, "src"), hot_keys(both, "component")
     start = (F.xxhash64("node") / F.lit(2.0**63)).alias("x")
     state = both.groupBy("component", F.col("src").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("deg")).withColumn("x", start)
 
     def times(vector: DataFrame, name: str, out: str) -> DataFrame:
         """(node, out): the Laplacian's product with a column of (node, deg, name)."""
-        sent = spread_join(both.select("src", "dst"), vector.select(F.col("node").alias("src"), F.col(name).alias("_v")), "src", hot)
+        sent = spread_join(both.select("src", "dst"), vector.select(F.col("node").alias("src"), F.col(name).alias("_v")), "src", hot, parts=parts)
         sums = sent.groupBy(F.col("dst").alias("node")).agg(F.sum("_v").alias("_s"))
         return vector.join(sums, "node").withColumn(out, F.col("deg") * F.col(name) - F.col("_s")).drop("_s")
 

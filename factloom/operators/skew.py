@@ -19,16 +19,26 @@ def lanes(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner", parts: int | None = None) -> DataFrame:
     """``left`` joined with ``right`` by a column of both. Rows of ``left`` with a hot key are dealt
     out by their hash, and ``right``, which has few rows of each key, is repeated for them.
+    ``parts`` is the number of partitions, where the session's is not to set it.
 
     Neither side is broadcast: loops would leave a table in the driver's memory for every step."""
     if not hot:
-        return left.join(right.hint("merge"), key, how)
+        return _merged(left, right, [key], how, parts)
     n = lanes(left)
     zero = F.lit(0).cast("long")
     dealt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*left.columns), F.lit(n))).otherwise(zero)
     copies = F.when(F.col(key).isin(hot), F.sequence(zero, F.lit(n - 1).cast("long"))).otherwise(F.array(zero))
     many = right.withColumn("_lane", F.explode(copies))
-    return left.withColumn("_lane", dealt).join(many.hint("merge"), [key, "_lane"], how).drop("_lane")
+    return _merged(left.withColumn("_lane", dealt), many, [key, "_lane"], how, parts).drop("_lane")
+
+
+def _merged(left: DataFrame, right: DataFrame, keys: list[str], how: str, parts: int | None) -> DataFrame:
+    if not parts:
+        return left.join(right.hint("merge"), keys, how)
+    # Of two bare repartitions a join makes ones by the session's number; below new names one stays, and the other side follows it.
+    names = {c: f"_left_{c}" for c in left.columns if c not in keys}
+    dealt = left.repartition(parts, *keys).select(*keys, *[F.col(c).alias(n) for c, n in names.items()])
+    return dealt.join(right.hint("merge"), keys, how).withColumnsRenamed({n: c for c, n in names.items()})

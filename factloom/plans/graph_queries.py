@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import components as C
 from ..operators import graph as O
-from ..session import load
+from ..operators.skew import spread_join
+from ..session import load, tasks_for
 from .registry import Fixture, of_suppliers, query
 
 # A DAG over parts: p points at 2p, 3p and 5p.
@@ -298,9 +299,12 @@ def cycles_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def spectral_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, side, connectivity) of customers (as negative numbers) and the suppliers that their orders name; no SQL has eigenvectors."""
-    items = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    edges = items.select(F.lit(0).alias("component"), (-F.col("o_custkey").cast("long")).alias("src"), F.col("l_suppkey").cast("long").alias("dst")).distinct()
-    return C.spectral_halves(edges, tolerance=1e-3).select("node", "side", F.round("connectivity", 3).alias("connectivity"), (F.col("residual") < 1).alias("settled"))
+    items, orders = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
+    rows = items.count()
+    parts = tasks_for(spark, rows)
+    named = spread_join(items.select("l_orderkey", "l_suppkey"), orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey", [], parts=parts)
+    edges = named.select(F.lit(0).alias("component"), (-F.col("o_custkey").cast("long")).alias("src"), F.col("l_suppkey").cast("long").alias("dst"))
+    return C.spectral_halves(edges, tolerance=1e-3, rows=rows).select("node", "side", F.round("connectivity", 3).alias("connectivity"), (F.col("residual") < 1).alias("settled"))
 
 
 @query()

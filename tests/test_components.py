@@ -5,6 +5,9 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from factloom import session
 from factloom.operators import components as C
 from factloom.operators import skew
 
@@ -100,6 +103,33 @@ def test_halves_equal_dense_ones(spark):
         assert [own[n].side for n in nodes if abs(vectors[nodes.index(n), 1]) > 1e-6] == [int(s != side[0]) for n, s in zip(nodes, side, strict=True) if abs(vectors[nodes.index(n), 1]) > 1e-6]
 
 
+@pytest.mark.parametrize("hot", [200_000, 15])
+def test_tasks_of_halves_hold_no_more_of_more_edges(spark, monkeypatch, hot):
+    monkeypatch.setattr(session, "TASK_ROWS", 20)
+    monkeypatch.setattr(skew, "HOT", hot)
+    rng = random.Random(5)
+    edges = [(a, b) for base in (0, 30) for a in range(base, base + 30) for b in range(a + 1, base + 30) if rng.random() < 0.6] + [(3, 35)]
+    stored, joined = [], []
+
+    def kept(df):
+        df = session.kept(df)
+        stored.append(df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] if "src" in df.columns else 0)
+        return df
+
+    def spread_join(left, right, key, *args, **options):
+        df = skew.spread_join(left, right, key, *args, **options)
+        if key == "src":
+            joined.append(df.rdd.getNumPartitions())
+        return df
+
+    monkeypatch.setattr(C, "kept", kept)
+    monkeypatch.setattr(C, "spread_join", spread_join)
+    got = {r.node: r for r in C.spectral_halves(spark.createDataFrame([(1, *e) for e in edges], "component int, src int, dst int"), tolerance=1e-4).collect()}
+    nodes, values, vectors = _dense(edges)
+    assert max(stored) < 60 < len(edges) / 4 and min(joined) >= len(edges) / 10
+    assert all(abs(got[n].connectivity - values[1]) < 1e-6 and got[n].side == ((vectors[k, 1] >= 0) != (vectors[0, 1] >= 0)) for k, n in enumerate(nodes))
+
+
 def test_joins_of_loops_are_not_broadcast(spark):
     """A broadcast for every step would fill the driver's memory."""
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long")
