@@ -211,7 +211,7 @@ def fiedler_vectors(edges: DataFrame, tolerance: float = 1e-6, most: int = 100,
     spark = edges.sparkSession
     once = edges.where("src <> dst").select("component", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     # An edge is stored once, for both of its directions.
-    once = kept(once.repartition(tasks_for(spark, edges.count() if rows is None else rows), "component", "src", "dst").distinct())
+    once = kept(once.repartition(tasks_for(spark, edges.count() if rows is None else rows), "src", "dst").distinct())
     parts = tasks_for(spark, 2 * once.count())
     both = once.unionByName(once.select("component", F.col("dst").alias("src"), F.col("src").alias("dst")))
     hot, large = hot_keys(both, "src"), hot_keys(both, "component")
