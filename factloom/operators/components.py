@@ -16,28 +16,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept, tasks_for
-from .skew import hot_keys, spread_join
+from .skew import Dealt, hot_keys, spread_join
 
 
 def _reversed(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def _least_before(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label): the least node from which there is a way to a node, itself included."""
-    hot = hot_keys(edges, "src")
-    now = kept(nodes.select("node", F.col("node").alias("label")))
+def _least_before(edges: Dealt, nodes: DataFrame) -> DataFrame:
+    """(node, label): the least node from which there is a way to a node, itself included; ``edges`` are dealt by ``src``.
+
+    Only labels that are new since a node last sent its own go along its edges.
+    """
+    now = sending = nodes.select("node", F.col("node").alias("label"))
+    k = 0
     while True:
-        sent = spread_join(edges, now.select(F.col("node").alias("src"), "label"), "src", hot)
-        least = sent.groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
-        after = now.join(least.hint("merge"), "node", "left").select("node", F.least("label", "got").alias("label"), F.col("label").alias("old"))
-        # What leads to a label's node leads here too. Labels of many nodes are hot keys.
+        sent = edges.join(sending.select(F.col("node").alias("src"), "label"))
+        none = F.lit(None).cast(dict(nodes.dtypes)["node"])
+        got = sent.select(F.col("dst").alias("node"), "label", none.alias("old"))
+        after = now.select("node", "label", F.col("label").alias("old")).unionByName(got).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         after = kept(after)
-        tops = after.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        after = kept(spread_join(after, tops, "label", hot_keys(after, "label")).select("node", F.least("label", "top").alias("label"), "old"))
-        if after.where("label < old").isEmpty():
+        k += 1
+        if k % 2 == 0:
+            # What leads to a label's node leads here too. Labels of many nodes are hot keys.
+            tops = after.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("top"))
+            after = kept(spread_join(after, tops, "label", hot_keys(after, "label"), "left").select("node", F.least("label", "top").alias("label"), "old"))
+        sending = after.where("label < old")
+        if sending.isEmpty():
             return after.select("node", "label")
-        now = after.select("node", "label")
+        now = after
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -77,13 +84,18 @@ def _coloured(nodes: DataFrame, deep: DataFrame) -> DataFrame:
         if left.isEmpty():
             return found
         open_ = kept(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct())
-        colour = _least_before(left, open_)
+        parts = tasks_for(left.sparkSession, left.count())
+        ways = Dealt(left, "src", parts)
+        colour = _least_before(ways, open_)
         here = colour.select(F.col("node").alias("src"), F.col("label").alias("a"))
         there = colour.select(F.col("node").alias("dst"), F.col("label").alias("b"))
-        own = spread_join(spread_join(left, here, "src", hot_keys(left, "src")), there, "dst", hot_keys(left, "dst"))
+        own = spread_join(ways.join(here), there, "dst", hot_keys(left, "dst"))
         own = kept(own.where("a = b").select("src", "dst"))
+        ways.done()
         # The least node of a colour is its own; who leads to it has it as the least node ahead.
-        back = _least_before(_reversed(own), open_)
+        ways = Dealt(_reversed(own), "src", parts)
+        back = _least_before(ways, open_)
+        ways.done()
         done = kept(colour.join(back.withColumnRenamed("label", "ahead").hint("merge"), "node").where("label = ahead").select("node", F.col("label").alias("component")))
         found = found.unionByName(done)
         gone = done.select(F.col("node").alias("src"))

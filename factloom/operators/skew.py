@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +29,38 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str
     if not hot:
         return _merged(left, right, [key], how, parts)
     n = lanes(left)
+    return _merged(_in_lanes(left, key, hot, n), _for_lanes(right, key, hot, n), [key, "_lane"], how, parts).drop("_lane")
+
+
+def _in_lanes(left: DataFrame, key: str, hot: list, n: int) -> DataFrame:
+    dealt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*left.columns), F.lit(n)))
+    return left.withColumn("_lane", dealt.otherwise(F.lit(0).cast("long")))
+
+
+def _for_lanes(right: DataFrame, key: str, hot: list, n: int) -> DataFrame:
     zero = F.lit(0).cast("long")
-    dealt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*left.columns), F.lit(n))).otherwise(zero)
     copies = F.when(F.col(key).isin(hot), F.sequence(zero, F.lit(n - 1).cast("long"))).otherwise(F.array(zero))
-    many = right.withColumn("_lane", F.explode(copies))
-    return _merged(left.withColumn("_lane", dealt), many, [key, "_lane"], how, parts).drop("_lane")
+    return right.withColumn("_lane", F.explode(copies))
+
+
+class Dealt:
+    """A table that a loop joins by one column again and again: dealt out and sorted once, kept
+    on the executors (memory, then disk), and taken anew from what is below it where one is lost.
+
+    Only the other side of a join is shuffled. ``done`` gives the room back; no result may still need it."""
+
+    def __init__(self, df: DataFrame, key: str, parts: int):
+        self.key, self.hot, self._n = key, hot_keys(df, key), lanes(df)
+        keys = [key, "_lane"] if self.hot else [key]
+        rows = _in_lanes(df, key, self.hot, self._n) if self.hot else df
+        self._keys, self._rows = keys, rows.repartition(parts, *keys).sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def join(self, right: DataFrame, how: str = "inner") -> DataFrame:
+        many = _for_lanes(right, self.key, self.hot, self._n) if self.hot else right
+        return self._rows.join(many.hint("merge"), self._keys, how).drop("_lane")
+
+    def done(self) -> None:
+        self._rows.unpersist()
 
 
 def _merged(left: DataFrame, right: DataFrame, keys: list[str], how: str, parts: int | None) -> DataFrame:

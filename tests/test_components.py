@@ -140,3 +140,23 @@ def test_joins_of_loops_are_not_broadcast(spark):
     nodes, deep = C._entered(edges)
     assert {tuple(r) for r in nodes.collect()} == {(1, True, True), (2, True, True), (3, True, False)}
     assert {tuple(r) for r in deep.collect()} == {(1, 2), (2, 1), (2, 3)}
+
+
+def _shuffled(spark, work):
+    """Records that the stages of some work write for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (lambda seq: [seq.apply(k) for k in range(seq.size())])(store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None))}
+    before = stages()
+    work()
+    return sum(n for key, n in stages().items() if key not in before)
+
+
+def test_steps_of_components_send_new_labels_only(spark):
+    """Edges are dealt out once a round, and a node whose label stays sends nothing, however many steps a long ring takes."""
+    rng = random.Random(6)
+    edges = sorted({(rng.randrange(300), rng.randrange(300)) for _ in range(6000)} | {(1000 + k * 7 % 30, 1000 + (k + 1) * 7 % 30) for k in range(30)})
+    frame = spark.createDataFrame(edges, "src long, dst long").checkpoint()
+    found = {}
+    sent = _shuffled(spark, lambda: found.update((r.node, r.component) for r in C.strong_components(frame).collect()))
+    assert found == {k: 0 for k in range(300)} | {1000 + k: 1000 for k in range(30)}
+    assert sent < 18 * len(edges), sent / len(edges)
