@@ -1,7 +1,7 @@
 """Strongly connected components, waves over graphs with cycles, and halves of large graphs.
 
-Labels run along edges, the least one wins, and a label's own label is taken over with it,
-which makes long ways short. Every step is stored and works on what is still open; nodes with
+Labels run along edges, the least one wins, and a label's own label is taken over in every
+other step, which makes long ways short. Every step is stored and works on what is still open; nodes with
 very many edges are dealt out.
 """
 
@@ -130,27 +130,51 @@ def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
     return both.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
+#: Waves after which what waits for ever is told from what only waits long.
+PEELED = 100
+
+
+def _stuck(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node) of cycles and of what follows from them."""
+    from .graph import reachable
+
+    parts = _coloured(nodes, edges)
+    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    several = parts.join(parts.groupBy("component").count().where("count > 1").hint("merge"), "component").select("node")
+    return kept(reachable(edges, several.unionByName(loops)).select("node"))
+
+
 def waves(edges: DataFrame) -> DataFrame:
     """(node, wave): nodes whose predecessors all are in earlier waves; what hangs on a cycle is the last wave.
 
-    Only cycles and what follows from them wait for ever, so the last wave is what components of
-    more than one node (or an edge to itself) lead to, and the waves before are levels of the rest.
+    A wave takes its edges from what its targets wait for; who then waits for none is next. Only
+    cycles and what follows from them wait for ever. After ``PEELED`` waves components tell
+    which those are, so that further steps are on the rest alone.
     """
-    from .graph import levels, reachable
-
     nodes, deep = _entered(edges)
-    parts = _coloured(nodes, deep)
-    loops = deep.where("src = dst").select(F.col("src").alias("node"))
-    several = parts.join(parts.groupBy("component").count().where("count > 1").hint("merge"), "component").select("node")
-    stuck = kept(reachable(deep, several.unionByName(loops)).select("node"))
-    free = deep.join(stuck.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_anti").select("src", "dst")
-    # A longest way begins at a node that nothing leads to; from its second node on it is among these edges.
-    level = kept(levels(free))
-    early = nodes.join(stuck.hint("merge"), "node", "left_anti").join(level.hint("merge"), "node", "left")
-    early = kept(early.select("node", F.when(F.col("into"), F.coalesce("level", F.lit(0)) + 1).otherwise(0).alias("wave")))
-    # One row.
-    last = early.agg((F.coalesce(F.max("wave"), F.lit(-1)) + 1).alias("wave"))
-    return early.unionByName(stuck.crossJoin(F.broadcast(last)).select("node", "wave"))
+    spark, one = edges.sparkSession, F.lit(1).cast("long")
+    waits = nodes.where("into").select("node", (one - 1).alias("n")).unionByName(deep.select(F.col("dst").alias("node"), one.alias("n")))
+    waiting = kept(waits.groupBy("node").agg(F.sum("n").alias("n")))
+    ways, stuck = Dealt(deep, "src", tasks_for(spark, deep.count())), None
+    first = nodes.where("not into").select("node", F.lit(0).alias("wave"))
+    done, wave = [first], 1
+    while not (front := waiting.where("n = 0")).isEmpty():
+        if wave == PEELED:
+            left = kept(deep.join(waiting.select(F.col("node").alias("src")).hint("merge"), "src", "left_semi").select("src", "dst"))
+            stuck = _stuck(nodes, left)
+            waiting = kept(waiting.join(stuck.hint("merge"), "node", "left_anti"))
+            left = kept(left.join(stuck.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_anti").select("src", "dst"))
+            ways.done()
+            ways, front = Dealt(left, "src", tasks_for(spark, left.count())), waiting.where("n = 0")
+        done.append(front.select("node", F.lit(wave).alias("wave")))
+        sent = ways.join(front.select(F.col("node").alias("src"))).select(F.col("dst").alias("node"), (-one).alias("n"))
+        waiting = kept(waiting.where("n > 0").unionByName(sent).groupBy("node").agg(F.sum("n").alias("n")))
+        wave += 1
+    ways.done()
+    # Where nothing is without a way in, the first wave is the last.
+    last = F.lit(0 if wave == 1 and first.isEmpty() else wave).alias("wave")
+    done.append((waiting.where("n > 0") if stuck is None else stuck).select("node", last))
+    return reduce(DataFrame.unionByName, done)
 
 
 def cycles(edges: DataFrame, longest: int) -> DataFrame:

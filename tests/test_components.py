@@ -160,3 +160,25 @@ def test_steps_of_components_send_new_labels_only(spark):
     sent = _shuffled(spark, lambda: found.update((r.node, r.component) for r in C.strong_components(frame).collect()))
     assert found == {k: 0 for k in range(300)} | {1000 + k: 1000 for k in range(30)}
     assert sent < 18 * len(edges), sent / len(edges)
+
+
+def test_waves_need_components_only_when_they_are_many(spark, monkeypatch):
+    rng = random.Random(7)
+    # Two rings, one with a tail, a path that goes on, a loop, a hub, and a random graph.
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (70, 71), (71, 70), (9, 9), (20, 2)] + [(30 + k, 31 + k) for k in range(6)] + [(30, 40 + k) for k in range(5)] + [(100 + a, 100 + b) for a, b in _random(rng, 40, 44)]
+    waiting = {x: {a for a, b in edges if b == x} for e in edges for x in e}
+    want, k = {}, 0
+    while waiting:
+        ready = [n for n, v in waiting.items() if not v & set(waiting)] or list(waiting)
+        want.update((n, k) for n in ready)
+        waiting, k = {n: v for n, v in waiting.items() if n not in ready}, k + 1
+    asked, whole = [], C._coloured
+    monkeypatch.setattr(C, "_coloured", lambda *a: asked.append(1) or whole(*a))
+    frame = spark.createDataFrame([*edges, (None, 1)], "src long, dst long")
+    for most, hot in ((C.PEELED, 200_000), (3, 3)):
+        monkeypatch.setattr(C, "PEELED", most)
+        monkeypatch.setattr(skew, "HOT", hot)
+        rows = C.waves(frame).collect()
+        assert {r.node: r.wave for r in rows} == want and len(rows) == len(want) and len(asked) == (most == 3)
+    assert C.waves(frame.where("src > 1000")).count() == 0
+    assert [tuple(r) for r in C.waves(frame.where("src = 9")).collect()] == [(9, 0)]
