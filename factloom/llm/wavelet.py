@@ -174,15 +174,16 @@ class WordEncoder:
     encoded whole. A text of Latin letters, digits and ASCII signs
     without an apostrophe is lower-cased, as the tokenizer does after nothing that changes
     it, and cut into its pre-tokens: runs of letters, single digits and runs of signs. Other
-    texts are cut at blanks. New pre-tokens go to the library many at a time, joined by
-    blanks; as each ends in one id with the mark of a word's end, the ids are told apart
-    again.
+    texts are cut at blanks. New pre-tokens go to the library's model, spelt by bytes as its
+    pre-tokenizer does; all else goes through the whole library.
     """
 
     SAFE_TEXT = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~ \t\r\n]*").fullmatch)
     SAFE = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+").fullmatch)
     PARTS = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall)
     MARK = "</w>"
+    #: The byte-level spelling of the letters À to ÿ: bytes 0xA1 to 0xFF but 0xAD stand for themselves, those below for 289 on.
+    SPELT = {c: "".join(chr(b) if b > 0xA0 and b != 0xAD else chr(323 if b == 0xAD else b + 162) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
     # How the file cuts texts, which the patterns above follow.
     RULES = {
         "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -216,9 +217,8 @@ class WordEncoder:
         self._old: dict[str, bytes] = {}
         if not self._known:
             return
-        words = self._tok.get_vocab()
-        self._ends = np.zeros(max(words.values()) + 1, bool)
-        self._ends[[i for w, i in words.items() if w.endswith(self.MARK)]] = True
+        self._model = self._tok.model.tokenize
+        self._four = [struct.pack("<I", i) for i in range(max(self._tok.get_vocab().values()) + 1)]
 
     def _split(self, text: str) -> list[str]:
         if self.SAFE_TEXT(text) and "<|" not in text:
@@ -238,16 +238,10 @@ class WordEncoder:
             if len(parts) > 1:
                 several.append((c, parts))
             plain.update((p, None) for p in parts if p not in memo)
-        plain = list(plain)
-        for k in range(0, len(plain), 2048):
-            part = plain[k : k + 2048]
-            ids = np.array(self._tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self._ends[ids])
-            if len(ends) != len(part):
-                other += part
-                continue
-            raw, stops = ids.tobytes(), ((ends + 1) * 4).tolist()
-            memo.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+        model, four = self._model, self._four
+        for p in plain:
+            low = p.lower()
+            memo[p] = b"".join([four[t.id] for t in model(low if low.isascii() else low.translate(self.SPELT))])
         for k in range(0, len(other), 4096):
             part = other[k : k + 4096]
             for c, e in zip(part, self._tok.encode_batch(part, add_special_tokens=False), strict=True):
@@ -266,9 +260,10 @@ class WordEncoder:
         new = set(chain.from_iterable(split)).difference(memo)
         if new:
             before = len(memo)
-            again = new.intersection(old)
-            memo.update((w, old[w]) for w in again)
-            self._learn(list(new.difference(again)))
+            # A set's intersection would go through all of a dict.
+            again = {w: old[w] for w in new if w in old}
+            memo.update(again)
+            self._learn([w for w in new if w not in again] if again else list(new))
             # A character takes up to 4 bytes.
             self._size += (len(memo) - before) * self.EACH + 4 * sum(map(len, new)) + sum(map(len, map(memo.__getitem__, new)))
         return [b"".join(map(memo.__getitem__, x)) for x in split]
