@@ -172,6 +172,29 @@ def test_components_of_a_long_chain(spark):
     assert ngram_join.components(edges.limit(0)).count() == 0
 
 
+def test_components_take_no_step_that_changes_nothing(spark, monkeypatch):
+    steps, stored = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: steps.append(name) or stored(df, name))
+    rng = random.Random(7)
+    # Stars, which are found at once, and the same with their middle as the largest node: one step.
+    for middle, most in ((0, 1), (99, 2)):
+        steps.clear()
+        edges = [(bytes([k]), bytes([100 * j + middle])) for j in (0, 1) for k in range(100 * j + 1, 100 * j + 99)]
+        got = {bytes(r.node)[0]: bytes(r.root)[0] for r in ngram_join.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+        least = [0, 100] if middle == 0 else [1, 101]
+        assert got == {k: least[k >= 100] for e in edges for k in (e[0][0], e[1][0])}
+        assert len(steps) <= most
+    for n in (30, 60, 120):
+        edges = [(rng.randrange(100), rng.randrange(100)) for _ in range(n)]
+        root = {k: k for e in edges if e[0] != e[1] for k in e}
+        for _ in range(100):
+            for a, b in edges:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        got = [(bytes(r.node)[0], bytes(r.root)[0]) for r in ngram_join.components(spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")).collect()]
+        assert sorted(got) == sorted(root.items())
+
+
 # 5
 
 
