@@ -20,11 +20,11 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -173,14 +173,17 @@ class WordEncoder:
     when the younger is half of them. A file with other rules than ``RULES`` has its texts
     encoded whole. A text of Latin letters, digits and ASCII signs
     without an apostrophe is lower-cased, as the tokenizer does after nothing that changes
-    it, and cut into its pre-tokens: runs of letters, single digits and runs of signs. Other
-    texts are cut at blanks. New pre-tokens go to the library's model, spelt by bytes as its
-    pre-tokenizer does; all else goes through the whole library.
+    it, and cut into its pre-tokens: runs of letters, single digits and runs of signs. A block's
+    pre-tokens are cut, told apart and put together again by Arrow, so that Python sees each
+    of them once. Other texts are cut at blanks. New pre-tokens go to the library's model, spelt by
+    bytes as its pre-tokenizer does; all else goes through the whole library.
     """
 
     SAFE_TEXT = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~ \t\r\n]*").fullmatch)
     SAFE = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+").fullmatch)
     PARTS = staticmethod(re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall)
+    #: What stands alone between blanks once these have blanks around them is a pre-token.
+    ALONE = r"([!-&(-/:-@\[-`{-~]+|[0-9])"
     MARK = "</w>"
     #: The byte-level spelling of the letters À to ÿ: bytes 0xA1 to 0xFF but 0xAD stand for themselves, those below for 289 on.
     SPELT = {c: "".join(chr(b) if b > 0xA0 and b != 0xAD else chr(323 if b == 0xAD else b + 162) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
@@ -213,17 +216,18 @@ class WordEncoder:
         plain = not any(t.get(k) for t in told.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
         self._known = all(told.get(k) == v for k, v in self.RULES.items()) and told["model"].get("end_of_word_suffix") == self.MARK and plain and set(added) <= set(self.ADDED)
         self._kept, self._size = kept, 0
-        self._memo: dict[str, bytes] = {}
+        self._memo: dict[str, bytes] = {"": b""}
         self._old: dict[str, bytes] = {}
         if not self._known:
             return
         self._model = self._tok.model.tokenize
         self._four = [struct.pack("<I", i) for i in range(max(self._tok.get_vocab().values()) + 1)]
 
-    def _split(self, text: str) -> list[str]:
-        if self.SAFE_TEXT(text) and "<|" not in text:
-            return self.PARTS(text.lower())
-        return BLANKS.split(text)
+    def _learn_parts(self, new: list[str]) -> None:
+        """Of lower-case pre-tokens of plain Latin text."""
+        memo, model, four, spelt = self._memo, self._model, self._four, self.SPELT
+        for p in new:
+            memo[p] = b"".join([four[t.id] for t in model(p if p.isascii() else p.translate(spelt))])
 
     def _learn(self, new: list[str]) -> None:
         memo, plain, several, other = self._memo, {}, [], []
@@ -253,20 +257,42 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self._known:
             return [np.array(e.ids, "<u4").tobytes() for e in self._tok.encode_batch(texts, add_special_tokens=False)]
+        safe = [bool(self.SAFE_TEXT(t)) and "<|" not in t for t in texts]
+        # Large types: one text may be of any length.
+        plain = pa.array([t.lower() for t, s in zip(texts, safe, strict=True) if s], pa.large_string())
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, self.ALONE, r" \1 "))
+        own = self._joined(words.flatten().dictionary_encode(), words.offsets.to_numpy())
+        return [next(own) if s else self._cut(t) for t, s in zip(texts, safe, strict=True)]
+
+    def _joined(self, words: pa.DictionaryArray, at: np.ndarray) -> Iterator[bytes]:
+        """Ids of texts whose words begin at places ``at``."""
+        some = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        memo = self._all(some, self._learn_parts)
+        ids = pa.array(list(map(memo.__getitem__, some)), pa.large_binary()).take(words.indices)
+        _, offsets, data = ids.buffers()
+        data, ends = memoryview(data or b""), np.frombuffer(offsets, "<i8")[at].tolist()
+        return (bytes(data[a:b]) for a, b in zip(ends, ends[1:], strict=False))
+
+    def _cut(self, text: str) -> bytes:
+        words = BLANKS.split(text)
+        memo = self._all(words, self._learn)
+        return b"".join(map(memo.__getitem__, words))
+
+    def _all(self, words: list[str], learn: Callable[[list[str]], None]) -> dict[str, bytes]:
+        """The memory, which holds all these words now."""
         if self._size > self._kept // 2:
-            self._old, self._memo, self._size = self._memo, {}, 0
+            self._old, self._memo, self._size = self._memo, {"": b""}, 0
         memo, old = self._memo, self._old
-        split = [self._split(t) for t in texts]
-        new = set(chain.from_iterable(split)).difference(memo)
+        new = set(words).difference(memo)
         if new:
             before = len(memo)
             # A set's intersection would go through all of a dict.
             again = {w: old[w] for w in new if w in old}
             memo.update(again)
-            self._learn([w for w in new if w not in again] if again else list(new))
+            learn([w for w in new if w not in again] if again else list(new))
             # A character takes up to 4 bytes.
             self._size += (len(memo) - before) * self.EACH + 4 * sum(map(len, new)) + sum(map(len, map(memo.__getitem__, new)))
-        return [b"".join(map(memo.__getitem__, x)) for x in split]
+        return memo
 
 
 def encoder(path: str) -> WordEncoder:

@@ -28,3 +28,17 @@ def test_plain_words_need_the_model_only():
             assert got(texts[k : k + 50]) == want(texts[k : k + 50])
     enc._tok = full
     assert got([*other, *texts]) == want([*other, *texts])
+
+
+def test_python_sees_a_block_s_words_once():
+    path = tokenizer_path("word_bpe_49k.json")
+    whole, enc, rng = Tokenizer.from_file(path), WordEncoder(path, kept=20_000), random.Random(4)
+    words = ["Some", "wörds,", "(again)", "12.5", "É", "--", "\t", "  ", "\r\n", "x"]
+    texts = ["".join(rng.choices([*words, " "], k=200)) for _ in range(200)] + ["", " ", "it's \x0b\x0c÷ <|endoftext|>", "a"]
+    asked, all_ = [], enc._all
+    enc._all = lambda some, *x: asked.append(len(some)) or all_(some, *x)
+    for some in (texts, texts[:200], [], [""], texts[-4:]):
+        got = [list(memoryview(x).cast("I")) for x in enc(some)]
+        assert got == [e.ids for e in whole.encode_batch(some, add_special_tokens=False)]
+    # Of 80,000 words and more those of the alphabet's few joins, each once a block.
+    assert max(asked) < 30_000
