@@ -38,3 +38,44 @@ def test_similar_pairs_whatever_is_ranked(spark, monkeypatch):
         monkeypatch.setattr(S, "PAIRED", paired)
         got = S.similar_pairs(frame, 0.7).collect()
         assert len(got) == len(want) and {(r.a, r.b): r.similarity for r in got} == want
+
+
+def test_products_decide_exactly(monkeypatch):
+    from factloom.operators import metric_index as M
+    from factloom.operators.similarity import _exact
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(M, "TILE", 16)
+    monkeypatch.setattr(M, "WIDE", 40)
+    wide = np.concatenate([rng.normal(size=(150, 9)), rng.normal(size=(150, 9)) * 1e-4 + 50])
+    for y in (wide, rng.integers(0, 2, (400, 9)).astype(float), np.zeros((7, 9)), wide * 1e30, np.repeat(np.eye(9), 200, 0)):
+        x, ids = y[:: max(1, len(y) // 70)], rng.permutation(len(y))
+        for metric in ("euclidean", "cosine"):
+            for k in (1, 5):
+                q, p, far = M._measured(metric, x, ids, y, k)
+                for j in range(len(x)):
+                    d = _exact(metric, y, np.repeat(x[j][None], len(y), 0))
+                    assert sorted(zip(far[q == j], ids[p[q == j]])) == sorted(zip(d, ids))[:k]
+
+
+def test_vectors_at_right_angles_go_by_parts(spark, monkeypatch):
+    from factloom.operators import metric_index as M
+    from factloom.operators.similarity import _exact
+
+    monkeypatch.setattr(M, "BLOCK", 25)
+    monkeypatch.setattr(M, "PART", 150)
+    x = np.random.default_rng(4).normal(size=(600, 48))
+    x[100:103], x[300] = x[7], 0.0
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+    before = _shuffled(spark)
+    for metric in ("euclidean", "cosine"):
+        index = M.MetricIndex(rows, 4, metric)
+        got = {}
+        for r in index.neighbours().orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append((r.distance, r.neighbour))
+        for k in range(600):
+            d = _exact(metric, x, np.repeat(x[k][None], 600, 0))
+            assert got[k] == sorted(zip(d.tolist(), range(600)))[:4]
+        assert index.pruned().first().share == 0
+    # Rows went to 4 parts each, not to every one of about 36 blocks.
+    assert _shuffled(spark) - before < 60_000
