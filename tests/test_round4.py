@@ -58,6 +58,23 @@ def test_products_decide_exactly(monkeypatch):
                     assert sorted(zip(far[q == j], ids[p[q == j]])) == sorted(zip(d, ids))[:k]
 
 
+def test_products_serve_both_sides(monkeypatch):
+    from factloom.operators import metric_index as M
+    from factloom.operators.similarity import _exact
+
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(M, "TILE", 16)
+    monkeypatch.setattr(M, "WIDE", 40)
+    for y in (rng.normal(size=(301, 9)), rng.integers(0, 2, (400, 9)).astype(float), np.zeros((7, 9))):
+        x, ids, own = np.concatenate([rng.normal(size=(60, 9)), rng.integers(0, 2, (9, 9)), np.zeros((1, 9))]), rng.permutation(len(y)), rng.permutation(70)
+        for metric in ("euclidean", "cosine"):
+            *there, q, p, far = M._measured(metric, x, ids, y, 4, own=own)
+            for (q, p, far), at, of, names in ((there, x, y, ids), ((q, p, far), y, x, own)):
+                for j in range(len(at)):
+                    d = _exact(metric, of, np.repeat(at[j][None], len(of), 0))
+                    assert sorted(zip(far[q == j], names[p[q == j]])) == sorted(zip(d, names))[:4]
+
+
 def test_vectors_at_right_angles_go_by_parts(spark, monkeypatch):
     from factloom.operators import metric_index as M
     from factloom.operators.similarity import _exact
